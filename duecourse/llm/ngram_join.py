@@ -21,7 +21,7 @@ from .components import components
 PARTS = 2
 #: The largest size in a band is this times the smallest.
 BAND = 1.5
-#: Bytes of shingle sets, and sets, that one task of the residual comparison holds for each of its two blocks.
+#: Bytes of sketches, about one per shingle, and sets that one task of the residual comparison holds for each of its two blocks.
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 2000
 
@@ -105,8 +105,22 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, SETS)
 
 
+def sketch(features: np.ndarray) -> np.ndarray:
+    """The parity of the features in each of about 8 cells per feature, packed: two sets differ in as many features at
+    least as their sketches, folded to one size, differ in bits."""
+    cells = 1 << max(6, (len(features) * 8 - 1).bit_length())
+    at = (mixed(features) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells).astype(np.uint8) & 1, bitorder="little").view("<u8")
+
+
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """As rows of the size of the smallest; cells are dealt by low bits, so halves add up by exclusive or."""
+    width = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(s.reshape(-1, width), 0) for s in sketches])
+
+
 def _features(docs: DataFrame, n: int) -> DataFrame:
-    """(set_id, features) of docs(set_id, text)."""
+    """(set_id, n_shingles, features, sketch) of docs(set_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,45 +129,79 @@ def _features(docs: DataFrame, n: int) -> DataFrame:
                 w = Words(texts[part], lower=True)
                 sets = [shingle_set(w.of(i), n) for i in range(len(w.first) - 1)]
                 sets = [s for s, given in zip(sets, batch.column(0)[part.start : part.stop].to_pylist(), strict=True) if set_id(s) == given]
-                yield pa.record_batch([pa.array([set_id(s) for s in sets], pa.int64()), lists([signed(s) for s in sets], pa.int64())], ["set_id", "features"])
+                columns = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists([signed(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())]
+                yield pa.record_batch(columns, ["set_id", "n_shingles", "features", "sketch"])
+
+    return docs.select("set_id", "text").mapInArrow(run, "set_id long, n_shingles long, features array<long>, sketch binary")
+
+
+def _differences(a: bytes, b: bytes) -> int:
+    x = folded([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
+    return int(np.bitwise_count(x[0] ^ x[1]).sum())
+
+
+def _nearest(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, differ) of the pairs(a, b, na, nb, sa, sb) whose sketches leave room for the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            differ = np.array([_differences(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            near = pa.array(differ * (100 + percent) <= (100 - percent) * (na + nb))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(differ)], ["a", "b", "differ"]).filter(near)
 
-    return docs.select("set_id", "text").mapInArrow(run, "set_id long, features array<long>")
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, differ long")
 
 
 def _linked(shared: Column, a: Column, b: Column, percent: int) -> Column:
     return shared * 100 >= (a + b - shared) * percent
 
 
-def _compare(percent: int):
-    """Compares the sets of two blocks that share a signature, but for pairs already in one component."""
+def _compare(percent: int, spanning: bool):
+    """Pairs of two blocks that share a signature, lie in different components and have near sketches; if spanning, only
+    those of a forest that would join all of them."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("set_id").reset_index(drop=True)
-        sets = [np.asarray(f, np.int64).view(np.uint64) for f in rows.features]
-        size, comp, side = np.array([len(s) for s in sets]), rows.component.to_numpy().copy(), rows.side.to_numpy()
-        bits = 1 << max(6, int(size.max() * 4 - 1).bit_length())
-        parity = np.zeros((len(sets), bits // 64), np.uint64)
-        for i, s in enumerate(sets):  # a bit for the parity of the features in each of so many cells: differing bits are at most differing features
-            at = (mixed(s) & np.uint64(bits - 1)).astype(np.int64)
-            np.bitwise_xor.at(parity[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        out = []
-        for i in range(len(sets)):
-            near = np.arange(i + 1, len(sets))
+        size, comp, side = rows.n_shingles.to_numpy(), rows.component.to_numpy().copy(), rows.side.to_numpy()
+        held = folded([np.frombuffer(s, np.uint64) for s in rows.sketch])
+        ids, out = rows.set_id.to_numpy(), []
+        for i in range(len(rows)):
+            near = np.arange(i + 1, len(rows))
             near = near[(comp[near] != comp[i]) & ((side[near] != side[i]) | (key[1] == key[2]))]
             near = near[np.minimum(size[near], size[i]) * 100 >= np.maximum(size[near], size[i]) * percent]
-            differ = np.bitwise_count(parity[near] ^ parity[i]).sum(1)
-            near = near[differ * (100 + percent) <= (100 - percent) * (size[near] + size[i])]
-            for j in near:
+            differ = np.bitwise_count(held[near] ^ held[i]).sum(1, dtype=np.int64)
+            for j in near[differ * (100 + percent) <= (100 - percent) * (size[near] + size[i])]:
                 if comp[i] != comp[j]:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both * 100 >= (size[i] + size[j] - both) * percent:
-                        out.append((rows.set_id[i], rows.set_id[j]))
+                    out.append((ids[i], ids[j]))
+                    if spanning:
                         comp[comp == comp[j]] = comp[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) whose sets are similar, by their features, and whether: (a, b, linked)."""
+    side = lambda k: features.select(F.col("set_id").alias(k), F.col("features").alias(f"f{k}"), F.col("n_shingles").alias(f"n{k}"))
+    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", _linked(F.size(F.array_intersect("fa", "fb")), F.col("na"), F.col("nb"), percent).alias("linked"))
+
+
+def _residual(shared: DataFrame, found: DataFrame, features: DataFrame, percent: int, spanning: bool) -> DataFrame:
+    """Candidate pairs (a, b) in groups whose members are not all in one component, all pairs in blocks."""
+    members = shared.select("signature", "set_id").join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    apart = members.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("as_set")).where("low != high")
+    apart = apart.groupBy("n", "as_set").agg(F.min("signature").alias("signature")).select("signature", "n")  # groups of the same members count once
+    inside = members.join(apart, "signature").join(features.select("set_id", "n_shingles"), "set_id")
+    total = inside.groupBy("signature").agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
+    inside = inside.select("signature", "set_id", "component").join(total, "signature").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+    pairs = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("signature", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "set_id", "component")
+    pairs = pairs.join(features.select("set_id", "n_shingles", "sketch"), "set_id")
+    return pairs.groupBy("signature", "x", "y").applyInPandas(_compare(percent, spanning), "a long, b long").distinct()
+
+
 def set_components(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """(id, component) over the set ids that link with another set. sets: shingle_sets(docs), staged with a row_id."""
     filled = sets.where("set_id is not null")
@@ -165,33 +213,26 @@ def set_components(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> Da
     shared = groups.select("signature", "set_id", F.min("set_id").over(held).alias("center"), F.count("*").over(held).alias("n")).where("n > 1")
     shared = staged(shared, "shared")  # sets that have a signature in common with another
 
-    # 1. each set against the least of its group
-    stars = staged(shared.where("set_id != center").select(F.col("center").alias("a"), F.col("set_id").alias("b")).distinct(), "stars")
-    needed = stars.select(F.col("a").alias("set_id")).union(stars.select("b")).distinct()
+    pairs = staged(shared.where("set_id != center").select(F.col("center").alias("a"), F.col("set_id").alias("b")).distinct(), "stars")
+    needed = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     origin = staged(once.select(F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "set_id").join(needed, "set_id"), "origin")
     text = docs.select(F.col("doc_id").cast("long"), "text").join(small(origin), F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("key")))
-    features = staged(_features(text, n).dropDuplicates(["set_id"]).withColumn("n_shingles", F.size("features").cast("long")), "features")
-    side = lambda k: features.select(F.col("set_id").alias(k), F.col("features").alias(f"f{k}"), F.col("n_shingles").alias(f"n{k}"))
-    both = stars.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    links = staged(both.where(_linked(F.size(F.array_intersect("fa", "fb")), F.col("na"), F.col("nb"), percent)).select("a", "b"), "links")
-    found = components(links)
+    features = staged(_features(text, n), "features")
 
-    # 2. groups whose members are not all in one component yet: all pairs between components, in blocks
-    members = shared.where("n > 2").select("signature", "set_id").join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    members = staged(members, "members")
-    apart = members.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("as_set")).where("low != high")
-    apart = apart.groupBy("n", "as_set").agg(F.min("signature").alias("signature")).select("signature", "n")  # groups of the same members count once
-    apart = staged(apart, "apart")
-    if not apart.isEmpty():
-        inside = members.join(apart, "signature").join(features.select("set_id", "n_shingles"), "set_id")
-        total = inside.groupBy("signature").agg(F.ceil(F.greatest(F.sum("n_shingles") * 8 / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
-        inside = inside.join(total, "signature").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
-        pairs = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = pairs.select("signature", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "set_id", "component")
-        residual = pairs.join(features.select("set_id", "features"), "set_id").groupBy("signature", "x", "y").applyInPandas(_compare(percent), "a long, b long")
-        residual = staged(residual, "residual")
-        if not residual.isEmpty():
-            found = components(links.union(residual))
+    # 1. each set with the nearest of the least sets of its groups
+    side = lambda k: features.select(F.col("set_id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    near = _nearest(pairs.join(side("a"), "a").join(side("b"), "b"), percent)
+    best = near.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a"))
+    links = staged(_verified(best, features, percent).where("linked"), "links")
+    found = components(links)
+    # 2. what may link components that share a signature: first a forest of near pairs; if one of them fails, all
+    for spanning in (True, False):
+        tried = staged(_verified(_residual(shared, found, features, percent, spanning), features, percent), "tried")
+        links = links.union(tried.where("linked"))
+        if not tried.where("linked").isEmpty():
+            found = components(links)
+        if tried.where("not linked").isEmpty():
+            break
     return found
 
 
@@ -200,8 +241,9 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Words are [^\\x20\\x09-\\x0D]+ of the whole text with A-Z in lower case. A text of fewer than n words is one
     shingle; one without words, or null, has none and links with nothing. Sets that share a PartEnum signature are
-    candidates; the least set of each group is compared with all others of the group, and then only pairs that lie
-    in different components, in blocks. No pair is emitted but links of a spanning forest.
+    candidates. First each set is verified against the nearest of the least sets of its groups; then pairs of a group
+    that lie in different components are compared in blocks by sketches that never miss a link, and those of a
+    spanning forest are verified. Only where one of these fails are all near pairs between components verified.
 
     Returns a row per input row: doc_id, n_shingles, set_id, component_id (the least doc_id reachable), first (true
     for one row of each component, that of the least doc_id). Rows with a null doc_id
