@@ -22,6 +22,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+#: Masks of the bits below each bit.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
     """A packed bit vector with counts per 64 bits."""
 
@@ -33,8 +37,7 @@ class Bits:
     def ones(self, at: np.ndarray) -> np.ndarray:
         """Set bits before each position."""
         word = at >> 6
-        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & mask)
+        return self.before[word] + np.bitwise_count(self.words[word] & _BELOW[at & 63])
 
 
 class WaveletMatrix:
@@ -137,12 +140,13 @@ class FMIndex:
             go = missed >= left[live]
             live, missed = live[go], missed[go]
             most = np.minimum(end[live] - missed, threshold)  # widths that end before the last end
-            least = np.zeros(len(live), np.int64)
-            while len(open_ := np.flatnonzero(least < most)):  # the widest match that starts at missed, by halving
-                width = (least[open_] + most[open_] + 1) // 2
+            least, failed = np.zeros(len(live), np.int64), np.zeros(len(live), bool)
+            while len(open_ := np.flatnonzero(least < most)):  # the widest match that starts at missed, by doubling and then halving
+                width = np.where(failed[open_], (least[open_] + most[open_] + 1) // 2, np.minimum(np.maximum(2 * least[open_], 1), most[open_]))
                 got = self.reach(missed[open_] + width - 1, missed[open_], bound[live[open_]]) == missed[open_]
                 least[open_[got]] = width[got]
                 most[open_[~got]] = width[~got] - 1
+                failed[open_[~got]] = True
             end[live] = missed + least - 1
             live = live[end[live] - left[live] + 1 >= threshold]
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3

@@ -69,7 +69,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     drop = staged(hits.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("drop")), "drop")
     drop = drop.select(F.struct("doc_id", "text_key").alias("__row"), F.col("drop").alias("__drop"))
     rows = docs.drop("lines_before", "lines_dropped").withColumn("__row", F.struct(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    rows = rows.alias("d").join(small(drop, 20_000).alias("x"), F.col("d.__row").eqNullSafe(F.col("x.__row")), "left").drop("__row")
+    rows = rows.alias("d").join(drop.alias("x"), F.col("d.__row").eqNullSafe(F.col("x.__row")), "left").drop("__row")
     lines = F.split("text", "\n")
     kept = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__drop", i)), "\n"))
     counts = {"lines_before": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "lines_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long")}

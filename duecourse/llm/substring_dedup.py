@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from .common import Words, coefficients, documents, grams, mixed, signed, slices, small, staged
 from .fm_index import FMIndex
 
-#: Words of the runs whose hashes anchor a window.
-ANCHOR_WORDS = 8
+#: Words of the runs whose hashes anchor a window; a shared line of fewer words makes no candidates.
+ANCHOR_WORDS = 20
 #: Windows of one segment at most; longer runs are cut.
 RUN = 64
 #: Words in a shard's index, about.
-SHARD_WORDS = 150_000
-#: An anchor with more distinct segments than this is taken by window hashes instead of an index.
-HOT_SEGMENTS = 4000
+SHARD_WORDS = 1_000_000
+#: An anchor with more distinct segments than this, about a shard's worth, is taken by window hashes instead of an index.
+HOT_SEGMENTS = 10_000
 
 _SEGMENT = "doc_id long, text_key long, anchor long, content long, first int, windows int"
 
@@ -79,7 +79,7 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
 def _with_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """wanted: one row per document with `parts`, an array of (anchor, content, first, windows, ...); adds each part's word hashes."""
     asked = wanted.select(F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "parts")
-    text = docs.select(F.col("doc_id").cast("long"), "text").join(small(asked, 20_000), (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("key")))
+    text = docs.select(F.col("doc_id").cast("long"), "text").join(asked, (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +175,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     spans = staged(repeated_passages(docs, window), "spans")
     spans = spans.select(F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "spans")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(small(spans, 20_000), (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("key")), "left")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(spans, (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("key")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
