@@ -17,10 +17,11 @@ GENERAL_TOKENS = 8
 MIN_DOCS = 8
 
 
-def _line(raw: Column) -> Column:
-    """Words of a line joined by one space; a word with a digit becomes <*>."""
-    plain = F.trim(F.regexp_replace(F.translate(raw, "\t\x0b\x0c\r", "    "), " +", " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
+def _clean(text: Column) -> Column:
+    """A text whose lines have their words joined by one space; a word with a digit becomes <*>."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\x0b\x0c\r", "    ")
+    one = F.regexp_replace(F.regexp_replace(spaced, "  +", " "), " ?\n ?", "\n")
+    return F.regexp_replace(F.trim(one), r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")
 
 
 def _templates(tokens: Column, n: Column) -> Column:
@@ -36,8 +37,7 @@ def _templates(tokens: Column, n: Column) -> Column:
 
 def template_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line, template, context): a row per line and template; context hashes the lines around."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.transform(lines, _line).alias("lines"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.split(_clean(F.col("text")), "\n").alias("lines"))
     rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
     near = lambda i: F.xxhash64(F.get("hashes", i - 1), F.get("hashes", i + 1))
     rows = rows.select("doc_id", "text_key", F.explode(F.transform("lines", lambda x, i: F.struct(i.alias("line"), x.alias("words"), near(i).alias("context")))).alias("x"))
@@ -63,7 +63,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     A row with a null doc_id is not counted, and loses recurring lines; repeated rows are treated alike; an empty table
     stays empty.
     """
-    found = template_lines(docs)
+    found = staged(template_lines(docs), "lines")
     first = staged(recurring(found, min_docs), "templates")
     hits = found.join(small(first), "template").where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("first")))
     drop = staged(hits.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("drop")), "drop")
