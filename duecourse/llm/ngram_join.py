@@ -106,9 +106,9 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def sketch(features: np.ndarray) -> np.ndarray:
-    """The parity of the features in each of about 8 cells per feature, packed: two sets differ in as many features at
+    """The parity of the features in each of about 4 cells per feature, packed: two sets differ in as many features at
     least as their sketches, folded to one size, differ in bits."""
-    cells = 1 << max(6, (len(features) * 8 - 1).bit_length())
+    cells = 1 << max(6, (len(features) * 4 - 1).bit_length())
     at = (mixed(features) & np.uint64(cells - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=cells).astype(np.uint8) & 1, bitorder="little").view("<u8")
 
@@ -176,7 +176,7 @@ def _compare(percent: int, spanning: bool):
                     out.append((ids[i], ids[j]))
                     if spanning:
                         comp[comp == comp[j]] = comp[i]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame([(key[0], *pair) for pair in out], columns=["signature", "a", "b"], dtype="int64")
 
     return run
 
@@ -189,7 +189,7 @@ def _verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
 
 
 def _residual(shared: DataFrame, found: DataFrame, features: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """Candidate pairs (a, b) in groups whose members are not all in one component, all pairs in blocks."""
+    """Candidate pairs (signature, a, b) in groups whose members are not all in one component, all pairs in blocks."""
     members = shared.select("signature", "set_id").join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     apart = members.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("as_set")).where("low != high")
     apart = apart.groupBy("n", "as_set").agg(F.min("signature").alias("signature")).select("signature", "n")  # groups of the same members count once
@@ -199,7 +199,7 @@ def _residual(shared: DataFrame, found: DataFrame, features: DataFrame, percent:
     pairs = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("signature", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "set_id", "component")
     pairs = pairs.join(features.select("set_id", "n_shingles", "sketch"), "set_id")
-    return pairs.groupBy("signature", "x", "y").applyInPandas(_compare(percent, spanning), "a long, b long").distinct()
+    return pairs.groupBy("signature", "x", "y").applyInPandas(_compare(percent, spanning), "signature long, a long, b long")
 
 
 def set_components(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
@@ -223,16 +223,19 @@ def set_components(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> Da
     side = lambda k: features.select(F.col("set_id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
     near = _nearest(pairs.join(side("a"), "a").join(side("b"), "b"), percent)
     best = near.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a"))
-    links = staged(_verified(best, features, percent).where("linked"), "links")
+    links = staged(_verified(best, features, percent).where("linked").select("a", "b"), "links")
     found = components(links)
-    # 2. what may link components that share a signature: first a forest of near pairs; if one of them fails, all
+    # 2. what may link components that share a signature: first a forest of near pairs; where one of them fails, all
     for spanning in (True, False):
-        tried = staged(_verified(_residual(shared, found, features, percent, spanning), features, percent), "tried")
-        links = links.union(tried.where("linked"))
+        near = staged(_residual(shared, found, features, percent, spanning), "near")
+        tried = staged(_verified(near, features, percent), "tried")
+        links = links.union(tried.where("linked").select("a", "b"))
         if not tried.where("linked").isEmpty():
             found = components(links)
-        if tried.where("not linked").isEmpty():
+        failed = near.join(tried.where("not linked"), ["a", "b"], "left_semi").select("signature").distinct()
+        if not spanning or failed.isEmpty():
             break
+        shared = shared.join(failed, "signature", "left_semi")
     return found
 
 
