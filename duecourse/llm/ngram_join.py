@@ -248,18 +248,18 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     that lie in different components are compared in blocks by sketches that never miss a link, and those of a
     spanning forest are verified. Only where one of these fails are all near pairs between components verified.
 
-    Returns a row per input row: doc_id, n_shingles, set_id, component_id (the least doc_id reachable), first (true
+    Returns a row per input row: doc_id, text_key (xxhash64 of the text), n_shingles, set_id, component_id (the least doc_id reachable), first (true
     for one row of each component, that of the least doc_id). Rows with a null doc_id
     link as others do and get the least doc_id of the rest, or null. Repeated rows have equal sets, so one component.
     An empty table gives no rows.
     """
     sets = staged(shingle_sets(docs, n, percent).withColumn("row_id", F.monotonically_increasing_id()), "sets")
     found = set_components(docs, sets, n, percent)
-    rows = sets.select("doc_id", "n_shingles", "set_id", "row_id").join(found.withColumnRenamed("id", "set_id"), "set_id", "left")
+    rows = sets.select("doc_id", "text_key", "n_shingles", "set_id", "row_id").join(found.withColumnRenamed("id", "set_id"), "set_id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "set_id"))
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first_row"))
     rows = rows.join(least, "component", "left")
-    return rows.select("doc_id", "n_shingles", "set_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.col("first_row.row_id") == F.col("row_id"), F.lit(True)).alias("first"))
+    return rows.select("doc_id", "text_key", "n_shingles", "set_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.col("first_row.row_id") == F.col("row_id"), F.lit(True)).alias("first"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
