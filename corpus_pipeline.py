@@ -33,15 +33,16 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near-duplicate texts the one with the least doc_id stays."""
-    rows = near_groups(docs)
-    gone = staged(rows.where("not first").select("doc_id").distinct(), "gone")
-    stay = staged(rows.where("first").join(gone, "doc_id", "left_semi").select("doc_id", "n_shingles").distinct(), "stay")
-    left = docs.join(gone, "doc_id", "left_anti")
-    if stay.isEmpty():
-        return left.select(*docs.columns)
-    # repeated rows: the same doc_id both stays and goes, so one row of it stays
-    again = docs.join(stay.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.select(*docs.columns).union(again.select(*docs.columns))
+    rows = near_groups(docs).select(F.struct("doc_id", "text_key").alias("__near"), "first")
+    gone = staged(rows.where("not first").select("__near").distinct(), "gone")
+    both = staged(rows.where("first").join(gone, "__near", "left_semi").select("__near").distinct(), "both")
+    keyed = docs.withColumn("__near", F.struct(F.col("doc_id").cast("long"), F.xxhash64("text")).cast(gone.schema["__near"].dataType))
+    is_in = lambda side: keyed.alias("d").join(side.alias("g"), F.col("d.__near").eqNullSafe(F.col("g.__near")), "left_semi")
+    left = keyed.alias("d").join(gone.alias("g"), F.col("d.__near").eqNullSafe(F.col("g.__near")), "left_anti").select(*docs.columns)
+    if both.isEmpty():
+        return left
+    # repeated rows: the same row both stays and goes, so one of it stays
+    return left.union(is_in(both).dropDuplicates(["__near"]).select(*docs.columns))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,7 +51,8 @@ def missing_sides(contracts: DataFrame, usage: DataFrame, invoices: DataFrame) -
     sides = usage.select(*KEY, F.lit(1).alias("u"), F.lit(0).alias("i")).union(invoices.select(*KEY, F.lit(0).alias("u"), F.lit(1).alias("i")))
     have = sides.groupBy(*KEY).agg(F.max("u").alias("u"), F.max("i").alias("i"))
     known = sides.groupBy("customer_id").agg(F.lit(1).alias("known"))
-    grid = contracts.select("customer_id").withColumn("months", F.lit(1)).join(periods.withColumn("months", F.lit(1)), "months").drop("months")
+    months = sorted(r.period for r in periods.collect())  # as many as the calendar has
+    grid = contracts.select("customer_id", F.explode(F.array(*[F.lit(m) for m in months]).cast("array<date>")).alias("period"))
     rows = grid.join(have, KEY, "left").join(known, "customer_id", "left")
     reason = F.when(F.col("known").isNull(), "no data").when(F.col("u").isNull() & F.col("i").isNull(), "no usage and no invoice").when(F.coalesce("u", F.lit(0)) == 0, "no usage").when(F.coalesce("i", F.lit(0)) == 0, "no invoice")
     return rows.select(*KEY, reason.alias("reason")).where("reason is not null")

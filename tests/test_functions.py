@@ -17,7 +17,7 @@ def one(spark, c):
 def test_line_roles(spark):
     rows = [("Prorated charge for June", 100, "proration"), ("Sales tax", 64, "tax"), ("GST", 10, "tax"), ("Service credit", -100, "credit"), ("Refund — goodwill", -50, "credit"),
             ("Unknown negative line", -25, "discount"), ("API overage", 30, "overage"), ("Platform subscription", 5000, "base"), ("pro-rated fee", 10, "base")]
-    df = spark.createDataFrame(rows, "d string, a double, want string")
+    df = spark.createDataFrame([(d, float(a), w) for d, a, w in rows], "d string, a double, want string")
     got = df.select("want", S.line_role(F.col("d"), F.col("a"), F.lit(False), F.lit(False), F.lit(False)).alias("got"))
     assert all(r.want == r.got for r in got.collect())
 
