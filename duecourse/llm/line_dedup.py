@@ -36,20 +36,20 @@ def _templates(tokens: Column, n: Column) -> Column:
 
 
 def template_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line, template, context): a row per line and template; context hashes the lines around."""
+    """(doc_id, text_key, line, template, context): a row per line and template; context hashes the text's longest line."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.split(_clean(F.col("text")), "\n").alias("lines"))
-    rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    near = lambda i: F.xxhash64(F.get("hashes", i - 1), F.get("hashes", i + 1))
-    rows = rows.select("doc_id", "text_key", F.explode(F.transform("lines", lambda x, i: F.struct(i.alias("line"), x.alias("words"), near(i).alias("context")))).alias("x"))
-    rows = rows.select("doc_id", "text_key", "x.line", "x.context", F.split("x.words", " ").alias("tokens")).withColumn("n", F.size("tokens")).where(F.col("n") >= MIN_TOKENS)
+    longest = F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("words"))))
+    rows = rows.withColumn("context", F.xxhash64(longest["words"]))
+    rows = rows.select("doc_id", "text_key", "context", F.posexplode("lines").alias("line", "words"))
+    rows = rows.select("doc_id", "text_key", "line", "context", F.split("words", " ").alias("tokens")).withColumn("n", F.size("tokens")).where(F.col("n") >= MIN_TOKENS)
     return rows.select("doc_id", "text_key", "line", "context", F.explode(_templates(F.col("tokens"), F.col("n"))).alias("template"))
 
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(template, first): templates from at least min_docs documents, and the least doc_id that has each.
 
-    Of occurrences with the same lines around only that of the least doc_id counts, so copies of a whole text or
-    passage don't make its lines recur: those are for near-duplicate and substring dedup.
+    Of texts with the same longest line only that of the least doc_id counts, so copies of a whole text don't make its
+    lines recur: those are for near-duplicate and substring dedup.
     """
     once = lines.groupBy("template", "context").agg(F.min("doc_id").alias("doc_id"))
     return once.groupBy("template").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs).select("template", "first")
@@ -89,7 +89,7 @@ clean AS (
   SELECT doc_id, line, raw, list_transform(string_split(trim(regexp_replace(regexp_replace(raw, '[\\t\\x0B\\f\\r]', ' ', 'g'), ' +', ' ', 'g'), ' '), ' '),
     lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM lines),
 around AS (
-  SELECT *, len(tokens) AS n, [lag(tokens) OVER w, lead(tokens) OVER w] AS context FROM clean WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+  SELECT *, len(tokens) AS n, first_value(words) OVER (PARTITION BY doc_id ORDER BY length(words) DESC, words DESC) AS context FROM (SELECT *, array_to_string(tokens, ' ') AS words FROM clean)),
 held AS (
   SELECT doc_id, line, n, context, unnest(CASE WHEN n >= {GENERAL_TOKENS}
     THEN [['0'] || tokens, ['1'] || tokens[1:{DEPTH}] || tokens[{DEPTH + 1}:{DEPTH}+(n-{DEPTH})//2], ['2'] || tokens[1:{DEPTH}] || tokens[{DEPTH + 1}+(n-{DEPTH})//2:n]]
