@@ -22,8 +22,8 @@ _SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u20
 _NOT_SPACES = "\x1c\x1d\x1e\x1f"
 #: A word that is one run of letters and one of punctuation.
 _PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?|#$%&*()-]*)").fullmatch
-#: Words, and parts of words, that a worker keeps.
-WORDS_KEPT = 600_000
+#: Words that a worker keeps; Python workers live on after a stage, and so does what they keep.
+WORDS_KEPT = 300_000
 
 PIECES = T.StructType(
     [
@@ -55,7 +55,7 @@ class WordEncoder:
     """Token ids of texts by a tokenizers file that never joins characters across spaces.
 
     A distinct word is encoded once, and so is what a capital or trailing punctuation adds to it: the file lower-cases
-    and takes runs of letters and runs of punctuation apart. Of at most WORDS_KEPT words the ids stay in memory.
+    and takes runs of letters and runs of punctuation apart. Of at most WORDS_KEPT words, and half as many parts, the ids stay in memory.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -91,7 +91,7 @@ class WordEncoder:
         """Drops the words that came last, so that WORDS_KEPT stay."""
         while len(self.rows) > WORDS_KEPT:
             self.rows.popitem()
-        while len(self.parts) > WORDS_KEPT:
+        while len(self.parts) > WORDS_KEPT // 2:
             self.parts.popitem()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
