@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,24 +158,46 @@ def _linked(shared: Column, a: Column, b: Column, percent: int) -> Column:
 
 def _compare(percent: int, spanning: bool):
     """Pairs of two blocks that share a signature, lie in different components and have near sketches; if spanning, only
-    those of a forest that would join all of them."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("set_id").reset_index(drop=True)
-        size, comp, side = rows.n_shingles.to_numpy(), rows.component.to_numpy().copy(), rows.side.to_numpy()
-        held = folded([np.frombuffer(s, np.uint64) for s in rows.sketch])
-        ids, out = rows.set_id.to_numpy(), []
-        for i in range(len(rows)):
-            near = np.arange(i + 1, len(rows))
-            near = near[(comp[near] != comp[i]) & ((side[near] != side[i]) | (key[1] == key[2]))]
+    those of a forest that would join all of them. For rows in order of signature, x, y and set_id."""
+
+    def pairs(size: np.ndarray, comp: np.ndarray, side: np.ndarray, sketches: list[bytes], one: bool) -> list[tuple[int, int]]:
+        held, comp, out = folded([np.frombuffer(s, np.uint64) for s in sketches]), comp.copy(), []
+        for i in range(len(size) - 1):
+            near = np.arange(i + 1, len(size))
+            near = near[(comp[near] != comp[i]) & ((side[near] != side[i]) | one)]
             near = near[np.minimum(size[near], size[i]) * 100 >= np.maximum(size[near], size[i]) * percent]
+            if not len(near):
+                continue
             differ = np.bitwise_count(held[near] ^ held[i]).sum(1, dtype=np.int64)
             for j in near[differ * (100 + percent) <= (100 - percent) * (size[near] + size[i])]:
                 if comp[i] != comp[j]:
-                    out.append((ids[i], ids[j]))
+                    out.append((i, j))
                     if spanning:
                         comp[comp == comp[j]] = comp[i]
-        return pd.DataFrame([(key[0], *pair) for pair in out], columns=["signature", "a", "b"], dtype="int64")
+        return out
+
+    def found(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        signature, x, y, ids, comp, side, size = (rows.column(k).to_numpy() for k in range(7))
+        out = []
+        for low, high in zip(starts, [*starts[1:], len(ids)], strict=True):
+            if high - low > 1:
+                at = slice(low, high)
+                out += [(low + i, low + j) for i, j in pairs(size[at], comp[at], side[at], rows.column(7)[low:high].to_pylist(), x[low] == y[low])]
+        i, j = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.record_batch([signature[i], ids[i], ids[j]], ["signature", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            keys = np.stack([rows.column(k).to_numpy() for k in range(3)])
+            starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+            rest = rows.slice(starts[-1])  # the last group may go on in the next batch
+            yield found(rows.slice(0, starts[-1]), starts[:-1])
+        if rest is not None:
+            yield found(rest, np.zeros(1, np.int64))
 
     return run
 
@@ -199,7 +220,8 @@ def _residual(shared: DataFrame, found: DataFrame, features: DataFrame, percent:
     pairs = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("signature", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "set_id", "component")
     pairs = pairs.join(features.select("set_id", "n_shingles", "sketch"), "set_id")
-    return pairs.groupBy("signature", "x", "y").applyInPandas(_compare(percent, spanning), "signature long, a long, b long")
+    pairs = pairs.select("signature", "x", "y", "set_id", "component", "side", "n_shingles", "sketch").repartition("signature", "x", "y").sortWithinPartitions("signature", "x", "y", "set_id")
+    return pairs.mapInArrow(_compare(percent, spanning), "signature long, a long, b long")
 
 
 def set_components(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
