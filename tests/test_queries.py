@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from duecourse.plans import registry
+from duecourse.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark".split()
@@ -17,17 +17,17 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", registry.ORACLES)
+@pytest.mark.parametrize("name", catalog.ORACLES)
 def test_matches_sql(spark, duck, name):
-    df = registry.QUERIES[name](spark, SF)
-    sql = duck.sql(registry.ORACLES[name])
+    df = catalog.QUERIES[name](spark, SF)
+    sql = duck.sql(catalog.ORACLES[name])
     columns = sorted(sql.columns)
     assert sorted(df.columns) == columns
     want = sorted((tuple(r[sql.columns.index(c)] for c in columns) for r in sql.fetchall()), key=str)
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == want
 
 
-@pytest.mark.parametrize("name", ["run_book", "reviews", "missing_side_review", "rank_cases"])
+@pytest.mark.parametrize("name", ["run_book", "reviews", "missing_side_review", "rank_cases", "evaluate_rules", "case_ledger"])
 def test_plans_stay_in_the_engine(spark, name):
-    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
