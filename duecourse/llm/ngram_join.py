@@ -195,7 +195,8 @@ def _compare(percent: int, spanning: bool):
             keys = np.stack([rows.column(k).to_numpy() for k in range(3)])
             starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
             rest = rows.slice(starts[-1])  # the last group may go on in the next batch
-            yield found(rows.slice(0, starts[-1]), starts[:-1])
+            if starts[-1]:
+                yield found(rows.slice(0, starts[-1]), starts[:-1])
         if rest is not None:
             yield found(rest, np.zeros(1, np.int64))
 

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -311,3 +312,14 @@ def test_pipeline_stages_on_odd_rows(spark, docs):
 
 def test_sha_of_kept_words():
     assert substring_dedup.sha256("a b") == hashlib.sha256(b"a b").hexdigest()
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_residual_groups_may_span_batches(size):
+    from duecourse.llm import ngram_join as J
+
+    sets = [np.arange(20, dtype=np.uint64) + np.uint64(100 * (k // 4)) for k in range(12)]  # four equal sets in a row
+    group = [0] * 8 + [1] * 4
+    rows = pa.table({"signature": group, "x": [0] * 12, "y": [0] * 12, "set_id": range(12), "component": range(12), "side": [0] * 12, "n_shingles": [20] * 12, "sketch": [J.sketch(s).tobytes() for s in sets]})
+    out = pa.Table.from_batches(J._compare(80, True)(iter(rows.to_batches(max_chunksize=size)))).to_pylist()
+    assert {(r["signature"], r["a"], r["b"]) for r in out} == {(g, 4 * q, 4 * q + j) for g, q in ((0, 0), (0, 1), (1, 2)) for j in (1, 2, 3)}
