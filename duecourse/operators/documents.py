@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,30 @@ def pseudo_pages(documents: DataFrame, size: int = 3000) -> DataFrame:
     return documents.select("doc_id", text.alias("text"), F.explode(F.sequence(F.lit(1), last)).alias("page")).select("doc_id", "page", F.substring(F.col("text"), (F.col("page") - 1) * size + 1, F.lit(size)).alias("text"))
 
 
+def chunk_pages(pages: DataFrame, max_chars: int = 60000, mark: int = 14) -> DataFrame:
+    """Windows of consecutive pages, (doc_id, first, last), that share a page with the one before.
+
+    A window takes pages while their characters, and `mark` more for each, stay within max_chars, one page at least. The
+    next one starts at its last page, or after it where the window has no other. One fold per document, over page sizes.
+    """
+    sizes = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", (F.length("text") + mark).cast("long").alias("cost")))).alias("p"))
+
+    def step(a: Column, p: Column) -> Column:
+        window = lambda first: F.struct(first.alias("first"), a["last"].alias("last"))
+        fits, alone = a["chars"] + p["cost"] <= max_chars, a["cost"] + p["cost"] > max_chars
+        closed = F.when(fits, F.array().cast("array<struct<first:int,last:int>>")).when(alone & (a["first"] < a["last"]), F.array(window(a["first"]), window(a["last"]))).otherwise(F.array(window(a["first"])))
+        again = ~alone & (a["first"] < a["last"])
+        return F.struct(
+            F.when(fits, a["first"]).when(again, a["last"]).otherwise(p["page"]).alias("first"), p["page"].alias("last"), p["cost"].alias("cost"),
+            F.when(fits, a["chars"] + p["cost"]).when(again, a["cost"] + p["cost"]).otherwise(p["cost"]).alias("chars"), F.concat(a["out"], closed).alias("out"),
+        )
+
+    head = F.col("p")[0]
+    start = F.struct(head["page"].alias("first"), head["page"].alias("last"), head["cost"].alias("cost"), head["cost"].alias("chars"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
+    windows = F.aggregate(F.slice("p", 2, F.size("p")), start, step, lambda a: F.concat(a["out"], F.array(F.struct(a["first"].alias("first"), a["last"].alias("last")))))
+    return sizes.select("doc_id", F.inline(windows))
+
+
 def critical_terms(pages: DataFrame, pattern: str) -> DataFrame:
     """How often each match of the pattern, in lower case, stands on each page."""
     hits = pages.select("doc_id", "page", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("term"))

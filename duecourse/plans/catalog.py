@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import casework, registry
+from . import casework, evidence, registry
 
 FLAGSHIP = registry.FLAGSHIP
-QUERIES = {**registry.QUERIES, **casework.QUERIES}
-ORACLES = {**registry.ORACLES, **casework.ORACLES}
+QUERIES = {**registry.QUERIES, **casework.QUERIES, **evidence.QUERIES}
+ORACLES = {**registry.ORACLES, **casework.ORACLES, **evidence.ORACLES}

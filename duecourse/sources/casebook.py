@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rightspec as R
+from ..operators.charges import TERMS
 
 
 def rules(contracts: DataFrame) -> DataFrame:
@@ -63,3 +64,23 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recovery_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     basis = F.when(F.col("l_linestatus") == "O", "settlement").otherwise("paid_invoice")
     return _table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_returnflag") == "R", "reversal").otherwise("realization").alias("kind"), basis.alias("basis"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"), F.col("l_shipdate").cast("date").alias("at"))
+
+
+def scoped_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated terms of scoped charges: customer_id, term, scope, effective, value, seq."""
+    names = dict(zip(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), TERMS, strict=True))
+    term = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("o_orderpriority"))
+    small, large = (F.col("o_orderkey") % 60).cast("decimal(18,2)"), (F.col("o_totalprice").cast("decimal(18,2)") * F.lit("0.1").cast("decimal(2,1)")).cast("decimal(18,2)")
+    return _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer_id"), term.alias("term"), F.concat(F.lit("zone-"), "o_orderstatus").alias("scope"), F.trunc("o_orderdate", "quarter").alias("effective"), F.when(term == "minimum", large).otherwise(small).alias("value"), F.col("o_orderkey").alias("seq"))
+
+
+def scoped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A charge line per line item, some with a scope, some with one in the label only, some with neither."""
+    rows = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    n, zone = F.col("l_linenumber"), F.concat(F.lit("zone-"), "o_orderstatus")
+    kind = F.when(F.col("l_returnflag") == "R", "overage").when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), "seat").otherwise("base")
+    label = F.when(n % 4 == 1, "subscription").when(n % 4 == 3, F.concat(F.lit("plan "), F.lower(zone))).otherwise("other")
+    return rows.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_id"), F.col("o_custkey").alias("customer_id"), F.trunc("o_orderdate", "month").alias("period"), kind.alias("kind"), F.when(n % 2 == 0, zone).alias("scope"), label.alias("label"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"), F.col("l_quantity").cast("decimal(18,2)").alias("quantity"),
+    )

@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from duecourse.functions import scalar as S
-from duecourse.operators import identity, terms
+from duecourse.operators import charges, documents, identity, provenance, terms
 from duecourse.sources import book, sinks
 
 
@@ -78,3 +78,27 @@ def test_csv_headers_by_alias(spark, tmp_path):
     (tmp_path / "x.csv").write_text("Txn Date,Customer,Amount\n2026-06-01,Acme,5\n,,\n")
     df = book.read_aliased_csv(spark, str(tmp_path / "x.csv"), {"date": ["period_start", "txn date"], "customer": ["customer"]}, {"memo": ["memo"]})
     assert [tuple(r) for r in df.collect()] == [("2026-06-01", "Acme", None)]
+
+
+def test_chunks_by_hand(spark):
+    sizes = {1: [10, 10, 10], 2: [90, 10, 90], 3: [500], 4: [60, 60, 30, 30]}
+    pages = spark.createDataFrame([(d, i + 1, "x" * n) for d, ns in sizes.items() for i, n in enumerate(ns)], "doc_id long, page int, text string")
+    got = {}
+    for r in documents.chunk_pages(pages, max_chars=100, mark=0).collect():
+        got.setdefault(r.doc_id, []).append((r.first, r.last))
+    assert {d: sorted(w) for d, w in got.items()} == {1: [(1, 3)], 2: [(1, 2), (2, 3)], 3: [(1, 1)], 4: [(1, 1), (2, 3), (3, 4)]}
+
+
+def test_rights_say_what_is_missing(spark):
+    c = spark.createDataFrame([(1, "clause", 0.9, 5.0, 10.0), (2, " ", 0.5, 5.0, None), (3, "clause", 0.9, None, None)], "customer_id long, clause string, confidence double, overage_rate double, included_units double")
+    assert {r.customer_id: (r.active, r.reasons) for r in provenance.extract_rights(c).collect()} == {1: (True, ""), 2: (False, "terms missing; no clause; low confidence")}
+
+
+def test_a_line_pays_for_the_first_charge_that_fits(spark):
+    day = date(2025, 9, 1)
+    c = spark.createDataFrame([(1, day, "seat", "east", Decimal(100), None, 2), (1, day, "seat", "west", Decimal(50), None, 2), (1, day, "base", "east", Decimal(10), None, 1)], "customer_id long, period date, kind string, scope string, expected decimal(18,2), review string, n_scopes long")
+    rows = [("1", "seat", "east", "west plan", 90), ("2", "seat", None, "west plan", 50), ("3", "seat", None, "plan", 7), ("4", "base", None, "subscription", 4), ("5", "base", None, "other", 6)]
+    lines = spark.createDataFrame([(i, 1, day, k, s, t, Decimal(a)) for i, k, s, t, a in rows], "line_id string, customer_id long, period date, kind string, scope string, label string, amount decimal(18,2)")
+    got = charges.match_lines(c, lines)
+    assert {r.line_id: r.charge for r in got.collect()} == {"1": "east", "2": "west", "4": "east"}
+    assert {(r.kind, r.scope): (r.outcome, int(r.recoverable)) for r in charges.ledger_variance(c, lines, got).collect()} == {("seat", "east"): ("underbilled", 10), ("seat", "west"): ("met", 0), ("base", "east"): ("underbilled", 6)}
