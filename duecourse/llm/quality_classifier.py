@@ -22,6 +22,8 @@ LEAST_DOCS = 4
 ROUNDS = 2
 PSEUDO = 300
 SURE = 0.97
+#: Rows that a task scores at a time.
+MATRIX_ROWS = 1000
 #: The two labels that are predicted: of low quality, toxic.
 HEADS = ("poor", "toxic")
 LAYOUT = 15
@@ -208,15 +210,16 @@ def _confident(features: DataFrame, model: Model, turn: int) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple, list] = {}
         for batch in batches:
-            order, present, pages = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            x = {"text": _matrix(present, len(model.vocabulary)), "page": _layouts(pages)}
-            for v in x:
-                for h in HEADS:
-                    z = getattr(model, v).logit(h, x[v])
-                    for side in (0, 1):
-                        key = (v, h, side)
-                        new = [(order[i], present[i], pages[i]) for i in np.flatnonzero(z > edge if side else z < -edge)]
-                        kept[key] = sorted({r[0]: r for r in kept.get(key, []) + new}.values())[:PSEUDO]
+            for at in range(0, batch.num_rows, MATRIX_ROWS):
+                order, present, pages = (batch.column(k).slice(at, MATRIX_ROWS).to_pylist() for k in (1, 2, 3))
+                x = {"text": _matrix(present, len(model.vocabulary)), "page": _layouts(pages)}
+                for v in x:
+                    for h in HEADS:
+                        z = getattr(model, v).logit(h, x[v])
+                        for side in (0, 1):
+                            key = (v, h, side)
+                            new = [(order[i], present[i], pages[i]) for i in np.flatnonzero(z > edge if side else z < -edge)]
+                            kept[key] = sorted({r[0]: r for r in kept.get(key, []) + new}.values())[:PSEUDO]
         out = [(v, h, side, *r) for (v, h, side), rows in kept.items() for r in rows]
         if out:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["view", "head", "side", "dealt", "present", "layout"])
