@@ -36,11 +36,9 @@ def _templates(tokens: Column, n: Column) -> Column:
 
 
 def template_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line, template, context): a row per line and template; context hashes the text's longest line."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.split(_clean(F.col("text")), "\n").alias("lines"))
-    longest = F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("words"))))
-    rows = rows.withColumn("context", F.xxhash64(longest["words"]))
-    rows = rows.select("doc_id", "text_key", "context", F.posexplode("lines").alias("line", "words"))
+    """(doc_id, text_key, line, template, context): a row per line and template; context hashes the whole cleaned text."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), _clean(F.col("text")).alias("clean"))
+    rows = rows.select("doc_id", "text_key", F.xxhash64("clean").alias("context"), F.posexplode(F.split("clean", "\n")).alias("line", "words"))
     rows = rows.select("doc_id", "text_key", "line", "context", F.split("words", " ").alias("tokens")).withColumn("n", F.size("tokens")).where(F.col("n") >= MIN_TOKENS)
     return rows.select("doc_id", "text_key", "line", "context", F.explode(_templates(F.col("tokens"), F.col("n"))).alias("template"))
 
@@ -48,8 +46,8 @@ def template_lines(docs: DataFrame) -> DataFrame:
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(template, first): templates from at least min_docs documents, and the least doc_id that has each.
 
-    Of texts with the same longest line only that of the least doc_id counts, so copies of a whole text don't make its
-    lines recur: those are for near-duplicate and substring dedup.
+    Of equal cleaned texts only that of the least doc_id counts, so copies of a whole text don't make its lines recur:
+    those are for near-duplicate and substring dedup.
     """
     once = lines.groupBy("template", "context").agg(F.min("doc_id").alias("doc_id"))
     return once.groupBy("template").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs).select("template", "first")
@@ -81,7 +79,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(docs).select("doc_id", "lines_before", "lines_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: The same in DuckDB.
+#: The same in DuckDB, but that of texts with the same longest line only one counts: longest lines that recur stay there.
 LINE_DEDUP_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM {{docs}}),

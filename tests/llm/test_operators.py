@@ -202,6 +202,15 @@ def test_line_dedup_equals_sql(spark, docs, none):
     assert line_dedup.drop_recurring_lines(none).isEmpty()
 
 
+def test_a_shared_longest_line_is_no_copy(spark):
+    footer, notice = "we use cookies and " + "similar means " * 20 + "on this site", "Contact the team here"
+    pages = [(i, f"page {chr(97 + i)} {'abcdefgh'[i % 8] * 3} title\n{notice}\n{footer}") for i in range(10)]
+    copies = [(20 + i, "all of this text is\ncopied as it stands today") for i in range(10)]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame(pages + copies, "doc_id long, text string")).collect()}
+    assert got[0].text == pages[0][1] and [got[i].text for i in range(1, 10)] == [t.split("\n")[0] for _, t in pages[1:]]
+    assert all(got[d].lines_dropped == 0 for d, _ in copies)
+
+
 def test_mixing(spark, docs, none):
     got = mixing.copies(docs).collect()
     assert len(got) == len(corpus()) and all(r.copies <= 3 for r in got)
