@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,54 @@ BANDS = 32
 CONTAINED = 0.8
 
 
+_MARKS = re.compile(r"[^\w\x00-\x7f]")
+
+
+def _parted(texts: list[str | None]) -> Words:
+    """Words without punctuation, in lower case; other marks than ASCII's part words as well."""
+    return Words([t if t is None or t.isascii() else _MARKS.sub(".", t) for t in texts], lower=True, marks=True)
+
+
+def _spans(text: str, found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """found with words that spaces part instead of words without punctuation."""
+    plain, parted = Words([_MARKS.sub(".", text)]), _parted([text])
+    return [(k, int(np.searchsorted(plain.start, parted.start[a], "right")) - 1, int(np.searchsorted(plain.start, parted.start[b - 1], "right")), part) for k, a, b, part in found]
+
+
+def _occurrences(at: list[int], shingles: list[int], need: int, held_by: dict[int, int], width: int) -> Iterator[tuple[int, int, int]]:
+    """(first, last, distinct shingles) of a template's occurrences among its hits: each is the shortest run that ends
+    first and has `need` distinct shingles within `width` places, and takes further hits that complete it. held_by: how
+    often the template has each shingle."""
+    whole = sum(held_by.values())
+    held: deque[tuple[int, int]] = deque()
+    times: dict[int, int] = {}
+
+    def leave() -> None:
+        x = held.popleft()[1]
+        times[x] -= 1
+        if not times[x]:
+            del times[x]
+
+    done = False
+    for p, x in zip(at, shingles, strict=True):
+        if done:
+            more = p - held[0][0] < width and times.get(x, 0) < held_by[x]
+            # a first hit that stands apart and comes again close by was a stray one
+            stray = 1 < len(held) < whole and x == held[0][1] and p - held[-1][0] < held[1][0] - held[0][0]
+            if not more and not stray:
+                yield held[0][0], held[-1][0], len(times)
+                held.clear()
+                times.clear()
+                done = False
+        held.append((p, x))
+        times[x] = times.get(x, 0) + 1
+        while p - held[0][0] >= width or times[held[0][1]] > held_by[held[0][1]]:
+            leave()
+        done = done or len(times) >= need
+    if done:
+        yield held[0][0], held[-1][0], len(times)
+
+
 def _scale(words: int) -> int:
     """Words of a window: with steps of half a window, some window holds every occurrence whole."""
     w = 4
@@ -42,8 +92,8 @@ def _scale(words: int) -> int:
 class Templates:
     def __init__(self, texts: dict[str, str]):
         self.names = list(texts)
-        w = Words(list(texts.values()), lower=True)
-        self.sets = [np.unique(grams(w.of(i), SHINGLE)) for i in range(len(self.names))]
+        w = _parted(list(texts.values()))
+        self.sets, self.times = zip(*[np.unique(grams(w.of(i), SHINGLE), return_counts=True) for i in range(len(self.names))], strict=True)
         self.words = [len(w.of(i)) for i in range(len(self.names))]
         c = coefficients(BANDS, 23).astype(np.uint32)[:, None] | np.uint32(1)
         self.multiply = c
@@ -58,7 +108,7 @@ class Templates:
         return (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
 
     def matches(self, h: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end, containment) of a document's words, one per template and place."""
+        """(template, first word, end, containment) of a document's words, one per template and occurrence."""
         shingles = grams(h, SHINGLE)
         if not len(shingles):
             return []
@@ -67,7 +117,7 @@ class Templates:
         pad = -len(shingles) % smallest
         values = np.pad(values, ((0, 0), (0, pad)), constant_values=np.uint32(0xFFFFFFFF))
         block, size = values.reshape(BANDS, -1, smallest).min(2), smallest
-        found = []
+        near: dict[int, list[tuple[int, int]]] = {}
         for scale in range(1, max(self.by_scale).bit_length()):
             width = smallest << scale
             if width > max(self.by_scale):
@@ -77,27 +127,31 @@ class Templates:
             for k in self.by_scale.get(width, ()):
                 for at in np.flatnonzero((window == self.least[k][:, None]).any(0)):
                     low, high = int(at) * size, min(len(shingles), int(at) * size + width)
-                    where = np.flatnonzero(np.isin(shingles[low:high], self.sets[k])) + low
-                    part = len(np.unique(shingles[where])) / len(self.sets[k])
-                    if part >= CONTAINED:
-                        found.append((k, int(where[0]), int(where[-1]) + SHINGLE, part))
+                    spans = near.setdefault(k, [])
+                    if spans and low <= spans[-1][1]:
+                        spans[-1] = (spans[-1][0], high)
+                    else:
+                        spans.append((low, high))
             if block.shape[1] % 2:
                 block = np.concatenate([block, np.full((BANDS, 1), 0xFFFFFFFF, np.uint32)], 1)
             block, size = np.minimum(block[:, ::2], block[:, 1::2]), size * 2
         out: list[tuple[int, int, int, float]] = []
-        for k, a, b, part in sorted(found, key=lambda x: (x[0], x[1], -x[3])):
-            if out and out[-1][0] == k and a < out[-1][2]:  # seen from two windows
-                if part > out[-1][3]:
-                    out[-1] = (k, a, b, part)
-            else:
-                out.append((k, a, b, part))
+        for k, spans in sorted(near.items()):
+            whole = len(self.sets[k])
+            held_by = dict(zip(self.sets[k].tolist(), self.times[k].tolist(), strict=True))
+            need = next(n for n in range(whole + 1) if n / whole >= CONTAINED)
+            for low, high in spans:
+                where = np.flatnonzero(np.isin(shingles[low:high], self.sets[k])) + low
+                if len(where) >= need:
+                    out += [(k, a, b + SHINGLE, n / whole) for a, b, n in _occurrences(where.tolist(), shingles[where].tolist(), need, held_by, _scale(self.words[k]))]
         return out
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """A row per license notice found in docs(doc_id, text): doc_id, license, first_word, end_word, containment.
 
-    Words are compared in lower case. A template must have at least SHINGLE words. The table of templates is a bounded
+    Words are compared in lower case and without punctuation; first_word and end_word count words between spaces. A
+    template must have at least SHINGLE words. The table of templates is a bounded
     parameter and goes to every task. A null or empty text has none; a null doc_id stays null; repeated rows give
     repeated matches; an empty table gives no rows; other columns are ignored.
     """
@@ -108,9 +162,10 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
         for batch in batches:
             found, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for part in slices([len(t or "") for t in found]):
-                w, rows = Words(found[part], lower=True), []
+                w, rows = _parted(found[part]), []
                 for i, doc_id in enumerate(ids[part]):
-                    rows += [(doc_id, held.names[k], a, b, c) for k, a, b, c in held.matches(w.of(i))]
+                    if hits := held.matches(w.of(i)):
+                        rows += [(doc_id, held.names[k], a, b, c) for k, a, b, c in _spans(found[part][i], hits)]
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "license", "first_word", "end_word", "containment"])
 

@@ -292,6 +292,24 @@ def test_licenses_are_found_wherever_they_stand(spark, none):
     assert license_scan.license_matches(none).isEmpty()
 
 
+def test_licenses_with_other_marks_and_repeated(spark):
+    rng = random.Random(6)
+    fill = lambda n: "".join(" " + "".join(rng.choices("abcdef", k=4)) for _ in range(n))
+    rows, want = [], collections.Counter()
+    for name, text in license_scan.TEMPLATES.items():
+        bare = text.rstrip(".")
+        for form in (bare, bare + ",", f'"{text}"', f"({bare})", f"\u201c{bare}\u201d", bare.upper() + "!"):
+            d, before = len(rows), rng.randint(0, 30)
+            rows.append((d, (fill(before) + " " + form + fill(rng.randint(0, 30))).strip()))
+            want[d, name, before, before + len(form.split())] += 1
+        for gap in (0, 1, 3, 30):
+            d, n = len(rows), len(bare.split())
+            rows.append((d, fill(gap).join([" " + text] * 3).strip()))
+            want.update((d, name, i * (n + gap), i * (n + gap) + n) for i in range(3))
+    got = license_scan.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.license, r.first_word, r.end_word) for r in got) == want
+
+
 def test_classifier_on_held_out_labels(spark, docs, none):
     sf = "/root/testdata/sf0.1"
     all_docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
