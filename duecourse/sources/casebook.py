@@ -63,7 +63,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recovery_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     basis = F.when(F.col("l_linestatus") == "O", "settlement").otherwise("paid_invoice")
-    return _table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_returnflag") == "R", "reversal").otherwise("realization").alias("kind"), basis.alias("basis"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"), F.col("l_shipdate").cast("date").alias("at"))
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_returnflag") == "R", "reversal").otherwise("realization").alias("kind"), basis.alias("basis"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"), F.col("l_shipdate").cast("date").alias("at"))
 
 
 def scoped_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
