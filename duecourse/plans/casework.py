@@ -36,7 +36,7 @@ QUERIES = {
     "rule_tiers": lambda s, d: R.flatten_rules(_rules(s, d))["tiers"],
     "rule_nodes": lambda s, d: R.flatten_rules(_rules(s, d))["nodes"].select("right_id", "ordinal", "op", "parent"),
     "validate_rules": lambda s, d: R.validate_rules(_rules(s, d)),
-    "ground_constants": lambda s, d: R.ground_constants(_rules(s, d)).where("name in ('minimum', 'rate', 'above')"),
+    "ground_constants": lambda s, d: R.ground_constants(_rules(s, d)),
     "gate_candidates": lambda s, d: R.gate_candidates(_candidates(s, d), ["amount_supported", "scope_supported"]),
     "case_ledger": lambda s, d: _doubles(_ledger(s, d)),
     "outcome_record": lambda s, d: _doubles(recovery.outcome_record(_ledger(s, d))),

@@ -14,3 +14,13 @@ def test_every_line_item_is_an_event(spark):
     assert len(events) == len(rows)
     want = {basis: float(sum(-amount if back else amount for o, back, amount in rows if o == (basis == "settlement"))) for basis in ("settlement", "paid_invoice")}
     assert {r.basis: r.net for r in catalog.QUERIES["net_by_basis"](spark, SF).collect()} == want
+
+
+def test_all_constants_are_looked_for_in_the_quote(spark):
+    got = {(r.right_id, r.name): r.grounded for r in catalog.QUERIES["ground_constants"](spark, SF).collect()}
+    want, fixed = {}, {"cap": 60000, "floor": 100, "t1": 10, "t2": 30, "r1": 1.5, "r2": 1.25, "r3": 1}
+    for (k,) in duckdb.sql(f"select c_custkey from '{SF}/customer.parquet'").fetchall():
+        quoted = {k % 50 * 1000, (k % 7 + 1) * 5, k % 20}
+        want |= {(f"R-{k}", name): value in quoted for name, value in fixed.items()}
+        want |= {(f"R-{k}", name): True for name in ("minimum", "rate", "above")}
+    assert got == want and len({g for (_, name), g in got.items() if name in fixed}) == 2
