@@ -48,17 +48,24 @@ def grounded_quotes(quotes: DataFrame, documents: DataFrame, words: int = 6) ->
 
     Containment has no equal key, so quotes meet documents by their first `words` words: an index of the documents'
     word runs is joined with the quotes' heads, and the pairs that meet are checked for the whole quote. Quotes of fewer
-    words are met by all their words.
+    words are met by all their words, those of at most two by the part of a document's word that is their first word.
     """
     parts = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    heads = quotes.select("item_id", F.col("text").alias("quote"), parts(F.col("text")).alias("w")).withColumn("n", F.least(F.size("w"), F.lit(words)))
-    heads = heads.where("n > 2").select("item_id", "quote", (F.col("n") - 2).alias("inner"), F.xxhash64(F.slice("w", F.lit(2), F.col("n") - 2)).alias("key"))
+    split = quotes.select("item_id", F.col("text").alias("quote"), parts(F.col("text")).alias("w")).withColumn("n", F.least(F.size("w"), F.lit(words)))
+    heads = split.where("n > 2").select("item_id", "quote", (F.col("n") - 2).alias("inner"), F.xxhash64(F.slice("w", F.lit(2), F.col("n") - 2)).alias("key"))
     inner = [r[0] for r in heads.select("inner").distinct().collect()]  # at most `words` lengths
     runs = documents.select("doc_id", parts(F.col("text")).alias("w"))
     length = F.explode(F.array(*[F.lit(x) for x in inner])) if inner else F.explode(F.array().cast("array<int>"))
     runs = runs.select("doc_id", "w", length.alias("inner")).where(F.size("w") >= F.col("inner"))
     runs = runs.select("doc_id", "inner", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("inner") + 1), lambda i: F.xxhash64(F.slice("w", i, F.col("inner")))))).alias("key"))
     met = runs.join(heads, ["inner", "key"]).select("item_id", "doc_id", "quote").distinct()
+    short = split.where("n <= 2").select("item_id", "quote", F.coalesce(F.get("w", F.lit(0)), F.lit("")).alias("part"))
+    lengths = [r[0] for r in short.select(F.length("part")).distinct().collect()]  # at most the letters of a word
+    if lengths:
+        cut = lambda w, n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))
+        cuts = F.transform(F.array(*map(F.lit, lengths)), lambda n: F.flatten(F.transform(F.filter("w", lambda w: F.length(w) >= n), lambda w: cut(w, n))))
+        held = documents.select("doc_id", F.array_union(parts(F.col("text")), F.array(F.lit(""))).alias("w"))
+        met = met.union(held.select("doc_id", F.explode(F.array_distinct(F.flatten(cuts))).alias("part")).join(short, "part").select("item_id", "doc_id", "quote").distinct())
     return met.join(documents.select("doc_id", "text"), "doc_id").where(F.instr("text", F.col("quote")) > 0).select("item_id", "doc_id").distinct()
 
 
