@@ -56,7 +56,7 @@ def command_center(findings: DataFrame) -> DataFrame:
 
 
 def rank_cases(findings: DataFrame, now: str) -> DataFrame:
-    """Findings in order of score, then id, with their place among all."""
+    """Each finding's score, in no order."""
     evidence = (F.col("clause").isNotNull().cast("int") + 5) / 6
     scored = findings.withColumn("score", rank_score(F.col("amount").cast("double"), F.col("confidence"), evidence, F.datediff(F.lit(now).cast("date"), "period").cast("double"), F.when(F.col("status") == "open", 1.0).otherwise(0.5)))
     return scored.select("finding_id", "customer_id", "score")
