@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Class of the characters between words, the complement of [^\x20\x09-\x0D].
 SPACE = r"[\x20\x09-\x0D]"
-#: At most so many rows go into a broadcast; a larger side is joined by a shuffle.
-BROADCAST_ROWS = 200_000
-#: Bytes of text that one numpy pass takes at a time (a longer document is taken whole).
+#: At most so many bytes go into a broadcast; a larger side is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of text, and rows, that one numpy pass takes at a time (a longer document is taken whole).
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1000
 
 _own_folder: list[str] = []
 
@@ -33,15 +37,52 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: later jobs neither recompute it nor depend on an executor."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Writes df as a table in the shared folder and reads it back: later jobs neither recompute it nor depend on an executor.
+
+    The table stays until discard() or the end of the driver.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(_discard_all, spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _tables[path] = table
+    return table
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (df should be staged or cheap); else df, to be shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+_tables: dict[str, DataFrame] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more; other frames are left alone."""
+    for path, held in list(_tables.items()):
+        if any(held is t for t in tables):
+            del _tables[path]
+            _remove(held.sparkSession, path)
+
+
+def _discard_all(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # the session may have been stopped before
+        for path in list(_tables):
+            _remove(spark, path)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its values take at most so many bytes (df should be staged or cheap); else df, to be shuffled."""
+    fixed = [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))]
+    width = F.lit(8 * max(1, len(fixed)))
+    for c in df.columns:
+        if c not in fixed:
+            width = width + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8
+    rows = limit // (8 * len(df.columns)) + 1  # so many rows are too many in any case
+    n, size = df.select(width.alias("w")).limit(rows).agg(F.count("*"), F.sum("w")).first()
+    return F.broadcast(df) if n < rows and (size or 0) <= limit else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,16 +132,18 @@ def _power(n: int) -> np.ndarray:
     return _powers[0]
 
 
-def slices(sizes: list[int]) -> Iterator[slice]:
-    """Runs of items of about SLICE_BYTES together, one item at least."""
-    at, total = 0, 0
-    for i, n in enumerate(sizes):
-        if i > at and total + n > SLICE_BYTES:
-            yield slice(at, i)
-            at, total = i, 0
-        total += n
-    if at < len(sizes):
-        yield slice(at, len(sizes))
+def sliced(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows with about `most` bytes in a string or binary column together, one row at least.
+
+    The runs are cut by Arrow's offsets, so only a run's values become Python objects at a time.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        stop = min(max(stop, at + 1), at + rows)
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 class Words:

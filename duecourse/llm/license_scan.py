@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, coefficients, documents, grams, slices
+from .common import Words, coefficients, documents, grams, sliced
 
 #: Fixed notices as their licenses publish them.
 TEMPLATES = {
@@ -155,17 +155,17 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
     parameter and goes to every task. A null or empty text has none; a null doc_id stays null; repeated rows give
     repeated matches; an empty table gives no rows; other columns are ignored.
     """
-    texts = TEMPLATES if templates is None else templates
+    known = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Templates(texts)
+        held = Templates(known)
         for batch in batches:
-            found, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for part in slices([len(t or "") for t in found]):
-                w, rows = _parted(found[part]), []
-                for i, doc_id in enumerate(ids[part]):
+            for part in sliced(batch, 1):
+                texts = part.column(1).to_pylist()
+                w, rows = _parted(texts), []
+                for i, doc_id in enumerate(part.column(0).to_pylist()):
                     if hits := held.matches(w.of(i)):
-                        rows += [(doc_id, held.names[k], a, b, c) for k, a, b, c in _spans(found[part][i], hits)]
+                        rows += [(doc_id, held.names[k], a, b, c) for k, a, b, c in _spans(texts[i], hits)]
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "license", "first_word", "end_word", "containment"])
 

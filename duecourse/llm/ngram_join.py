@@ -11,9 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import Words, documents, lists, mixed, shingle_set, signed, slices, small, staged
+from .common import Words, discard, documents, lists, mixed, shingle_set, signed, sliced, small, staged
 from .components import components
 
 #: Second-level parts of each first-level part; a signature leaves one of them out.
@@ -31,23 +30,29 @@ SETS = T.StructType(
         T.StructField("text_key", T.LongType()),
         T.StructField("set_id", T.LongType()),
         T.StructField("signatures", T.ArrayType(T.LongType())),
+        T.StructField("sketch", T.BinaryType()),
     ]
 )
 
 
 @lru_cache(4096)
-def _band(band: int, percent: int) -> tuple[int, int, int]:
-    """Of a size band: its largest size, the most differences of two similar sets in it, and its first-level parts.
+def _band(band: int, percent: int) -> tuple[int, int, int, int]:
+    """Of a size band: its largest size, the most differences of two similar sets in it, its first-level parts, and how
+    many of these each set leaves out.
 
     Sets of a and b shingles with similarity s have at most (1 - s) / (1 + s) * (a + b) shingles that only one of them
-    has. With that many differences over n parts, n * 2 > differences, one part at least holds no more than one.
+    has. With that many differences at most half as many parts hold two or more, so of most // 2 + 1 + 2 * thin parts
+    1 + 2 * thin hold no more than one. Each set may then leave out `thin` parts of its own choice: one such part at
+    least is left out by neither. They leave out the thinnest, whose signatures say little.
     """
     low = 1
     for _ in range(band):
         low = max(low + 1, math.ceil(low * BAND))
     high = max(low + 1, math.ceil(low * BAND)) - 1
     most = (100 - percent) * 2 * high // (100 + percent)
-    return high, most, (most + 2) // 2
+    base = most // 2 + 1
+    thin = int(base * math.exp(-low / (base * PARTS)))  # about how many halves a small set of the band leaves empty
+    return high, most, base + 2 * thin, thin
 
 
 def _bands(size: int, percent: int) -> list[int]:
@@ -62,24 +67,36 @@ def _bands(size: int, percent: int) -> list[int]:
 def signatures(features: np.ndarray, percent: int) -> np.ndarray:
     """PartEnum signatures of a set of 64-bit features.
 
-    A hash deals the feature domain into first-level parts and each of these into PARTS second-level parts. Where two
-    similar sets differ by one feature at most in a first-level part, all second-level parts but one agree: for each
-    first-level part a signature leaves out each second-level part in turn and hashes what the set has in the others.
+    A hash deals the feature domain into first-level parts and each of these into PARTS second-level parts. Two similar
+    sets differ by one feature at most in a first-level part that neither leaves out, so one of its second-level parts
+    agrees: for each first-level part a signature leaves out each second-level part in turn and hashes what the set has
+    in the other. Where that is nothing, all such sets would share the signature; but then the sets differ by one
+    feature at most in the part that was to be left out, so one has the other's features there and at most one more:
+    instead there are signatures of these features whole, and without each of them in turn.
     """
     out = []
     high, low = features >> np.uint64(32), features & np.uint64(0xFFFFFFFF)
     value = mixed(features + np.uint64(0x5851F42D4C957F2D))
     for band in _bands(len(features), percent):
-        _, most, parts = _band(band, percent)
+        _, most, parts, thin = _band(band, percent)
         if not most:  # only equal sets
             out.append(mixed(value.sum(keepdims=True) + np.uint64(band + 1)))
             continue
-        cell = ((high * np.uint64(parts)) >> np.uint64(32)) * np.uint64(PARTS) + ((low * np.uint64(PARTS)) >> np.uint64(32))
+        cell = (((high * np.uint64(parts)) >> np.uint64(32)) * np.uint64(PARTS) + ((low * np.uint64(PARTS)) >> np.uint64(32))).astype(np.int64)
         held = np.zeros(parts * PARTS, np.uint64)
-        np.add.at(held, cell.astype(np.int64), value)
-        held = held.reshape(parts, PARTS)
-        salt = mixed(np.arange(parts * PARTS, dtype=np.uint64) + (np.uint64(band + 1) << np.uint64(40))).reshape(parts, PARTS)
-        out.append(mixed((held.sum(1, keepdims=True) - held) + salt).ravel())
+        np.add.at(held, cell, value)
+        count = np.bincount(cell, minlength=parts * PARTS)
+        salt = mixed(np.arange(parts * PARTS, dtype=np.uint64) + (np.uint64(band + 1) << np.uint64(40)))
+        by_part = count.reshape(parts, PARTS)
+        order = np.lexsort((by_part.sum(1), by_part.min(1)))
+        used = np.zeros((parts, PARTS), bool)
+        used[order[thin:]] = True
+        used = used.ravel()
+        out.append(mixed(held[used & (count > 0)] + salt[used & (count > 0)]))
+        for k in np.flatnonzero(used & (count == 0)):
+            other = k ^ 1
+            alone = np.concatenate([held[other : other + 1], held[other] - value[cell == other]])
+            out.append(mixed(alone + mixed(salt[other : other + 1])))
     return np.concatenate(out)
 
 
@@ -89,17 +106,19 @@ def set_id(features: np.ndarray) -> int | None:
 
 
 def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """A row per document: number of shingles, a 64-bit id of the set (null when empty), and the set's signatures."""
+    """A row per document: number of shingles, a 64-bit id of the set (null when empty), the set's signatures and sketch.
+
+    A null or empty text has an empty set without signatures; repeated rows get equal sets; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in slices([len(t or "") for t in texts]):
-                w = Words(texts[part], lower=True)
+            for part in sliced(batch, 1):
+                w = Words(part.column(1).to_pylist(), lower=True)
                 sets = [shingle_set(w.of(i), n) for i in range(len(w.first) - 1)]
-                ids = [set_id(s) for s in sets]
                 sigs = [signed(signatures(s, percent)) if len(s) else np.empty(0, np.int64) for s in sets]
-                yield pa.record_batch([batch.column(0)[part.start : part.stop], pa.array([len(s) for s in sets], pa.int64()), batch.column(2)[part.start : part.stop], pa.array(ids, pa.int64()), lists(sigs, pa.int64())], SETS.names)
+                sketches = [sketch(s).tobytes() if len(s) else None for s in sets]
+                yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), part.column(2), pa.array([set_id(s) for s in sets], pa.int64()), lists(sigs, pa.int64()), pa.array(sketches, pa.binary())], SETS.names)
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, SETS)
 
@@ -119,19 +138,16 @@ def folded(sketches: list[np.ndarray]) -> np.ndarray:
 
 
 def _features(docs: DataFrame, n: int) -> DataFrame:
-    """(set_id, n_shingles, features, sketch) of docs(set_id, text)."""
+    """(id, n_shingles, features) of docs(id, set_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in slices([len(t or "") for t in texts]):
-                w = Words(texts[part], lower=True)
-                sets = [shingle_set(w.of(i), n) for i in range(len(w.first) - 1)]
-                sets = [s for s, given in zip(sets, batch.column(0)[part.start : part.stop].to_pylist(), strict=True) if set_id(s) == given]
-                columns = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists([signed(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())]
-                yield pa.record_batch(columns, ["set_id", "n_shingles", "features", "sketch"])
+            for part in sliced(batch, 2):
+                w = Words(part.column(2).to_pylist(), lower=True)
+                sets = [(k, s) for i, (k, given) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)) for s in [shingle_set(w.of(i), n)] if set_id(s) == given]
+                yield pa.record_batch([pa.array([k for k, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), lists([signed(s) for _, s in sets], pa.int64())], ["id", "n_shingles", "features"])
 
-    return docs.select("set_id", "text").mapInArrow(run, "set_id long, n_shingles long, features array<long>, sketch binary")
+    return docs.select("id", "set_id", "text").mapInArrow(run, "id long, n_shingles long, features array<long>")
 
 
 def _differences(a: bytes, b: bytes) -> int:
@@ -144,10 +160,11 @@ def _nearest(pairs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            differ = np.array([_differences(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
-            near = pa.array(differ * (100 + percent) <= (100 - percent) * (na + nb))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(differ)], ["a", "b", "differ"]).filter(near)
+            for part in sliced(batch, 4, rows=10_000):
+                na, nb = part.column(2).to_numpy(), part.column(3).to_numpy()
+                differ = np.array([_differences(x, y) for x, y in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)], np.int64)
+                near = pa.array(differ * (100 + percent) <= (100 - percent) * (na + nb))
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(differ)], ["a", "b", "differ"]).filter(near)
 
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, differ long")
 
@@ -158,7 +175,7 @@ def _linked(shared: Column, a: Column, b: Column, percent: int) -> Column:
 
 def _compare(percent: int, spanning: bool):
     """Pairs of two blocks that share a signature, lie in different components and have near sketches; if spanning, only
-    those of a forest that would join all of them. For rows in order of signature, x, y and set_id."""
+    those of a forest that would join all of them. For rows in order of signature, x, y and id."""
 
     def pairs(size: np.ndarray, comp: np.ndarray, side: np.ndarray, sketches: list[bytes], one: bool) -> list[tuple[int, int]]:
         held, comp, out = folded([np.frombuffer(s, np.uint64) for s in sketches]), comp.copy(), []
@@ -205,60 +222,68 @@ def _compare(percent: int, spanning: bool):
 
 def _verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     """The pairs(a, b) whose sets are similar, by their features, and whether: (a, b, linked)."""
-    side = lambda k: features.select(F.col("set_id").alias(k), F.col("features").alias(f"f{k}"), F.col("n_shingles").alias(f"n{k}"))
+    side = lambda k: features.select(F.col("id").alias(k), F.col("features").alias(f"f{k}"), F.col("n_shingles").alias(f"n{k}"))
     both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     return both.select("a", "b", _linked(F.size(F.array_intersect("fa", "fb")), F.col("na"), F.col("nb"), percent).alias("linked"))
 
 
-def _residual(shared: DataFrame, found: DataFrame, features: DataFrame, percent: int, spanning: bool) -> DataFrame:
+def _residual(shared: DataFrame, found: DataFrame, sketches: DataFrame, percent: int, spanning: bool) -> DataFrame:
     """Candidate pairs (signature, a, b) in groups whose members are not all in one component, all pairs in blocks."""
-    members = shared.select("signature", "set_id").join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    apart = members.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("as_set")).where("low != high")
+    members = shared.select("signature", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = members.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("as_set")).where("low != high")
     apart = apart.groupBy("n", "as_set").agg(F.min("signature").alias("signature")).select("signature", "n")  # groups of the same members count once
-    inside = members.join(apart, "signature").join(features.select("set_id", "n_shingles"), "set_id")
+    inside = members.join(apart, "signature").join(sketches.select("id", "n_shingles"), "id")
     total = inside.groupBy("signature").agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
-    inside = inside.select("signature", "set_id", "component").join(total, "signature").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+    inside = inside.select("signature", "id", "component").join(total, "signature").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     pairs = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("signature", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "set_id", "component")
-    pairs = pairs.join(features.select("set_id", "n_shingles", "sketch"), "set_id")
-    pairs = pairs.select("signature", "x", "y", "set_id", "component", "side", "n_shingles", "sketch").repartition("signature", "x", "y").sortWithinPartitions("signature", "x", "y", "set_id")
+    pairs = pairs.select("signature", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "id", "component")
+    pairs = pairs.join(sketches, "id")
+    pairs = pairs.select("signature", "x", "y", "id", "component", "side", "n_shingles", "sketch").repartition("signature", "x", "y").sortWithinPartitions("signature", "x", "y", "id")
     return pairs.mapInArrow(_compare(percent, spanning), "signature long, a long, b long")
 
 
 def set_components(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, component) over the set ids that link with another set. sets: shingle_sets(docs), staged with a row_id."""
-    filled = sets.where("set_id is not null")
-    repeated = filled.groupBy("set_id").agg(F.min("row_id").alias("first_row"), F.count("*").alias("n")).where("n > 1")
-    later = staged(filled.select("set_id", "row_id").join(repeated, "set_id").where("row_id > first_row").select("row_id"), "copies")
-    once = filled.join(small(later), "row_id", "left_anti")  # a row of each set
-    groups = once.select(F.explode("signatures").alias("signature"), "set_id")
-    held = Window.partitionBy("signature")
-    shared = groups.select("signature", "set_id", F.min("set_id").over(held).alias("center"), F.count("*").over(held).alias("n")).where("n > 1")
-    shared = staged(shared, "shared")  # sets that have a signature in common with another
-
-    pairs = staged(shared.where("set_id != center").select(F.col("center").alias("a"), F.col("set_id").alias("b")).distinct(), "stars")
-    needed = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    origin = staged(once.select(F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "set_id").join(needed, "set_id"), "origin")
-    text = docs.select(F.col("doc_id").cast("long"), "text").join(small(origin), F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("key")))
-    features = staged(_features(text, n), "features")
+    """(id, component) over the ids of sets that link with another set.
+
+    docs(doc_id, text); sets: a row of each distinct set of shingle_sets(docs), with an id of its own. A set without
+    signatures links with nothing; empty tables give no rows.
+    """
+    groups = sets.select(F.explode("signatures").alias("signature"), "id")
+    # combined before the shuffle, so a signature that very many sets have weighs no more than any other
+    several = staged(groups.groupBy("signature").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center != last").select("signature", "center"), "several")
+    shared = staged(groups.join(small(several), "signature").select("signature", "id", "center"), "shared")  # sets that have a signature in common with another
+    discard(several)
+
+    pairs = staged(shared.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    held = staged(sets.select("id", "set_id", "doc_id", "text_key", "n_shingles", "sketch").join(needed, "id"), "held")
+    sketches = held.select("id", "n_shingles", "sketch")
 
     # 1. each set with the nearest of the least sets of its groups
-    side = lambda k: features.select(F.col("set_id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    side = lambda k: sketches.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
     near = _nearest(pairs.join(side("a"), "a").join(side("b"), "b"), percent)
-    best = near.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a"))
+    best = staged(near.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")), "best")
+    origin = held.select("id", "set_id", F.col("doc_id").alias("of"), F.col("text_key").alias("key"))
+    text = docs.select(F.col("doc_id").cast("long"), "text").join(small(origin), F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("key")))
+    features = staged(_features(text, n).dropDuplicates(["id"]), "features")
     links = staged(_verified(best, features, percent).where("linked").select("a", "b"), "links")
     found = components(links)
+    discard(pairs, best)
     # 2. what may link components that share a signature: first a forest of near pairs; where one of them fails, all
+    done = []
     for spanning in (True, False):
-        near = staged(_residual(shared, found, features, percent, spanning), "near")
+        near = staged(_residual(shared, found, sketches, percent, spanning), "near")
         tried = staged(_verified(near, features, percent), "tried")
+        done += [near, tried]
         links = links.union(tried.where("linked").select("a", "b"))
         if not tried.where("linked").isEmpty():
             found = components(links)
         failed = near.join(tried.where("not linked"), ["a", "b"], "left_semi").select("signature").distinct()
         if not spanning or failed.isEmpty():
             break
-        shared = shared.join(failed, "signature", "left_semi")
+        shared = staged(shared.join(failed, "signature", "left_semi"), "shared")
+        done.append(shared)
+    discard(held, features, links, *done)
     return found
 
 
@@ -276,13 +301,18 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     link as others do and get the least doc_id of the rest, or null. Repeated rows have equal sets, so one component.
     An empty table gives no rows.
     """
-    sets = staged(shingle_sets(docs, n, percent).withColumn("row_id", F.monotonically_increasing_id()), "sets")
-    found = set_components(docs, sets, n, percent)
-    rows = sets.select("doc_id", "text_key", "n_shingles", "set_id", "row_id").join(found.withColumnRenamed("id", "set_id"), "set_id", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "set_id"))
+    sets = staged(shingle_sets(docs, n, percent).withColumn("id", F.monotonically_increasing_id()), "sets")
+    # of equal sets the first row stands for all
+    filled = sets.where("set_id is not null").select("set_id", "id")
+    repeated = filled.groupBy("set_id").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id != last_id")
+    later = staged(filled.join(repeated, "set_id").where("id != first_id").select("id", "first_id"), "later")
+    found = set_components(docs, sets.where("set_id is not null").join(small(later.select("id")), "id", "left_anti"), n, percent)
+    rows = sets.select("doc_id", "text_key", "n_shingles", "set_id", "id").join(later, "id", "left").withColumn("row_id", F.col("id")).withColumn("id", F.coalesce("first_id", "id"))
+    rows = rows.join(found, "id", "left").withColumn("component", F.when(F.col("set_id").isNotNull(), F.coalesce("component", "id")))
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first_row"))
-    rows = rows.join(least, "component", "left")
-    return rows.select("doc_id", "text_key", "n_shingles", "set_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.col("first_row.row_id") == F.col("row_id"), F.lit(True)).alias("first"))
+    rows = staged(rows.join(least, "component", "left").select("doc_id", "text_key", "n_shingles", "set_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.col("first_row.row_id") == F.col("row_id"), F.lit(True)).alias("first")), "groups")
+    discard(sets, later)
+    return rows
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

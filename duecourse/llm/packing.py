@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices
+from .common import documents, sliced
 
 #: Characters that end a word for the tokenizer; words are encoded one by one and kept.
 _SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -212,9 +212,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, ope
             return pa.record_batch([pa.array(c, pa.binary() if f.name == "ids" else pa.int64()) for c, f in zip(columns, PIECES, strict=True)], [f.name for f in PIECES])
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for part in slices([len(t) for t in texts]):
-                for doc_id, got in zip(doc_ids[part], encoder.encode(texts[part]), strict=True):
+            for part in sliced(batch, 1):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for doc_id, got in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
                     ids[number] = [doc_id, got, len(got)]
                     whole = len(got) // size * size
                     for start in range(0, whole, size):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, sliced
 
 
 @dataclass(frozen=True)
@@ -50,10 +50,11 @@ def _scanner(rules: tuple[Rule, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finds = {f"{r.kind}@{r.version}": (rank, r, re.compile(r.pattern)) for rank, r in enumerate(rules)}
         for batch in batches:
-            found = []
-            for text, todo in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found.append([{"rank": rank, "kind": r.kind, "start": a, "end": b} for x in todo for rank, r, find in [finds[x]] for a, b in r.spans(find, text)])
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.struct([("rank", pa.int32()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))], ["blob", "found"])
+            for part in sliced(batch, 1):
+                found = []
+                for text, todo in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    found.append([{"rank": rank, "kind": r.kind, "start": a, "end": b} for x in todo for rank, r, find in [finds[x]] for a, b in r.spans(find, text)])
+                yield pa.record_batch([part.column(0), pa.array(found, pa.list_(pa.struct([("rank", pa.int32()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))], ["blob", "found"])
 
     return run
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, coefficients, documents, grams, mixed, signed, slices, small, staged
+from .common import Words, coefficients, documents, grams, mixed, signed, sliced, small, staged
 from .fm_index import FMIndex
 
 #: Words of the runs whose hashes anchor a window; a shared line of fewer words makes no candidates.
@@ -56,9 +56,8 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coefficients(window + RUN, 11)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in slices([len(t or "") for t in texts]):
-                w, out = Words(texts[part]), []
+            for part in sliced(batch, 1):
+                w, out = Words(part.column(1).to_pylist()), []
                 for i in range(len(w.first) - 1):
                     h = w.of(i)
                     if len(h) < window:
@@ -67,11 +66,11 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
                     size = n + window - 1
                     inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                     content = mixed(np.add.reduceat(h[np.repeat(first, size) + inside] * c[inside], np.cumsum(size) - size) + size.astype(np.uint64))
-                    out.append((np.full(len(n), part.start + i), anchor, content, first, n))
+                    out.append((np.full(len(n), i), anchor, content, first, n))
                 if out:
                     row, anchor, content, first, n = (np.concatenate(x) for x in zip(*out, strict=True))
                     row = pa.array(row)
-                    yield pa.record_batch([batch.column(0).take(row), batch.column(2).take(row), pa.array(signed(anchor)), pa.array(signed(content)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "text_key", "anchor", "content", "first", "windows"])
+                    yield pa.record_batch([part.column(0).take(row), part.column(2).take(row), pa.array(signed(anchor)), pa.array(signed(content)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "text_key", "anchor", "content", "first", "windows"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).where("doc_id is not null and text is not null").mapInArrow(run, _SEGMENT)
 
@@ -83,10 +82,9 @@ def _with_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, parts = batch.column(1).to_pylist(), batch.column(2)
-            for part in slices([len(t or "") for t in texts]):
-                w, rows = Words(texts[part]), {k: [] for k in ("anchor", "content", "owner", "shared", "hot", "words")}
-                for i, (doc_id, asks) in enumerate(zip(batch.column(0)[part.start : part.stop].to_pylist(), parts[part.start : part.stop].to_pylist(), strict=True)):
+            for part in sliced(batch, 1):
+                w, rows = Words(part.column(1).to_pylist()), {k: [] for k in ("anchor", "content", "owner", "shared", "hot", "words")}
+                for i, (doc_id, asks) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     h = w.of(i)
                     for a in asks:
                         own = h[a["first"] : a["first"] + a["windows"] + window - 1]
@@ -179,10 +177,9 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in slices([len(t or "") for t in texts]):
-                w, counts, removed, kept = Words(texts[part]), [], [], []
-                for i, cover in enumerate(batch.column(2)[part.start : part.stop].to_pylist()):
+            for part in sliced(batch, 1):
+                w, counts, removed, kept = Words(part.column(1).to_pylist()), [], [], []
+                for i, cover in enumerate(part.column(2).to_pylist()):
                     a, b = w.first[i], w.first[i + 1]
                     keep = np.ones(b - a, bool)
                     for s in cover or ():
@@ -191,7 +188,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                     removed.append(b - a - int(keep.sum()))
                     at = np.flatnonzero(keep) + a
                     kept.append(b" ".join([w.buffer[x:y] for x, y in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]).decode())
-                yield pa.record_batch([batch.column(0)[part.start : part.stop], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.record_batch([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices
+from .common import SLICE_BYTES, documents, sliced
 
 #: Bytes of a block; a payload is filled up with bytes 255 to a positive multiple.
 BLOCK = 576
@@ -155,10 +155,9 @@ def decode_media(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.string())
         for batch in batches:
-            media = batch.column(column).to_pylist()
-            for part in slices([len(m or b"") * 4 for m in media]):
+            for part in sliced(batch, column, SLICE_BYTES // 4):
                 read: list = []
-                for m in media[part]:
+                for m in part.column(column).to_pylist():
                     try:
                         read.append(read_wav(m or b""))
                     except (ValueError, struct.error) as e:
@@ -179,8 +178,7 @@ def decode_media(rows: DataFrame) -> DataFrame:
                     up = upsample(pcm[i]).astype("<i2")
                     rows.append((r[0], r[2], up.tobytes(), len(up), int(np.abs(x).max(initial=0)), float((x * x).mean()) if len(x) else 0.0, int(((x[1:] < 0) != (x[:-1] < 0)).sum()), None))
                 columns = zip(*rows, strict=True)
-                kept = batch.slice(part.start, part.stop - part.start)
-                yield pa.record_batch([*kept.columns, *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], [*kept.schema.names, *DECODED.names])
+                yield pa.record_batch([*part.columns, *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], [*part.schema.names, *DECODED.names])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *DECODED.fields]))
 
