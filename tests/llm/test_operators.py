@@ -1,9 +1,11 @@
 """The operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import collections
+import dataclasses
 import hashlib
 import random
 import re
+import uuid
 import zlib
 
 import duckdb
@@ -138,7 +140,7 @@ def test_fm_index_finds_all_matches():
     seqs = [rng.integers(0, 3, rng.integers(5, 40)).astype(np.uint64) for _ in range(30)]
     owners = np.arange(30)
     index = fm_index.FMIndex(seqs, owners)
-    which, start, end = index.repeats(np.arange(30), owners, 4)
+    which, start, end = index.repeats(seqs, owners, 4)
     covered = [np.zeros(len(s), bool) for s in seqs]
     for q, a, b in zip(which, start, end, strict=True):
         covered[q][a:b] = True
@@ -151,6 +153,18 @@ def test_fm_index_finds_all_matches():
         assert (covered[q] == want).all()
 
 
+def test_fm_index_is_compressed():
+    rng = np.random.default_rng(4)
+    seqs = [rng.zipf(1.3, 120).astype(np.uint64) for _ in range(3000)]
+    index = fm_index.FMIndex(seqs, np.arange(3000))
+    assert index.nbytes <= 8 * index.size
+    low = rng.integers(0, index.size - 1, 500)
+    high = np.minimum(index.size, low + rng.integers(1, 400, 500))
+    assert index.owner.least(low, high).tolist() == [index.owner.values[a:b].min() for a, b in zip(low, high, strict=True)]
+    strange = [np.array([10**9, 10**9 + 1] * 40, np.uint64)]  # words that the index lacks
+    assert not len(index.repeats(strange, np.array([3000]), 50)[0])
+
+
 @pytest.mark.parametrize("hot", [10_000, 0])
 def test_substring_dedup(docs, none, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", hot)
@@ -204,16 +218,34 @@ def test_line_dedup_equals_sql(spark, docs, none):
 
 def test_a_shared_longest_line_is_no_copy(spark):
     footer, notice = "we use cookies and " + "similar means " * 20 + "on this site", "Contact the team here"
-    pages = [(i, f"page {chr(97 + i)} {'abcdefgh'[i % 8] * 3} title\n{notice}\n{footer}") for i in range(10)]
+    pages = [(i, f"page{chr(97 + i)} {'abcdefgh'[i % 8] * 3} title\n{notice}\n{footer}") for i in range(10)]
     copies = [(20 + i, "all of this text is\ncopied as it stands today") for i in range(10)]
     got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame(pages + copies, "doc_id long, text string")).collect()}
     assert got[0].text == pages[0][1] and [got[i].text for i in range(1, 10)] == [t.split("\n")[0] for _, t in pages[1:]]
     assert all(got[d].lines_dropped == 0 for d, _ in copies)
 
 
+def test_fields_vary_by_place_within_a_leaf(spark):
+    names, places = ["Ann", "Bo", "Cy", "Di", "Ed", "Flo", "Gus", "Hal", "Ida", "Jo"], ["News", "Sport", "Art"]
+    text = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)} some words of a page alone\nPosted by {names[i % 10]} in {places[i // 40]}\nOK\n- -"
+    pages = [(i, text(i)) for i in range(120)]
+    other = [(500 + i, f"Posted by {w} {w}b {w}c") for i, w in enumerate(["x", "y", "z"])]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame(pages + other, "doc_id long, text string")).collect()}
+    assert got[0].text == text(0)
+    assert all(got[i].text.split("\n")[0] == text(i).split("\n")[0] and got[i].text.endswith("\n- -") for i in range(1, 120))
+    assert sum("Posted" in got[i].text for i in range(120)) <= len(names) + len(places) and sum("OK" in got[i].text for i in range(120)) == 1
+    assert all(got[d].lines_dropped == 0 for d, _ in other)
+
+
+def test_thin_pages_lose_their_shared_longest_line(spark):
+    pages = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}\n" + "the same long footer stands on every thin page of the site") for i in range(100)]
+    got = line_dedup.drop_recurring_lines(spark.createDataFrame(pages, "doc_id long, text string")).collect()
+    assert sum(r.lines_dropped for r in got) == 99
+
+
 def test_mixing(spark, docs, none):
     got = mixing.copies(docs).collect()
-    assert len(got) == len(corpus()) and all(r.copies <= 3 for r in got)
+    assert len(got) == len(corpus()) and all(r.copies in (int(r.rate), int(r.rate) + 1) and r.copies <= 3 for r in got)
     sizes = collections.defaultdict(int)
     for _, t, _, s, *_ in corpus():
         sizes[s] += len(words(t))
@@ -230,16 +262,17 @@ def test_mixing(spark, docs, none):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
     assert mixing.mix(none).isEmpty()
-    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 50).cast("int")).alias("text"), (F.col("id") % 4).cast("string").alias("source"))
+    many = spark.range(30000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 50).cast("int")).alias("text"), (F.col("id") % 4).cast("string").alias("source"))
     taken = mixing.copies(many).groupBy("source").agg((F.sum(F.col("size") * F.col("copies")) / F.first("target")).alias("x")).collect()
-    assert all(abs(r.x - 1) < 0.02 for r in taken)
+    assert all(abs(r.x - 1) < 0.05 for r in taken)
 
 
 def test_secrets_and_the_ledger(spark, none, tmp_path):
     texts = [(1, 'password = "hunter22" x'), (2, "AKIA" + "Q7" * 9), (3, "f" * 30 + " " + "e" * 23), (4, None), (5, 'password = "hunter22" x'), (6, "passwoŗd: abcdefg ToKen=abcdefgh API_KEY:abcdef1"), (7, "token=short"), (None, "secret: 0123456789")]
     df = spark.createDataFrame(texts, "path long, text string")
     spans = lambda d: {r.path: [(x.kind, x.start, x.end) for x in r.found] for r in d.collect()}
-    got = spans(secret_scan.scan_secrets(df))
+    fresh = lambda d, rules=secret_scan.RULES: secret_scan.scan_secrets(d, str(tmp_path / uuid.uuid4().hex), rules)
+    got = spans(fresh(df))
     assert got[1] == got[5] == [("assign", 0, 20)] and got[2] == [("access", 0, 22)] and got[3] == [("hex", 0, 30)] and got[4] == got[7] == [] and got[None] == [("assign", 0, 18)]
     assert [k for k, *_ in got[6]] == ["assign"]
     ledger = str(tmp_path / "ledger")
@@ -250,7 +283,27 @@ def test_secrets_and_the_ledger(spark, none, tmp_path):
     newer = (*secret_scan.RULES, secret_scan.Rule("word", 1, "hunter[0-9]+", "hunter"))
     assert [x[0] for x in spans(secret_scan.scan_secrets(df, ledger, newer))[1]] == ["assign", "word"]
     assert spark.read.parquet(ledger).where(F.array_contains("rules", "word@1")).count() == before
-    assert secret_scan.scan_secrets(none.select("text")).isEmpty()
+    stricter = tuple(dataclasses.replace(r, version=2, least=40) if r.kind == "hex" else r for r in secret_scan.RULES)
+    assert spans(secret_scan.scan_secrets(df, ledger, stricter)) == spans(fresh(df, stricter)) and spans(fresh(df, stricter))[3] == []
+    assert spans(secret_scan.scan_secrets(df, ledger)) == got
+    more = df.union(spark.createDataFrame([(20, "token: 1234567"), (21, "nothing")], "path long, text string"))
+    before = spark.read.parquet(ledger).count()
+    assert spans(secret_scan.scan_secrets(more, ledger)) == spans(fresh(more)) and spark.read.parquet(ledger).count() == before + 2
+    assert fresh(none.select("text")).isEmpty()
+
+
+def test_secrets_equal_plain_patterns(spark):
+    sf = "/root/testdata/sf0.01"
+    plain = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24))
+    got, seen = {r.doc_id: r for r in secret_scan.op9_secret_scan(spark, sf).collect()}, 0
+    for d, t in duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall():
+        found = [[m.span() for m in find.finditer(t or "") if len(m[group]) >= least] for _, find, group, least in plain]
+        base = ",".join(f"{plain[k][0]}:{a}:{b}" for a, k, b in sorted((a, k, b) for k, x in enumerate(found) for a, b in x))
+        r = got.pop(d)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(map(len, found)) and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
+        seen += sum(map(len, found))
+    assert not got and seen > 10
 
 
 def test_audio_round_trip(docs, none):
@@ -292,6 +345,25 @@ def test_licenses_are_found_wherever_they_stand(spark, none):
     assert license_scan.license_matches(none).isEmpty()
 
 
+def test_licenses_equal_brute_force():
+    rng = random.Random(8)
+    held, seen = license_scan.Templates(license_scan.TEMPLATES), 0
+    for _ in range(150):
+        name = rng.choice(held.names)
+        body = [w for w in license_scan.TEMPLATES[name].split() if rng.random() > rng.choice([0, 0.03, 0.1, 0.3])]
+        fill = lambda: [rng.choice(["the", "of", "software", "qq", "rr", "license"]) for _ in range(rng.randint(0, 60))]
+        h = license_scan._parted([" ".join(fill() + body + fill())]).of(0)
+        x = license_scan.grams(h, license_scan.SHINGLE)
+        want = set()
+        for k, own in enumerate(held.sets):
+            width = license_scan._scale(held.words[k])
+            if any(len(np.intersect1d(own, x[i : i + width])) >= license_scan.CONTAINED * len(own) for i in range(len(x))):
+                want.add(k)
+        assert {m[0] for m in held.matches(h)} == want
+        seen += len(want)
+    assert seen > 80
+
+
 def test_licenses_with_other_marks_and_repeated(spark):
     rng = random.Random(6)
     fill = lambda n: "".join(" " + "".join(rng.choices("abcdef", k=4)) for _ in range(n))
@@ -350,3 +422,76 @@ def test_residual_groups_may_span_batches(size):
     rows = pa.table({"signature": group, "x": [0] * 12, "y": [0] * 12, "set_id": range(12), "component": range(12), "side": [0] * 12, "n_shingles": [20] * 12, "sketch": [J.sketch(s).tobytes() for s in sets]})
     out = pa.Table.from_batches(J._compare(80, True)(iter(rows.to_batches(max_chunksize=size)))).to_pylist()
     assert {(r["signature"], r["a"], r["b"]) for r in out} == {(g, 4 * q, 4 * q + j) for g, q in ((0, 0), (0, 1), (1, 2)) for j in (1, 2, 3)}
+
+
+def rows_of(sf="/root/testdata/sf0.01"):
+    return duckdb.sql(f"select doc_id, text, source from '{sf}/documents.parquet'").fetchall()
+
+
+def test_near_groups_on_given_documents(spark):
+    shingles = {}
+    for d, t, _ in rows_of():
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        shingles[d] = frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset({tuple(w)} if w else ())
+    held_by, root = collections.defaultdict(list), {d: d for d in shingles}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d, s in shingles.items():
+        for x in s:
+            held_by[x].append(d)
+    for d, s in shingles.items():
+        for e, both in collections.Counter(e for x in s for e in held_by[x] if e < d).items():
+            if 100 * both >= 90 * (len(s) + len(shingles[e]) - both):
+                a, b = sorted((find(d), find(e)))
+                root[b] = a
+    got = ngram_join.op4_ngram_join(spark, "/root/testdata/sf0.01").collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(d, len(s), find(d)) for d, s in shingles.items()}
+    assert any(find(d) != d for d in shingles)
+
+
+def test_substring_dedup_on_given_documents(spark):
+    first, rows = {}, sorted((d, words(t)) for d, t, _ in rows_of())
+    for d, w in rows:
+        for i in range(len(w) - 49):
+            first.setdefault(tuple(w[i : i + 50]), d)
+    want = set()
+    for d, w in rows:
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            if first[tuple(w[i : i + 50])] < d:
+                gone[i : i + 50] = [True] * 50
+        want.add((d, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    assert {tuple(r) for r in substring_dedup.op6_substring_dedup(spark, "/root/testdata/sf0.01").collect()} == want
+
+
+def test_mixing_on_given_documents(spark):
+    got = {r.doc_id: r for r in mixing.op8_mixing(spark, "/root/testdata/sf0.01").collect()}
+    again = {r.doc_id: r.taken for r in mixing.op8_mixing(spark, "/root/testdata/sf0.01").collect()}
+    of = {d: s for d, _, s in rows_of()}
+    taken, target, spread = collections.Counter(), {}, collections.Counter()
+    for d, r in got.items():
+        assert r.taken == again[d] <= 3 * r.size
+        part = r.target / r.source_size % 1
+        taken[of[d]] += r.taken
+        spread[of[d]] += r.size**2 * part * (1 - part)
+        target[of[d]] = r.target
+    # sources of about 50 documents each, some of them long: four standard deviations of independent draws
+    assert all(abs(taken[s] - target[s]) <= 4 * spread[s] ** 0.5 + 1 for s in target)
+    assert abs(sum(taken.values()) / sum(r.size for r in got.values()) - 1) < 0.05
+
+
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op8_mixing"])
+def test_queries_equal_their_sql(spark, name):
+    from duecourse.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    df = queries.QUERIES[name](spark, sf)
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    sql = duck.sql(queries.ORACLES[name])
+    assert sorted(sql.columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*sql.columns).collect())) == sorted(sql.fetchall())
