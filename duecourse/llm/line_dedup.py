@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small, staged
+from .common import discard, documents, small, staged
 
-#: Fewer words than this make no template.
-MIN_TOKENS = 3
 #: Leading words on the path from the root to a leaf, below the level of the word count.
 DEPTH = 2
-#: From so many words on, half of the words behind the leading ones may be a variable field.
-GENERAL_TOKENS = 8
+#: Of a line's words so many in a hundred must be the template's own, and all where there are no more than LEAST_OWN.
+OWN_PERCENT = 75
+LEAST_OWN = 4
 #: A template recurs when it comes from so many documents.
 MIN_DOCS = 8
+#: A word is a template's own at a place of a leaf when so many documents have it there: from MIN_DOCS on in steps of 4.
+STEPS = 14
 
 
 def _clean(text: Column) -> Column:
@@ -24,54 +25,74 @@ def _clean(text: Column) -> Column:
     return F.regexp_replace(F.trim(one), r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")
 
 
-def _templates(tokens: Column, n: Column) -> Column:
-    """Hashes of the templates that hold a line: each starts with the word count and the leading words; then come all
-    further words, or from GENERAL_TOKENS on only their first or second half, the other half being variable."""
-    lead, rest = F.slice(tokens, 1, DEPTH), n - DEPTH
-    half = F.floor(rest / 2).cast("int")
-    whole = F.xxhash64(F.lit(0), n, tokens)
-    first = F.xxhash64(F.lit(1), n, lead, F.slice(tokens, F.lit(DEPTH + 1), F.greatest(half, F.lit(0))))
-    second = F.xxhash64(F.lit(2), n, lead, F.slice(tokens, half + DEPTH + 1, F.greatest(rest - half, F.lit(0))))
-    return F.when(n >= GENERAL_TOKENS, F.array(whole, first, second)).otherwise(F.array(whole))
+def leaf_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, line, context, leaf, words): a row per line with a letter, and its leaf in the tree.
 
-
-def template_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line, template, context): a row per line and template; context hashes the whole cleaned text."""
+    The path to a leaf is the word count and the DEPTH leading words; context hashes the whole cleaned text. A null or
+    empty text has no lines; repeated rows give repeated lines.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), _clean(F.col("text")).alias("clean"))
-    rows = rows.select("doc_id", "text_key", F.xxhash64("clean").alias("context"), F.posexplode(F.split("clean", "\n")).alias("line", "words"))
-    rows = rows.select("doc_id", "text_key", "line", "context", F.split("words", " ").alias("tokens")).withColumn("n", F.size("tokens")).where(F.col("n") >= MIN_TOKENS)
-    return rows.select("doc_id", "text_key", "line", "context", F.explode(_templates(F.col("tokens"), F.col("n"))).alias("template"))
+    rows = rows.select("doc_id", "text_key", F.xxhash64("clean").alias("context"), F.posexplode(F.split("clean", "\n")).alias("line", "words")).where(F.col("words").rlike(r"\p{L}"))
+    tokens = F.split("words", " ")
+    return rows.select("doc_id", "text_key", "line", "context", F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)).alias("leaf"), "words")
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(template, first): templates from at least min_docs documents, and the least doc_id that has each.
+def _from_many(rows: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
+    """keys with `docs` and `first`, the number of documents and the least one, of those from at least min_docs.
 
     Of equal cleaned texts only that of the least doc_id counts, so copies of a whole text don't make its lines recur:
     those are for near-duplicate and substring dedup.
     """
-    once = lines.groupBy("template", "context").agg(F.min("doc_id").alias("doc_id"))
-    return once.groupBy("template").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs).select("template", "first")
+    once = rows.groupBy(*keys, "context").agg(F.min("doc_id").alias("doc_id"))
+    return once.groupBy(*keys).agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
+
+
+def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, text_key, line, context, template) of lines(doc_id, text_key, line, context, leaf, words) in leaves from at least min_docs documents.
+
+    Lines of a leaf merge where they share enough words at the same places: a word that enough documents have at its
+    place is the template's own, any other is a variable field. Enough is min_docs, and four times that, and so on: a
+    frequent value of a field is the template's own at first and becomes variable later. Each step at which OWN_PERCENT
+    of a line's words are the template's own gives the line a template.
+    """
+    wide = lines.join(small(_from_many(lines, ["leaf"], min_docs).select("leaf")), "leaf")
+    wide = staged(wide.withColumn("key", F.monotonically_increasing_id()), "wide")
+    words = wide.select("key", "doc_id", "context", "leaf", F.posexplode(F.split("words", " ")).alias("place", "word")).withColumn("word", F.xxhash64("word"))
+    often = staged(_from_many(words, ["leaf", "place", "word"], min_docs).drop("first"), "often")
+    own = words.select("key", "leaf", "place", "word").join(small(often), ["leaf", "place", "word"])
+    own = own.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "word", "docs"))).alias("own"), F.max("docs").alias("most"))  # at most a line's words
+    n = F.size(F.split("words", " "))
+    need = F.greatest(F.ceil(n * OWN_PERCENT / 100), F.least(n, F.lit(LEAST_OWN)))
+    steps = F.filter(F.array(*[F.lit(min_docs * 4**k) for k in range(STEPS)]), lambda t: t <= F.col("most"))
+    kept = F.transform(steps, lambda t: F.transform(F.filter("own", lambda w: w["docs"] >= t), lambda w: F.struct(w["place"], w["word"])))
+    held = F.array_distinct(F.transform(F.filter(kept, lambda x: F.size(x) >= need), lambda x: F.xxhash64(F.col("leaf"), x)))
+    out = staged(wide.join(own, "key").select("doc_id", "text_key", "line", "context", F.explode(held).alias("template")), "templates")
+    discard(wide, often)
+    return out
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the lines of recurring templates dropped from `text`, but in the first document that has the template.
 
     Adds lines_before and lines_dropped (replacing columns of that name); all other columns stay. A null text stays
-    null with no lines dropped; lines of fewer than MIN_TOKENS words stay; a document may be left with an empty text.
+    null with no lines dropped; lines without a letter stay; a document may be left with an empty text.
     A row with a null doc_id is not counted, and loses recurring lines; repeated rows are treated alike; an empty table
     stays empty.
     """
-    found = staged(template_lines(docs), "lines")
-    first = staged(recurring(found, min_docs), "templates")
+    lines = staged(leaf_lines(docs), "lines")
+    found = templates(lines, min_docs)
+    discard(lines)
+    first = staged(_from_many(found, ["template"], min_docs).select("template", "first"), "first")
     hits = found.join(small(first), "template").where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("first")))
     drop = staged(hits.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("drop")), "drop")
+    discard(found, first)
     drop = drop.select(F.struct("doc_id", "text_key").alias("__row"), F.col("drop").alias("__drop"))
     rows = docs.drop("lines_before", "lines_dropped").withColumn("__row", F.struct(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    rows = rows.alias("d").join(drop.alias("x"), F.col("d.__row").eqNullSafe(F.col("x.__row")), "left").drop("__row")
-    lines = F.split("text", "\n")
-    kept = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__drop", i)), "\n"))
-    counts = {"lines_before": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "lines_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long")}
-    return rows.withColumns(counts).withColumn("text", kept).drop("__drop")
+    rows = rows.alias("d").join(small(drop).alias("x"), F.col("d.__row").eqNullSafe(F.col("x.__row")), "left").drop("__row")
+    lines_of = F.split("text", "\n")
+    kept = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines_of, lambda x, i: ~F.array_contains("__drop", i)), "\n"))
+    size = lambda c: F.when(c.isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
+    return rows.withColumns({"lines_before": size(lines_of), "lines_dropped": size(F.col("__drop"))}).withColumn("text", kept).drop("__drop")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,22 +100,29 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(docs).select("doc_id", "lines_before", "lines_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: The same in DuckDB, but that of texts with the same longest line only one counts: longest lines that recur stay there.
+#: The same in DuckDB, for a table whose doc_ids are unique.
 LINE_DEDUP_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM {{docs}}),
 clean AS (
   SELECT doc_id, line, raw, list_transform(string_split(trim(regexp_replace(regexp_replace(raw, '[\\t\\x0B\\f\\r]', ' ', 'g'), ' +', ' ', 'g'), ' '), ' '),
     lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM lines),
-around AS (
-  SELECT *, len(tokens) AS n, first_value(words) OVER (PARTITION BY doc_id ORDER BY length(words) DESC, words DESC) AS context FROM (SELECT *, array_to_string(tokens, ' ') AS words FROM clean)),
+texts AS (SELECT doc_id, md5(string_agg(array_to_string(tokens, ' '), chr(10) ORDER BY line)) AS context FROM clean GROUP BY doc_id),
 held AS (
-  SELECT doc_id, line, n, context, unnest(CASE WHEN n >= {GENERAL_TOKENS}
-    THEN [['0'] || tokens, ['1'] || tokens[1:{DEPTH}] || tokens[{DEPTH + 1}:{DEPTH}+(n-{DEPTH})//2], ['2'] || tokens[1:{DEPTH}] || tokens[{DEPTH + 1}+(n-{DEPTH})//2:n]]
-    ELSE [['0'] || tokens] END) AS template FROM around WHERE n >= {MIN_TOKENS}),
-once AS (SELECT n, template, context, min(doc_id) AS doc_id FROM held GROUP BY ALL),
-first AS (SELECT n, template, min(doc_id) AS first FROM once GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-hits AS (SELECT DISTINCT h.doc_id, h.line FROM held h JOIN first f ON h.n = f.n AND h.template = f.template AND h.doc_id <> f.first),
+  SELECT doc_id, line, context, tokens, len(tokens) AS n, tokens[1:{DEPTH}] AS lead FROM clean JOIN texts USING (doc_id) WHERE regexp_matches(array_to_string(tokens, ' '), '\\pL')),
+leaves AS (
+  SELECT n, lead FROM (SELECT n, lead, context, min(doc_id) AS doc_id FROM held GROUP BY ALL) GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+wide AS (SELECT h.* FROM held h JOIN leaves USING (n, lead)),
+words AS (SELECT doc_id, line, context, n, lead, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS place FROM wide),
+often AS (
+  SELECT n, lead, place, word, count(DISTINCT doc_id) AS docs FROM (SELECT n, lead, place, word, context, min(doc_id) AS doc_id FROM words GROUP BY ALL) GROUP BY ALL HAVING docs >= {MIN_DOCS}),
+own AS (
+  SELECT doc_id, line, context, n, lead, step, list(struct_pack(place, word) ORDER BY place) AS template
+  FROM words JOIN often USING (n, lead, place, word), (SELECT unnest([{", ".join(str(MIN_DOCS * 4**k) for k in range(STEPS))}]) AS step) WHERE docs >= step GROUP BY ALL),
+taken AS (SELECT DISTINCT doc_id, line, context, n, lead, template FROM own WHERE len(template) >= greatest(ceil(n * {OWN_PERCENT} / 100), least(n, {LEAST_OWN}))),
+once AS (SELECT n, lead, template, context, min(doc_id) AS doc_id FROM taken GROUP BY ALL),
+first AS (SELECT n, lead, template, min(doc_id) AS first FROM once GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+hits AS (SELECT DISTINCT t.doc_id, t.line FROM taken t JOIN first f USING (n, lead, template) WHERE t.doc_id <> f.first),
 done AS (
   SELECT l.doc_id, count(*) AS lines_before, count(h.line) AS lines_dropped, coalesce(string_agg(CASE WHEN h.line IS NULL THEN raw END, chr(10) ORDER BY l.line), '') AS text
   FROM lines l LEFT JOIN hits h ON l.doc_id = h.doc_id AND l.line = h.line GROUP BY l.doc_id)
