@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, sliced
+from .common import documents, shared_folder, sliced, small, staged
 
 
 @dataclass(frozen=True)
@@ -39,22 +40,26 @@ RULES = (
     Rule("prefixed", 1, r"(?:gh[pousr]|glpat|xox[abprs]|sk_live)[_-][A-Za-z0-9_-]+", r"(?:gh[pousr]|glpat|xox[abprs]|sk_live)[_-][A-Za-z0-9]", 20),
 )
 BASE = ("assign", "access", "hex")
-SPANS = "array<struct<rank:int,kind:string,start:int,end:int>>"
+SPANS = "array<struct<rule:string,kind:string,start:int,end:int>>"
+LEDGER = f"blob string, rules array<string>, found {SPANS}"
 
 
-def _rule_ids(rules: tuple[Rule, ...]) -> list[str]:
-    return [f"{r.kind}@{r.version}" for r in rules]
+def rule_id(rule: Rule) -> str:
+    return f"{rule.kind}@{rule.version}"
+
+
+def _array(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
 def _scanner(rules: tuple[Rule, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finds = {f"{r.kind}@{r.version}": (rank, r, re.compile(r.pattern)) for rank, r in enumerate(rules)}
+        finds = {rule_id(r): (r, re.compile(r.pattern)) for r in rules}
+        kind = pa.list_(pa.struct([("rule", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for part in sliced(batch, 1):
-                found = []
-                for text, todo in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    found.append([{"rank": rank, "kind": r.kind, "start": a, "end": b} for x in todo for rank, r, find in [finds[x]] for a, b in r.spans(find, text)])
-                yield pa.record_batch([part.column(0), pa.array(found, pa.list_(pa.struct([("rank", pa.int32()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))], ["blob", "found"])
+                found = [[{"rule": x, "kind": finds[x][0].kind, "start": a, "end": b} for x in todo for a, b in finds[x][0].spans(finds[x][1], text)] for text, todo in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                yield pa.record_batch([part.column(0), pa.array(found, kind)], ["blob", "found"])
 
     return run
 
@@ -63,56 +68,58 @@ def blob_ids(versions: DataFrame) -> DataFrame:
     return versions.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("blob", F.sha2("text", 256))
 
 
-def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_new(versions: DataFrame, blobs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Ledger rows (blob, rules, found) for what the ledger lacks: each distinct blob with the rule versions not yet tried on it.
 
-    Only texts with a rule's hint reach the scanner; the others are entered with nothing found.
+    versions(text), and blobs(blob) with the ids of its texts, repeated or not. Most blobs lack the same rules (all of
+    them in a first run, new ones after a change of rules, none in a run over a few new versions); only those that lack
+    others are joined with the texts, so that texts are shuffled only where both kinds are many. Of the texts only those
+    with the hint of a rule they lack reach the scanner; the others are entered with nothing found.
     """
-    blobs = blob_ids(versions).select("blob", "text")
-    every = F.array(*[F.lit(x) for x in _rule_ids(rules)])
-    hint = {x: F.col("text").rlike(r.hint) for x, r in zip(_rule_ids(rules), rules, strict=True)}
-    if ledger is None:
-        blobs = blobs.withColumn("todo", every)
-    else:
-        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen").where(F.size("todo") > 0)
-    blobs = blobs.withColumn("hinted", F.array_compact(F.array(*[F.when(h, F.lit(x)) for x, h in hint.items()])))
-    blobs = blobs.withColumn("hinted", F.array_intersect("hinted", "todo"))
-    hits = blobs.where(F.size("hinted") > 0).dropDuplicates(["blob"])
+    every = [rule_id(r) for r in rules]
+    tried = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("tried"))
+    todo = F.array_except(_array(every), F.coalesce("tried", _array([])))
+    pairs = staged(blobs.select("blob").distinct().join(tried, "blob", "left").select("blob", todo.alias("todo")), "pairs")
+    usual = pairs.groupBy("todo").count().orderBy(F.desc("count"), "todo").select("todo").first()
+    usual = usual["todo"] if usual else []
+    others = staged(pairs.where(F.col("todo") != _array(usual)), "others")
+    rows = blob_ids(versions.select("text")).join(small(others), "blob", "left" if usual else "inner").withColumn("todo", F.coalesce("todo", _array(usual)))
+    hinted = F.array_compact(F.array(*[F.when(F.array_contains("todo", rule_id(r)) & F.col("text").rlike(r.hint), F.lit(rule_id(r))) for r in rules]))
+    hits = rows.withColumn("hinted", hinted).where(F.size("hinted") > 0).dropDuplicates(["blob"])
     found = hits.select("blob", "text", "hinted").mapInArrow(_scanner(rules), f"blob string, found {SPANS}")
-    tried = blobs.groupBy("blob").agg(F.first("todo").alias("rules"))
-    return tried.join(found, "blob", "left").select("blob", "rules", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
+    return pairs.where(F.size("todo") > 0).join(found, "blob", "left").select("blob", F.col("todo").alias("rules"), F.coalesce("found", F.array().cast(SPANS)).alias("found"))
 
 
-def secrets_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Joins the ledger's findings back to every row of versions: all its columns but the text, blob, and found in order of start and rule."""
-    some = ledger.where(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
-    ids = F.array(*[F.lit(r.kind) for r in rules])
-    rows = blob_ids(versions.drop("blob", "found")).drop("text").join(some, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(SPANS)))
-    kept = F.filter("found", lambda x: F.array_contains(ids, x["kind"]))
-    by_start = F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    return rows.withColumn("found", by_start)
+def secrets_by_path(rows: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Joins the ledger's findings of the given rule versions back to every row of rows(blob, ...), in order of start and rule."""
+    ranks = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (rule_id(r), k)])
+    current = ledger.select("blob", F.filter("found", lambda x: x["rule"].isin([rule_id(r) for r in rules])).alias("found")).where(F.size("found") > 0)
+    ordered = F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list("found"))), lambda x: F.struct(x["start"].alias("start"), ranks[x["rule"]].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["rule"].alias("rule"))))
+    some = staged(current.groupBy("blob").agg(ordered.alias("found")), "findings")
+    return rows.join(small(some), "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(some.schema["found"].dataType)))
 
 
-def scan_secrets(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_secrets(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Finds secrets in every whole text of versions(text, ... such as path, commit or doc_id).
 
-    With a ledger_path (a folder in shared storage), what it lacks is scanned and appended to it, and findings come
-    from the whole ledger; without one every blob is scanned. Copies are scanned once. A null text counts as empty and
+    What the ledger at ledger_path (a folder in shared storage) lacks is scanned and appended to it, and the findings of
+    the given rule versions come from the whole ledger, so a rule's older versions no longer count. Copies are scanned
+    once. Two runs at a time may scan and enter the same pair, which changes no result. A null text counts as empty and
     has nothing; repeated rows each get their findings; an empty table gives no rows; other columns pass through (of
     `blob` and `found` the new ones count).
     """
-    if ledger_path is None:
-        return secrets_by_path(versions, scan_new(versions, None, rules), rules)
     spark = versions.sparkSession
-    schema = f"blob string, rules array<string>, found {SPANS}"
-    spark.createDataFrame([], schema).write.mode("append").parquet(ledger_path)
-    scan_new(versions, spark.read.schema(schema).parquet(ledger_path), rules).write.mode("append").parquet(ledger_path)
-    return secrets_by_path(versions, spark.read.schema(schema).parquet(ledger_path), rules)
+    spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger_path)
+    rows = staged(blob_ids(versions.drop("blob", "found")).drop("text"), "blobs")
+    scan_new(versions, rows, spark.read.schema(LEDGER).parquet(ledger_path), rules).write.mode("append").parquet(ledger_path)
+    return secrets_by_path(rows, spark.read.schema(LEDGER).parquet(ledger_path), rules)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    """Two rounds on a new ledger: the base rules, then with the method's further ones, which scans for these alone."""
+    docs, ledger = documents(spark, sf_dir).select("doc_id", "text"), f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    scan_secrets(docs, ledger, tuple(r for r in RULES if r.kind in BASE))
+    rows = scan_secrets(docs, ledger)
     of = lambda kinds: F.filter("found", lambda x: x["kind"].isin(*kinds))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     counts = [F.size(of([k])).cast("long").alias(f"n_{k}") for k in BASE]
