@@ -12,23 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, coefficients, documents, grams, sliced
+from .license_texts import TEMPLATES
 
-#: Fixed notices as their licenses publish them.
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "reserved": "All rights reserved.",
-}
-#: Words in a shingle, and hash functions. Each function is a band of one row: windows that share a fraction s of
-#: their shingles with a template meet it with probability 1 - (1 - s) ** BANDS, over 0.9999 at the least s here, 1/4.
+#: Words in a shingle, and hash functions; each function is a band of one row. An occurrence lies whole in a window of
+#: less than four times its words. With `CONTAINED` of a template's shingles there, window and template share at least
+#: 0.8 / (4 + 0.2) of all their shingles, 0.19, so that one of the bands meets with a probability of at least
+#: 1 - (1 - 0.19) ** 48 = 0.99996.
 SHINGLE = 2
-BANDS = 32
+BANDS = 48
 #: The part of a template's shingles that a window must have.
 CONTAINED = 0.8
 
@@ -81,6 +72,17 @@ def _occurrences(at: list[int], shingles: list[int], need: int, held_by: dict[in
         yield held[0][0], held[-1][0], len(times)
 
 
+def _best(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """found, in order of place, without those that lie within the span of one with a greater containment, or as great a one and more words."""
+    out, before = [], []  # before: those that may hold what comes next
+    for m in sorted(found, key=lambda m: (m[1], -m[2], -m[3])):
+        before = [x for x in before if x[2] > m[1]]
+        if not any(x[2] >= m[2] and (x[3], x[2] - x[1]) > (m[3], m[2] - m[1]) for x in before):
+            out.append(m)
+        before.append(m)
+    return out
+
+
 def _scale(words: int) -> int:
     """Words of a window: with steps of half a window, some window holds every occurrence whole."""
     w = 4
@@ -150,6 +152,7 @@ class Templates:
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """A row per license notice found in docs(doc_id, text): doc_id, license, first_word, end_word, containment.
 
+    Of matches within one another's span only that with the greatest containment is returned: licenses quote each other.
     Words are compared in lower case and without punctuation; first_word and end_word count words between spaces. A
     template must have at least SHINGLE words. The table of templates is a bounded
     parameter and goes to every task. A null or empty text has none; a null doc_id stays null; repeated rows give
@@ -164,7 +167,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
                 texts = part.column(1).to_pylist()
                 w, rows = _parted(texts), []
                 for i, doc_id in enumerate(part.column(0).to_pylist()):
-                    if hits := held.matches(w.of(i)):
+                    if hits := _best(held.matches(w.of(i))):
                         rows += [(doc_id, held.names[k], a, b, c) for k, a, b, c in _spans(texts[i], hits)]
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "license", "first_word", "end_word", "containment"])
