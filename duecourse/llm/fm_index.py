@@ -48,7 +48,7 @@ class WaveletMatrix:
             self.levels.append((shift, Bits(bit)))
             self.zeros.append(int(len(bit) - bit.sum()))
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
-        self.base = self._down(np.arange(sigma), np.zeros(sigma, np.int64))
+        self.base = self._down(np.arange(sigma), np.zeros(sigma, np.int64)).astype(np.int32)
 
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for (shift, bits), zeros in zip(self.levels, self.zeros, strict=True):
@@ -56,33 +56,63 @@ class WaveletMatrix:
             at = np.where(symbol >> shift & 1, zeros + ones, at - ones)
         return at
 
+    @property
+    def nbytes(self) -> int:
+        return self.base.nbytes + sum(b.words.nbytes + b.before.nbytes for _, b in self.levels)
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each position."""
         return self._down(symbol, at) - self.base[symbol]
 
 
 class RangeMin:
-    """Least value of any range, by a sparse table."""
+    """Least value of any range: the values in as few bytes as they take, and a sparse table of the least of each block."""
+
+    BLOCK = 32
 
     def __init__(self, values: np.ndarray):
-        self.table = [values.astype(np.int32)]
+        self.values = values.astype(np.min_scalar_type(int(values.max(initial=0))))
+        whole = len(values) // self.BLOCK
+        self.table = [self.values[: whole * self.BLOCK].reshape(whole, self.BLOCK).min(1)] if whole else [self.values[:0]]
         step = 1
-        while 2 * step <= len(values):
+        while 2 * step <= whole:
             last = self.table[-1]
             self.table.append(np.minimum(last[:-step], last[step:]))
             step *= 2
-        self.flat = np.concatenate(self.table)
-        self.start = np.concatenate([[0], np.cumsum([len(t) for t in self.table])[:-1]])
 
     def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """low < high."""
-        level = np.frexp((high - low).astype(np.float64))[1] - 1
-        at = self.start[level]
-        return np.minimum(self.flat[at + low], self.flat[at + high - (1 << level)])
+        out = self.values[low]
+        many = np.flatnonzero(high - low > 1)
+        if not len(many):
+            return out
+        low, high = low[many], high[many]
+        first, last = -(-low // self.BLOCK), high // self.BLOCK  # whole blocks between
+        held = out[many]
+        for start, end in ((low + 1, np.minimum(first * self.BLOCK, high)), (np.maximum(last * self.BLOCK, low), high)):
+            open_ = np.flatnonzero(start < end)
+            while len(open_):
+                held[open_] = np.minimum(held[open_], self.values[start[open_]])
+                start[open_] += 1
+                open_ = open_[start[open_] < end[open_]]
+        wide = np.flatnonzero(first < last)
+        level = np.frexp((last[wide] - first[wide]).astype(np.float64))[1] - 1
+        for k in np.unique(level):
+            at = wide[level == k]
+            held[at] = np.minimum(held[at], np.minimum(self.table[k][first[at]], self.table[k][last[at] - (1 << int(k))]))
+        out[many] = held
+        return out
+
+    @property
+    def nbytes(self) -> int:
+        return self.values.nbytes + sum(t.nbytes for t in self.table)
 
 
 class FMIndex:
-    """Index of several sequences, each with an owner (a small int); finds where a query occurs with an owner below a bound."""
+    """Index of several sequences, each with an owner (a small int); finds where a query occurs with an owner below a bound.
+
+    It keeps the wavelet matrix, counts and owners, not the sequences.
+    """
 
     def __init__(self, sequences: list[np.ndarray], owners: np.ndarray):
         flat = np.concatenate(sequences)
@@ -94,23 +124,34 @@ class FMIndex:
         inside[ends - 1] = False
         text[inside] = inverse + 1
         order = suffix_array(text)
-        self.text, self.first = text, ends - sizes - 1  # where each sequence starts
+        self.size = len(text)
         self.wavelet = WaveletMatrix(text[order - 1], len(self.alphabet) + 1)
         counts = np.bincount(text, minlength=len(self.alphabet) + 1)
-        self.before = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        self.before = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int32)
         self.owner = RangeMin(np.repeat(owners, sizes + 1)[order])
 
-    def reach(self, end: np.ndarray, left: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        """Backward search from each `end` (a position in the indexed text, inclusive) to the left, to `left` at most.
+    @property
+    def nbytes(self) -> int:
+        return self.alphabet.nbytes + self.before.nbytes + self.wavelet.nbytes + self.owner.nbytes
+
+    def symbols(self, words: np.ndarray) -> np.ndarray:
+        """A query's words as symbols of the index, 0 for those it doesn't have."""
+        at = np.searchsorted(self.alphabet, words)
+        at[at == len(self.alphabet)] = 0
+        return np.where(self.alphabet[at] == words, at + 1, 0)
+
+    def reach(self, text: np.ndarray, end: np.ndarray, left: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Backward search in a query text of symbols from each `end` (inclusive) to the left, to `left` at most.
 
         Returns the first position of the longest match that ends there and occurs with an owner below `bound`;
         end + 1 if there is none. That is the matching statistic of `end`.
         """
         at = end + 1
-        low, high = np.zeros(len(end), np.int64), np.full(len(end), len(self.text), np.int64)
+        low, high = np.zeros(len(end), np.int64), np.full(len(end), self.size, np.int64)
         live = np.flatnonzero(end >= left)
+        live = live[text[end[live]] > 0]
         while len(live):
-            symbol = self.text[at[live] - 1]
+            symbol = text[at[live] - 1]
             n = len(live)
             both = self.wavelet.rank(np.concatenate([symbol, symbol]), np.concatenate([low[live], high[live]]))
             new_low, new_high = self.before[symbol] + both[:n], self.before[symbol] + both[n:]
@@ -120,19 +161,22 @@ class FMIndex:
             low[live], high[live] = new_low[good], new_high[good]
             at[live] -= 1
             live = live[at[live] > left[live]]
+            live = live[text[at[live] - 1] > 0]
         return at
 
-    def repeats(self, sequence: np.ndarray, bound: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All maximal matches of at least `threshold` symbols of the given sequences with an owner below each bound.
+    def repeats(self, queries: list[np.ndarray], bound: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All maximal matches of at least `threshold` words of the queries with an owner below each bound.
 
-        Returns (query number, start, end) with end exclusive, within the sequence.
+        Returns (query number, start, end) with end exclusive, within the query.
         """
-        left, size = self.first[sequence], np.diff(np.append(self.first, len(self.text)))[sequence] - 1
+        size = np.array([len(q) for q in queries], np.int64)
+        text = self.symbols(np.concatenate([*queries, np.empty(0, self.alphabet.dtype)]))
+        left = np.cumsum(size) - size
         end = left + size - 1
         live = np.flatnonzero(size >= threshold)
         out = []
         while len(live):
-            reached = self.reach(end[live], left[live], bound[live])
+            reached = self.reach(text, end[live], left[live], bound[live])
             hit = end[live] - reached + 1 >= threshold
             out.append((live[hit], reached[hit] - left[live[hit]], end[live[hit]] + 1 - left[live[hit]]))
             # what stands before the match is `missed`; a further match takes it in and ends earlier, at missed + width - 1 at most
@@ -143,7 +187,7 @@ class FMIndex:
             least, failed = np.zeros(len(live), np.int64), np.zeros(len(live), bool)
             while len(open_ := np.flatnonzero(least < most)):  # the widest match that starts at missed, by doubling and then halving
                 width = np.where(failed[open_], (least[open_] + most[open_] + 1) // 2, np.minimum(np.maximum(2 * least[open_], 1), most[open_]))
-                got = self.reach(missed[open_] + width - 1, missed[open_], bound[live[open_]]) == missed[open_]
+                got = self.reach(text, missed[open_] + width - 1, missed[open_], bound[live[open_]]) == missed[open_]
                 least[open_[got]] = width[got]
                 most[open_[~got]] = width[~got] - 1
                 failed[open_[~got]] = True

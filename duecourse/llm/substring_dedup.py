@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, coefficients, documents, grams, mixed, signed, sliced, small, staged
+from .common import Words, coefficients, discard, documents, grams, mixed, signed, sliced, small, staged
 from .fm_index import FMIndex
 
 #: Words of the runs whose hashes anchor a window; a shared line of fewer words makes no candidates.
@@ -20,6 +20,8 @@ ANCHOR_WORDS = 20
 RUN = 64
 #: Words in a shard's index, about.
 SHARD_WORDS = 1_000_000
+#: Segments that a shard streams through its index at a time.
+STREAMED = 2000
 #: An anchor with more distinct segments than this, about a shard's worth, is taken by window hashes instead of an index.
 HOT_SEGMENTS = 10_000
 
@@ -83,38 +85,38 @@ def _with_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, 1):
-                w, rows = Words(part.column(1).to_pylist()), {k: [] for k in ("anchor", "content", "owner", "shared", "hot", "words")}
+                w, rows = Words(part.column(1).to_pylist()), {k: [] for k in ("anchor", "content", "owner", "hot", "words")}
                 for i, (doc_id, asks) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     h = w.of(i)
                     for a in asks:
                         own = h[a["first"] : a["first"] + a["windows"] + window - 1]
-                        for k in ("anchor", "content", "shared", "hot"):
+                        for k in ("anchor", "content", "hot"):
                             rows[k].append(a[k])
                         rows["owner"].append(doc_id)
                         rows["words"].append((_window_hashes(own, window) if a["hot"] else own).tobytes())
-                yield pa.record_batch([pa.array(rows[k], t) for k, t in (("anchor", pa.int64()), ("content", pa.int64()), ("owner", pa.int64()), ("shared", pa.bool_()), ("hot", pa.bool_()), ("words", pa.binary()))], list(rows))
+                yield pa.record_batch([pa.array(rows[k], t) for k, t in (("anchor", pa.int64()), ("content", pa.int64()), ("owner", pa.int64()), ("hot", pa.bool_()), ("words", pa.binary()))], list(rows))
 
-    return text.select("doc_id", "text", "parts").mapInArrow(run, "anchor long, content long, owner long, shared boolean, hot boolean, words binary")
+    return text.select("doc_id", "text", "parts").mapInArrow(run, "anchor long, content long, owner long, hot boolean, words binary")
 
 
 def _search(window: int):
-    """Builds a shard's index and streams its segments through it, once for the first owner and once for the others."""
+    """Builds a shard's index and streams its documents' segments through it: what an owner before theirs has of them."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["owner", "anchor", "content"]).reset_index(drop=True)
-        names, owner = np.unique(rows.owner.to_numpy(), return_inverse=True)
-        index = FMIndex([np.frombuffer(w, np.uint64) for w in rows.words], owner)
-        shared = np.flatnonzero(rows.shared.to_numpy())
-        query = np.concatenate([np.arange(len(rows)), shared])
-        bound = np.concatenate([owner, np.full(len(shared), len(names))])
-        which, start, end = index.repeats(query, bound, window)
-        row = query[which]
-        return pd.DataFrame({"anchor": rows.anchor.to_numpy()[row], "content": rows.content.to_numpy()[row], "for_first": which < len(rows), "start": start.astype("int32"), "end": end.astype("int32")})
+        words, owner = rows.words.tolist(), np.unique(rows.owner.to_numpy(), return_inverse=True)[1]
+        index = FMIndex([np.frombuffer(w, np.uint64) for w in words], owner)
+        out = []
+        for at in range(0, len(words), STREAMED):
+            stream = [np.frombuffer(w, np.uint64) for w in words[at : at + STREAMED]]
+            which, start, end = index.repeats(stream, owner[at : at + STREAMED], window)
+            out.append(pd.DataFrame({"anchor": rows.anchor.to_numpy()[at + which], "content": rows.content.to_numpy()[at + which], "start": start.astype("int32"), "end": end.astype("int32")}))
+        return pd.concat(out)
 
     return run
 
 
-_FOUND = "anchor long, content long, for_first boolean, start int, end int"
+_FOUND = "anchor long, content long, start int, end int"
 
 
 def _by_window(hot: DataFrame, window: int) -> DataFrame:
@@ -122,16 +124,15 @@ def _by_window(hot: DataFrame, window: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [np.frombuffer(w, np.int64) for w in batch.column(3).to_pylist()]
-            row = pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held]))
-            at = np.concatenate([np.arange(len(x)) for x in held] + [np.empty(0, np.int64)]).astype(np.int32)
-            yield pa.record_batch([batch.column(k).take(row) for k in range(3)] + [batch.column(4).take(row), pa.array(at), pa.array(np.concatenate([*held, np.empty(0, np.int64)]))], ["anchor", "content", "owner", "shared", "at", "hash"])
+            for part in sliced(batch, 3):
+                held = [np.frombuffer(w, np.int64) for w in part.column(3).to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held]))
+                at = np.concatenate([np.arange(len(x)) for x in held] + [np.empty(0, np.int64)]).astype(np.int32)
+                yield pa.record_batch([part.column(k).take(row) for k in range(3)] + [pa.array(at), pa.array(np.concatenate([*held, np.empty(0, np.int64)]))], ["anchor", "content", "owner", "at", "hash"])
 
-    each = hot.select("anchor", "content", "owner", "words", "shared").mapInArrow(split, "anchor long, content long, owner long, shared boolean, at int, hash long")
+    each = hot.select("anchor", "content", "owner", "words").mapInArrow(split, "anchor long, content long, owner long, at int, hash long")
     least = each.groupBy("hash").agg(F.min("owner").alias("least"))
-    met = each.join(least, "hash")
-    first = met.where("least < owner").withColumn("for_first", F.lit(True))
-    return first.union(met.where("shared").withColumn("for_first", F.lit(False))).select("anchor", "content", "for_first", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
+    return each.join(least, "hash").where("least < owner").select("anchor", "content", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
 
 
 def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -139,28 +140,34 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
 
     Windows of `window` words are dealt to shards by their anchor, so equal windows meet in one shard. Runs of windows
     whose anchor stands in one document only are left out. A shard indexes its distinct segments, under the least
-    doc_id that has each; backward search gives, for ends from right to left, the longest match with a smaller doc_id,
+    doc_id that has each; every other document that has a segment has it from that one whole. Backward search gives, for ends from right to left, the longest match with a smaller doc_id,
     and matches of at least `window` words are reported. Anchors with very many distinct segments are compared by
     window hashes instead, which aggregate before the shuffle.
     """
     every = staged(segments(docs, window), "segments")
     anchors = every.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high").select("anchor")
     met = staged(every.join(anchors, "anchor"), "met")
-    distinct = met.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "text_key", "first", "windows")).alias("at"), F.max("doc_id").alias("last"))
-    distinct = staged(distinct.select("anchor", "content", "at.*", (F.col("last") > F.col("at.doc_id")).alias("shared")), "distinct")
-    hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot"))
-    parts = distinct.join(small(staged(hot, "hot")), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = parts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "content", "first", "windows", "shared", "hot")).alias("parts"))
-    held = staged(_with_words(docs, staged(wanted, "wanted"), window), "words")
+    discard(every)
+    distinct = met.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "text_key", "first", "windows")).alias("at"))
+    distinct = staged(distinct.select("anchor", "content", "at.*"), "distinct")
+    hot = staged(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot")), "hot")
+    parts = distinct.join(small(hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = staged(parts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "content", "first", "windows", "hot")).alias("parts")), "wanted")
+    held = staged(_with_words(docs, wanted, window), "words")
     total = held.where("not hot").agg(F.sum(F.length("words")) / 8).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_WORDS))
     found = held.where("not hot").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_search(window), _FOUND)
     found = staged(found.union(_by_window(held.where("hot"), window)), "found")
+    discard(held, wanted, hot)
+    # of a segment's first owner what the search found, of all others the whole
     owners = distinct.select("anchor", "content", F.col("doc_id").alias("owner"))
-    per = found.groupBy("anchor", "content", "for_first").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(owners, ["anchor", "content"])
-    hits = met.join(per, ["anchor", "content"]).where(F.col("for_first") == (F.col("doc_id") == F.col("owner")))
+    per = owners.join(found.groupBy("anchor", "content").agg(F.collect_list(F.struct("start", "end")).alias("spans")), ["anchor", "content"], "left")
+    hits = met.join(per, ["anchor", "content"]).withColumn("others", F.col("doc_id") != F.col("owner")).where("others or spans is not null")
+    whole = F.array(F.struct(F.col("first").alias("start"), (F.col("first") + F.col("windows") + (window - 1)).alias("end")))
     shifted = F.transform("spans", lambda s: F.struct((s["start"] + F.col("first")).alias("start"), (s["end"] + F.col("first")).alias("end")))
-    return hits.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(shifted)).alias("spans"))
+    out = staged(hits.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(F.when(F.col("others"), whole).otherwise(shifted))).alias("spans")), "spans")
+    discard(met, distinct, found)
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -171,7 +178,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     with a null doc_id keeps all its words and removes none of others'; repeated rows keep theirs alike; an empty table
     gives no rows.
     """
-    spans = staged(repeated_passages(docs, window), "spans")
+    spans = repeated_passages(docs, window)
     spans = spans.select(F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "spans")
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(spans, (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("key")), "left")
 
