@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Date formats in the order they are tried, line-role words, and the name keys' words.
-DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "M/d/yy", "yyyy/MM/dd", "MMM d yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy-MM")
+DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "MMM d yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "yyyy-MM", "yyyy/MM/dd", "M/d/yy")
 PRORATION = r"(?i)\b(prorat\w*|partial period|unused time|remaining time)\b"
 TAX = r"(?i)\b(sales tax|vat|gst|hst|pst|qst|tax)\b"
 CREDIT = r"(?i)\b(credit note|credit memo|service credit|credit|refund|chargeback|goodwill|adjustment|write-?off)\b"
@@ -14,11 +14,29 @@ SEAT = r"(?i)\b(seat|user|license|licence)s?\b"
 SUFFIXES = ("llc", "inc", "co", "corp", "corporation", "company", "group", "grp", "ltd", "limited", "plc", "gmbh", "the", "and")
 ABBREVIATIONS = {"intl": "international", "svcs": "services", "mfg": "manufacturing", "tech": "technology", "assoc": "associates", "bros": "brothers"}
 CONFIDENT = 0.85
+CURRENCIES = ("USD",)
+SEAT_QUANTITY = r"(?i)(\d[\d,]*)\s*(?:x\s*)?(?:seat|user|licen[cs]e)s?\b"
+ANNIVERSARY = r"anniversary of the (effective|commencement) date"
+LITERAL = r"^-?\$?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d{1,6})?%?$"
+AMENDMENT = r"amendment\s*(?:no\.?|number|#)?\s*(\d+)"
+ROLE_PATTERNS = (
+    (r"amendment|addendum", "amendment"),
+    (r"order[ _-]?form|sales[ _-]?order|quote", "order_form"),
+    (r"exhibit|schedule|attachment", "exhibit"),
+    (r"statement[ _-]of[ _-]work|\bsow\b", "sow"),
+)
+# Families of rules that the fixed rules own, by the names they go by.
+OWNED = (
+    "committed_minimum", "usage_overage", "discount_expiration", "annual_escalator", "committed_seat_charge", "minimum_commitment", "monthly_minimum", "minimum_monthly_fee", "overage", "overage_rate",
+    "discount", "promotional_discount", "escalator", "price_escalator", "price_increase", "seats", "committed_seats", "seat_price", "seat_charge",
+)
 
 
 def parse_date(text: Column) -> Column:
-    """The first format that fits; null if none does."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date") for f in DATE_FORMATS])
+    """The first format that fits; null if none does. Years of two digits from 69 on are of the last century."""
+    read = lambda f: F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date")
+    short = read(DATE_FORMATS[-1])
+    return F.coalesce(*[read(f) for f in DATE_FORMATS[:-1]], F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short))
 
 
 def parse_period(text: Column) -> Column:
@@ -72,6 +90,117 @@ def currency_code(x: Column) -> Column:
     return F.when(code.rlike("^[A-Z]{3}$"), code)
 
 
+def is_supported(x: Column) -> Column:
+    return currency_code(x).isin(*CURRENCIES)
+
+
+def row_period(period: Column, start: Column) -> Column:
+    """The period column's month if that isn't empty, else the start date's; null where neither can be read."""
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return parse_period(F.coalesce(filled(period), filled(start)))
+
+
+def seat_quantity(units: Column, description: Column) -> Column:
+    """How many seats a line is for: its units, else the number before the word for seats in its description."""
+    said = F.regexp_replace(F.regexp_extract(F.coalesce(description, F.lit("")), SEAT_QUANTITY, 1), ",", "")
+    return F.coalesce(parse_amount(units), said.try_cast("decimal(18,6)"))
+
+
+def first_anniversary(date: Column, term_start: Column, quote: Column) -> Column:
+    """An escalator's date: one on the term's start moves by a year if the quote names the anniversary, else it is unknown."""
+    named = F.lower(F.coalesce(quote, F.lit(""))).rlike(ANNIVERSARY)
+    return F.when(~F.coalesce(date == term_start, F.lit(False)), date).when(named, F.add_months(date, 12))
+
+
+def parse_literal(text: Column, signed: Column) -> Column:
+    """A number as contracts write it, or null: dollar sign, digits plain or in groups, six decimals, percent sign; a minus only where `signed`."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    plain = F.regexp_replace(t, r"[$,%]", "").try_cast("decimal(38,6)")
+    fits = (F.length(t) <= 32) & t.rlike(LITERAL) & (signed | ~t.startswith("-"))
+    return F.when(fits & (F.abs(plain) <= F.lit("1000000000000").cast("decimal(38,6)")), plain)
+
+
+def numbers_in_text(text: Column) -> Column:
+    """All numbers of a text as an array; N% gives N and N/100."""
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\$?\s*\d[\d,]*(?:\.\d+)?\s*%?"), F.lit(0))
+    value = lambda t: F.regexp_replace(t, r"[$,%\s]", "").cast("decimal(28,8)")
+    return F.flatten(F.transform(tokens, lambda t: F.when(t.contains("%"), F.array(value(t), (value(t) / 100).cast("decimal(28,8)"))).otherwise(F.array(value(t)))))
+
+
+def next_step(held: Column, status: Column, verified: Column, actions: Column, realized: Column) -> Column:
+    """What to do with a case, from whether it is held, its status, whether it is verified, its actions' statuses and whether anything came in."""
+    has = lambda *s: F.arrays_overlap(F.coalesce(actions, F.array().cast("array<string>")), F.array(*map(F.lit, s)))
+    acting = status.isin("approved", "invoiced", "disputed")
+    return (
+        F.when(held, "Inspect the document structure before recovery")
+        .when((status == "open") & verified, "Approve for recovery")
+        .when(status == "open", "Review evidence / confirm term")
+        .when(acting & has("sent", "awaiting_response"), "Await counterparty response")
+        .when(acting & has("approved"), "Execute approved action")
+        .when(acting & has("pending_approval"), "Approve recovery action")
+        .when(acting & has("draft"), "Submit for approval")
+        .when(status == "approved", "Prepare recovery action")
+        .when(status == "invoiced", "Follow up on payment")
+        .when(status == "disputed", "Resolve dispute")
+        .when((status == "recovered") & realized, "Closed — verified realized")
+        .when(status == "recovered", "Record realized value")
+        .otherwise("None")
+    )
+
+
+def evidence_completeness(*fields: Column) -> Column:
+    """The share of fields that are there, in two decimals; an empty text isn't."""
+    there = [F.coalesce(c.cast("string") != "", F.lit(False)).cast("int") for c in fields]
+    total = there[0]
+    for t in there[1:]:
+        total = total + t
+    return F.round(total / len(fields), 2)
+
+
+def fused_confidence(extraction: Column, found: Column, moved: Column, verdict: Column, ocr: Column, gate: float = 0.85) -> Column:
+    """The least of the extraction's confidence and what each check leaves of it."""
+    said = F.when(verdict == "unclear", 0.7).when(verdict == "contradicts", 0.2).otherwise(1.0)
+    return F.least(extraction, F.when(~found, 0.5).otherwise(1.0), F.when(found & moved, 0.9).otherwise(1.0), said, F.when(ocr < gate, 0.7).otherwise(1.0))
+
+
+def document_role(role: Column, file_name: Column, head: Column) -> Column:
+    """A document's role by its file name or first words, the first pattern that is in either; else the role it came with."""
+    name, start = F.lower(F.coalesce(file_name, F.lit(""))), F.lower(F.substring(F.coalesce(head, F.lit("")), 1, 300))
+    out = F.when(role.isin("master", "amendment", "order_form", "exhibit", "sow"), role).otherwise("other")
+    for pattern, value in reversed(ROLE_PATTERNS):
+        out = F.when(name.rlike(pattern) | start.rlike(pattern), value).otherwise(out)
+    return out
+
+
+def amendment_number(*texts: Column) -> Column:
+    found = [F.regexp_extract(F.lower(F.coalesce(t, F.lit(""))), AMENDMENT, 1).try_cast("int") for t in texts]
+    return F.coalesce(*found)
+
+
+def rule_family(family: Column, name: Column) -> Column:
+    """legacy for families that the fixed rules own, by family or by a word in the rule's name; else generic."""
+    key = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(family, F.lit(""))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(key.isin(*OWNED) | F.lower(F.coalesce(name, F.lit(""))).rlike("minimum|overage|discount|escalat|seat"), "legacy").otherwise("generic")
+
+
+def dollars(amount: Column) -> Column:
+    return F.concat(F.lit("$"), F.format_number(amount.cast("decimal(18,2)"), 2))
+
+
+def recovery_letter(customer: Column, period: Column, title: Column, amount: Column, clause: Column) -> Column:
+    """A letter that asks for the amount and quotes at most 400 characters of the clause."""
+    quote = F.when(F.length(clause) > 400, F.concat(F.substring(clause, 1, 400), F.lit("…"))).otherwise(clause)
+    because = F.when(F.coalesce(quote, F.lit("")) != "", F.concat(F.lit('The clause reads: "'), quote, F.lit('"\n\n'))).otherwise("")
+    return F.concat(F.lit("Dear "), customer, F.lit(",\n\nfor "), period, F.lit(" the agreement asks for more than was billed: "), title, F.lit(", "), dollars(amount), F.lit(".\n\n"), because, F.lit("Please pay "), dollars(amount), F.lit(" or tell us within 15 days what is wrong."))
+
+
+def letter_fault(text: Column, amount: Column, allowed: Column) -> Column:
+    """Why a letter may not go out, null if it may: the amount must stand in it, and no other dollar figure but the allowed."""
+    figures = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\$\d[\d,]*(?:\.\d+)?"), F.lit(0))
+    others = F.array_except(figures, F.array_union(allowed, F.array(dollars(amount))))
+    return F.when(~F.coalesce(F.array_contains(figures, dollars(amount)), F.lit(False)), "amount missing").when(F.size(others) > 0, "unexpected amount")
+
+
 def monthly_amount(amount: Column, declared: Column, quote: Column) -> Column:
     """A yearly, quarterly or monthly amount per month; null where the quote names no single period or another one."""
     text = F.lower(F.coalesce(quote, F.lit("")))

@@ -27,10 +27,12 @@ def expected_charges(terms: DataFrame, usage: DataFrame) -> DataFrame:
     zero = F.lit(0).cast(MONEY)
     seats = (F.greatest("committed", "seats") * F.col("seat_price")).cast(MONEY)
     base = F.greatest(F.col("minimum") - F.coalesce(seats, zero), zero)
-    over = F.greatest(F.col("units") - F.col("included"), zero) * F.col("rate")
-    over = F.when(F.col("units").isNotNull() & F.col("included").isNotNull(), over)
+    over_units = F.when(F.col("units").isNotNull() & F.col("included").isNotNull(), F.greatest(F.col("units") - F.col("included"), zero))
+    over = over_units * F.col("rate")
     half = F.when(F.col("committed").isNull(), "no committed seats").when(F.col("seats").isNull(), "no active seats")
-    charge = lambda kind, amount, review: F.when(amount.isNotNull(), F.struct(F.lit(kind).alias("kind"), amount.cast(MONEY).alias("expected"), review.cast("string").alias("review")))
+    rated = {"overage": ("rate", over_units), "seat": ("seat_price", None)}
+    value = lambda c: (F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c).cast("decimal(18,6)")
+    charge = lambda kind, amount, review: F.when(amount.isNotNull(), F.struct(F.lit(kind).alias("kind"), amount.cast(MONEY).alias("expected"), review.cast("string").alias("review"), value(rated.get(kind, (None, None))[0]).alias("rate"), value(rated.get(kind, (None, None))[1]).alias("metered")))
     rows = rows.select(*KEY, "scope", F.inline(F.array_compact(F.array(charge("base", F.when(F.col("minimum").isNotNull(), base), F.lit(None)), charge("seat", seats, half), charge("overage", over, F.lit(None))))))
     rows = rows.withColumn("n_scopes", F.count("*").over(Window.partitionBy(*KEY, "kind")))
     shared = (F.col("kind") == "overage") & (F.col("n_scopes") > 1)
@@ -45,11 +47,12 @@ def match_lines(charges: DataFrame, lines: DataFrame) -> DataFrame:
     of scope takes the line; charges under review take none.
     """
     open_ = charges.where("review is null").select(*KEY, "kind", F.col("scope").alias("charge"), "n_scopes")
+    lines = lines if "quantity" in lines.columns else lines.withColumn("quantity", F.lit(None).cast(MONEY))
     met = lines.join(open_, [*KEY, "kind"])
     lone = F.col("n_scopes") == 1
     fits = (F.col("scope") == F.col("charge")) | F.contains(F.col("label"), F.lower("charge"))
     fits = F.coalesce(fits, F.lit(False)) | (lone & F.col("scope").isNull() & ((F.col("kind") != "base") | F.col("label").isin(GENERIC)))
-    return met.where(fits).groupBy("line_id").agg(F.min("charge").alias("charge"), *[F.first(c).alias(c) for c in (*KEY, "kind", "amount")])
+    return met.where(fits).groupBy("line_id").agg(F.min("charge").alias("charge"), *[F.first(c).alias(c) for c in (*KEY, "kind", "amount", "quantity")])
 
 
 def unmatched_lines(lines: DataFrame, matches: DataFrame) -> DataFrame:
@@ -60,23 +63,32 @@ def ledger_variance(charges: DataFrame, lines: DataFrame, matches: DataFrame) ->
     """charges with what was billed for them and an outcome.
 
     Outcomes: the charge's own review; 'lines do not match' where the month has lines of the kind but none for it;
-    'missing' or 'underbilled' for a finding; 'overbilled' for a review; 'met'.
+    'missing', 'underbilled' or, where billed by quantity at another rate than the charge's, 'tariff mismatch' for a
+    finding; 'overbilled' or 'partial quantities' for a review; 'met'. charges may have `rate` and `metered`, the
+    agreed rate and the metered units that stand in for quantities that lines lack.
     """
-    billed = matches.groupBy(*KEY, "kind", F.col("charge").alias("scope")).agg(F.sum("amount").cast(MONEY).alias("billed"), F.count("*").alias("n_lines"))
+    has = lambda c: F.col(c) if c in charges.columns else F.lit(None).cast("decimal(18,6)").alias(c)
+    # one grouping of both sides: a matched line counts for its charge and for its kind
+    billed = matches.groupBy(*KEY, "kind", F.col("charge").alias("scope")).agg(F.sum("amount").cast(MONEY).alias("billed"), F.count("*").alias("n_lines"), F.count("quantity").alias("n_quantities"), F.sum("quantity").cast(MONEY).alias("quantity"))
     there = lines.groupBy(*KEY, "kind").agg(F.count("*").alias("n_kind"))
-    rows = charges.join(billed, CHARGE, "left").join(there, [*KEY, "kind"], "left")
+    rows = charges.select(*[c for c in charges.columns if c not in ("rate", "metered")], has("rate"), has("metered")).join(billed, CHARGE, "left").join(there, [*KEY, "kind"], "left")
     rows = rows.withColumns({"billed": F.coalesce("billed", F.lit(0).cast(MONEY)), "n_lines": F.coalesce("n_lines", F.lit(0).cast("long"))})
     gap, least = F.col("expected") - F.col("billed"), F.lit(LEAST).cast("decimal(3,2)")
+    units = F.when(F.col("n_quantities") == F.col("n_lines"), F.col("quantity")).when(F.col("n_quantities") == 0, F.col("metered"))
+    derived = F.round(F.col("billed") / F.nullif(units, F.lit(0)), 6).cast("decimal(18,6)")
+    partial = (F.col("n_quantities") > 0) & (F.col("n_quantities") < F.col("n_lines"))
     outcome = (
         F.when(F.col("review").isNotNull(), F.col("review"))
         .when((F.col("n_lines") == 0) & (F.col("n_kind") > 0), "lines do not match")
+        .when(F.coalesce(partial, F.lit(False)) & F.col("rate").isNotNull(), "partial quantities")
         .when((gap > least) & (F.col("n_lines") == 0), "missing")
+        .when((gap > least) & (F.abs(derived - F.col("rate")) > F.lit("0.000001").cast("decimal(18,6)")), "tariff mismatch")
         .when(gap > least, "underbilled")
         .when(gap < -least, "overbilled")
         .otherwise("met")
     )
-    found = F.when(outcome.isin("missing", "underbilled"), gap).otherwise(F.lit(0)).cast(MONEY)
-    return rows.select(*CHARGE, "expected", "billed", "n_lines", outcome.alias("outcome"), found.alias("recoverable"))
+    found = F.when(outcome.isin("missing", "underbilled", "tariff mismatch"), gap).otherwise(F.lit(0)).cast(MONEY)
+    return rows.select(*CHARGE, "expected", "billed", "n_lines", derived.alias("derived_rate"), outcome.alias("outcome"), found.alias("recoverable"))
 
 
 def invalid_money(lines: DataFrame) -> DataFrame:

@@ -43,30 +43,84 @@ def critical_terms(pages: DataFrame, pattern: str) -> DataFrame:
     return hits.groupBy("doc_id", "page", "term").agg(F.count("*").alias("times"))
 
 
+def one_space(text: Column) -> Column:
+    """A text with runs of white space as one space and none at its ends."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
 def grounded_quotes(quotes: DataFrame, documents: DataFrame, words: int = 6) -> DataFrame:
-    """quotes(item_id, text) with each document that contains one whole: (item_id, doc_id).
+    """quotes(item_id, text) with each document that contains one whole, white space aside: (item_id, doc_id).
 
-    Containment has no equal key, so quotes meet documents by their first `words` words: an index of the documents'
-    word runs is joined with the quotes' heads, and the pairs that meet are checked for the whole quote. Quotes of fewer
-    words are met by all their words, those of at most two by the part of a document's word that is their first word.
+    Containment has no equal key, so quotes meet documents by their first `words` words, without the outer two, which may
+    be parts of a document's words; the pairs that meet are checked for the whole quote. Quotes of one or two words have
+    no inner words: as one array they are compared with every text. A blank quote stands in every text, null ones in none.
     """
-    parts = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    split = quotes.select("item_id", F.col("text").alias("quote"), parts(F.col("text")).alias("w")).withColumn("n", F.least(F.size("w"), F.lit(words)))
+    split = quotes.where("text is not null").select("item_id", one_space(F.col("text")).alias("quote")).withColumn("w", F.split("quote", " ")).withColumn("n", F.least(F.size("w"), F.lit(words)))
     heads = split.where("n > 2").select("item_id", "quote", (F.col("n") - 2).alias("inner"), F.xxhash64(F.slice("w", F.lit(2), F.col("n") - 2)).alias("key"))
-    inner = [r[0] for r in heads.select("inner").distinct().collect()]  # at most `words` lengths
-    runs = documents.select("doc_id", parts(F.col("text")).alias("w"))
-    length = F.explode(F.array(*[F.lit(x) for x in inner])) if inner else F.explode(F.array().cast("array<int>"))
-    runs = runs.select("doc_id", "w", length.alias("inner")).where(F.size("w") >= F.col("inner"))
-    runs = runs.select("doc_id", "inner", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("inner") + 1), lambda i: F.xxhash64(F.slice("w", i, F.col("inner")))))).alias("key"))
+    texts = documents.where("text is not null").select("doc_id", one_space(F.col("text")).alias("text"))
+    lengths = heads.agg(F.collect_set("inner")).scalar()  # at most words - 2
+    runs = texts.select("doc_id", F.split("text", " ").alias("w"), lengths.alias("lengths"))
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(n.alias("inner"), F.xxhash64(F.slice("w", i, n)).alias("key")))
+    every = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: F.size("w") >= n), of)))
+    runs = runs.select("doc_id", F.explode(every).alias("x")).select("doc_id", F.col("x.inner").alias("inner"), F.col("x.key").alias("key"))
     met = runs.join(heads, ["inner", "key"]).select("item_id", "doc_id", "quote").distinct()
-    short = split.where("n <= 2").select("item_id", "quote", F.coalesce(F.get("w", F.lit(0)), F.lit("")).alias("part"))
-    lengths = [r[0] for r in short.select(F.length("part")).distinct().collect()]  # at most the letters of a word
-    if lengths:
-        cut = lambda w, n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))
-        cuts = F.transform(F.array(*map(F.lit, lengths)), lambda n: F.flatten(F.transform(F.filter("w", lambda w: F.length(w) >= n), lambda w: cut(w, n))))
-        held = documents.select("doc_id", F.array_union(parts(F.col("text")), F.array(F.lit(""))).alias("w"))
-        met = met.union(held.select("doc_id", F.explode(F.array_distinct(F.flatten(cuts))).alias("part")).join(short, "part").select("item_id", "doc_id", "quote").distinct())
-    return met.join(documents.select("doc_id", "text"), "doc_id").where(F.instr("text", F.col("quote")) > 0).select("item_id", "doc_id").distinct()
+    long = met.join(texts, "doc_id").where(F.instr("text", F.col("quote")) > 0).select("item_id", "doc_id")
+    short = split.where("n <= 2").select("item_id", "quote")
+    stated = short.agg(F.collect_set(F.struct("item_id", "quote"))).scalar()  # a stated set of queries, none in most books
+    found = texts.withColumn("short", stated).select("doc_id", F.explode(F.filter("short", lambda q: F.contains(F.col("text"), q["quote"]))).alias("q"))
+    return long.union(found.select("q.item_id", "doc_id")).distinct()
+
+
+# Phrases that tell of each family of terms, and the words that matter in a contract.
+SIGNALS = {
+    "commitment": ["minimum commitment", "committed", "shall pay no less than", "minimum monthly fee", "platform fee"], "usage": ["included", "in excess of", "overage", "per unit", "additional units", "tier"],
+    "pricing_changes": ["increase", "escalat", "cpi", "anniversary", "discount", "promotional", "credit of", "expires"], "term": ["initial term", "renew", "automatically", "notice", "terminate", "effective date"],
+}
+CRITICAL = r"\b(?:renew\w*|notice|sixty|60|days?|commit\w*|minimum|seats?|licen[cs]\w*|fees?|rates?|prices?|overage|included|discount\w*|escalat\w*|refund\w*|credit\w*|rebate\w*|term|expires?|expiration)\b|[$€£%]"
+
+
+def signal_recall(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Families whose signal phrases stand in a document that no term of the family was found in, and the pages to read again: found(doc_id, family)."""
+    text = F.lower("text")
+    family = lambda k, v: F.when(F.exists(F.array(*map(F.lit, v)), lambda p: F.contains(text, p)), F.lit(k))
+    hits = pages.select("doc_id", "page", F.explode(F.array_compact(F.array(*[family(k, v) for k, v in SIGNALS.items()]))).alias("family"))
+    return hits.groupBy("doc_id", "family").agg(F.count_distinct("page").alias("pages"), F.min("page").alias("first_page")).join(found.select("doc_id", "family").distinct(), ["doc_id", "family"], "left_anti")
+
+
+def quote_grounding(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """quotes(item_id, doc_id, page, text) and where each stands: 'found' on its page, 're-anchored' on the first other page that has it, or 'missing'; at most 120 characters of a quote are looked for."""
+    asked = quotes.select("item_id", "doc_id", F.col("page").alias("cited"), F.substring(one_space(F.col("text")), 1, 120).alias("quote"))
+    held = asked.join(pages.select("doc_id", "page", one_space(F.col("text")).alias("text")), "doc_id").where(F.contains("text", F.col("quote")))
+    best = held.groupBy("item_id").agg(F.min(F.struct(F.col("page") != F.col("cited"), F.col("page").alias("page"))).alias("x"))
+    state = F.when(F.col("x").isNull(), "missing").when(F.col("x.page") == F.col("cited"), "found").otherwise("re-anchored")
+    return asked.join(best, "item_id", "left").select("item_id", "doc_id", state.alias("state"), F.col("x.page").alias("page"))
+
+
+def injection_audit(planted: DataFrame, constants: DataFrame) -> DataFrame:
+    """Planted amounts that came through: planted(doc_id, value) that is one of the document's constants(doc_id, right_id, name, value, grounded), and constants without ground."""
+    through = constants.join(planted.select("doc_id", "value").distinct(), ["doc_id", "value"], "left_semi").select("right_id", "name", F.lit("planted").alias("fault"))
+    return through.union(constants.where("not grounded").select("right_id", "name", F.lit("ungrounded")))
+
+
+def attach_documents(documents: DataFrame, masters: DataFrame) -> DataFrame:
+    """documents(doc_id, refers: array of titles) to the master (master_id, title) that a reference names, the least id of several.
+
+    References meet titles by equal keys: a title's words, and the runs of as many words in a reference, so that either
+    may contain the other; no reference is compared with every title.
+    """
+    key = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda x: x != "")
+    runs = lambda w: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))))
+    asked = documents.select("doc_id", F.explode("refers").alias("ref")).select("doc_id", key(F.col("ref")).alias("w")).where(F.size("w") > 0)
+    titles = masters.select("master_id", key(F.col("title")).alias("t")).where(F.size("t") > 0)
+    within = asked.select("doc_id", F.explode(runs(F.col("w"))).alias("key")).join(titles.select("master_id", F.array_join("t", " ").alias("key")), "key")
+    around = titles.select("master_id", F.explode(runs(F.col("t"))).alias("key")).join(asked.select("doc_id", F.array_join("w", " ").alias("key")), "key")
+    return within.select("doc_id", "master_id").union(around.select("doc_id", "master_id")).groupBy("doc_id").agg(F.min("master_id").alias("master_id"))
+
+
+def clause_lookup(asked: DataFrame, clauses: DataFrame, terms: DataFrame) -> DataFrame:
+    """asked(customer_id, ref) with the contract's clause of that name, else the term's provenance."""
+    rows = asked.join(clauses.select("customer_id", "ref", "clause"), ["customer_id", "ref"], "left").join(terms.select("customer_id", F.col("term_type").alias("ref"), "provenance"), ["customer_id", "ref"], "left")
+    return rows.select("customer_id", "ref", F.coalesce(F.when(F.trim("clause") != "", F.col("clause")), "provenance").alias("text"))
 
 
 def keyword_coverage(pages: DataFrame, blocks: DataFrame, pattern: str) -> DataFrame:

@@ -95,3 +95,39 @@ def foreign_rows(tables: dict[str, DataFrame], column: str, account) -> DataFram
     for t in out[1:]:
         found = found.union(t)
     return found
+
+
+def rule_rights(rules: DataFrame, evaluated: DataFrame) -> DataFrame:
+    """Rules and their evaluations as rights with evidence, expected states and discrepancies: a row per rule and month.
+
+    A discrepancy is there only where something is recoverable; kind says what the row is: 'discrepancy', 'met', or
+    'not evaluable' with the reason.
+    """
+    rows = rules.select("right_id", "customer_id", "quote").join(evaluated.select("right_id", "period", "status", "reason", "expected", "actual", "recoverable"), "right_id")
+    due = F.coalesce(F.col("recoverable") > 0, F.lit(False))
+    kind = F.when(due, "discrepancy").when(F.col("status").isin("evaluated", "not_triggered"), "met").otherwise("not evaluable")
+    state = stable_id("expected", F.col("right_id"), _month(F.col("period")))
+    return rows.select("right_id", stable_id("evidence", F.col("right_id"), F.col("quote")).alias("evidence_id"), "customer_id", "period", F.when(F.col("status") == "evaluated", state).alias("expected_id"), F.when(due, stable_id("discrepancy", F.col("right_id"), _month(F.col("period")))).alias("discrepancy_id"), kind.alias("kind"), "reason", "expected", "actual", "recoverable")
+
+
+def build_graph(rights: DataFrame, observations: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The book's graph as nodes(id, kind, customer_id) and edges(source, target, kind), each once.
+
+    Evidence supports a right; a right and an observation make a discrepancy; a discrepancy is a finding's ground.
+    """
+    node = lambda rows, kind, c: rows.where(F.col(c).isNotNull()).select(F.col(c).alias("id"), F.lit(kind).alias("kind"), "customer_id")
+    edge = lambda rows, kind, a, b: rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("source"), F.col(b).alias("target"), F.lit(kind).alias("kind"))
+    nodes = node(rights, "right", "right_id").union(node(rights, "evidence", "evidence_id")).union(node(observations, "observation", "observation_id")).union(node(linked, "discrepancy", "discrepancy_id")).union(node(linked, "finding", "finding_id"))
+    edges = edge(rights, "supports", "evidence_id", "right_id").union(edge(linked, "owed", "right_id", "discrepancy_id")).union(edge(linked, "seen", "observation_id", "discrepancy_id")).union(edge(linked, "ground", "discrepancy_id", "finding_id"))
+    return nodes.distinct(), edges.distinct()
+
+
+def lineage_path(linked: DataFrame, actions: DataFrame, events: DataFrame) -> DataFrame:
+    """Each linked finding's chain: evidence, right, observation, discrepancy, finding, and how many actions and events came of it.
+
+    actions and events have a finding_id and are counted before the join.
+    """
+    count = lambda rows, name: rows.groupBy("finding_id").agg(F.count("*").alias(name))
+    rows = linked.where("link = 'linked'").join(count(actions, "actions"), "finding_id", "left").join(count(events, "events"), "finding_id", "left")
+    path = F.concat_ws(" > ", "evidence_id", "right_id", F.coalesce("observation_id", F.lit("none")), "discrepancy_id", "finding_id")
+    return rows.select("finding_id", "customer_id", path.alias("path"), F.coalesce("actions", F.lit(0)).alias("actions"), F.coalesce("events", F.lit(0)).alias("events"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import stable_id
+
 MONEY = "decimal(18,2)"
 # The success fee's share, and the tolerance of a full resolution.
 FEE = "0.20"
@@ -87,3 +89,39 @@ def filter_facets(ledger: DataFrame) -> DataFrame:
     """The values a list of cases can be filtered by, and how many cases have each."""
     facet = F.explode(F.array(F.struct(F.lit("status").alias("facet"), F.col("status").alias("value")), F.struct(F.lit("kind").alias("facet"), F.col("kind").alias("value")), F.struct(F.lit("resolution").alias("facet"), F.col("resolution").alias("value"))))
     return ledger.select(facet.alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("cases"))
+
+
+def link_actions(events: DataFrame, actions: DataFrame) -> DataFrame:
+    """events(event_id, case_id, action_id, ...) with the strategy of the action that brought each about, else 'unattributed'."""
+    return events.join(actions.select("action_id", "action_type"), "action_id", "left").withColumn("strategy", F.coalesce("action_type", F.lit("unattributed"))).drop("action_type")
+
+
+def net_by_strategy(linked: DataFrame) -> DataFrame:
+    """Realizations less reversals, and how many cases, per strategy."""
+    signed = F.when(F.col("kind") == "reversal", -F.col("amount")).otherwise(F.col("amount"))
+    return linked.groupBy("strategy").agg(_sum(signed).alias("net"), F.count_distinct("case_id").alias("cases"))
+
+
+def recovery_rate(ledger: DataFrame) -> DataFrame:
+    """One row: opportunity (rejected cases left out), realized, the rate, the average days and value of a case that brought something in."""
+    live, came = F.col("status") != "rejected", F.col("net") > 0
+    rows = ledger.agg(_sum(F.when(live, F.col("potential"))).alias("opportunity"), _sum(F.col("net")).alias("realized"), F.sum(F.when(came, F.col("days"))).alias("days"), F.count(F.when(came, F.col("days"))).alias("timed"), F.count(F.when(came, 1)).alias("cases"))
+    ratio = lambda a, b, n: F.round(F.col(a).cast("double") / F.nullif(F.col(b), F.lit(0)).cast("double"), n)
+    return rows.select("opportunity", "realized", ratio("realized", "opportunity", 4).alias("rate"), ratio("days", "timed", 1).alias("average_days"), ratio("realized", "cases", 2).alias("average_value"))
+
+
+def sync_payments(cases: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Invoiced cases whose corrective invoice was paid, as realizations. cases(case_id, status, reference), invoices(reference, status, paid, at)."""
+    paid = invoices.where("status = 'paid'").select("reference", "paid", "at")
+    return cases.where("status = 'invoiced'").join(paid, "reference").select(stable_id("event", F.col("case_id"), F.col("reference")).alias("event_id"), "case_id", F.lit("realization").alias("kind"), F.col("paid").alias("amount"), "at")
+
+
+# Fee statuses that are tried again, and how often.
+RETRYABLE = ["payment_failed", "error", "pending", "unbilled"]
+MOST_TRIES = 3
+
+
+def fee_retries(events: DataFrame) -> DataFrame:
+    """events(event_id, fee_status, tries) to what becomes of each: 'retry', 'collection_hold' after MOST_TRIES, or 'skipped'."""
+    step = F.when(~F.coalesce(F.col("fee_status").isin(RETRYABLE), F.lit(False)), "skipped").when(F.coalesce("tries", F.lit(0)) >= MOST_TRIES, "collection_hold").otherwise("retry")
+    return events.select("event_id", step.alias("step"))

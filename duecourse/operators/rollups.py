@@ -10,21 +10,37 @@ from ..functions import scalar as S
 KEY = ["customer_id", "period"]
 
 
+def match_discounts(lines: DataFrame, discounts: DataFrame) -> DataFrame:
+    """Deductions lines(line_id, customer_id, description) with the contract's discount that each applies: discounts(customer_id, ordinal, name, expires).
+
+    One matches whose name contains the other's, in any case; of several the first of the contract. A customer's only
+    discount takes what names none.
+    """
+    met = lines.join(discounts, "customer_id")
+    named = (F.instr(F.lower("description"), F.lower("name")) > 0) | (F.instr(F.lower("name"), F.lower("description")) > 0)
+    only = met.groupBy("line_id").agg(F.min_by(F.struct("name", "expires"), F.when(F.coalesce(named, F.lit(False)), F.col("ordinal"))).alias("x"), F.count("*").alias("n"), F.min(F.struct("name", "expires")).alias("only"))
+    out = F.coalesce("x", F.when(F.col("n") == 1, F.col("only")))
+    return only.select("line_id", out["name"].alias("name"), out["expires"].alias("expires")).where("name is not null or expires is not null")
+
+
 def classified(lines: DataFrame, contracts: DataFrame) -> DataFrame:
-    """lines with their role; a deduction that names the contract's discount is that discount."""
-    rows = lines.join(contracts.select("customer_id", "discount_name"), "customer_id", "left")
+    """lines with their role; a deduction that names the contract's discount is that discount, and has its expiry."""
+    rows = lines.join(contracts.select("customer_id", "discount_name", "discount_expires"), "customer_id", "left")
     named = F.coalesce((F.instr(F.lower("description"), F.lower("discount_name")) > 0) | (F.instr(F.lower("discount_name"), F.lower("description")) > 0), F.lit(False))
-    role = S.line_role(F.col("description"), F.col("amount"), F.lower("description").contains("metered"), F.lit(False), named)
-    return rows.withColumn("role", role).drop("discount_name")
+    flagged = F.coalesce("proration", F.lit(False)) if "proration" in lines.columns else F.lit(False)
+    role = S.line_role(F.col("description"), F.col("amount"), F.lower("description").contains("metered"), flagged, named)
+    return rows.withColumn("role", role).withColumn("expires", F.when(F.col("role") == "discount", F.col("discount_expires"))).drop("discount_name", "discount_expires")
 
 
 def rollup_invoices(lines: DataFrame) -> DataFrame:
-    """Classified lines to a row per customer and month; sums and counts by role in one aggregation."""
-    of = lambda role, c="amount": F.sum(F.when(F.col("role") == role, F.col(c)))
+    """Classified lines to a row per customer and month; sums and counts by role in one aggregation. Seats are base charges."""
+    of = lambda role, c="amount": F.sum(F.when(F.col("role").isin(role), F.col(c)))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(28,2)")).cast("decimal(18,2)")
+    deduction = F.when(F.col("role") == "discount", F.struct(F.col("description").alias("name"), (-F.col("amount")).cast("decimal(18,2)").alias("amount"), "expires"))
     return lines.groupBy(*KEY).agg(
-        of("base").cast("decimal(18,2)").alias("base"), zero(of("overage")).alias("overage"), zero(of("tax")).alias("tax"), of("seat", "quantity").cast("decimal(18,2)").alias("seat_units"),
+        of(["base", "seat"]).cast("decimal(18,2)").alias("base"), zero(of("overage")).alias("overage"), zero(of("tax")).alias("tax"), of("seat", "quantity").cast("decimal(18,2)").alias("seat_units"),
         zero(-of("discount")).alias("discounts"), zero(of("credit")).alias("credits"), F.count(F.when(F.col("role") == "credit", 1)).alias("n_credits"),
+        F.max((F.col("role") == "proration").cast("int")).cast("boolean").alias("prorated"), F.sort_array(F.collect_list(deduction)).alias("applied"),
         F.sum("amount").cast("decimal(18,2)").alias("billed"), F.count("*").alias("n_lines"), F.min("invoice_id").alias("first_invoice"),
     )
 
@@ -51,8 +67,20 @@ def missing_sides(contracts: DataFrame, usage: DataFrame, invoices: DataFrame) -
     sides = usage.select(*KEY, F.lit(1).alias("u"), F.lit(0).alias("i")).union(invoices.select(*KEY, F.lit(0).alias("u"), F.lit(1).alias("i")))
     have = sides.groupBy(*KEY).agg(F.max("u").alias("u"), F.max("i").alias("i"))
     known = sides.groupBy("customer_id").agg(F.lit(1).alias("known"))
-    months = sorted(r.period for r in periods.collect())  # as many as the calendar has
-    grid = contracts.select("customer_id", F.explode(F.array(*[F.lit(m) for m in months]).cast("array<date>")).alias("period"))
+    # as many months as the calendar has: one value for all contracts
+    months = periods.agg(F.sort_array(F.collect_set("period"))).scalar()
+    grid = contracts.select("customer_id", months.alias("months")).select("customer_id", F.explode("months").alias("period"))
     rows = grid.join(have, KEY, "left").join(known, "customer_id", "left")
     reason = F.when(F.col("known").isNull(), "no data").when(F.col("u").isNull() & F.col("i").isNull(), "no usage and no invoice").when(F.coalesce("u", F.lit(0)) == 0, "no usage").when(F.coalesce("i", F.lit(0)) == 0, "no invoice")
     return rows.select(*KEY, reason.alias("reason")).where("reason is not null")
+
+
+def unresolved_labels(labels: DataFrame, resolved: DataFrame) -> DataFrame:
+    """A row per distinct label that no customer was found for, and how many rows have it."""
+    return labels.groupBy("label").agg(F.count("*").alias("rows")).join(resolved.where("customer_id is not null").select("label"), "label", "left_anti")
+
+
+def negative_quantities(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """lines(customer_id, period, units) without those of negative units, and the months these make incomplete, with their number."""
+    bad = F.col("units") < 0
+    return lines.where(~F.coalesce(bad, F.lit(False))), lines.where(bad).groupBy(*KEY).agg(F.count("*").alias("negative"))

@@ -1,58 +1,123 @@
-"""The discrepancy rules: one aligned row per customer and month, one pass, no to many findings and reviews."""
+"""The discrepancy rules: one aligned row per customer and month, one pass, no to many findings and reviews.
+
+A row of facts may lack columns of which a book knows nothing; these count as null. Besides the roll-ups and the contract's
+terms, facts may have `prorated`, `currencies` (an array), `conflicts` (an array of the terms whose values compete), `tiers`
+(array of lower, up_to, rate), `applied` (array of the month's deductions: name, amount, expires), `active_seats`, `confirmed`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.scalar import CONFIDENT, escalator_steps, is_supported, money
+
+MONEY = "decimal(18,2)"
+OPTIONAL = {
+    "prorated": "boolean", "currencies": "array<string>", "conflicts": "array<string>", "tiers": "array<struct<lower:decimal(18,6),up_to:decimal(18,6),rate:decimal(18,6)>>",
+    "applied": "array<struct<name:string,amount:decimal(18,2),expires:date>>", "active_seats": "decimal(18,2)", "confirmed": "boolean", "credit_lines": "array<string>",
+}
+#: Terms whose conflict stops a month, and those that only disable the minimum's rule.
+STOPPING = ["term_start", "term_end"]
 
-from ..functions.scalar import CONFIDENT, escalator_steps, money
+
+def with_optional(facts: DataFrame) -> DataFrame:
+    return facts.withColumns({c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in facts.columns})
 
 
 def with_gate(facts: DataFrame) -> DataFrame:
     """The first gate that stops a row, null if none does."""
     end = F.last_day("period")
-    gate = F.when(end < F.col("effective_date"), "not yet effective").when((F.col("period") > F.col("term_end")) & ~F.col("auto_renew"), "after the term")
-    return facts.withColumn("period_end", end).withColumn("gate", gate)
+    rows = with_optional(facts)
+    currencies = F.coalesce("currencies", F.array().cast("array<string>"))
+    gate = (
+        F.when((F.size(F.array_distinct(currencies)) > 1) | F.exists(currencies, lambda c: ~F.coalesce(is_supported(c), F.lit(False))), "currency")
+        .when(end < F.col("effective_date"), "not yet effective")
+        .when((F.col("period") > F.col("term_end")) & ~F.col("auto_renew"), "after the term")
+        .when(F.arrays_overlap(F.coalesce("conflicts", F.array().cast("array<string>")), F.array(*map(F.lit, STOPPING))), "term dates conflict")
+    )
+    return rows.withColumn("period_end", end).withColumn("gate", gate)
+
+
+def escalated(amount: Column, rate: Column, steps: Column) -> Column:
+    """amount raised by rate once a step, in exact decimals."""
+    factor = (F.lit(1) + rate.cast("decimal(8,6)")).cast("decimal(10,6)")
+    return money(F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), amount.cast("decimal(30,12)"), lambda a, _: (a * factor).cast("decimal(30,12)")))
+
+
+def tiered(units: Column, tiers: Column) -> Column:
+    """units priced band by band; those above a bounded last band aren't charged."""
+    zero = F.lit(0).cast("decimal(30,12)")
+    part = lambda t: (F.greatest(F.least(units, F.coalesce(t["up_to"], units)) - F.least(units, t["lower"]), F.lit(0)) * t["rate"]).cast("decimal(30,12)")
+    return F.aggregate(tiers, zero, lambda a, t: (a + part(t)).cast("decimal(30,12)"))
 
 
 def _outcomes() -> list[tuple[str, Column, Column]]:
-    """(code, condition, amount) of each rule; a null condition or amount doesn't fire."""
-    base, minimum = F.coalesce("base", F.lit(0).cast("decimal(18,2)")), F.col("minimum")
+    """(code, condition, amount) of each rule with one outcome a month; a null condition or amount doesn't fire."""
+    base, minimum = F.coalesce("base", F.lit(0).cast(MONEY)), F.col("minimum")
+    whole = ~F.coalesce("prorated", F.lit(False))
+    sure = ~F.array_contains(F.coalesce("conflicts", F.array().cast("array<string>")), "committed_minimum")
     other = F.col("billed") - base > 0
     lost = (base <= 0.005) & other
     short = minimum - base
-    over = F.greatest(F.col("units") - F.col("included_units"), F.lit(0).cast("decimal(18,2)")) * F.col("overage_rate") - F.col("overage")
+    beyond = F.greatest(F.col("units") - F.col("included_units"), F.lit(0).cast(MONEY))
+    over = F.when(F.size("tiers") > 0, tiered(beyond, F.col("tiers"))).otherwise(beyond * F.col("overage_rate")) - F.col("overage")
     steps = escalator_steps(F.col("escalator_date"), F.col("period_end"))
-    risen = money(minimum.cast("double") * F.pow(1 + F.col("escalator_pct"), steps)) - F.greatest(base, minimum)
-    seats = F.col("committed_seats") - F.col("seat_units")
+    risen = escalated(minimum, F.col("escalator_pct"), steps) - F.greatest(base, minimum)
+    seats = F.greatest("committed_seats", "active_seats") - F.col("seat_units")
+    negative = F.coalesce((F.col("active_seats") < 0) | (F.col("seat_units") < 0), F.lit(False))
     return [
-        ("MISSING_BASE", lost & minimum.isNotNull(), minimum),
-        ("MINIMUM", ~lost & (short > 0), short),
+        ("MISSING_BASE", whole & lost & minimum.isNotNull(), minimum),
+        ("MINIMUM", whole & sure & ~lost & (short > 0), short),
         ("OVERAGE", over > 0.01, over),
-        ("EXPIRED_DISCOUNT", (F.col("discounts") > 0) & (F.col("period") > F.col("discount_expires")), F.col("discounts")),
-        ("ESCALATOR", (steps > 0) & (risen > 0.01), risen),
-        ("SEATS", seats >= 1, seats * F.col("seat_price")),
+        ("ESCALATOR", whole & (steps > 0) & (risen > 0.01), risen),
+        ("SEATS", ~negative & (seats >= 1), seats * F.col("seat_price")),
     ]
 
 
+def _expired() -> Column:
+    """A finding for each deduction whose discount had run out when the month began."""
+    applied = F.when(F.col("applied").isNotNull(), F.col("applied")).otherwise(
+        F.when(F.col("discounts") > 0, F.array(F.struct(F.lit(None).cast("string").alias("name"), F.col("discounts").alias("amount"), F.col("discount_expires").alias("expires"))))
+    )
+    late = F.filter(applied, lambda x: (x["expires"] < F.col("period")) & (x["amount"] > 0))
+    return F.coalesce(F.transform(late, lambda x: F.struct(F.lit("EXPIRED_DISCOUNT").alias("code"), money(x["amount"]).alias("amount"))), F.array().cast("array<struct<code:string,amount:decimal(18,2)>>"))
+
+
 def run_book(facts: DataFrame) -> DataFrame:
     """facts (aligned rows with `minimum`) to findings: finding_id, customer_id, period, code, amount, status.
 
-    A finding without a clause or with low confidence is held for review with its amount. All months and rules are in
-    one plan, and the rules add no shuffle to that of the alignment.
+    A finding without a clause or with low confidence is held for review with its amount; a contract that a human
+    confirmed is sure. All months and rules are in one plan, and the rules add no shuffle to that of the alignment.
+    Where a rule fires more than once in a month its findings are numbered from the second on.
     """
     rows = with_gate(facts).where("gate is null")
-    held = F.when(F.col("clause").isNull(), "no clause").when(F.col("confidence") < CONFIDENT, "low confidence").otherwise("open")
+    confidence = F.when(F.col("confirmed"), 1.0).otherwise(F.col("confidence"))
+    held = F.when(F.coalesce(F.trim("clause"), F.lit("")) == "", "no clause").when(F.coalesce(confidence, F.lit(0.0)) < CONFIDENT, "low confidence").otherwise("open")
     fired = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(code).alias("code"), money(amount).alias("amount"))) for code, test, amount in _outcomes()]))
-    rows = rows.select("customer_id", "customer_name", "period", "confidence", "clause", held.alias("status"), F.inline(fired))
-    number = F.concat_ws("-", F.lit("F"), F.col("customer_id"), F.date_format("period", "yyyyMM"), "code")
-    return rows.withColumn("finding_id", number)
+    every = F.concat(fired, _expired())
+    rows = rows.select("customer_id", "customer_name", "period", "confidence", "clause", held.alias("status"), every.alias("every"))
+    rows = rows.select("*", F.posexplode("every").alias("at", "x"))
+    nth = F.size(F.filter(F.slice("every", 1, F.col("at") + 1), lambda x: x["code"] == F.col("x.code")))
+    number = F.concat_ws("-", F.lit("F"), F.col("customer_id"), F.date_format("period", "yyyyMM"), "code", F.when(nth > 1, nth.cast("string")))
+    return rows.select("customer_id", "customer_name", "period", "confidence", "clause", "status", "x.*", number.alias("finding_id"))
 
 
 def reviews(facts: DataFrame) -> DataFrame:
-    """Rows for a human: gates that stopped a month, credits that are never netted, and months whose usage is incomplete."""
+    """Rows for a human: gates that stopped a month, competing terms, prorated months, credits that are never netted,
+    months whose usage is incomplete, and what keeps a rule from being judged."""
     rows = with_gate(facts)
+    past = (F.col("period") > F.col("term_end")) & F.col("auto_renew") & F.col("escalator_pct").isNotNull() & F.col("escalator_date").isNull()
+    no_seats = F.col("committed_seats").isNotNull() & F.col("seat_units").isNull()
     reason = F.array_compact(F.array(
         F.col("gate"), F.when(F.col("n_credits") > 0, "credits"), F.when(F.col("incomplete"), "several meters"), F.when(F.col("base").isNull(), "no base charge"),
+        F.when(F.col("prorated"), "prorated"), F.when(past, "renewed without an escalator date"), F.when(no_seats, "no seat line"), F.when(F.col("seat_units") < 0, "negative seats"),
     ))
+    reason = F.concat(reason, F.transform(F.coalesce("conflicts", F.array().cast("array<string>")), lambda c: F.concat(F.lit("conflict: "), c)))
     return rows.select("customer_id", "period", F.explode(reason).alias("reason")).distinct()
+
+
+def by_recoverable(findings: DataFrame) -> DataFrame:
+    """findings with their place in order of amount, largest first; of equal amounts the least id first."""
+    return findings.withColumn("place", F.row_number().over(Window.partitionBy("period").orderBy(F.desc("amount"), "finding_id")))

@@ -6,28 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+MONEY = "decimal(18,2)"
+DEFAULT = "__default__"
 
-def minimum_asof(schedule: DataFrame, panel: DataFrame) -> DataFrame:
-    """panel(customer_id, period) with the minimum in force: the latest entry by period start, else the earliest of all.
 
-    An equi-join on the customer with a range condition inside the aggregation; of entries with one date the first counts.
+def _held(entries: DataFrame, panel: DataFrame, keys: list[str]) -> DataFrame:
+    """panel(keys, period) with `value`, the last of entries(keys, effective, value, seq) by then, and `earliest`, the first of all.
+
+    Entries and months go into one order per key, in which the last entry's value is carried on: one shuffle, no join of
+    every month with every entry. An entry without a date holds from the beginning; of one date the first entry counts.
     """
-    rows = panel.join(schedule.select("customer_id", "effective", "value", "seq"), "customer_id")
-    known = F.when(F.col("effective") <= F.col("period"), F.struct("effective", -F.col("seq")))
-    return rows.groupBy("customer_id", "period").agg(F.coalesce(F.max_by("value", known), F.min_by("value", F.struct("effective", "seq"))).alias("minimum"))
+    day = F.coalesce("effective", F.lit("0001-01-01").cast("date"))
+    rows = entries.select(*keys, day.alias("day"), F.lit(0).alias("month"), "value", "seq").union(panel.select(*keys, F.col("period").alias("day"), F.lit(1), F.lit(None).cast(dict(entries.dtypes)["value"]), F.lit(None).cast("long")))
+    order = Window.partitionBy(*keys).orderBy("day", "month", F.desc("seq"))
+    first = F.min_by("value", F.when(F.col("month") == 0, F.struct("day", "seq"))).over(Window.partitionBy(*keys))
+    rows = rows.withColumns({"held": F.last("value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "earliest": first})
+    return rows.where("month = 1").select(*keys, F.col("day").alias("period"), F.col("held").alias("value"), "earliest")
+
+
+def minimum_asof(schedule: DataFrame, panel: DataFrame) -> DataFrame:
+    """panel(customer_id, period) with the minimum in force: the latest entry by period start, else the earliest of all."""
+    return _held(schedule, panel, ["customer_id"]).select("customer_id", "period", F.coalesce("value", "earliest").alias("minimum")).where("minimum is not null")
 
 
 def active_terms(terms: DataFrame, panel: DataFrame, by: list[str]) -> DataFrame:
-    """The latest entry by period start for each customer, month and `by`; none where all start later."""
-    rows = panel.join(terms, "customer_id").where("effective <= period")
-    return rows.groupBy("customer_id", "period", *by).agg(F.max_by("value", F.struct("effective", -F.col("seq"))).alias("value"))
+    """The latest entry by period start for each customer, month and `by`; none where all start later. A missing scope is a scope of its own."""
+    named = terms.withColumn("scope", F.coalesce("scope", F.lit(DEFAULT))) if "scope" in by else terms
+    months = panel.join(named.select("customer_id", *by).distinct(), "customer_id")
+    return _held(named, months, ["customer_id", *by]).where("value is not null").drop("earliest")
+
+
+def active_minimums(schedule: DataFrame, panel: DataFrame) -> DataFrame:
+    """The minimum of each scope that has begun by the month and not ended before it; no fallback. schedule has `ends`, null for open."""
+    rows = panel.join(schedule.withColumn("scope", F.coalesce("scope", F.lit(DEFAULT))), "customer_id").where("coalesce(effective <= period, true) and coalesce(ends >= period, true)")
+    return rows.groupBy("customer_id", "period", "scope").agg(F.max_by("value", F.struct(F.col("effective").isNotNull(), "effective", -F.col("seq"))).alias("value"))
 
 
 def resolve_scalar_terms(terms: DataFrame) -> DataFrame:
-    """One value per customer and term type, or a conflict: several values on one date."""
+    """One value per customer and term type, or a conflict: several values on one date, undated ones counting as one date."""
     keys = ["customer_id", "term_type"]
     dated = terms.groupBy(*keys, "effective").agg(F.count_distinct("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    each = dated.groupBy(*keys).agg(F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"), F.max_by("low", "effective").alias("latest"))
+    order = F.struct(F.col("effective").isNotNull(), "effective")
+    each = dated.groupBy(*keys).agg(F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"), F.max_by("low", order).alias("latest"))
     status = F.when(F.col("low") == F.col("high"), "single").when(F.col("most") > 1, "conflict").otherwise("latest")
     return each.select(*keys, status.alias("status"), F.when(status != "conflict", F.col("latest")).alias("value"))
 
@@ -39,6 +59,66 @@ def minimum_conflicts(terms: DataFrame) -> DataFrame:
     return groups.where("n > 1")
 
 
+def undated_minimums(schedule: DataFrame) -> DataFrame:
+    """Undated values of a scope that has dated ones: which of them holds is open, so they are left out of the schedule."""
+    scopes = schedule.groupBy("customer_id", "scope").agg(F.count("effective").alias("dated")).where("dated > 0")
+    return schedule.where("effective is null").join(scopes, ["customer_id", "scope"]).select("customer_id", "scope", "value").distinct()
+
+
+def minimum_meta(schedule: DataFrame) -> DataFrame:
+    """Where a customer's governing minimum, the latest, comes from, and the least confidence of all its entries."""
+    return schedule.groupBy("customer_id").agg(F.max_by("source", F.struct(F.col("effective").isNotNull(), "effective", -F.col("seq"))).alias("source"), F.min("confidence").alias("confidence"))
+
+
+def term_history(terms: DataFrame) -> DataFrame:
+    """Every value that a term ever had, numbered by date; what comes twice counts once."""
+    order = Window.partitionBy("customer_id", "term_type", "scope").orderBy(F.col("effective").asc_nulls_first(), "seq")
+    return terms.withColumn("nth", F.row_number().over(order)).select("customer_id", "term_type", "scope", "nth", "effective", "value")
+
+
+def dedupe_terms(terms: DataFrame, columns: list[str]) -> DataFrame:
+    """Of terms equal in these columns the first by seq, whole."""
+    return terms.groupBy(*columns).agg(F.min_by(F.struct(*terms.columns), "seq").alias("x")).select("x.*")
+
+
+def apply_resolutions(terms: DataFrame, conflicts: DataFrame, choices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """terms with each conflicting date's values replaced by the chosen one, and the conflicts that nobody has decided.
+
+    conflicts and choices(chosen) are by customer_id, term_type, scope and effective.
+    """
+    keys = ["customer_id", "term_type", "scope", "effective"]
+    decided = choices.join(conflicts.select(keys), keys, "left_semi")
+    rows = terms.join(decided.select(*keys, "chosen"), keys, "left").where("chosen is null or value = chosen")
+    return dedupe_terms(rows.drop("chosen"), [*keys, "value"]), conflicts.join(decided, keys, "left_anti")
+
+
+def assemble_agreements(documents: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One agreement per counterparty: governing terms, the documents' places in it, and reviews.
+
+    documents(doc_id, counterparty, role, dated), terms(doc_id, seq, term_type, scope, effective, value). The latest
+    master governs, older ones are superseded; without a master the earliest dated document anchors. Dated amendments
+    override in order of date, undated ones are flagged and not applied. Order forms, exhibits and statements of work
+    fill gaps; where they disagree with the anchor a review says so. Terms with a scope accumulate.
+    """
+    per = Window.partitionBy("counterparty")
+    master = F.max(F.when(F.col("role") == "master", F.struct(F.col("dated").isNotNull(), "dated", -F.col("doc_id")))).over(per)
+    oldest = F.min(F.when(F.col("dated").isNotNull(), F.struct("dated", "doc_id"))).over(per)
+    docs = documents.withColumns({"master": -master["col3"], "oldest": oldest["doc_id"]})
+    anchor = F.coalesce("master", "oldest")
+    place = F.when(F.col("doc_id") == anchor, "anchor").when(F.col("role") == "master", "superseded").when((F.col("role") == "amendment") & F.col("dated").isNull(), "undated").when(F.col("role") == "amendment", "amendment").otherwise("supplement")
+    docs = docs.select("doc_id", "counterparty", "role", "dated", place.alias("place"))
+    rows = terms.join(docs, "doc_id")
+    rank = F.when(F.col("place") == "amendment", 0).when(F.col("place") == "anchor", 1).when(F.col("place") == "supplement", 2)
+    live = rows.where("place not in ('superseded', 'undated')").withColumn("rank", rank)
+    order = Window.partitionBy("counterparty", "term_type").orderBy("rank", F.when(F.col("rank") == 0, F.col("dated")).desc_nulls_last(), "doc_id", "seq")
+    plain = live.where("scope is null").withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    kept = plain.select("counterparty", "term_type", "scope", "effective", "value", "doc_id").union(live.where("scope is not null").select("counterparty", "term_type", "scope", "effective", "value", "doc_id"))
+    held = live.where("place = 'anchor' and scope is null").groupBy("counterparty", "term_type").agg(F.min_by("value", "seq").alias("own"))
+    differ = live.where("place = 'supplement' and scope is null").join(held, ["counterparty", "term_type"]).where("value <> own").select("counterparty", "doc_id", F.concat(F.lit("disagrees on "), "term_type").alias("reason"))
+    flagged = docs.where("place in ('superseded', 'undated')").select("counterparty", "doc_id", F.when(F.col("place") == "undated", "undated amendment").otherwise("superseded").alias("reason"))
+    return kept, docs, differ.union(flagged).distinct()
+
+
 def tier_bands(tiers: DataFrame) -> DataFrame:
     """tiers(rule, up_to, rate) with each band's lower bound; an open band comes last."""
     order = Window.partitionBy("rule").orderBy(F.col("up_to").asc_nulls_last())
@@ -53,6 +133,7 @@ def tiered_amount(quantities: DataFrame, tiers: DataFrame) -> DataFrame:
 
 
 def renewal_calendar(contracts: DataFrame, today: str, notice_days: int = 60) -> DataFrame:
+    """Each contract's notice deadline and state on a day, in the order to look at them: deadline, then end, unknown last."""
     day, deadline = F.lit(today).cast("date"), F.date_sub("term_end", notice_days)
     state = F.when(F.col("term_end").isNull(), "unknown").when(F.col("term_end") < day, "expired").when(deadline <= day, "notice_window_open").when(F.datediff(deadline, day) <= 90, "upcoming_90d").otherwise("later")
     return contracts.select("customer_id", "term_end", deadline.alias("notice_deadline"), state.alias("state"))

@@ -15,6 +15,14 @@ def _rules(spark: SparkSession, d: str) -> DataFrame:
     return casebook.rules(book.contracts(spark, d))
 
 
+def _faulty(rules: DataFrame) -> DataFrame:
+    """Rules of which some fail in one way each."""
+    k = F.col("customer_id") % 23
+    calc = F.col("calc").withField("type", F.when(k == 1, "cube").when(k == 4, "min_of").otherwise(F.col("calc.type"))).withField("operands", F.when(k == 4, F.slice("calc.operands", 1, 1)).otherwise(F.col("calc.operands")))
+    nodes = F.when(k == 3, F.transform("nodes", lambda n: n.withField("op", F.lit("near")))).when(k == 5, F.flatten(F.array_repeat("nodes", R.MAX_NODES + 1))).otherwise(F.col("nodes"))
+    return rules.withColumns({"calc": calc, "nodes": nodes, "constants": F.when(k == 2, F.map_filter("constants", lambda name, _: name != "r1")).otherwise(F.col("constants"))})
+
+
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     contracts, usage, invoices = _tables(spark, d)
     return R.evaluate_rules(casebook.rules(contracts), casebook.observations(usage, invoices))
@@ -35,7 +43,7 @@ QUERIES = {
     "rule_findings": lambda s, d: _doubles(R.rule_findings(_evaluated(s, d))),
     "rule_tiers": lambda s, d: R.flatten_rules(_rules(s, d))["tiers"],
     "rule_nodes": lambda s, d: R.flatten_rules(_rules(s, d))["nodes"].select("right_id", "ordinal", "op", "parent"),
-    "validate_rules": lambda s, d: R.validate_rules(_rules(s, d)),
+    "validate_rules": lambda s, d: R.validate_rules(_faulty(_rules(s, d))),
     "ground_constants": lambda s, d: R.ground_constants(_rules(s, d)),
     "gate_candidates": lambda s, d: R.gate_candidates(_candidates(s, d), ["amount_supported", "scope_supported"]),
     "case_ledger": lambda s, d: _doubles(_ledger(s, d)),
@@ -81,7 +89,7 @@ lines AS (SELECT *, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_ship
 acts AS (
   SELECT l_orderkey AS case_id, arg_max(price, (day, price)) FILTER (l_linenumber % 4 <> 0) AS asked, min(day) AS first_action, bool_or(l_linenumber % 4 <> 0 AND l_linenumber % 7 = 0) AS disputed,
     array_to_string(list_sort(list(DISTINCT CASE WHEN l_linestatus = 'O' THEN 'credit_request' ELSE 'corrective_invoice' END)), ',') AS action_types, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS channels FROM lines GROUP BY ALL),
-moves AS (SELECT l_orderkey AS case_id, back, CASE WHEN l_linestatus = 'O' THEN 'settlement' ELSE 'paid_invoice' END AS basis, price AS amount, day FROM lines WHERE l_linenumber <= 3),
+moves AS (SELECT l_orderkey AS case_id, back, CASE WHEN l_linestatus = 'O' THEN 'settlement' ELSE 'paid_invoice' END AS basis, price AS amount, day FROM lines),
 came AS (SELECT case_id, sum(amount) FILTER (NOT back) AS realized, sum(amount) FILTER (back) AS reversed, min(day) FILTER (NOT back) AS first_realized, max(day) FILTER (NOT back) AS last_realized FROM moves GROUP BY case_id),
 nets AS (
   SELECT c.*, coalesce(asked, potential) AS requested, coalesce(realized, 0) AS realized, coalesce(reversed, 0) AS reversed, CAST(coalesce(realized, 0) - coalesce(reversed, 0) AS DECIMAL(18,2)) AS net, first_action, first_realized, last_realized, disputed,
@@ -108,8 +116,10 @@ ORACLES = {
     "rule_findings": _RULES + "SELECT 'F-' || substr(sha1(right_id || '|' || customer_id || '|' || strftime(period, '%Y-%m')), 1, 8) AS finding_id, right_id, customer_id, CAST(period AS VARCHAR) AS period, CAST(expected AS DOUBLE) AS expected, CAST(actual AS DOUBLE) AS actual, CAST(recoverable AS DOUBLE) AS recoverable FROM evaluated WHERE recoverable > 0",
     "rule_tiers": "SELECT 'R-' || c_custkey AS right_id, CAST(ordinal AS INTEGER) AS ordinal, up_to, rate FROM customer, (VALUES (0, 't1', 'r1'), (1, 't2', 'r2'), (2, NULL, 'r3')) t(ordinal, up_to, rate)",
     "rule_nodes": "SELECT 'R-' || c_custkey AS right_id, CAST(ordinal AS INTEGER) AS ordinal, op, CAST(parent AS INTEGER) AS parent FROM customer JOIN (VALUES (0, 0, 'gt', 1), (0, 1, 'event_exists', 1), (0, 2, 'or', 0), (0, 3, 'date_reached', 0), (0, 4, 'and', NULL), (1, 0, 'gte', NULL)) t(odd, ordinal, op, parent) ON c_custkey % 2 = odd",
-    "validate_rules": "SELECT 'R-' || c_custkey AS right_id, 'valid' AS status, '' AS reasons FROM customer",
-    "ground_constants": "SELECT 'R-' || c_custkey AS right_id, name, true AS grounded FROM customer, (VALUES ('minimum'), ('rate'), ('above')) t(name)",
+    "validate_rules": """SELECT 'R-' || c_custkey AS right_id, CASE WHEN c_custkey % 23 IN (1, 3) THEN 'unsupported' WHEN c_custkey % 23 IN (2, 4) THEN 'needs_review' WHEN c_custkey % 23 = 5 THEN 'rejected' ELSE 'valid' END AS status,
+      CASE c_custkey % 23 WHEN 1 THEN 'unknown calculation' WHEN 2 THEN 'undeclared constant' WHEN 3 THEN 'unknown operator' WHEN 4 THEN 'operands missing' WHEN 5 THEN 'too many nodes' ELSE '' END AS reasons FROM customer""",
+    "ground_constants": """SELECT 'R-' || c_custkey AS right_id, name, CASE name WHEN 't1' THEN c_custkey % 7 = 1 OR c_custkey % 20 = 10 WHEN 't2' THEN c_custkey % 7 = 5 WHEN 'r3' THEN c_custkey % 20 = 1 ELSE name IN ('minimum', 'rate', 'above') END AS grounded
+      FROM customer, (VALUES ('minimum'), ('rate'), ('above'), ('cap'), ('floor'), ('t1'), ('t2'), ('r1'), ('r2'), ('r3')) t(name)""",
     "gate_candidates": """SELECT 'R-' || c_custkey AS right_id, CASE WHEN c_custkey % 17 = 0 OR c_custkey % 19 = 0 THEN 'rejected' WHEN reasons <> '' THEN 'needs_review' ELSE 'accepted' END AS status, reasons FROM (
       SELECT c_custkey, concat_ws('; ', CASE WHEN c_custkey % 3 = 0 THEN 'amount_supported' END, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 4 = 0 THEN 'scope_supported' END, CASE WHEN c_custkey % 11 = 0 THEN 'low confidence' END) AS reasons FROM customer)""",
     "case_ledger": _cases("case_id, customer_id, kind, status, days, dispute, resolution, action_types, channels", "potential requested realized reversed net outstanding shortfall fee", "ledger", "first_action first_realized last_realized"),

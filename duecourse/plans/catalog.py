@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import casework, evidence, registry
+from . import casework, evidence, extended, registry
 
 FLAGSHIP = registry.FLAGSHIP
-QUERIES = {**registry.QUERIES, **casework.QUERIES, **evidence.QUERIES}
-ORACLES = {**registry.ORACLES, **casework.ORACLES, **evidence.ORACLES}
+QUERIES = {**registry.QUERIES, **casework.QUERIES, **evidence.QUERIES, **extended.QUERIES}
+ORACLES = {**registry.ORACLES, **casework.ORACLES, **evidence.ORACLES, **extended.ORACLES}

@@ -43,7 +43,7 @@ QUERIES = {
     "not_evaluable_rights": lambda s, d: _doubles(P.not_evaluable(_rights(s, d), _observations(s, d))),
     "link_findings": lambda s, d: _doubles(P.link_findings(_findings(s, d), _rights(s, d), _observations(s, d))),
     "recovery_projection": lambda s, d: P.recovery_projection(casebook.cases(s, d)),
-    "expected_charge_ledger": lambda s, d: _doubles(_charges(s, d)),
+    "expected_charge_ledger": lambda s, d: _doubles(_charges(s, d).drop("metered")),
     "ledger_line_match": lambda s, d: _matched(s, d).select("line_id", "kind", "charge"),
     "unmatched_lines": lambda s, d: C.unmatched_lines(casebook.scoped_lines(s, d), _matched(s, d)).select("line_id", "kind", "scope", "label"),
     "ledger_variance": lambda s, d: _doubles(_variance(s, d)),
@@ -82,23 +82,24 @@ wide AS (
 sized AS (
   SELECT w.*, u.units, i.seat_units, greatest(committed, i.seat_units) * seat_price AS seat FROM wide w JOIN invoices i USING (customer_id, period) LEFT JOIN usage u USING (customer_id, period)),
 parts AS (
-  SELECT customer_id, period, scope, 'base' AS kind, CAST(greatest(minimum - coalesce(seat, 0), 0) AS DECIMAL(18,2)) AS expected, NULL AS review FROM sized WHERE minimum IS NOT NULL
-  UNION ALL SELECT customer_id, period, scope, 'seat', CAST(seat AS DECIMAL(18,2)), CASE WHEN committed IS NULL THEN 'no committed seats' WHEN seat_units IS NULL THEN 'no active seats' END FROM sized WHERE seat IS NOT NULL
-  UNION ALL SELECT customer_id, period, scope, 'overage', CAST(greatest(units - included, 0) * rate AS DECIMAL(18,2)), NULL FROM sized WHERE units IS NOT NULL AND included IS NOT NULL AND rate IS NOT NULL),
+  SELECT customer_id, period, scope, 'base' AS kind, CAST(greatest(minimum - coalesce(seat, 0), 0) AS DECIMAL(18,2)) AS expected, NULL AS review, NULL::DECIMAL(18,6) AS rate, NULL::DECIMAL(18,6) AS metered FROM sized WHERE minimum IS NOT NULL
+  UNION ALL SELECT customer_id, period, scope, 'seat', CAST(seat AS DECIMAL(18,2)), CASE WHEN committed IS NULL THEN 'no committed seats' WHEN seat_units IS NULL THEN 'no active seats' END, seat_price, NULL FROM sized WHERE seat IS NOT NULL
+  UNION ALL SELECT customer_id, period, scope, 'overage', CAST(greatest(units - included, 0) * rate AS DECIMAL(18,2)), NULL, rate, greatest(units - included, 0) FROM sized WHERE units IS NOT NULL AND included IS NOT NULL AND rate IS NOT NULL),
 counted AS (SELECT *, count(*) OVER (PARTITION BY customer_id, period, kind) AS n_scopes FROM parts),
-charges AS (SELECT * REPLACE (CASE WHEN kind = 'overage' AND n_scopes > 1 THEN 'several scopes on one meter' ELSE review END AS review) FROM counted),
-lines AS (
+charges AS MATERIALIZED (SELECT * REPLACE (CASE WHEN kind = 'overage' AND n_scopes > 1 THEN 'several scopes on one meter' ELSE review END AS review) FROM counted),
+lines AS MATERIALIZED (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_id, o_custkey AS customer_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CASE WHEN l_returnflag = 'R' THEN 'overage' WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'seat' ELSE 'base' END AS kind,
-    CASE WHEN l_linenumber % 2 = 0 THEN 'zone-' || o_orderstatus END AS scope, CASE l_linenumber % 4 WHEN 1 THEN 'subscription' WHEN 3 THEN 'plan zone-' || lower(o_orderstatus) ELSE 'other' END AS label, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount
+    CASE WHEN l_linenumber % 2 = 0 THEN 'zone-' || o_orderstatus END AS scope, CASE l_linenumber % 4 WHEN 1 THEN 'subscription' WHEN 3 THEN 'plan zone-' || lower(o_orderstatus) ELSE 'other' END AS label, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, CAST(l_quantity AS DECIMAL(18,2)) AS quantity
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-matches AS (
-  SELECT l.line_id, l.customer_id, l.period, l.kind, l.amount, min(c.scope) AS charge FROM lines l JOIN charges c ON c.customer_id = l.customer_id AND c.period = l.period AND c.kind = l.kind AND c.review IS NULL
+matches AS MATERIALIZED (
+  SELECT l.line_id, l.customer_id, l.period, l.kind, l.amount, l.quantity, min(c.scope) AS charge FROM lines l JOIN charges c ON c.customer_id = l.customer_id AND c.period = l.period AND c.kind = l.kind AND c.review IS NULL
   WHERE coalesce(l.scope = c.scope, false) OR contains(l.label, lower(c.scope)) OR (c.n_scopes = 1 AND l.scope IS NULL AND (l.kind <> 'base' OR l.label = 'subscription')) GROUP BY ALL),
-billed AS (SELECT customer_id, period, kind, charge AS scope, sum(amount) AS billed, count(*) AS n_lines FROM matches GROUP BY ALL),
-there AS (SELECT DISTINCT customer_id, period, kind, true AS has FROM lines),
-gaps AS (SELECT c.customer_id, c.period, c.kind, c.scope, c.expected, c.review, coalesce(b.billed, 0) AS billed, coalesce(b.n_lines, 0) AS n_lines, has, c.expected - coalesce(b.billed, 0) AS gap FROM charges c LEFT JOIN billed b USING (customer_id, period, kind, scope) LEFT JOIN there t USING (customer_id, period, kind)),
+billed AS MATERIALIZED (SELECT customer_id, period, kind, charge AS scope, sum(amount) AS billed, count(*) AS n_lines, count(quantity) AS n_quantities, sum(quantity) AS quantity FROM matches GROUP BY ALL),
+there AS MATERIALIZED (SELECT DISTINCT customer_id, period, kind, true AS has FROM lines),
+gaps AS (SELECT c.customer_id, c.period, c.kind, c.scope, c.expected, c.review, c.rate, coalesce(b.billed, 0) AS billed, coalesce(b.n_lines, 0) AS n_lines, has, c.expected - coalesce(b.billed, 0) AS gap,
+  coalesce(b.n_quantities > 0 AND b.n_quantities < b.n_lines, false) AS partial, CAST(round(coalesce(b.billed, 0) / nullif(CAST(CASE WHEN b.n_quantities = b.n_lines THEN b.quantity WHEN b.n_quantities = 0 THEN c.metered END AS DOUBLE), 0), 6) AS DECIMAL(18,6)) AS derived_rate FROM charges c LEFT JOIN billed b USING (customer_id, period, kind, scope) LEFT JOIN there t USING (customer_id, period, kind)),
 variance AS (
-  SELECT *, CASE WHEN outcome IN ('missing', 'underbilled') THEN gap ELSE 0 END AS recoverable FROM (SELECT *, CASE WHEN review IS NOT NULL THEN review WHEN n_lines = 0 AND has THEN 'lines do not match' WHEN gap > 0.01 AND n_lines = 0 THEN 'missing' WHEN gap > 0.01 THEN 'underbilled' WHEN gap < -0.01 THEN 'overbilled' ELSE 'met' END AS outcome FROM gaps))
+  SELECT *, CASE WHEN outcome IN ('missing', 'underbilled', 'tariff mismatch') THEN gap ELSE 0 END AS recoverable FROM (SELECT *, CASE WHEN review IS NOT NULL THEN review WHEN n_lines = 0 AND has THEN 'lines do not match' WHEN partial AND rate IS NOT NULL THEN 'partial quantities' WHEN gap > 0.01 AND n_lines = 0 THEN 'missing' WHEN gap > 0.01 AND abs(derived_rate - rate) > 0.000001 THEN 'tariff mismatch' WHEN gap > 0.01 THEN 'underbilled' WHEN gap < -0.01 THEN 'overbilled' ELSE 'met' END AS outcome FROM gaps))
 """
 )
 
@@ -114,10 +115,10 @@ ORACLES = {
       FROM (SELECT *, CASE code WHEN 'OVERAGE' THEN 'overage' WHEN 'EXPIRED_DISCOUNT' THEN 'discounts' WHEN 'SEATS' THEN 'seats' ELSE 'base' END AS type, CASE code WHEN 'OVERAGE' THEN 'overage' WHEN 'EXPIRED_DISCOUNT' THEN 'discount' WHEN 'SEATS' THEN 'seats' WHEN 'ESCALATOR' THEN 'escalator' ELSE 'minimum' END AS family FROM findings) f
       LEFT JOIN rights r ON r.customer_id = f.customer_id AND r.family = f.family LEFT JOIN observations o ON o.customer_id = f.customer_id AND o.period = f.period AND o.type = f.type""",
     "recovery_projection": f"SELECT {_id('action', 'o_orderkey')} AS action_id, o_orderkey AS case_id, CASE WHEN o_orderstatus = 'F' THEN 'recovered' WHEN o_orderstatus = 'P' THEN 'disputed' WHEN o_orderkey % 4 = 0 THEN 'requested' WHEN o_orderkey % 4 = 1 THEN 'written_off' ELSE 'rejected' END AS outcome FROM orders WHERE o_orderstatus IN ('F', 'P') OR o_orderkey % 4 < 3",
-    "expected_charge_ledger": _select("customer_id, scope, kind, review, n_scopes", "charges", "expected", "period").replace(_BOOK, _PRICED),
+    "expected_charge_ledger": _select("customer_id, scope, kind, review, n_scopes", "charges", "expected rate", "period").replace(_BOOK, _PRICED),
     "ledger_line_match": _PRICED + "SELECT line_id, kind, charge FROM matches",
     "unmatched_lines": _PRICED + "SELECT line_id, kind, scope, label FROM lines WHERE line_id NOT IN (SELECT line_id FROM matches)",
-    "ledger_variance": _select("customer_id, kind, scope, n_lines, outcome", "variance", "expected billed recoverable", "period").replace(_BOOK, _PRICED),
+    "ledger_variance": _select("customer_id, kind, scope, n_lines, outcome", "variance", "expected billed derived_rate recoverable", "period").replace(_BOOK, _PRICED),
     # all pages but a document's last have 3000 characters: 19 of them fill a window, and a short last page may be the 20th
     "chunk_pages": """WITH sized AS (SELECT doc_id, greatest(1, CAST(ceil(length(coalesce(text, '')) / 3000) AS BIGINT)) AS n, length(coalesce(text, '')) AS chars FROM documents),
       starts AS (SELECT *, unnest(range(0, n, 18)) AS s FROM sized), ends AS (SELECT *, n - s <= 19 OR (n - s = 20 AND chars - (n - 1) * 3000 + 14 + 19 * 3014 <= 60000) AS is_last FROM starts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,6 @@ from ..sources import book
 from ..streaming import assurance
 
 FLAGSHIP = "run_book"
-LEXICON = "[a-z]*tion"
 
 
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -46,6 +47,13 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.col("user_id").alias("case_id"), F.when(F.col("event_type") == "error", "reversal").otherwise("realization").alias("kind"), F.col("value").cast("decimal(18,2)").alias("amount"), "ts")
 
 
+def _replayed(spark: SparkSession, d: str) -> DataFrame:
+    """Recovery events by session, those of every 97th id sent twice."""
+    e = _events(spark, d)
+    by_user = e.withColumn("case_id", F.col("event_id") % 1000 + F.col("case_id") * 1000)
+    return by_user.union(by_user.where("event_id % 97 = 0"))
+
+
 def _changes(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.select("event_id", F.col("event_type").alias("trigger"), F.col("user_id").alias("customer_id"), F.date_format("ts", "yyyy-MM").alias("period"), F.floor("value").cast("string").alias("payload"), F.col("value").cast("decimal(18,2)").alias("value"), F.col("ts").alias("received_at"))
@@ -74,7 +82,7 @@ QUERIES = {
     "run_book": lambda s, d: _doubles(_findings(s, d).select("finding_id", "customer_id", "period", "code", "amount", "status")),
     "reviews": lambda s, d: _doubles(rules.reviews(_facts(s, d))),
     "classify_line": lambda s, d: _doubles(rollups.classified(book.invoice_lines(s, d), book.contracts(s, d)).groupBy("role").agg(F.count("*").alias("lines"), F.sum("amount").cast("decimal(18,2)").alias("amount"))),
-    "invoice_rollup": lambda s, d: _doubles(_tables(s, d)[2]),
+    "invoice_rollup": lambda s, d: _doubles(_tables(s, d)[2].drop("applied", "prorated")),
     "usage_rollup": lambda s, d: _doubles(_tables(s, d)[1]),
     "duplicate_rows": lambda s, d: _doubles(rollups.kept_once(book.invoice_lines(s, d), ["customer_id", "period", "description", "amount", "quantity"])),
     "book_align": lambda s, d: _doubles(_facts(s, d).select("customer_id", "period", "units", "base", "overage", "billed", "minimum")),
@@ -95,17 +103,17 @@ QUERIES = {
     "trueup_pack": lambda s, d: _doubles(reports.trueup_pack(_findings(s, d))),
     "command_center_metrics": lambda s, d: _doubles(reports.command_center(_findings(s, d))),
     "top_sources": lambda s, d: _doubles(reports.top_kinds(_findings(s, d))),
-    "rank_cases": lambda s, d: reports.rank_cases(_findings(s, d), "2002-01-01").withColumn("score", F.round("score", 3)),
+    "rank_cases": lambda s, d: reports.rank_cases(_findings(s, d), "1999-01-01"),
     "net_realized": lambda s, d: _doubles(reports.net_realized(_events(s, d)).drop("first_ts")),
     "running_reversal_guard": lambda s, d: _doubles(reports.reversal_guard(_events(s, d))),
-    "ledger_integrity": lambda s, d: _doubles(reports.ledger_integrity(_events(s, d))),
+    "ledger_integrity": lambda s, d: _doubles(reports.ledger_integrity(_replayed(s, d))),
     "event_identity": lambda s, d: assurance.event_identity(_changes(s, d)).select("event_id", "event_key"),
     "dedupe_events": lambda s, d: assurance.dedupe_events(_changes(s, d)).select("event_key", "event_id"),
     "event_panel": lambda s, d: _doubles(assurance.event_panel(_changes(s, d)).withColumn("start", F.date_format("start", "yyyy-MM-dd"))),
     "fee_status_fold": lambda s, d: assurance.fee_status(_changes(s, d), {"purchase": "paid", "error": "payment_failed"}),
     "impacted_scope": lambda s, d: _doubles(assurance.impacted_scope(_changes(s, d).where("trigger = 'purchase'"), _tables(s, d)[2])),
     "pseudo_pages": lambda s, d: D.pseudo_pages(s.read.parquet(f"{d}/documents.parquet")).select("doc_id", "page", F.sha2("text", 256).alias("page_sha256")),
-    "critical_terms": lambda s, d: D.critical_terms(D.pseudo_pages(s.read.parquet(f"{d}/documents.parquet")), LEXICON),
+    "critical_terms": lambda s, d: D.critical_terms(D.pseudo_pages(s.read.parquet(f"{d}/documents.parquet")), D.CRITICAL),
     "quote_in_document": _quote_table,
 }
 
@@ -119,6 +127,7 @@ _ROLE = r"""CASE WHEN regexp_matches(description, '\b(prorat\w*|partial period|u
   WHEN contains(lower(description), 'metered') OR contains(lower(description), 'overage') THEN 'overage'
   WHEN regexp_matches(description, '\b(seat|user|license|licence)s?\b', 'i') THEN 'seat' ELSE 'base' END"""
 _D = "DECIMAL(18,2)"
+_POWERS = " ".join(f"WHEN {n} THEN {Decimal('1.04') ** n}::DECIMAL(16,14)" for n in range(1, 8))
 _BOOK = f"""WITH contracts AS (
   SELECT c_custkey AS customer_id, c_name AS customer_name, CAST(c_custkey % 40 * 2 AS {_D}) AS included_units, CAST((c_custkey % 7 + 1) * 10 AS {_D}) AS overage_rate,
     CASE WHEN c_custkey % 5 = 0 THEN 0.04::DOUBLE END AS escalator_pct, DATE '1995-01-01' + CAST(c_custkey % 700 AS INTEGER) AS escalator_date,
@@ -141,7 +150,7 @@ invoice_lines AS (
     UNION ALL SELECT customer_id, period, invoice_id, 'Sales tax', CAST(round(price * tax, 2) AS {_D}), NULL FROM items) WHERE amount <> 0),
 classified AS (SELECT *, {_ROLE} AS role FROM invoice_lines),
 invoices AS (
-  SELECT customer_id, period, CAST(sum(amount) FILTER (role = 'base') AS {_D}) AS base, CAST(coalesce(sum(amount) FILTER (role = 'overage'), 0) AS {_D}) AS overage,
+  SELECT customer_id, period, CAST(sum(amount) FILTER (role IN ('base', 'seat')) AS {_D}) AS base, CAST(coalesce(sum(amount) FILTER (role = 'overage'), 0) AS {_D}) AS overage,
     CAST(coalesce(sum(amount) FILTER (role = 'tax'), 0) AS {_D}) AS tax, CAST(sum(quantity) FILTER (role = 'seat') AS {_D}) AS seat_units,
     CAST(coalesce(-sum(amount) FILTER (role = 'discount'), 0) AS {_D}) AS discounts, CAST(coalesce(sum(amount) FILTER (role = 'credit'), 0) AS {_D}) AS credits,
     count(*) FILTER (role = 'credit') AS n_credits, CAST(sum(amount) AS {_D}) AS billed, count(*) AS n_lines, min(invoice_id) AS first_invoice FROM classified GROUP BY ALL),
@@ -161,17 +170,17 @@ steps AS (
   SELECT *, coalesce(base, 0) AS b, greatest(0, 1 + year(period_end) - year(escalator_date) - CAST(month(period_end) * 100 + day(period_end) < month(escalator_date) * 100 + day(escalator_date) AS INTEGER)) AS n,
     greatest(units - included_units, 0) * overage_rate - overage AS over, committed_seats - seat_units AS seats FROM facts WHERE gate IS NULL),
 outcomes AS (
-  SELECT *, CAST(CAST(minimum AS DOUBLE) * pow(1 + escalator_pct, n) AS {_D}) - greatest(b, minimum) AS risen, b <= 0.005 AND billed - b > 0 AS lost FROM steps),
+  SELECT *, CASE WHEN escalator_pct IS NOT NULL THEN CAST(round(CAST(minimum AS DECIMAL(22,2)) * CASE greatest(n, 1) {_POWERS} END, 2) AS {_D}) END - greatest(b, minimum) AS risen, b <= 0.005 AND billed - b > 0 AS lost FROM steps),
 fired AS (
   SELECT customer_id, period, confidence, clause, 'MISSING_BASE' AS code, minimum AS amount FROM outcomes WHERE lost AND minimum IS NOT NULL
   UNION ALL SELECT customer_id, period, confidence, clause, 'MINIMUM', minimum - b FROM outcomes WHERE NOT lost AND minimum - b > 0
   UNION ALL SELECT customer_id, period, confidence, clause, 'OVERAGE', over FROM outcomes WHERE over > 0.01
-  UNION ALL SELECT customer_id, period, confidence, clause, 'EXPIRED_DISCOUNT', discounts FROM outcomes WHERE discounts > 0 AND period > discount_expires
+  UNION ALL SELECT customer_id, period, o.confidence, o.clause, 'EXPIRED_DISCOUNT', -c.amount FROM outcomes o JOIN classified c USING (customer_id, period) WHERE c.role = 'discount' AND period > o.discount_expires
   UNION ALL SELECT customer_id, period, confidence, clause, 'ESCALATOR', risen FROM outcomes WHERE n > 0 AND risen > 0.01
   UNION ALL SELECT customer_id, period, confidence, clause, 'SEATS', seats * seat_price FROM outcomes WHERE seats >= 1),
 findings AS (
-  SELECT 'F-' || customer_id || '-' || strftime(period, '%Y%m') || '-' || code AS finding_id, customer_id, period, code, CAST(round(amount, 2) AS {_D}) AS amount, clause, confidence,
-    CASE WHEN clause IS NULL THEN 'no clause' WHEN confidence < 0.85 THEN 'low confidence' ELSE 'open' END AS status FROM fired),
+  SELECT 'F-' || customer_id || '-' || strftime(period, '%Y%m') || '-' || code || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS finding_id, customer_id, period, code, CAST(round(amount, 2) AS {_D}) AS amount, clause, confidence,
+    CASE WHEN clause IS NULL THEN 'no clause' WHEN confidence < 0.85 THEN 'low confidence' ELSE 'open' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, period, code ORDER BY amount) AS nth FROM fired)),
 rec AS (SELECT event_id, user_id AS case_id, CASE WHEN event_type = 'error' THEN 'reversal' ELSE 'realization' END AS kind, CAST(value AS {_D}) AS amount, ts FROM events),
 changes AS (SELECT event_id, event_type AS trigger, user_id AS customer_id, strftime(ts, '%Y-%m') AS period, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS payload, CAST(value AS {_D}) AS value, ts AS received_at FROM events),
 keyed AS (SELECT *, substr(sha256(trigger || '|' || customer_id || '|' || period || '|' || payload), 1, 32) AS event_key FROM changes),
@@ -190,7 +199,7 @@ _ACTIVE = "(SELECT p.customer_id, p.period, t.term_type, t.scope, t.value, row_n
 
 ORACLES = {
     "run_book": _select("finding_id, customer_id, code, status", "findings", "amount", "period"),
-    "reviews": _select("customer_id, reason", "(SELECT DISTINCT customer_id, period, unnest([gate, CASE WHEN n_credits > 0 THEN 'credits' END, CASE WHEN incomplete THEN 'several meters' END, CASE WHEN base IS NULL THEN 'no base charge' END]) AS reason FROM facts) WHERE reason IS NOT NULL", "", "period"),
+    "reviews": _select("customer_id, reason", "(SELECT DISTINCT customer_id, period, unnest([gate, CASE WHEN n_credits > 0 THEN 'credits' END, CASE WHEN incomplete THEN 'several meters' END, CASE WHEN base IS NULL THEN 'no base charge' END, CASE WHEN committed_seats IS NOT NULL AND seat_units IS NULL THEN 'no seat line' END]) AS reason FROM facts) WHERE reason IS NOT NULL", "", "period"),
     "classify_line": _BOOK + "SELECT role, count(*) AS lines, CAST(CAST(sum(amount) AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM classified GROUP BY role",
     "invoice_rollup": _select("customer_id, n_credits, n_lines, first_invoice", "invoices", "base overage tax seat_units discounts credits billed", "period"),
     "usage_rollup": _select("customer_id, metric, n_metrics, incomplete", "usage", "units", "period"),
@@ -210,9 +219,11 @@ ORACLES = {
     "escalator_steps": _BOOK + "SELECT customer_id, CAST(greatest(0, 1 + 1999 - year(escalator_date) - CAST(228 < month(escalator_date) * 100 + day(escalator_date) AS INTEGER)) AS INTEGER) AS steps FROM contracts",
     "resolve_customer": _BOOK + r""", parts AS (SELECT label, lower(trim(label)) AS v, list_filter(string_split(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM (SELECT label FROM labels_of UNION SELECT customer_name FROM contracts)),
       keys AS (SELECT label, 0 AS level, v AS key FROM parts UNION ALL SELECT label, 1, array_to_string(t, '_') FROM parts UNION ALL SELECT label, 2, array_to_string(list_filter(t, lambda x: x NOT IN ('llc','inc','co','corp','corporation','company','group','grp','ltd','limited','plc','gmbh','the','and')), '_') FROM parts),
-      uniq AS (SELECT k.level, k.key, min(c.customer_id) AS customer_id FROM keys k JOIN contracts c ON k.label = c.customer_name GROUP BY ALL HAVING count(DISTINCT c.customer_id) = 1),
-      best AS (SELECT k.label, arg_min(u.customer_id, k.level) AS customer_id, min(k.level) AS level FROM keys k JOIN uniq u USING (level, key) GROUP BY ALL)
-      SELECT DISTINCT l.label, b.customer_id, b.level FROM labels_of l LEFT JOIN best b USING (label)""",
+      per AS (SELECT level, key, min(customer_id) AS customer_id, count(DISTINCT customer_id) AS n FROM (
+        SELECT level * 2 + 1 AS level, key, customer_id FROM keys JOIN contracts ON label = customer_name UNION ALL SELECT x.level, CAST(customer_id AS VARCHAR), customer_id FROM contracts, (VALUES (0), (2), (4)) x(level)) WHERE key <> '' GROUP BY ALL),
+      hits AS (SELECT k.label, p.* FROM (SELECT label, level * 2 AS level, key FROM keys UNION ALL SELECT label, level * 2 + 1, key FROM keys) k JOIN per p USING (level, key)),
+      best AS (SELECT label, arg_min(customer_id, level) FILTER (n = 1) AS customer_id, min(level) FILTER (n = 1) AS level, max(n) AS n FROM hits GROUP BY label)
+      SELECT DISTINCT l.label, b.customer_id, b.level, CASE WHEN b.customer_id IS NOT NULL THEN NULL WHEN b.n > 1 THEN 'ambiguous' ELSE 'unknown' END AS reason FROM labels_of l LEFT JOIN best b USING (label)""",
     "parse_export": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS period, CAST(CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) WHEN o_orderkey % 3 = 1 THEN -CAST(o_totalprice AS DECIMAL(18,2)) END AS DOUBLE) AS amount FROM orders",
     "periods_in_both": _BOOK + "SELECT CAST(period AS VARCHAR) AS period FROM (SELECT period FROM usage INTERSECT SELECT period FROM invoices)",
     "complete_keys": _BOOK + "SELECT customer_id, CAST(period AS VARCHAR) AS period FROM (SELECT customer_id, period FROM usage INTERSECT SELECT customer_id, period FROM invoices)",
@@ -221,15 +232,21 @@ ORACLES = {
     "trueup_pack": _BOOK + "SELECT customer_id, CAST(sum(amount) AS DOUBLE) AS total, CAST(count(*) AS INTEGER) AS n_lines, string_agg(strftime(period, '%Y-%m') || ' ' || code || ' ' || amount, '; ' ORDER BY period, code, amount) AS lines FROM findings WHERE status = 'open' GROUP BY customer_id",
     "command_center_metrics": _BOOK + "SELECT CAST(sum(amount) AS DOUBLE) AS potential, CAST(coalesce(sum(amount) FILTER (status = 'open'), 0) AS DOUBLE) AS verified, CAST(coalesce(sum(amount) FILTER (status <> 'open'), 0) AS DOUBLE) AS needs_review, count(*) AS findings, count(DISTINCT customer_id) AS customers FROM findings",
     "top_sources": _BOOK + "SELECT code, CAST(sum(amount) AS DOUBLE) AS amount FROM findings GROUP BY code ORDER BY 2 DESC, code LIMIT 5",
+    "rank_cases": _BOOK + """SELECT finding_id, customer_id, evidence, score, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, finding_id) AS INTEGER) AS place FROM (
+      SELECT *, round(0.4 * least(CAST(amount AS DOUBLE) / 10000, 1) + 0.25 * confidence + 0.15 * evidence + 0.1 * least(CAST(greatest(date_diff('day', period, DATE '1999-01-01'), 0) AS DOUBLE) / 90, 1) + 0.1 * CASE WHEN status = 'open' THEN 1.0 ELSE 0.5 END, 4) AS score
+      FROM (SELECT *, CASE WHEN clause IS NULL THEN 0.17::DOUBLE ELSE 0.33::DOUBLE END AS evidence FROM findings))""",
     "net_realized": _BOOK + "SELECT case_id, CAST(net AS DOUBLE) AS net, CAST(realized AS DOUBLE) AS realized, reversals, CAST(round(net * 0.20::DECIMAL(3,2), 2) AS DOUBLE) AS fee FROM (SELECT case_id, CAST(sum(CASE WHEN kind = 'reversal' THEN -amount ELSE amount END) AS DECIMAL(18,2)) AS net, sum(amount) FILTER (kind <> 'reversal') AS realized, count(*) FILTER (kind = 'reversal') AS reversals FROM rec GROUP BY case_id)",
     "running_reversal_guard": _BOOK + "SELECT event_id, case_id, CAST(running AS DOUBLE) AS running FROM (SELECT *, sum(CASE WHEN kind = 'reversal' THEN -amount ELSE amount END) OVER (PARTITION BY case_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM rec) WHERE kind = 'reversal' AND running < 0",
-    "ledger_integrity": _BOOK + "SELECT case_id, CAST(realized AS DOUBLE) AS realized, CAST(reversed AS DOUBLE) AS reversed FROM (SELECT case_id, coalesce(sum(amount) FILTER (kind = 'realization'), 0) AS realized, coalesce(sum(amount) FILTER (kind = 'reversal'), 0) AS reversed FROM rec GROUP BY case_id) WHERE reversed > realized",
+    "ledger_integrity": _BOOK
+    + """, replayed AS (SELECT event_id, event_id % 1000 + case_id * 1000 AS case_id, kind, amount FROM rec UNION ALL SELECT event_id, event_id % 1000 + case_id * 1000, kind, amount FROM rec WHERE event_id % 97 = 0)
+      SELECT 'reversed too much' AS violation, CAST(case_id AS VARCHAR) AS id, CAST(excess AS DOUBLE) AS excess FROM (SELECT case_id, coalesce(sum(amount) FILTER (kind = 'reversal'), 0) - coalesce(sum(amount) FILTER (kind = 'realization'), 0) AS excess FROM replayed GROUP BY case_id) WHERE excess > 0
+      UNION ALL SELECT 'id occurs twice', CAST(event_id AS VARCHAR), CAST(count(*) AS DOUBLE) FROM replayed GROUP BY event_id HAVING count(*) > 1""",
     "event_identity": _BOOK + "SELECT event_id, event_key FROM keyed",
     "dedupe_events": _BOOK + "SELECT event_key, arg_min(event_id, (received_at, event_id)) AS event_id FROM keyed GROUP BY event_key",
     "event_panel": _BOOK + "SELECT strftime(received_at, '%Y-%m-%d') AS start, trigger, count(*) AS events, CAST(sum(value) AS DOUBLE) AS value FROM changes GROUP BY ALL",
     "fee_status_fold": _BOOK + "SELECT customer_id, arg_max(CASE WHEN trigger = 'purchase' THEN 'paid' ELSE 'payment_failed' END, (received_at, event_id)) AS status, count(*) AS events FROM changes WHERE trigger IN ('purchase', 'error') GROUP BY customer_id",
     "impacted_scope": _BOOK + "SELECT c.customer_id, CAST(i.period AS VARCHAR) AS period FROM (SELECT DISTINCT customer_id FROM changes WHERE trigger = 'purchase') c LEFT JOIN (SELECT DISTINCT customer_id, period FROM invoices) i USING (customer_id)",
     "pseudo_pages": _BOOK + "SELECT doc_id, CAST(page AS INTEGER) AS page, sha256(text) AS page_sha256 FROM pages",
-    "critical_terms": _BOOK + r"SELECT doc_id, CAST(page AS INTEGER) AS page, term, count(*) AS times FROM (SELECT doc_id, page, unnest(regexp_extract_all(lower(text), '[a-z]*tion')) AS term FROM pages) GROUP BY ALL",
-    "quote_in_document": "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
+    "critical_terms": _BOOK + f"SELECT doc_id, CAST(page AS INTEGER) AS page, term, count(*) AS times FROM (SELECT doc_id, page, unnest(regexp_extract_all(lower(text), '{D.CRITICAL}')) AS term FROM pages) GROUP BY ALL",
+    "quote_in_document": r"WITH q AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents) SELECT DISTINCT item_id, doc_id FROM q JOIN d ON contains(d.text, q.text)",
 }

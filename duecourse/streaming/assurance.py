@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,3 +47,102 @@ def impacted_scope(changes: DataFrame, keys: DataFrame) -> DataFrame:
 def start_assurance(stream: DataFrame, reevaluate, checkpoint: str) -> StreamingQuery:
     """Runs reevaluate(batch, batch_id) on each micro-batch of deduplicated changes, until what is there now is done."""
     return dedupe_events(stream).writeStream.foreachBatch(reevaluate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# The terms whose change reprices an agreement.
+PRICING = ["minimum", "included_units", "overage_rate", "escalator_pct", "escalator_date", "seat_price", "committed_seats", "discount_name", "discount_expires"]
+
+
+def contract_changes(old: DataFrame, new: DataFrame, today: str) -> DataFrame:
+    """new contracts with the trigger that their difference from the old ones of the same customer gives; the first that holds counts.
+
+    Unchanged contracts don't appear.
+    """
+    terms = [c for c in new.columns if c != "customer_id"]
+    priced = [c for c in PRICING if c in terms]
+    was = old.select("customer_id", F.struct(*terms).alias("was"))
+    rows = new.join(was, "customer_id", "left")
+    ended, before = F.col("term_end"), F.col("was.term_end")
+    other = lambda names: F.exists(F.array(F.lit(False), *[~F.col(c).eqNullSafe(F.col(f"was.{c}")) for c in names]), lambda x: x)
+    trigger = (
+        F.when(F.col("was").isNull(), "new_agreement")
+        .when(ended < F.lit(today).cast("date"), "term_expiration")
+        .when((ended > before) | (ended.isNotNull() & before.isNull()), "contract_renewal")
+        .when(other(priced), "pricing_change")
+        .when(other([c for c in terms if c not in priced]), "agreement_amendment")
+    )
+    return rows.select("customer_id", trigger.alias("trigger")).where("trigger is not null")
+
+
+def invoice_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """new invoices (customer_id, period, credits, ...) against the old ones of the same month: a row per trigger."""
+    money = [c for c in new.columns if c not in ("customer_id", "period")]
+    rows = new.join(old.select("customer_id", "period", F.struct(*money).alias("was")), ["customer_id", "period"], "left")
+    fresh = F.col("was").isNull()
+    changed = ~F.struct(*money).eqNullSafe(F.col("was"))
+    credited = ~F.col("credits").eqNullSafe(F.col("was.credits")) & (F.coalesce("credits", F.lit(0)) != 0)
+    triggers = F.array_compact(F.array(F.when(fresh | changed, "new_invoice"), F.when(fresh, "new_billing_period"), F.when(credited, "new_credit_refund")))
+    return rows.select("customer_id", "period", F.explode(triggers).alias("trigger"))
+
+
+def withdraw_stale(store: DataFrame, scope: DataFrame, fresh: DataFrame) -> DataFrame:
+    """store with the open findings of fully covered months (scope) that came out no more rejected in the system's name; all others stay."""
+    rows = store.join(scope.select("customer_id", "period").distinct().withColumn("covered", F.lit(True)), ["customer_id", "period"], "left")
+    rows = rows.join(fresh.select("finding_id").distinct().withColumn("again", F.lit(True)), "finding_id", "left")
+    stale = F.col("covered").isNotNull() & F.col("again").isNull() & (F.col("status") == "open")
+    return rows.withColumns({"status": F.when(stale, "rejected").otherwise(F.col("status")), "withdrawn_by": F.when(stale, "system").otherwise(F.col("withdrawn_by"))}).select(store.columns)
+
+
+FEE = "0.20"
+
+
+def realization_intake(events: DataFrame) -> DataFrame:
+    """Takes events(event_id, case_id, kind, amount, ts) of each case in order: repeated ids are no-ops, a reversal may not exceed what is left.
+
+    A rejected event doesn't count for those after it, so a case is taken event by event; its rows come sorted and stream
+    through, and a task holds one net at a time. Each row says whether its event was taken, the net after it, and the fee
+    on its part.
+    """
+
+    def run(batches):
+        case, net = None, Decimal(0)
+        for batch in batches:
+            rows = []
+            for event_id, case_id, kind, amount in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if case_id != case:
+                    case, net = case_id, Decimal(0)
+                part = -amount if kind == "reversal" else amount
+                fits = net + part >= 0
+                net = net + part if fits else net
+                rows.append((event_id, case_id, fits, net, part if fits else Decimal(0)))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.decimal128(18, 2), pa.decimal128(18, 2))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["event_id", "case_id", "accepted", "net", "part"])
+
+    once = events.groupBy("case_id", "event_id").agg(F.min(F.struct("ts", "event_id", "kind", "amount")).alias("e"))
+    rows = once.select("event_id", "case_id", "e.kind", F.col("e.amount").cast("decimal(18,2)").alias("amount"), "e.ts").repartition("case_id").sortWithinPartitions("case_id", "ts", "event_id")
+    taken = rows.select("event_id", "case_id", "kind", "amount").mapInArrow(run, "event_id long, case_id long, accepted boolean, net decimal(18,2), part decimal(18,2)")
+    return taken.select("event_id", "case_id", "accepted", "net", F.round(F.col("part") * F.lit(FEE).cast("decimal(3,2)"), 2).cast("decimal(18,2)").alias("fee"))
+
+
+def intake_stream(stream: DataFrame):
+    """The same on a stream, the net of each case held as state: what a micro-batch brings is taken in order of ts and event_id."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key: tuple, batches, state: GroupState):
+        net, seen = (state.get[0], list(state.get[1])) if state.exists else (Decimal(0), [])
+        known, rows = set(seen), []
+        for e in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
+            if e.event_id in known:
+                continue
+            signed = -e.amount if e.kind == "reversal" else e.amount
+            fits = net + signed >= 0
+            net = net + signed if fits else net
+            known.add(e.event_id)
+            seen.append(e.event_id)
+            rows.append((e.event_id, key[0], fits, net, (signed if fits else Decimal(0)) * Decimal(FEE)))
+        state.update((net, seen))
+        yield pd.DataFrame(rows, columns=["event_id", "case_id", "accepted", "net", "fee"])
+
+    return stream.groupBy("case_id").applyInPandasWithState(run, "event_id long, case_id long, accepted boolean, net decimal(18,2), fee decimal(18,4)", "net decimal(18,2), seen array<long>", "append", GroupStateTimeout.NoTimeout)
