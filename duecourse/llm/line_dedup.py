@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +21,18 @@ MIN_DOCS = 8
 STEPS = 14
 
 
-def _clean(text: Column) -> Column:
-    """A text whose lines have their words joined by one space; a word with a digit becomes <*>."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\x0b\x0c\r", "    ")
-    one = F.regexp_replace(F.regexp_replace(spaced, "  +", " "), " ?\n ?", "\n")
-    return F.regexp_replace(F.trim(one), r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")
+def _cleaned(rows: DataFrame, column: str) -> DataFrame:
+    """rows with texts whose lines have their words joined by one space; a word with a digit becomes <*>. Null becomes empty.
+
+    Each rewriting passes over those texts only that need it.
+    """
+    c = F.col(column)
+    has = lambda *marks: reduce(or_, [F.contains(c, F.lit(m)) for m in marks])
+    given = rows.withColumn(column, F.coalesce(c, F.lit("")))
+    spaced = given.withColumn(column, F.when(has("\t", "\x0b", "\x0c", "\r"), F.translate(c, "\t\x0b\x0c\r", "    ")).otherwise(c))
+    single = spaced.withColumn(column, F.when(has("  "), F.regexp_replace(c, "  +", " ")).otherwise(c))
+    tight = single.withColumn(column, F.trim(F.when(has(" \n", "\n "), F.regexp_replace(c, " ?\n ?", "\n")).otherwise(c)))
+    return tight.withColumn(column, F.when(c.rlike("[0-9]"), F.regexp_replace(c, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")).otherwise(c))
 
 
 def leaf_lines(docs: DataFrame) -> DataFrame:
@@ -31,8 +41,8 @@ def leaf_lines(docs: DataFrame) -> DataFrame:
     The path to a leaf is the word count and the DEPTH leading words; context hashes the whole cleaned text. A null or
     empty text has no lines; repeated rows give repeated lines.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), _clean(F.col("text")).alias("clean"))
-    rows = rows.select("doc_id", "text_key", F.xxhash64("clean").alias("context"), F.posexplode(F.split("clean", "\n")).alias("line", "words")).where(F.col("words").rlike(r"\p{L}"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").alias("clean"))
+    rows = _cleaned(rows, "clean").select("doc_id", "text_key", F.xxhash64("clean").alias("context"), F.posexplode(F.split("clean", "\n")).alias("line", "words")).where(F.col("words").rlike(r"\p{L}"))
     tokens = F.split("words", " ")
     return rows.select("doc_id", "text_key", "line", "context", F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)).alias("leaf"), "words")
 
