@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +13,9 @@ RULES = {"symbols": 0.02, "dup_lines": 0.1, "repeats": 0.04, "word_length": 0.75
 TWO_SIDED = {"word_length"}
 #: How many spreads (upper less lower quartile) beyond a quartile is too far.
 SPREADS = 4.0
-#: Documents a group needs for thresholds of its own; a smaller one takes those of its language, then of all.
-MIN_GROUP = 200
+#: A group's quartiles count as those of its documents and so many more that are like its parent's: a source's group in a
+#: language leans on the language, the language on all. So thresholds change smoothly with a group's size.
+LEAN = 200
 #: Accuracy of the sketches: their rank error is at most 1 / ACCURACY.
 ACCURACY = 2000
 QUARTILES = [0.25, 0.75]
@@ -57,45 +55,47 @@ def ratios() -> dict[str, Column]:
     return {"symbols": over("n_symbols", "word_chars"), "dup_lines": over("n_dup_lines", "n_lines"), "repeats": over("n_repeat_words", "n_words"), "word_length": over("word_chars", "n_words")}
 
 
-def thresholds(counts: DataFrame) -> DataFrame:
-    """(lang, source, level, docs, <rule>_low, <rule>_high) of each language and source, each language, and all.
+def quartiles(counts: DataFrame) -> DataFrame:
+    """(g_lang, g_source, level, docs, <rule>: both quartiles) of each language and source, each language, and all.
 
-    One pass of quantile sketches, merged map-side first; the levels are grouping sets.
+    One pass of quantile sketches, merged map-side first; the levels are grouping sets. Documents without words don't count.
     """
     held = counts.where("n_words > 0").select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[c.alias(k) for k, c in ratios().items()])
     sets = held.groupingSets([["g_lang", "g_source"], ["g_lang"], []], "g_lang", "g_source")
-    sketched = sets.agg(F.grouping_id().alias("level"), F.count("*").alias("docs"), *[F.percentile_approx(k, QUARTILES, ACCURACY).alias(k) for k in RULES])
+    return sets.agg(F.grouping_id().alias("level"), F.count("*").alias("docs"), *[F.percentile_approx(k, QUARTILES, ACCURACY).alias(k) for k in RULES])
+
+
+def thresholds(table: DataFrame) -> DataFrame:
+    """(g_lang, g_source, bound: <rule>_low and <rule>_high) from quartiles(), a row per language and source.
+
+    Each group's quartiles lean on its parent's, see LEAN; the fences lie SPREADS spreads beyond them.
+    """
+    named = lambda level, name: table.where(F.col("level") == level).select(F.col("g_lang").alias(f"{name}_lang"), F.col("g_source").alias(f"{name}_source"), F.struct(F.col("docs").cast("double").alias("docs"), *RULES).alias(name))
+    everything = table.where("level = 3").agg(F.first(F.struct(*RULES))).scalar()
+    rows = named(0, "own").join(small(named(1, "of").drop("of_source")), F.col("own_lang").eqNullSafe(F.col("of_lang"))).withColumn("every", everything)  # a row per language
+    lean = lambda n, q, parent: (n * q + parent * float(LEAN)) / (n + float(LEAN))
     bounds = []
     for k, least in RULES.items():
-        low, high = F.get(k, F.lit(0)), F.get(k, F.lit(1))
+        low, high = (lean(F.col("own.docs"), F.col(f"own.{k}")[i], lean(F.col("of.docs"), F.col(f"of.{k}")[i], F.col(f"every.{k}")[i])) for i in (0, 1))
         spread = F.greatest(high - low, F.lit(least)) * SPREADS
         bounds += [(low - spread).alias(f"{k}_low"), (high + spread).alias(f"{k}_high")]
-    return sketched.select("g_lang", "g_source", "level", "docs", *bounds)
+    return rows.select(F.col("own_lang").alias("g_lang"), F.col("own_source").alias("g_source"), F.struct(*bounds).alias("bound"))
 
 
 def judge(counts: DataFrame) -> DataFrame:
     """counts (staged) with base_failed, failed_rules and kept.
 
-    A document takes the thresholds of its language and source, or of its language, or of all, whichever first rests
-    on MIN_GROUP documents; null languages and sources are groups of their own.
+    A document takes the thresholds of its language and source; null languages and sources are groups of their own.
     """
-    table = staged(thresholds(counts), "thresholds")
-    bounds = [f"{k}_{side}" for k in RULES for side in ("low", "high")]
-    rows = counts
-    for level, name, keys in ((0, "own", ("lang", "source")), (1, "of_lang", ("lang",))):
-        side = small(table.where((F.col("level") == level) & (F.col("docs") >= MIN_GROUP)).select("g_lang", "g_source", F.struct(*bounds).alias(name)))
-        on = [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys]
-        rows = rows.join(side, reduce(and_, on), "left").drop("g_lang", "g_source")
-    of_all = table.where("level = 3").first() or dict.fromkeys(bounds)  # one row
-    rows = rows.withColumn("of_all", F.struct(*[F.lit(of_all[k]).cast("double").alias(k) for k in bounds]))
-    rows = rows.withColumn("bound", F.coalesce("own", "of_lang", "of_all"))
+    table = staged(thresholds(staged(quartiles(counts), "quartiles")), "thresholds")
+    rows = counts.join(small(table), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source")
     failed = []
     for k, c in ratios().items():
         out = c > F.col(f"bound.{k}_high")
         failed.append(F.when(out | (c < F.col(f"bound.{k}_low")) if k in TWO_SIDED else out, F.lit(k)))
     base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     rows = rows.withColumns({"base_failed": base, "failed_rules": F.array_compact(F.array(*failed))})
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("own", "of_lang", "of_all", "bound")
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("bound")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -109,3 +109,28 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_RATIOS = {"symbols": "CAST(n_symbols AS DOUBLE) / greatest(word_chars, 1)", "dup_lines": "CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1)", "repeats": "CAST(n_repeat_words AS DOUBLE) / greatest(n_words, 1)", "word_length": "CAST(word_chars AS DOUBLE) / greatest(n_words, 1)"}
+_AT = ", ".join(f"quantile_disc({c}, {q}) AS {k}_{i}" for k, c in _RATIOS.items() for i, q in enumerate(QUARTILES))
+_LEANT = ", ".join(f"(o.docs * o.{k}_{i} + ((g.docs * g.{k}_{i} + e.{k}_{i} * {LEAN}.0::DOUBLE) / (g.docs + {LEAN}.0::DOUBLE)) * {LEAN}.0::DOUBLE) / (o.docs + {LEAN}.0::DOUBLE) AS {k}_{i}" for k in RULES for i in (0, 1))
+_SPREAD = "greatest({0}_1 - {0}_0, {1}::DOUBLE) * " + f"{SPREADS}::DOUBLE"
+_FAILED = ", ".join(f"CASE WHEN {_RATIOS[k]} > {k}_1 + {_SPREAD.format(k, least)}" + (f" OR {_RATIOS[k]} < {k}_0 - {_SPREAD.format(k, least)}" if k in TWO_SIDED else "") + f" THEN '{k}' END" for k, least in RULES.items())
+#: The same in DuckDB, for a table whose doc_ids are unique; its quantiles are exact, as the sketches' are on so few rows.
+ORACLE = f"""
+WITH docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+grams AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS i, words FROM docs WHERE len(words) >= 5),
+hashed AS (SELECT doc_id, i, words[i:i + 4] AS g FROM grams),
+twice AS (SELECT doc_id, i FROM hashed QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, sum(least(5, coalesce(next - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM docs),
+counts AS (
+  SELECT doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM docs JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+marks AS (SELECT lang, source, grouping_id(lang, source) AS level, CAST(count(*) AS DOUBLE) AS docs, {_AT} FROM counts WHERE n_words > 0 GROUP BY GROUPING SETS ((lang, source), (lang), ())),
+bounds AS (SELECT o.lang AS g_lang, o.source AS g_source, {_LEANT} FROM marks o JOIN marks g ON g.level = 1 AND o.lang IS NOT DISTINCT FROM g.lang JOIN marks e ON e.level = 3 WHERE o.level = 0),
+judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, concat_ws(',', {_FAILED}) AS failed_rules FROM counts LEFT JOIN bounds ON lang IS NOT DISTINCT FROM g_lang AND source IS NOT DISTINCT FROM g_source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM judged
+"""

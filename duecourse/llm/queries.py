@@ -15,4 +15,4 @@ QUERIES = {
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
-ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op8_mixing": mixing.ORACLE}

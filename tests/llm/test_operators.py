@@ -484,7 +484,7 @@ def test_mixing_on_given_documents(spark):
     assert abs(sum(taken.values()) / sum(r.size for r in got.values()) - 1) < 0.05
 
 
-@pytest.mark.parametrize("name", ["op3_line_dedup", "op8_mixing"])
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op7_quality_rules", "op8_mixing"])
 def test_queries_equal_their_sql(spark, name):
     from duecourse.llm import queries
 
