@@ -73,39 +73,40 @@ class RangeMin:
     def __init__(self, values: np.ndarray):
         self.values = values.astype(np.min_scalar_type(int(values.max(initial=0))))
         whole = len(values) // self.BLOCK
-        self.table = [self.values[: whole * self.BLOCK].reshape(whole, self.BLOCK).min(1)] if whole else [self.values[:0]]
+        table = [self.values[: whole * self.BLOCK].reshape(whole, self.BLOCK).min(1)] if whole else [self.values[:0]]
         step = 1
         while 2 * step <= whole:
-            last = self.table[-1]
-            self.table.append(np.minimum(last[:-step], last[step:]))
+            table.append(np.minimum(table[-1][:-step], table[-1][step:]))
             step *= 2
+        self.flat = np.concatenate(table)
+        self.start = np.concatenate([[0], np.cumsum([len(t) for t in table])[:-1]])
+
+    def _run(self, start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+        """Least value of ranges of at most `width`, one at least."""
+        return self.values[np.minimum(start[:, None] + np.arange(width), (end - 1)[:, None])].min(1)
 
     def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """low < high."""
+        size = high - low
         out = self.values[low]
-        many = np.flatnonzero(high - low > 1)
-        if not len(many):
-            return out
-        low, high = low[many], high[many]
-        first, last = -(-low // self.BLOCK), high // self.BLOCK  # whole blocks between
-        held = out[many]
-        for start, end in ((low + 1, np.minimum(first * self.BLOCK, high)), (np.maximum(last * self.BLOCK, low), high)):
-            open_ = np.flatnonzero(start < end)
-            while len(open_):
-                held[open_] = np.minimum(held[open_], self.values[start[open_]])
-                start[open_] += 1
-                open_ = open_[start[open_] < end[open_]]
-        wide = np.flatnonzero(first < last)
-        level = np.frexp((last[wide] - first[wide]).astype(np.float64))[1] - 1
-        for k in np.unique(level):
-            at = wide[level == k]
-            held[at] = np.minimum(held[at], np.minimum(self.table[k][first[at]], self.table[k][last[at] - (1 << int(k))]))
-        out[many] = held
+        few = np.flatnonzero((size > 1) & (size <= 8))
+        if len(few):
+            out[few] = self._run(low[few], high[few], 8)
+        many = np.flatnonzero(size > 8)
+        if len(many):
+            a, b = low[many], high[many]
+            held = np.minimum(self._run(a, np.minimum(a + self.BLOCK, b), self.BLOCK), self._run(np.maximum(b - self.BLOCK, a), b, self.BLOCK))
+            first, last = -(-a // self.BLOCK), b // self.BLOCK  # whole blocks between
+            wide = np.flatnonzero(first < last)
+            level = np.frexp((last[wide] - first[wide]).astype(np.float64))[1] - 1
+            at = self.start[level]
+            held[wide] = np.minimum(held[wide], np.minimum(self.flat[at + first[wide]], self.flat[at + last[wide] - (1 << level)]))
+            out[many] = held
         return out
 
     @property
     def nbytes(self) -> int:
-        return self.values.nbytes + sum(t.nbytes for t in self.table)
+        return self.values.nbytes + self.flat.nbytes
 
 
 class FMIndex:

@@ -21,7 +21,7 @@ RUN = 64
 #: Words in a shard's index, about.
 SHARD_WORDS = 1_000_000
 #: Segments that a shard streams through its index at a time.
-STREAMED = 2000
+STREAMED = 20_000
 #: An anchor with more distinct segments than this, about a shard's worth, is taken by window hashes instead of an index.
 HOT_SEGMENTS = 10_000
 

@@ -409,6 +409,41 @@ def test_pipeline_stages_on_odd_rows(spark, docs):
     assert collections.Counter(kept) == collections.Counter(want)
 
 
+def test_pipeline_by_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    rows = []
+    for i in range(60):
+        t = text(60) + "\nRead our newsletter every single day\n" + text(40)
+        rows.append((i, t, "en", f"s{i % 3}", len(t)))
+    rows += [(100 + i, rows[i][1].replace(rows[i][1].split(" ")[30], "other", 1), "en", "s0", rows[i][4]) for i in range(10)]  # near copies
+    rows += [(200, None, None, None, None), (201, "", "en", "s1", 0)]
+    folder = tmp_path / "t"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(folder / "documents.parquet"))
+    labels = [(i, i % 2, int(i % 7 == 0)) for i in range(60)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    docs = spark.read.parquet(str(folder / "documents.parquet"))
+    kept = corpus_pipeline.classified(spark, docs, str(folder))
+    direct = quality_classifier.classify(docs, spark.read.parquet(str(folder / "labels.parquet"))).where("kept")
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in direct.collect()}
+    lines = {r.doc_id: r for r in corpus_pipeline.without_recurring_lines(spark, docs, str(folder)).collect()}
+    assert len(lines) == 72 and sum("newsletter" in (r.text or "") for r in lines.values()) == 1 and all(r.n_chars == len(r.text) for r in lines.values() if r.text)
+    once = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, str(folder)).collect()}
+    assert once == {r[0] for r in rows} - set(range(100, 110))
+    mixed = collections.Counter(r.doc_id for r in corpus_pipeline.mixed_sources(spark, docs, str(folder)).collect())
+    assert mixed == collections.Counter({r.doc_id: r.copies for r in mixing.copies(docs).collect() if r.copies})
+    packed = corpus_pipeline.packed(spark, docs, str(folder)).collect()
+    assert {r.doc_id for r in packed} == {r[0] for r in rows} and all(r.offset + r.length <= 2048 for r in packed)
+    out = corpus_pipeline.run(spark, str(folder)).collect()
+    assert out and {r.doc_id for r in out} <= {r.doc_id for r in kept.collect()} - set(range(100, 110))
+    again = corpus_pipeline.run(spark, str(folder)).collect()
+    assert collections.Counter((r.doc_id, r.length) for r in out) == collections.Counter((r.doc_id, r.length) for r in again) or sum(r.length for r in out) == sum(r.length for r in again)
+    nothing = docs.limit(0)
+    assert all(stage(spark, nothing, str(folder)).isEmpty() for _, stage in corpus_pipeline.STAGES)
+
+
 def test_sha_of_kept_words():
     assert substring_dedup.sha256("a b") == hashlib.sha256(b"a b").hexdigest()
 
