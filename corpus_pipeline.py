@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecourse.llm.common import staged
+from duecourse.llm.common import discard, staged
 from duecourse.llm.line_dedup import drop_recurring_lines
 from duecourse.llm.mixing import mix
 from duecourse.llm.ngram_join import near_groups
@@ -18,13 +18,21 @@ from duecourse.llm.quality_classifier import classify
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A null text is judged by its metadata; repeated rows go or stay together; without labels of both sides all rows stay;
+    an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify(docs, labels).where("kept").select(*docs.columns)
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; a document that had words and is left without any goes too."""
+    """Recurring lines go; a document that had words and is left without any goes too.
+
+    n_chars of a changed text is its new length. A null text, and one without words, stays as it is; rows with a null
+    doc_id lose recurring lines but aren't counted; repeated rows are treated alike; an empty table stays empty.
+    """
     rows = drop_recurring_lines(docs)
     rows = rows.where((F.col("lines_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -32,7 +40,12 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-duplicate texts the one with the least doc_id stays."""
+    """Of documents linked by near-duplicate texts the one with the least doc_id stays.
+
+    Texts are linked by five-word shingles with a similarity of 0.8 or more. Null texts and texts without words are
+    linked with nothing and stay; a row with a null doc_id stays only where its whole group has null ids; of repeated
+    rows one stays; an empty table stays empty.
+    """
     rows = near_groups(docs).select(F.struct("doc_id", "text_key").alias("__near"), "first")
     gone = staged(rows.where("not first").select("__near").distinct(), "gone")
     both = staged(rows.where("first").join(gone, "__near", "left_semi").select("__near").distinct(), "both")
@@ -46,12 +59,19 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks for."""
+    """Each document as often as its source's target weight asks for, none, once or up to three times.
+
+    Copies are equal rows. A null source is a source, a null text has no words and is drawn as others are; repeated rows
+    are drawn alike; an empty table stays empty.
+    """
     return mix(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens, a row for each piece of a document in one."""
+    """Sequences of 2048 tokens, a row for each piece of a document in one.
+
+    A null or empty text is one piece, its end token; repeated rows are packed each; an empty table gives no rows.
+    """
     return pieces_digest(pack(docs, tokenizer_path()))
 
 
@@ -71,7 +91,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs, f"stage-{k}")
+            discard(before)
     return docs
