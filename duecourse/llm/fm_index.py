@@ -115,6 +115,9 @@ class FMIndex:
     It keeps the wavelet matrix, counts and owners, not the sequences.
     """
 
+    #: From so few stretches on, the ends of matches are tried all at once.
+    FEW = 400
+
     def __init__(self, sequences: list[np.ndarray], owners: np.ndarray):
         flat = np.concatenate(sequences)
         self.alphabet, inverse = np.unique(flat, return_inverse=True)
@@ -165,21 +168,41 @@ class FMIndex:
             live = live[text[at[live] - 1] > 0]
         return at
 
+    def _zones(self, text: np.ndarray, first: np.ndarray, size: np.ndarray, bound: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, start, end) of the stretches that may hold a match of `threshold` words, in the text.
+
+        Every such match holds one whole of the blocks of half as many words that a query is cut into; one backward search
+        tries all blocks together, and each that matches opens a stretch around it.
+        """
+        half = max(1, threshold // 2)
+        blocks = np.where(size >= threshold, size // half, 0)
+        query = np.repeat(np.arange(len(size)), blocks)
+        start = first[query] + half * (np.arange(len(query)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        hit = self.reach(text, start + half - 1, start, bound[query]) == start
+        query, start = query[hit], start[hit]
+        low = np.maximum(first[query], start - (threshold - half))
+        high = np.minimum(first[query] + size[query], start + threshold)
+        # overlapping stretches of a query are one
+        new = np.flatnonzero(np.concatenate([[True], (query[1:] != query[:-1]) | (low[1:] > high[:-1])])) if len(query) else np.empty(0, np.int64)
+        return query[new], low[new], high[np.append(new[1:] - 1, len(high) - 1)] if len(new) else high
+
     def repeats(self, queries: list[np.ndarray], bound: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All maximal matches of at least `threshold` words of the queries with an owner below each bound.
+        """Matches of at least `threshold` words of the queries with an owner below each bound, which together cover all words that such matches cover.
 
         Returns (query number, start, end) with end exclusive, within the query.
         """
         size = np.array([len(q) for q in queries], np.int64)
         text = self.symbols(np.concatenate([*queries, np.empty(0, self.alphabet.dtype)]))
-        left = np.cumsum(size) - size
-        end = left + size - 1
-        live = np.flatnonzero(size >= threshold)
+        first = np.cumsum(size) - size
+        query, left, end = self._zones(text, first, size, bound, threshold)
+        end, limit = end - 1, bound[query]
+        live = np.flatnonzero(end - left + 1 >= threshold)
         out = []
-        while len(live):
-            reached = self.reach(text, end[live], left[live], bound[live])
+        while len(live) > self.FEW:
+            reached = self.reach(text, end[live], left[live], limit[live])
             hit = end[live] - reached + 1 >= threshold
-            out.append((live[hit], reached[hit] - left[live[hit]], end[live[hit]] + 1 - left[live[hit]]))
+            of = query[live[hit]]
+            out.append((of, reached[hit] - first[of], end[live[hit]] + 1 - first[of]))
             # what stands before the match is `missed`; a further match takes it in and ends earlier, at missed + width - 1 at most
             missed = reached - 1
             go = missed >= left[live]
@@ -188,10 +211,17 @@ class FMIndex:
             least, failed = np.zeros(len(live), np.int64), np.zeros(len(live), bool)
             while len(open_ := np.flatnonzero(least < most)):  # the widest match that starts at missed, by doubling and then halving
                 width = np.where(failed[open_], (least[open_] + most[open_] + 1) // 2, np.minimum(np.maximum(2 * least[open_], 1), most[open_]))
-                got = self.reach(text, missed[open_] + width - 1, missed[open_], bound[live[open_]]) == missed[open_]
+                got = self.reach(text, missed[open_] + width - 1, missed[open_], limit[live[open_]]) == missed[open_]
                 least[open_[got]] = width[got]
                 most[open_[~got]] = width[~got] - 1
                 failed[open_[~got]] = True
             end[live] = missed + least - 1
             live = live[end[live] - left[live] + 1 >= threshold]
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+        # of the last few stretches all ends are tried together, not one after the other
+        ends = end[live] - left[live] - threshold + 2
+        at = np.repeat(live, ends)
+        last = end[at] - (np.arange(len(at)) - np.repeat(np.cumsum(ends) - ends, ends))
+        hit = self.reach(text, last, last - threshold + 1, limit[at]) == last - threshold + 1
+        of, last = query[at[hit]], last[hit]
+        out.append((of, last - threshold + 1 - first[of], last + 1 - first[of]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))

@@ -135,7 +135,9 @@ def test_signatures_meet_for_every_similar_pair():
                     assert np.intersect1d(ngram_join.signatures(a, percent), ngram_join.signatures(b, percent)).size
 
 
-def test_fm_index_finds_all_matches():
+@pytest.mark.parametrize("few", [0, 400])
+def test_fm_index_finds_all_matches(monkeypatch, few):
+    monkeypatch.setattr(fm_index.FMIndex, "FEW", few)
     rng = np.random.default_rng(3)
     seqs = [rng.integers(0, 3, rng.integers(5, 40)).astype(np.uint64) for _ in range(30)]
     owners = np.arange(30)
