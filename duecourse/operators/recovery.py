@@ -79,6 +79,13 @@ def success_fee_metrics(ledger: DataFrame) -> DataFrame:
     return rows.withColumn("fee", F.round(F.col("recovered") * F.lit(FEE).cast("decimal(3,2)"), 2).cast(MONEY))
 
 
+def realized_by_month(events: DataFrame) -> DataFrame:
+    """Realizations less reversals and the fee on them by the month they came in; the current month's row is what came this month."""
+    signed = F.when(F.col("kind") == "reversal", -F.col("amount")).otherwise(F.col("amount"))
+    rows = events.groupBy(F.date_format("at", "yyyy-MM").alias("month")).agg(_sum(signed).alias("net"), F.count_distinct("case_id").alias("cases"))
+    return rows.withColumn("fee", F.round(F.col("net") * F.lit(FEE).cast("decimal(3,2)"), 2).cast(MONEY))
+
+
 def executive_summary(ledger: DataFrame) -> DataFrame:
     """One row: opportunity, realized value, open cases and days to the first realization (sum and number)."""
     live = F.col("status") != "rejected"
@@ -86,8 +93,9 @@ def executive_summary(ledger: DataFrame) -> DataFrame:
 
 
 def filter_facets(ledger: DataFrame) -> DataFrame:
-    """The values a list of cases can be filtered by, and how many cases have each."""
-    facet = F.explode(F.array(F.struct(F.lit("status").alias("facet"), F.col("status").alias("value")), F.struct(F.lit("kind").alias("facet"), F.col("kind").alias("value")), F.struct(F.lit("resolution").alias("facet"), F.col("resolution").alias("value"))))
+    """The values a list of cases can be filtered by, and how many cases have each: status, kind, resolution, customer and month of the first action."""
+    values = {"status": F.col("status"), "kind": F.col("kind"), "resolution": F.col("resolution"), "customer": F.col("customer_id").cast("string"), "month": F.date_format("first_action", "yyyy-MM")}
+    facet = F.explode(F.array(*[F.struct(F.lit(k).alias("facet"), v.alias("value")) for k, v in values.items()]))
     return ledger.select(facet.alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("cases"))
 
 

@@ -84,3 +84,9 @@ def negative_quantities(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """lines(customer_id, period, units) without those of negative units, and the months these make incomplete, with their number."""
     bad = F.col("units") < 0
     return lines.where(~F.coalesce(bad, F.lit(False))), lines.where(bad).groupBy(*KEY).agg(F.count("*").alias("negative"))
+
+
+def credits_review(lines: DataFrame) -> DataFrame:
+    """A month's credits and refunds for a human, never netted: their total and their descriptions in order."""
+    credit = lines.where("role = 'credit'").groupBy(*KEY)
+    return credit.agg(F.sum("amount").cast("decimal(18,2)").alias("total"), F.array_join(F.sort_array(F.collect_list("description")), "; ").alias("descriptions"))

@@ -132,5 +132,5 @@ ORACLES = {
         "", "ledger",
     ),
     "executive_summary": _cases(f"{_total('''sum(potential) FILTER (status <> 'rejected')''', 'opportunity')}, {_total('sum(net)', 'realized')}, count(*) FILTER (status NOT IN ('recovered', 'rejected', 'written_off')) AS open_cases, CAST(sum(days) AS BIGINT) AS days, count(days) AS timed", "", "ledger"),
-    "filter_facets": f"{_CASES} SELECT facet, value, count(*) AS cases FROM (SELECT 'status' AS facet, status AS value FROM ledger UNION ALL SELECT 'kind', kind FROM ledger UNION ALL SELECT 'resolution', resolution FROM ledger) GROUP BY ALL",
+    "filter_facets": f"{_CASES} SELECT facet, value, count(*) AS cases FROM (SELECT 'status' AS facet, status AS value FROM ledger UNION ALL SELECT 'kind', kind FROM ledger UNION ALL SELECT 'resolution', resolution FROM ledger UNION ALL SELECT 'customer', CAST(customer_id AS VARCHAR) FROM ledger UNION ALL SELECT 'month', strftime(first_action, '%Y-%m') FROM ledger) GROUP BY ALL",
 }

@@ -291,6 +291,8 @@ QUERIES = {
     "amount_tamper_audit": lambda s, d: _doubles(reports.tampered_amounts(_table(s, d, "orders").select(K().alias("case_id"), (K() * 2).alias("action_id"), (F.col("o_totalprice").cast(MONEY) + F.when(K() % 9 == 0, 1).otherwise(0)).cast(MONEY).alias("requested")), casebook.cases(s, d))),
     "assurance_status": lambda s, d: _doubles(reports.assurance_status(_changes(s, d))),
     "benchmark_summary": lambda s, d: reports.benchmark_summary(_bench_rows(s, d)),
+    "credits_review": lambda s, d: _doubles(rollups.credits_review(rollups.classified(book.invoice_lines(s, d), book.contracts(s, d)))),
+    "realized_by_month": lambda s, d: _doubles(recovery.realized_by_month(casebook.recovery_events(s, d))),
     "recovery_rate": lambda s, d: _doubles(recovery.recovery_rate(_ledger(s, d))),
     "project_rule_rights": lambda s, d: _doubles(provenance.rule_rights(_rule_table(s, d), _evaluated(s, d)).select("right_id", "period", "kind", "reason", "recoverable", F.col("expected_id").isNotNull().alias("expects"), "discrepancy_id")),
     "graph_nodes": lambda s, d: _graph(s, d)[0],
@@ -419,6 +421,8 @@ ORACLES = {
     "assurance_status": _BOOK + "SELECT count(*) AS events, count(*) FILTER (trigger = 'error') AS failed, count(DISTINCT customer_id) AS customers, (SELECT CAST(sum(value) AS DOUBLE) FROM (SELECT value FROM changes ORDER BY received_at DESC, event_id DESC LIMIT 10)) AS recent_value, arg_max(trigger, (received_at, event_id)) AS last_trigger FROM changes",
     "benchmark_summary": """WITH b AS (SELECT coalesce(source, 'none') AS category, doc_id, doc_id % 3 <> 0 AS e, doc_id % 4 <> 0 AS f FROM documents), v AS (SELECT category, concat_ws(',', 'planted:' || nullif(count(*) FILTER (doc_id % 6 = 0 OR doc_id % 5 = 0), 0), 'ungrounded:' || nullif(count(*) FILTER (doc_id % 6 = 0), 0)) AS violations FROM b GROUP BY category)
       SELECT category, count(DISTINCT doc_id) AS documents, count(*) FILTER (e) AS expected, count(*) FILTER (e AND f) AS found, nullif(any_value(violations), '') AS violations, round(count(*) FILTER (e AND f) / count(*) FILTER (e), 4) AS recall FROM b JOIN v USING (category) GROUP BY category""",
+    "credits_review": _BOOK + "SELECT customer_id, CAST(period AS VARCHAR) AS period, CAST(sum(amount) AS DOUBLE) AS total, string_agg(description, '; ' ORDER BY description) AS descriptions FROM classified WHERE role = 'credit' GROUP BY ALL",
+    "realized_by_month": _CASES + "SELECT month, CAST(net AS DOUBLE) AS net, cases, CAST(round(net * 0.20::DECIMAL(3,2), 2) AS DOUBLE) AS fee FROM (SELECT strftime(day, '%Y-%m') AS month, CAST(sum(CASE WHEN back THEN -amount ELSE amount END) AS DECIMAL(18,2)) AS net, count(DISTINCT case_id) AS cases FROM moves GROUP BY ALL)",
     "recovery_rate": _CASES
     + """SELECT CAST(opportunity AS DOUBLE) AS opportunity, CAST(realized AS DOUBLE) AS realized, round(CAST(realized AS DOUBLE) / CAST(opportunity AS DOUBLE), 4) AS rate, round(CAST(days AS DOUBLE) / timed, 1) AS average_days, round(CAST(realized AS DOUBLE) / cases, 2) AS average_value
       FROM (SELECT sum(potential) FILTER (status <> 'rejected') AS opportunity, sum(net) AS realized, sum(days) FILTER (net > 0) AS days, count(days) FILTER (net > 0) AS timed, count(*) FILTER (net > 0) AS cases FROM ledger)""",

@@ -59,6 +59,19 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.col("event_type").alias("trigger"), F.col("user_id").alias("customer_id"), F.date_format("ts", "yyyy-MM").alias("period"), F.floor("value").cast("string").alias("payload"), F.col("value").cast("decimal(18,2)").alias("value"), F.col("ts").alias("received_at"))
 
 
+def _payment_events(spark: SparkSession, d: str) -> DataFrame:
+    """Changes as a payment processor's events, of kinds that count and of one that doesn't."""
+    kinds = [*assurance.FEE_STATES, "customer.updated"]
+    return _changes(spark, d).withColumn("trigger", F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % len(kinds) + 1).cast("int")))
+
+
+def _scope_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of contracts and of months of the book, by customers of which some aren't in it."""
+    e, k = spark.read.parquet(f"{d}/events.parquet"), F.col("event_id")
+    month = F.date_format(F.add_months(F.lit("1996-01-01").cast("date"), (k % 60).cast("int")), "yyyy-MM")
+    return e.select((F.col("user_id") * 7 + k % 3).alias("customer_id"), F.when(k % 11 == 0, "pricing_change").when(k % 2 == 0, "new_usage").otherwise("new_invoice").alias("trigger"), month.alias("period")).where("customer_id % 5 <> 4")
+
+
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     """Customers' names as billing systems spell them."""
     c = spark.read.parquet(f"{d}/customer.parquet")
@@ -110,8 +123,8 @@ QUERIES = {
     "event_identity": lambda s, d: assurance.event_identity(_changes(s, d)).select("event_id", "event_key"),
     "dedupe_events": lambda s, d: assurance.dedupe_events(_changes(s, d)).select("event_key", "event_id"),
     "event_panel": lambda s, d: _doubles(assurance.event_panel(_changes(s, d)).withColumn("start", F.date_format("start", "yyyy-MM-dd"))),
-    "fee_status_fold": lambda s, d: assurance.fee_status(_changes(s, d), {"purchase": "paid", "error": "payment_failed"}),
-    "impacted_scope": lambda s, d: _doubles(assurance.impacted_scope(_changes(s, d).where("trigger = 'purchase'"), _tables(s, d)[2])),
+    "fee_status_fold": lambda s, d: assurance.fee_status(_payment_events(s, d), assurance.FEE_STATES),
+    "impacted_scope": lambda s, d: _doubles(assurance.impacted_scope(_scope_changes(s, d), _tables(s, d)[2])),
     "pseudo_pages": lambda s, d: D.pseudo_pages(s.read.parquet(f"{d}/documents.parquet")).select("doc_id", "page", F.sha2("text", 256).alias("page_sha256")),
     "critical_terms": lambda s, d: D.critical_terms(D.pseudo_pages(s.read.parquet(f"{d}/documents.parquet")), D.CRITICAL),
     "quote_in_document": _quote_table,
@@ -244,8 +257,11 @@ ORACLES = {
     "event_identity": _BOOK + "SELECT event_id, event_key FROM keyed",
     "dedupe_events": _BOOK + "SELECT event_key, arg_min(event_id, (received_at, event_id)) AS event_id FROM keyed GROUP BY event_key",
     "event_panel": _BOOK + "SELECT strftime(received_at, '%Y-%m-%d') AS start, trigger, count(*) AS events, CAST(sum(value) AS DOUBLE) AS value FROM changes GROUP BY ALL",
-    "fee_status_fold": _BOOK + "SELECT customer_id, arg_max(CASE WHEN trigger = 'purchase' THEN 'paid' ELSE 'payment_failed' END, (received_at, event_id)) AS status, count(*) AS events FROM changes WHERE trigger IN ('purchase', 'error') GROUP BY customer_id",
-    "impacted_scope": _BOOK + "SELECT c.customer_id, CAST(i.period AS VARCHAR) AS period FROM (SELECT DISTINCT customer_id FROM changes WHERE trigger = 'purchase') c LEFT JOIN (SELECT DISTINCT customer_id, period FROM invoices) i USING (customer_id)",
+    "fee_status_fold": _BOOK + f"SELECT customer_id, arg_max(([{', '.join(repr(v) for v in assurance.FEE_STATES.values())}])[CAST(event_id % 10 + 1 AS INTEGER)], (received_at, event_id)) AS status, count(*) AS events FROM changes WHERE event_id % 10 < 9 GROUP BY customer_id",
+    "impacted_scope": _BOOK
+    + """, moves AS (SELECT * FROM (SELECT user_id * 7 + event_id % 3 AS customer_id, event_id % 11 = 0 AS every, CAST(DATE '1996-01-01' + to_months(CAST(event_id % 60 AS INTEGER)) AS DATE) AS month FROM events) WHERE customer_id % 5 <> 4),
+      per AS (SELECT customer_id, bool_or(every) AS every FROM moves GROUP BY ALL), named AS (SELECT DISTINCT customer_id, month FROM moves WHERE NOT every)
+      SELECT p.customer_id, CAST(i.period AS VARCHAR) AS period FROM per p LEFT JOIN (SELECT DISTINCT customer_id, period FROM invoices) i ON i.customer_id = p.customer_id LEFT JOIN named n ON n.customer_id = p.customer_id AND n.month = i.period WHERE every OR n.month IS NOT NULL OR i.period IS NULL""",
     "pseudo_pages": _BOOK + "SELECT doc_id, CAST(page AS INTEGER) AS page, sha256(text) AS page_sha256 FROM pages",
     "critical_terms": _BOOK + f"SELECT doc_id, CAST(page AS INTEGER) AS page, term, count(*) AS times FROM (SELECT doc_id, page, unnest(regexp_extract_all(lower(text), '{D.CRITICAL}')) AS term FROM pages) GROUP BY ALL",
     "quote_in_document": r"WITH q AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents) SELECT DISTINCT item_id, doc_id FROM q JOIN d ON contains(d.text, q.text)",

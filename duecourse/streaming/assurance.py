@@ -31,6 +31,13 @@ def event_panel(changes: DataFrame, width: str = "1 day", late: str = "7 days")
     return rows.groupBy(F.window("received_at", width).alias("w"), "trigger").agg(F.count("*").alias("events"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "trigger", "events", "value")
 
 
+# A payment processor's events and what each makes of a fee.
+FEE_STATES = {
+    "invoice.paid": "paid", "invoice.payment_succeeded": "paid", "invoice.payment_failed": "payment_failed", "invoice.voided": "uncollectible", "invoice.marked_uncollectible": "uncollectible",
+    "charge.dispute.created": "disputed", "charge.dispute.closed/lost": "dispute_lost", "charge.dispute.closed/won": "paid", "credit_note.created": "adjusted",
+}
+
+
 def fee_status(events: DataFrame, states: dict[str, str]) -> DataFrame:
     """The latest status per customer from payment events, by a map of event types."""
     table = F.create_map(*[F.lit(x) for kv in states.items() for x in kv])
@@ -38,10 +45,25 @@ def fee_status(events: DataFrame, states: dict[str, str]) -> DataFrame:
     return rows.groupBy("customer_id").agg(F.max_by("status", F.struct("received_at", "event_id")).alias("status"), F.count("*").alias("events"))
 
 
+# Triggers that concern one month; any other concerns all months of the customer.
+PERIOD_TRIGGERS = ["new_invoice", "new_usage", "new_billing_period", "new_payment", "new_credit_refund"]
+
+
 def impacted_scope(changes: DataFrame, keys: DataFrame) -> DataFrame:
-    """changes(customer_id) to the customer-months on file that they touch; customers without any are unresolved, with a null month."""
-    touched = changes.select("customer_id").distinct()
-    return touched.join(keys.select("customer_id", "period").distinct(), "customer_id", "left")
+    """changes(customer_id, trigger, period as yyyy-MM) to the customer-months on file that they touch.
+
+    A change of the contract touches every month of its customer, a change within a month that month alone. Customers
+    without any month on file are unresolved, with a null month. Without a trigger column all changes are of contracts.
+    """
+    rows = changes if "trigger" in changes.columns else changes.withColumns({"trigger": F.lit("pricing_change"), "period": F.lit(None).cast("string")})
+    within = F.col("trigger").isin(PERIOD_TRIGGERS)
+    per = rows.groupBy("customer_id").agg(F.max((~within).cast("int")).alias("every"))
+    months = rows.where(within).select("customer_id", F.col("period").alias("month")).distinct().withColumn("named", F.lit(True))
+    on_file = keys.select("customer_id", "period").distinct()
+    held = per.join(on_file.withColumn("there", F.lit(True)), "customer_id", "left")
+    month = F.col("period").cast("string") if dict(keys.dtypes)["period"] == "string" else F.date_format("period", "yyyy-MM")
+    held = held.withColumn("month", month).join(months, ["customer_id", "month"], "left")
+    return held.where((F.col("every") == 1) | F.col("named") | F.col("there").isNull()).select("customer_id", "period")
 
 
 def start_assurance(stream: DataFrame, reevaluate, checkpoint: str) -> StreamingQuery:
