@@ -224,4 +224,5 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 
 def rank_score(value: Column, confidence: Column, evidence: Column, age_days: Column, status_weight: Column) -> Column:
     part = lambda x: F.least(x, F.lit(1.0))
-    return F.round(0.4 * part(value / 10000) + 0.25 * confidence + 0.15 * evidence + 0.1 * part(age_days / 90) + 0.1 * status_weight, 4)
+    score = 0.4 * part(value / 10000) + 0.25 * confidence + 0.15 * evidence + 0.1 * part(age_days / 90) + 0.1 * status_weight
+    return F.round(score.cast("decimal(12,8)"), 4).cast("double")  # as a decimal, so that halves round alike everywhere

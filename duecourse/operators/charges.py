@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalar import dollars
+
 KEY = ["customer_id", "period"]
 CHARGE = [*KEY, "kind", "scope"]
 MONEY = "decimal(18,2)"
@@ -96,3 +98,16 @@ def invalid_money(lines: DataFrame) -> DataFrame:
     charge = F.col("kind").isin("base", "seat", "overage")
     bad = charge & (F.col("amount").isNull() | (F.col("amount") < 0) | (F.col("quantity") <= 0))
     return lines.where(bad).groupBy(*KEY).agg(F.count("*").alias("bad_lines"))
+
+
+# What a variance is called as a finding.
+STATES = {"missing": "MISSING_CONTRACTUAL_CHARGE_ERROR", "underbilled": "UNDERBILLED_CONTRACTUAL_CHARGE", "tariff mismatch": "TARIFF_MISMATCH_ERROR"}
+
+
+def variance_findings(variance: DataFrame) -> DataFrame:
+    """The ledger's findings, with ids that name the charge by a hash, their state and how the amount comes about."""
+    state = F.element_at(F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv]), F.col("outcome"))
+    key = F.substring(F.sha2(F.concat_ws("|", "kind", "scope"), 256), 1, 10)
+    number = F.concat_ws("-", F.lit("F"), F.col("customer_id").cast("string"), F.date_format("period", "yyyyMM"), F.upper("kind"), key)
+    math = F.concat(dollars(F.col("expected")), F.lit(" due − "), dollars(F.col("billed")), F.lit(" billed = "), dollars(F.col("recoverable")))
+    return variance.withColumns({"state": state, "finding_id": number, "math": math}).where("state is not null").select("finding_id", *CHARGE, "state", "recoverable", "math")

@@ -30,16 +30,22 @@ def minimum_asof(schedule: DataFrame, panel: DataFrame) -> DataFrame:
 
 
 def active_terms(terms: DataFrame, panel: DataFrame, by: list[str]) -> DataFrame:
-    """The latest entry by period start for each customer, month and `by`; none where all start later. A missing scope is a scope of its own."""
+    """The latest entry by period start for each customer, month and `by`; none where all start later. A missing scope is a scope of its own.
+
+    Terms with a column `ends` (null for open ones) hold through that day; an entry that has ended gives way to the
+    latest that hasn't, so these are joined with the months instead of carried on.
+    """
     named = terms.withColumn("scope", F.coalesce("scope", F.lit(DEFAULT))) if "scope" in by else terms
+    if "ends" in terms.columns:
+        rows = panel.join(named, "customer_id").where("coalesce(effective <= period, true) and coalesce(ends >= period, true)")
+        return rows.groupBy("customer_id", "period", *by).agg(F.max_by("value", F.struct(F.col("effective").isNotNull(), "effective", -F.col("seq"))).alias("value"))
     months = panel.join(named.select("customer_id", *by).distinct(), "customer_id")
     return _held(named, months, ["customer_id", *by]).where("value is not null").drop("earliest")
 
 
 def active_minimums(schedule: DataFrame, panel: DataFrame) -> DataFrame:
     """The minimum of each scope that has begun by the month and not ended before it; no fallback. schedule has `ends`, null for open."""
-    rows = panel.join(schedule.withColumn("scope", F.coalesce("scope", F.lit(DEFAULT))), "customer_id").where("coalesce(effective <= period, true) and coalesce(ends >= period, true)")
-    return rows.groupBy("customer_id", "period", "scope").agg(F.max_by("value", F.struct(F.col("effective").isNotNull(), "effective", -F.col("seq"))).alias("value"))
+    return active_terms(schedule, panel, ["scope"])
 
 
 def resolve_scalar_terms(terms: DataFrame) -> DataFrame:

@@ -47,6 +47,7 @@ QUERIES = {
     "ledger_line_match": lambda s, d: _matched(s, d).select("line_id", "kind", "charge"),
     "unmatched_lines": lambda s, d: C.unmatched_lines(casebook.scoped_lines(s, d), _matched(s, d)).select("line_id", "kind", "scope", "label"),
     "ledger_variance": lambda s, d: _doubles(_variance(s, d)),
+    "variance_findings": lambda s, d: _doubles(C.variance_findings(_variance(s, d)).drop("math")),
     "chunk_pages": lambda s, d: D.chunk_pages(D.pseudo_pages(s.read.parquet(f"{d}/documents.parquet"))),
 }
 
@@ -97,7 +98,7 @@ matches AS MATERIALIZED (
 billed AS MATERIALIZED (SELECT customer_id, period, kind, charge AS scope, sum(amount) AS billed, count(*) AS n_lines, count(quantity) AS n_quantities, sum(quantity) AS quantity FROM matches GROUP BY ALL),
 there AS MATERIALIZED (SELECT DISTINCT customer_id, period, kind, true AS has FROM lines),
 gaps AS (SELECT c.customer_id, c.period, c.kind, c.scope, c.expected, c.review, c.rate, coalesce(b.billed, 0) AS billed, coalesce(b.n_lines, 0) AS n_lines, has, c.expected - coalesce(b.billed, 0) AS gap,
-  coalesce(b.n_quantities > 0 AND b.n_quantities < b.n_lines, false) AS partial, CAST(round(coalesce(b.billed, 0) / nullif(CAST(CASE WHEN b.n_quantities = b.n_lines THEN b.quantity WHEN b.n_quantities = 0 THEN c.metered END AS DOUBLE), 0), 6) AS DECIMAL(18,6)) AS derived_rate FROM charges c LEFT JOIN billed b USING (customer_id, period, kind, scope) LEFT JOIN there t USING (customer_id, period, kind)),
+  coalesce(b.n_quantities > 0 AND b.n_quantities < b.n_lines, false) AS partial, CAST(round(CAST(coalesce(b.billed, 0) / nullif(CAST(CASE WHEN b.n_quantities = b.n_lines THEN b.quantity WHEN b.n_quantities = 0 THEN c.metered END AS DOUBLE), 0) AS DECIMAL(28,10)), 6) AS DECIMAL(18,6)) AS derived_rate FROM charges c LEFT JOIN billed b USING (customer_id, period, kind, scope) LEFT JOIN there t USING (customer_id, period, kind)),
 variance AS (
   SELECT *, CASE WHEN outcome IN ('missing', 'underbilled', 'tariff mismatch') THEN gap ELSE 0 END AS recoverable FROM (SELECT *, CASE WHEN review IS NOT NULL THEN review WHEN n_lines = 0 AND has THEN 'lines do not match' WHEN partial AND rate IS NOT NULL THEN 'partial quantities' WHEN gap > 0.01 AND n_lines = 0 THEN 'missing' WHEN gap > 0.01 AND abs(derived_rate - rate) > 0.000001 THEN 'tariff mismatch' WHEN gap > 0.01 THEN 'underbilled' WHEN gap < -0.01 THEN 'overbilled' ELSE 'met' END AS outcome FROM gaps))
 """
@@ -118,6 +119,7 @@ ORACLES = {
     "expected_charge_ledger": _select("customer_id, scope, kind, review, n_scopes", "charges", "expected rate", "period").replace(_BOOK, _PRICED),
     "ledger_line_match": _PRICED + "SELECT line_id, kind, charge FROM matches",
     "unmatched_lines": _PRICED + "SELECT line_id, kind, scope, label FROM lines WHERE line_id NOT IN (SELECT line_id FROM matches)",
+    "variance_findings": _select("'F-' || customer_id || '-' || strftime(period, '%Y%m') || '-' || upper(kind) || '-' || substr(sha256(kind || '|' || scope), 1, 10) AS finding_id, customer_id, kind, scope, CASE outcome WHEN 'missing' THEN 'MISSING_CONTRACTUAL_CHARGE_ERROR' WHEN 'underbilled' THEN 'UNDERBILLED_CONTRACTUAL_CHARGE' ELSE 'TARIFF_MISMATCH_ERROR' END AS state", "variance WHERE outcome IN ('missing', 'underbilled', 'tariff mismatch')", "recoverable", "period").replace(_BOOK, _PRICED),
     "ledger_variance": _select("customer_id, kind, scope, n_lines, outcome", "variance", "expected billed derived_rate recoverable", "period").replace(_BOOK, _PRICED),
     # all pages but a document's last have 3000 characters: 19 of them fill a window, and a short last page may be the 20th
     "chunk_pages": """WITH sized AS (SELECT doc_id, greatest(1, CAST(ceil(length(coalesce(text, '')) / 3000) AS BIGINT)) AS n, length(coalesce(text, '')) AS chars FROM documents),

@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def money_payload(row: DataFrame, fields: list[str], lists: tuple[str, ...] = ()) -> DataFrame:
+    """row with `payload`, a hash of its money-bearing fields alone, in order of name; arrays among them (lists) in order of value, so that neither other fields nor an array's order make another event."""
+    parts = [F.sort_array(c).alias(c) if c in lists else F.col(c) for c in sorted([*fields, *lists])]
+    return row.withColumn("payload", F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256))
+
+
 def event_identity(changes: DataFrame) -> DataFrame:
     """Adds a content-derived event key, so that a replay has its first event's key."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("trigger", "customer_id", "period", "payload")])
+    parts = [c for c in ("account_id", "trigger", "customer_id", "period", "payload") if c != "account_id" or c in changes.columns]
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in parts])
     return changes.withColumn("event_key", F.substring(F.sha2(text, 256), 1, 32))
 
 

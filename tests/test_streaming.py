@@ -110,3 +110,9 @@ def test_holds_block_customers_or_all(spark):
 def test_by_recoverable(spark):
     f = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 3.0), ("c", "x", 3.0), ("d", "y", 2.0)], "finding_id string, period string, amount double")
     assert {r.finding_id: r.place for r in rules.by_recoverable(f).collect()} == {"b": 1, "c": 2, "a": 3, "d": 1}
+
+
+def test_payloads_hash_money_alone(spark):
+    rows = spark.createDataFrame([(1, 5, [2, 1], "x"), (2, 5, [1, 2], "y"), (3, 6, [1, 2], "x"), (4, None, None, "x")], "id int, amount int, items array<int>, note string")
+    got = {r.id: r.payload for r in assurance.money_payload(rows, ["amount"], ("items",)).collect()}
+    assert got[1] == got[2] != got[3] and got[4] and len(set(got.values())) == 3
