@@ -242,11 +242,11 @@ def _residual(shared: DataFrame, found: DataFrame, sketches: DataFrame, percent:
     return pairs.mapInArrow(_compare(percent, spanning), "signature long, a long, b long")
 
 
-def set_components(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+def set_components(docs: DataFrame, sets: DataFrame, n: int, percent: int, *spent: DataFrame) -> DataFrame:
     """(id, component) over the ids of sets that link with another set.
 
     docs(doc_id, text); sets: a row of each distinct set of shingle_sets(docs), with an id of its own. A set without
-    signatures links with nothing; empty tables give no rows.
+    signatures links with nothing; empty tables give no rows. spent: staged tables that go once sets is read.
     """
     groups = sets.select(F.explode("signatures").alias("signature"), "id")
     # combined before the shuffle, so a signature that very many sets have weighs no more than any other
@@ -258,6 +258,7 @@ def set_components(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> Da
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     held = staged(sets.select("id", "set_id", "doc_id", "text_key", "n_shingles", "sketch").join(needed, "id"), "held")
     sketches = held.select("id", "n_shingles", "sketch")
+    discard(*spent)
 
     # 1. each set with the nearest of the least sets of its groups
     side = lambda k: sketches.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
@@ -306,12 +307,13 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     filled = sets.where("set_id is not null").select("set_id", "id")
     repeated = filled.groupBy("set_id").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id != last_id")
     later = staged(filled.join(repeated, "set_id").where("id != first_id").select("id", "first_id"), "later")
-    found = set_components(docs, sets.where("set_id is not null").join(small(later.select("id")), "id", "left_anti"), n, percent)
-    rows = sets.select("doc_id", "text_key", "n_shingles", "set_id", "id").join(later, "id", "left").withColumn("row_id", F.col("id")).withColumn("id", F.coalesce("first_id", "id"))
+    narrow = staged(sets.select("doc_id", "text_key", "n_shingles", "set_id", "id"), "narrow")
+    found = set_components(docs, sets.where("set_id is not null").join(small(later.select("id")), "id", "left_anti"), n, percent, sets)
+    rows = narrow.join(later, "id", "left").withColumn("row_id", F.col("id")).withColumn("id", F.coalesce("first_id", "id"))
     rows = rows.join(found, "id", "left").withColumn("component", F.when(F.col("set_id").isNotNull(), F.coalesce("component", "id")))
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first_row"))
     rows = staged(rows.join(least, "component", "left").select("doc_id", "text_key", "n_shingles", "set_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.col("first_row.row_id") == F.col("row_id"), F.lit(True)).alias("first")), "groups")
-    discard(sets, later)
+    discard(narrow, later)
     return rows
 
 
