@@ -1,0 +1,41 @@
+"""Places in the order of a whole table, without one task that sees all rows."""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+_AT = "_place_at"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir and read back; in local mode without one, a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def with_place(rows: DataFrame, *by: Column, name: str = "place", stored: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """rows with their place, from 1, in the order of the whole table by `by` (ascending; a descending key is given as such).
+
+    Rows are range partitioned and each partition is sorted; a row's place is its partition's offset, a running sum over
+    one count per partition, plus its place in the partition. So only the partitions' counts pass through one task.
+    Rows that agree in all keys get different places in any order. An empty table stays empty; a column that has the
+    name of the place is replaced.
+    """
+    kept = [c for c in rows.columns if c != name]
+    dealt = rows.select(*kept).repartitionByRange(*by).sortWithinPartitions(*by)
+    dealt = stored(dealt.withColumn(_AT, F.monotonically_increasing_id()))  # the partition's number above 33 bits, the row's below
+    part = F.call_function("shiftright", F.col(_AT), F.lit(33)).cast("int")
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))  # a row per partition
+    placed = dealt.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return placed.select(*kept, (F.col("_offset") + F.col(_AT).bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long").alias(name))
