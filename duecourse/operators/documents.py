@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import cut, hinted
+
 
 def pseudo_pages(documents: DataFrame, size: int = 3000) -> DataFrame:
     """Pages of `size` characters, numbered from 1; an empty text is one empty page."""
@@ -48,27 +52,57 @@ def one_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
-def grounded_quotes(quotes: DataFrame, documents: DataFrame, words: int = 6) -> DataFrame:
+def _runs(words: Column, size: int, first: Column, last: Column) -> Column:
+    """Hashes of the runs of `size` words that lie between the places first and last, from 0; none where there is no room."""
+    run = lambda i: F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)])
+    return F.when(last - first + 1 >= size, F.transform(F.sequence(first, last - size + 1), run)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _standing(pairs: DataFrame, asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs(item_id, doc_id) whose text contains the quote."""
+    held = cut(pairs.distinct().join(asked.select("item_id", "quote"), "item_id"))
+    return hinted(held).join(texts, "doc_id").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id")
+
+
+def grounded_quotes(quotes: DataFrame, documents: DataFrame, most: int = 4) -> DataFrame:
     """quotes(item_id, text) with each document that contains one whole, white space aside: (item_id, doc_id).
 
-    Containment has no equal key, so quotes meet documents by their first `words` words, without the outer two, which may
-    be parts of a document's words; the pairs that meet are checked for the whole quote. Quotes of one or two words have
-    no inner words: as one array they are compared with every text. A blank quote stands in every text, null ones in none.
+    Containment has no equal key, so quotes meet documents by words. A quote's outer words may be parts of a document's
+    words, the inner ones are whole: of its runs of up to `most` inner words the one that the fewest documents have is
+    looked up, and what has it is checked for the whole quote. Documents' runs go no further than a semi-join with the
+    quotes' own. A quote of one word is looked for within the distinct words of all documents, one of two words by the
+    start of its second word, both by their first characters. A blank quote stands in every text, null ones in none.
     """
-    split = quotes.where("text is not null").select("item_id", one_space(F.col("text")).alias("quote")).withColumn("w", F.split("quote", " ")).withColumn("n", F.least(F.size("w"), F.lit(words)))
-    heads = split.where("n > 2").select("item_id", "quote", (F.col("n") - 2).alias("inner"), F.xxhash64(F.slice("w", F.lit(2), F.col("n") - 2)).alias("key"))
+    asked = quotes.where("text is not null").select("item_id", one_space(F.col("text")).alias("quote")).withColumn("n", F.when(F.col("quote") == "", 0).otherwise(F.size(F.split("quote", " "))))
     texts = documents.where("text is not null").select("doc_id", one_space(F.col("text")).alias("text"))
-    lengths = heads.agg(F.collect_set("inner")).scalar()  # at most words - 2
-    runs = texts.select("doc_id", F.split("text", " ").alias("w"), lengths.alias("lengths"))
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(n.alias("inner"), F.xxhash64(F.slice("w", i, n)).alias("key")))
-    every = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: F.size("w") >= n), of)))
-    runs = runs.select("doc_id", F.explode(every).alias("x")).select("doc_id", F.col("x.inner").alias("inner"), F.col("x.key").alias("key"))
-    met = runs.join(heads, ["inner", "key"]).select("item_id", "doc_id", "quote").distinct()
-    long = met.join(texts, "doc_id").where(F.instr("text", F.col("quote")) > 0).select("item_id", "doc_id")
-    short = split.where("n <= 2").select("item_id", "quote")
-    stated = short.agg(F.collect_set(F.struct("item_id", "quote"))).scalar()  # a stated set of queries, none in most books
-    found = texts.withColumn("short", stated).select("doc_id", F.explode(F.filter("short", lambda q: F.contains(F.col("text"), q["quote"]))).alias("q"))
-    return long.union(found.select("q.item_id", "doc_id")).distinct()
+    sizes = {r.n for r in asked.select(F.when(F.col("n") > 2, F.least(F.col("n") - 2, F.lit(most))).otherwise(-F.col("n")).alias("n")).distinct().collect()}  # most + 3 at most
+    hashes = lambda c: F.transform(F.split(c, " "), lambda w: F.xxhash64(w))
+    empty = F.array().cast("array<bigint>")
+    found = []
+    if lengths := sorted(s for s in sizes if s > 0):
+        inner = asked.where("n > 2").select("item_id", "n", hashes(F.col("quote")).alias("h"))
+        own = F.concat(empty, *[F.when(F.least(F.col("n") - 2, F.lit(most)) == s, _runs(F.col("h"), s, F.lit(1), F.col("n") - 2)).otherwise(empty) for s in lengths])
+        runs = cut(inner.select("item_id", F.explode(F.array_distinct(own)).alias("key")))
+        of_texts = texts.select("doc_id", hashes(F.col("text")).alias("h"))
+        every = F.array_distinct(F.concat(empty, *[_runs(F.col("h"), s, F.lit(0), F.size("h") - 1) for s in lengths]))
+        postings = cut(of_texts.select("doc_id", F.explode(every).alias("key")).join(hinted(runs.select("key").distinct()), "key", "left_semi"))
+        held = runs.join(postings.groupBy("key").agg(F.count("*").alias("docs")), "key", "left")
+        rarest = held.groupBy("item_id").agg(F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "key")).alias("x")).where("x.docs > 0")
+        found.append(_standing(rarest.select("item_id", F.col("x.key").alias("key")).join(postings, "key").select("item_id", "doc_id"), asked, texts))
+    if sizes & {-1, -2}:
+        short = asked.where("n in (1, 2)").withColumn("part", F.element_at(F.split("quote", " "), -1)).withColumn("within", F.col("n") == 1)
+        short = short.select("item_id", "part", "within", F.substring("part", 1, 3).alias("gram"))
+        words = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where("word <> ''")
+        grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.struct((i > 1).alias("inside"), F.substring(F.col("word"), i, F.lit(n)).alias("gram")))
+        parts = F.array_distinct(F.flatten(F.array(*[F.when(F.length("word") >= n, grams(n)).otherwise(F.array().cast("array<struct<inside:boolean,gram:string>>")) for n in (1, 2, 3)])))
+        met = words.select("word").distinct().select("word", F.inline(parts)).join(short, "gram")
+        met = met.where(F.when(F.col("within"), F.contains("word", F.col("part"))).otherwise(~F.col("inside") & F.startswith("word", F.col("part")))).select("item_id", "word").distinct()
+        found.append(_standing(met.join(words, "word").select("item_id", "doc_id"), asked, texts))
+    if 0 in sizes:
+        blank = asked.where("n = 0").agg(F.collect_set("item_id")).scalar()  # its result has each of them with every text
+        found.append(texts.select(F.explode(blank).alias("item_id"), "doc_id"))
+    nothing = asked.where("false").join(texts.select("doc_id"), F.lit(False)).select("item_id", "doc_id")
+    return reduce(DataFrame.union, found).distinct() if found else nothing
 
 
 # Phrases that tell of each family of terms, and the words that matter in a contract.
@@ -87,13 +121,18 @@ def signal_recall(pages: DataFrame, found: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "family").agg(F.count_distinct("page").alias("pages"), F.min("page").alias("first_page")).join(found.select("doc_id", "family").distinct(), ["doc_id", "family"], "left_anti")
 
 
-def quote_grounding(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """quotes(item_id, doc_id, page, text) and where each stands: 'found' on its page, 're-anchored' on the first other page that has it, or 'missing'; at most 120 characters of a quote are looked for."""
-    asked = quotes.select("item_id", "doc_id", F.col("page").alias("cited"), F.substring(one_space(F.col("text")), 1, 120).alias("quote"))
-    held = asked.join(pages.select("doc_id", "page", one_space(F.col("text")).alias("text")), "doc_id").where(F.contains("text", F.col("quote")))
-    best = held.groupBy("item_id").agg(F.min(F.struct(F.col("page") != F.col("cited"), F.col("page").alias("page"))).alias("x"))
+def quote_grounding(quotes: DataFrame, pages: DataFrame, most: int = 120) -> DataFrame:
+    """quotes(item_id, doc_id, page, text) and where each stands: 'found' on its page, 're-anchored' on the first other page that has it, or 'missing'.
+
+    The first `most` characters decide, as a quote's end is often cut off; `whole` says whether all of it stands on a
+    page of the document. A blank quote is missing.
+    """
+    quote = one_space(F.col("text"))
+    asked = quotes.select("item_id", "doc_id", F.col("page").alias("cited"), F.when(quote != "", quote).alias("quote"))
+    held = asked.join(pages.select("doc_id", "page", one_space(F.col("text")).alias("text")), "doc_id").where(F.contains("text", F.substring("quote", 1, most)))
+    best = held.groupBy("item_id").agg(F.min(F.struct(F.col("page") != F.col("cited"), F.col("page").alias("page"))).alias("x"), F.max(F.contains("text", F.col("quote"))).alias("whole"))
     state = F.when(F.col("x").isNull(), "missing").when(F.col("x.page") == F.col("cited"), "found").otherwise("re-anchored")
-    return asked.join(best, "item_id", "left").select("item_id", "doc_id", state.alias("state"), F.col("x.page").alias("page"))
+    return asked.join(best, "item_id", "left").select("item_id", "doc_id", state.alias("state"), F.col("x.page").alias("page"), F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
 def injection_audit(planted: DataFrame, constants: DataFrame) -> DataFrame:

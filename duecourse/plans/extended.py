@@ -178,8 +178,9 @@ def _signals(s: SparkSession, d: str) -> DataFrame:
 def _grounding(s: SparkSession, d: str) -> DataFrame:
     docs = _table(s, d, "documents")
     k = F.col("doc_id")
-    cut = F.substring(F.coalesce("text", F.lit("")), 3101, 60)
-    quotes = docs.where(F.length("text") > 3200).select(k.alias("item_id"), "doc_id", F.when(k % 2 == 0, 2).otherwise(1).alias("page"), F.when(k % 3 == 0, F.concat(cut, F.lit(" and no more of it"))).otherwise(cut).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    cut = F.substring(text, F.when(F.length(text) > 3200, 3101).otherwise(k % 20 + 1).cast("int"), (k % 160 + 40).cast("int"))
+    quotes = docs.select(k.alias("item_id"), "doc_id", F.when(k % 2 == 0, 2).otherwise(1).alias("page"), F.when(k % 3 == 0, F.concat(cut, F.lit(" and no more of it"))).otherwise(cut).alias("text"))
     return documents.quote_grounding(quotes, documents.pseudo_pages(docs))
 
 
@@ -438,11 +439,11 @@ ORACLES = {
     "signal_recall": f"""WITH t AS (SELECT doc_id, concat_ws(' ', text, {_cycle('doc_id', 'a platform fee', 'units in excess of', 'a PROMOTIONAL price', 'it may renew automatically', 'nothing')}) AS text FROM documents),
       p AS (SELECT doc_id, page, lower(substr(text, CAST((page - 1) * 3000 + 1 AS BIGINT), 3000)) AS text FROM (SELECT doc_id, text, unnest(range(1, greatest(1, CAST(ceil(length(text) / 3000) AS BIGINT)) + 1)) AS page FROM t)), f AS ({_PHRASES}),
       hits AS (SELECT DISTINCT doc_id, page, family FROM p JOIN f ON contains(p.text, f.phrase)) SELECT doc_id, family, count(*) AS pages, CAST(min(page) AS INTEGER) AS first_page FROM hits WHERE NOT (family = 'usage' AND doc_id % 10 < 5) GROUP BY ALL""",
-    "quote_grounding": r"""WITH d AS (SELECT doc_id, text, trim(regexp_replace(substr(text, 1, 3000), '\s+', ' ', 'g')) AS one FROM documents WHERE length(text) > 3200),
-      q AS (SELECT *, trim(regexp_replace(substr(text, 3101, 60) || CASE WHEN doc_id % 3 = 0 THEN ' and no more of it' ELSE '' END, '\s+', ' ', 'g')) AS quote FROM d),
-      p AS (SELECT doc_id, page, trim(regexp_replace(substr(text, CAST((page - 1) * 3000 + 1 AS BIGINT), 3000), '\s+', ' ', 'g')) AS text FROM (SELECT doc_id, text, unnest(range(1, CAST(ceil(length(text) / 3000) AS BIGINT) + 1)) AS page FROM d)),
-      h AS (SELECT q.doc_id, arg_min(page, (page <> CASE WHEN q.doc_id % 2 = 0 THEN 2 ELSE 1 END, page)) AS page FROM q JOIN p ON p.doc_id = q.doc_id AND contains(p.text, substr(q.quote, 1, 120)) GROUP BY q.doc_id)
-      SELECT q.doc_id AS item_id, q.doc_id, CASE WHEN h.page IS NULL THEN 'missing' WHEN h.page = CASE WHEN q.doc_id % 2 = 0 THEN 2 ELSE 1 END THEN 'found' ELSE 're-anchored' END AS state, CAST(h.page AS INTEGER) AS page FROM q LEFT JOIN h USING (doc_id)""",
+    "quote_grounding": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+      q AS (SELECT *, trim(regexp_replace(substr(text, CASE WHEN length(text) > 3200 THEN 3101 ELSE doc_id % 20 + 1 END, doc_id % 160 + 40) || CASE WHEN doc_id % 3 = 0 THEN ' and no more of it' ELSE '' END, '\s+', ' ', 'g')) AS quote FROM d),
+      p AS (SELECT doc_id, page, trim(regexp_replace(substr(text, CAST((page - 1) * 3000 + 1 AS BIGINT), 3000), '\s+', ' ', 'g')) AS text FROM (SELECT doc_id, text, unnest(range(1, greatest(1, CAST(ceil(length(text) / 3000) AS BIGINT)) + 1)) AS page FROM d)),
+      h AS (SELECT q.doc_id, arg_min(page, (page <> CASE WHEN q.doc_id % 2 = 0 THEN 2 ELSE 1 END, page)) AS page, bool_or(contains(p.text, q.quote)) AS whole FROM q JOIN p ON p.doc_id = q.doc_id AND q.quote <> '' AND contains(p.text, substr(q.quote, 1, 120)) GROUP BY q.doc_id)
+      SELECT q.doc_id AS item_id, q.doc_id, CASE WHEN h.page IS NULL THEN 'missing' WHEN h.page = CASE WHEN q.doc_id % 2 = 0 THEN 2 ELSE 1 END THEN 'found' ELSE 're-anchored' END AS state, CAST(h.page AS INTEGER) AS page, coalesce(whole, false) AS whole FROM q LEFT JOIN h USING (doc_id)""",
     "injection_audit": """WITH c AS (SELECT c_custkey AS k, unnest(['minimum', 'rate', 'above', 'cap', 'floor', 't1', 't2', 'r1', 'r2', 'r3']) AS name, unnest([c_custkey % 50 * 1000, (c_custkey % 7 + 1) * 0.05, c_custkey % 20, 60000, 100, 10, 30, 1.5, 1.25, 1]) AS value FROM customer)
       SELECT 'R-' || k AS right_id, name, 'planted' AS fault FROM c WHERE k % 3 = 0 AND value = k % 20 UNION ALL SELECT 'R-' || k, name, 'ungrounded' FROM c WHERE name = 'cap'""",
     "clause_lookup": "SELECT c_custkey AS customer_id, '4.2' AS ref, 'clause ' || c_custkey AS text FROM customer WHERE c_custkey % 13 <> 0 UNION ALL SELECT o_custkey, '1-URGENT', 'order ' || min(o_orderkey) FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey",

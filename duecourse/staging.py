@@ -1,4 +1,4 @@
-"""Places in the order of a whole table, without one task that sees all rows."""
+"""Tables between jobs, broadcasts of a checked size, and places in the order of a whole table."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: At most so many rows are broadcast by hinted(); its callers' rows are a few numbers or short texts wide.
+BROADCAST_ROWS = 500_000
 _AT = "_place_at"
 
 
@@ -22,6 +24,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, which should be cut, with a broadcast hint if it has at most so many rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def with_place(rows: DataFrame, *by: Column, name: str = "place", stored: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """rows with their place, from 1, in the order of the whole table by `by` (ascending; a descending key is given as such).
 
