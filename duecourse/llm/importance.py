@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecourse.operators.order import with_place
+from duecourse.staging import with_place
 
 from .common import Words, discard, documents, sliced, staged
 
