@@ -24,31 +24,38 @@ def _month(period: Column) -> Column:
 
 
 def extract_rights(contracts: DataFrame) -> DataFrame:
-    """A row per contract and family whose first term is there: right_id, evidence_id, active, reasons.
+    """A row per contract and family whose first term is there, for discounts a row each: right_id, evidence_id, discount, active, reasons.
 
-    contracts may have `minimum`. A right is active with all its terms, a clause that isn't blank, and enough confidence;
+    contracts may have `minimum`, and discount_list, an array of (name, expires). A right is active with all its terms, a clause that isn't blank, and enough confidence;
     else its row lists all that is missing.
     """
     has = lambda c: F.col(c).isNotNull() if c in contracts.columns else F.lit(False)
-    right = lambda family, first, *more: F.when(has(first), F.struct(F.lit(family).alias("family"), F.exists(F.array(F.lit(True), *[has(m) for m in more]), lambda x: ~x).alias("lacking")))
-    rights = F.array_compact(F.array(right("minimum", "minimum"), right("overage", "overage_rate", "included_units"), right("discount", "discount_name", "discount_expires"), right("escalator", "escalator_pct", "escalator_date"), right("seats", "committed_seats", "seat_price")))
-    rows = contracts.select("customer_id", "clause", "confidence", F.inline(rights))
+    right = lambda family, first, *more: F.when(has(first), F.struct(F.lit(family).alias("family"), F.exists(F.array(F.lit(True), *[has(m) for m in more]), lambda x: ~x).alias("lacking"), F.lit(None).cast("string").alias("discount")))
+    each = F.transform(F.coalesce("discount_list", F.array().cast("array<struct<name:string,expires:date>>")), lambda d: F.struct(F.lit("discount").alias("family"), d["expires"].isNull().alias("lacking"), d["name"].alias("discount"))) if "discount_list" in contracts.columns else F.array().cast("array<struct<family:string,lacking:boolean,discount:string>>")
+    rights = F.array_compact(F.array(right("minimum", "minimum"), right("overage", "overage_rate", "included_units"), right("escalator", "escalator_pct", "escalator_date"), right("seats", "committed_seats", "seat_price")))
+    rows = contracts.select("customer_id", "clause", "confidence", F.inline(F.concat(rights, each)))
+    key = lambda prefix, *more: F.when(F.col("discount").isNull(), stable_id(prefix, F.col("customer_id"), F.col("family"), *more)).otherwise(stable_id(prefix, F.col("customer_id"), F.col("family"), F.col("discount"), *more))
     blank = F.trim(F.coalesce("clause", F.lit(""))) == ""
     reasons = F.array_compact(F.array(F.when(F.col("lacking"), "terms missing"), F.when(blank, "no clause"), F.when(F.coalesce("confidence", F.lit(0.0)) < CONFIDENT, "low confidence")))
     return rows.select(
-        stable_id("right", F.col("customer_id"), F.col("family")).alias("right_id"), stable_id("evidence", F.col("customer_id"), F.col("family"), F.col("clause")).alias("evidence_id"),
-        "customer_id", "family", (F.size(reasons) == 0).alias("active"), F.array_join(reasons, "; ").alias("reasons"),
+        key("right").alias("right_id"), key("evidence", F.col("clause")).alias("evidence_id"),
+        "customer_id", "family", "discount", (F.size(reasons) == 0).alias("active"), F.array_join(reasons, "; ").alias("reasons"),
     )
 
 
-def contract_observations(usage: DataFrame, invoices: DataFrame) -> DataFrame:
-    """What the rolled-up feeds show, typed: a row per customer, month and type, amounts where there are any."""
+def contract_observations(usage: DataFrame, invoices: DataFrame, deductions: DataFrame) -> DataFrame:
+    """What the rolled-up feeds show, typed: a row per customer, month and type, amounts where there are any.
+
+    deductions(customer_id, period, discount, amount) have a row each.
+    """
     seen = lambda kind, value: F.when(value.isNotNull(), F.struct(F.lit(kind).alias("type"), value.cast("decimal(18,2)").alias("value")))
     some = lambda c: F.when(F.col(c) != 0, F.col(c))
-    billed = invoices.select(*KEY, F.inline(F.array_compact(F.array(seen("invoice", F.col("billed")), seen("base", F.col("base")), seen("overage", F.col("overage")), seen("discounts", some("discounts")), seen("credits", some("credits")), seen("seats", F.col("seat_units"))))))
+    billed = invoices.select(*KEY, F.inline(F.array_compact(F.array(seen("invoice", F.col("billed")), seen("base", F.col("base")), seen("overage", F.col("overage")), seen("credits", some("credits")), seen("seats", F.col("seat_units"))))))
     used = usage.select(*KEY, F.inline(F.array_compact(F.array(seen("usage", F.col("units"))))))
-    rows = billed.union(used)
-    return rows.select(stable_id("observation", F.col("customer_id"), _month(F.col("period")), F.col("type")).alias("observation_id"), *KEY, "type", "value")
+    rows = billed.union(used).withColumn("discount", F.lit(None).cast("string")).union(deductions.where("amount <> 0").select(*KEY, F.lit("discounts"), "amount", "discount"))
+    parts = [F.col("customer_id"), _month(F.col("period")), F.col("type")]
+    number = F.when(F.col("discount").isNull(), stable_id("observation", *parts)).otherwise(stable_id("observation", *parts, F.col("discount")))
+    return rows.select(number.alias("observation_id"), *KEY, "type", "discount", "value")
 
 
 def not_evaluable(rights: DataFrame, observations: DataFrame) -> DataFrame:
@@ -59,15 +66,16 @@ def not_evaluable(rights: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def link_findings(findings: DataFrame, rights: DataFrame, observations: DataFrame) -> DataFrame:
-    """Each finding with its right, evidence, observation and discrepancy, and expected and actual amounts.
+    """Each finding with its right, evidence, observation and discrepancy, and expected and actual amounts; a discount's by its name.
 
     The actual amount is that of the observation (0 where there is none), the expected one lies above it by the finding's.
     link is 'linked', 'right not active' or 'no right'. Seat findings' amounts are money and their observation units, so
     these have no expected and actual amount.
     """
     rows = findings.withColumns({"family": _lookup(FAMILIES, F.col("code")), "type": _lookup(OBSERVED, F.col("code"))})
-    rows = rows.join(rights.select("customer_id", "family", "right_id", "evidence_id", "active"), ["customer_id", "family"], "left")
-    rows = rows.join(observations.select(*KEY, "type", "observation_id", "value"), [*KEY, "type"], "left")
+    named = F.coalesce("discount", F.lit("")).alias("named")
+    rows = rows.select("*", named).join(rights.select("customer_id", "family", named, "right_id", "evidence_id", "active"), ["customer_id", "family", "named"], "left")
+    rows = rows.join(observations.select(*KEY, "type", named, "observation_id", "value"), [*KEY, "type", "named"], "left")
     amounts, actual = F.col("code") != "SEATS", F.coalesce("value", F.lit(0).cast("decimal(18,2)"))
     actual = F.when(F.col("code") == "EXPIRED_DISCOUNT", -actual).otherwise(actual)
     link = F.when(F.col("right_id").isNull(), "no right").when(F.col("active"), "linked").otherwise("right not active")

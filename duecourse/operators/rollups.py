@@ -10,38 +10,46 @@ from ..functions import scalar as S
 KEY = ["customer_id", "period"]
 
 
-def match_discounts(lines: DataFrame, discounts: DataFrame) -> DataFrame:
-    """Deductions lines(line_id, customer_id, description) with the contract's discount that each applies: discounts(customer_id, ordinal, name, expires).
+def classified(lines: DataFrame, contracts: DataFrame) -> DataFrame:
+    """lines with their role, and for deductions the contract's discount that they apply and its expiry.
 
-    One matches whose name contains the other's, in any case; of several the first of the contract. A customer's only
-    discount takes what names none.
+    contracts have discount_list, an array of (name, expires) in the contract's order. A deduction applies the first
+    whose name contains the line's description or the other way round, in any case, and is then a discount whatever else
+    it says. A contract's only discount takes what names none; another deduction has its own description for a name and
+    no expiry. A contract's discounts are few, so the lines carry them instead of being joined with each.
     """
-    met = lines.join(discounts, "customer_id")
-    named = (F.instr(F.lower("description"), F.lower("name")) > 0) | (F.instr(F.lower("name"), F.lower("description")) > 0)
-    only = met.groupBy("line_id").agg(F.min_by(F.struct("name", "expires"), F.when(F.coalesce(named, F.lit(False)), F.col("ordinal"))).alias("x"), F.count("*").alias("n"), F.min(F.struct("name", "expires")).alias("only"))
-    out = F.coalesce("x", F.when(F.col("n") == 1, F.col("only")))
-    return only.select("line_id", out["name"].alias("name"), out["expires"].alias("expires")).where("name is not null or expires is not null")
+    rows = lines.join(contracts.select("customer_id", "discount_list"), "customer_id", "left")
+    text, name = F.lower(F.coalesce("description", F.lit(""))), lambda d: F.lower(d["name"])
+    named = F.filter("discount_list", lambda d: (d["name"] != "") & (F.contains(text, name(d)) | F.contains(name(d), text)))
+    rows = rows.withColumn("_hit", F.when(F.col("amount") < 0, F.get(named, F.lit(0))))
+    flagged = F.coalesce("proration", F.lit(False)) if "proration" in lines.columns else F.lit(False)
+    rows = rows.withColumn("role", S.line_role(F.col("description"), F.col("amount"), text.contains("metered"), flagged, F.col("_hit").isNotNull()))
+    rows = rows.withColumn("_hit", F.when(F.col("role") == "discount", F.coalesce("_hit", F.when(F.size("discount_list") == 1, F.get("discount_list", F.lit(0))))))
+    return rows.withColumns({"discount": F.when(F.col("role") == "discount", F.coalesce("_hit.name", "description")), "expires": F.col("_hit.expires")}).drop("_hit", "discount_list")
 
 
-def classified(lines: DataFrame, contracts: DataFrame) -> DataFrame:
-    """lines with their role; a deduction that names the contract's discount is that discount, and has its expiry."""
-    rows = lines.join(contracts.select("customer_id", "discount_name", "discount_expires"), "customer_id", "left")
-    named = F.coalesce((F.instr(F.lower("description"), F.lower("discount_name")) > 0) | (F.instr(F.lower("discount_name"), F.lower("description")) > 0), F.lit(False))
-    flagged = F.coalesce("proration", F.lit(False)) if "proration" in lines.columns else F.lit(False)
-    role = S.line_role(F.col("description"), F.col("amount"), F.lower("description").contains("metered"), flagged, named)
-    return rows.withColumn("role", role).withColumn("expires", F.when(F.col("role") == "discount", F.col("discount_expires"))).drop("discount_name", "discount_expires")
+def deductions(lines: DataFrame) -> DataFrame:
+    """Classified lines to what each discount took off in a month: customer_id, period, discount, amount."""
+    return lines.where("role = 'discount'").groupBy(*KEY, "discount").agg((-F.sum("amount")).cast("decimal(18,2)").alias("amount"))
 
 
 def rollup_invoices(lines: DataFrame) -> DataFrame:
-    """Classified lines to a row per customer and month; sums and counts by role in one aggregation. Seats are base charges."""
+    """Classified lines to a row per customer and month, by sums per role. Seats are base charges.
+
+    `applied` has the deductions of discounts that had run out when the month began, each a finding of its own; all else
+    is summed before the second, small aggregation that gathers a month.
+    """
+    late = (F.col("role") == "discount") & (F.col("amount") < 0) & (F.col("expires") < F.col("period"))
+    gone = F.when(late, F.struct((-F.col("amount")).cast("decimal(18,2)").alias("amount"), F.col("discount").alias("name"), "expires"))
+    per = lines.groupBy(*KEY, "role", gone.alias("gone")).agg(F.sum("amount").alias("amount"), F.sum("quantity").alias("quantity"), F.count("*").alias("n"), F.min("invoice_id").alias("invoice_id"))
     of = lambda role, c="amount": F.sum(F.when(F.col("role").isin(role), F.col(c)))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(28,2)")).cast("decimal(18,2)")
-    deduction = F.when(F.col("role") == "discount", F.struct(F.col("description").alias("name"), (-F.col("amount")).cast("decimal(18,2)").alias("amount"), "expires"))
-    return lines.groupBy(*KEY).agg(
+    each = F.sort_array(F.flatten(F.collect_list(F.when(F.col("gone").isNotNull(), F.array_repeat("gone", F.col("n").cast("int"))))))
+    return per.groupBy(*KEY).agg(
         of(["base", "seat"]).cast("decimal(18,2)").alias("base"), zero(of("overage")).alias("overage"), zero(of("tax")).alias("tax"), of("seat", "quantity").cast("decimal(18,2)").alias("seat_units"),
-        zero(-of("discount")).alias("discounts"), zero(of("credit")).alias("credits"), F.count(F.when(F.col("role") == "credit", 1)).alias("n_credits"),
-        F.max((F.col("role") == "proration").cast("int")).cast("boolean").alias("prorated"), F.sort_array(F.collect_list(deduction)).alias("applied"),
-        F.sum("amount").cast("decimal(18,2)").alias("billed"), F.count("*").alias("n_lines"), F.min("invoice_id").alias("first_invoice"),
+        zero(-of("discount")).alias("discounts"), zero(of("credit")).alias("credits"), F.coalesce(of("credit", "n"), F.lit(0)).alias("n_credits"),
+        F.max(F.col("role") == "proration").alias("prorated"), F.transform(each, lambda x: F.struct(x["name"].alias("name"), x["amount"].alias("amount"), x["expires"].alias("expires"))).alias("applied"),
+        F.sum("amount").cast("decimal(18,2)").alias("billed"), F.sum("n").alias("n_lines"), F.min("invoice_id").alias("first_invoice"),
     )
 
 
@@ -87,6 +95,7 @@ def negative_quantities(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def credits_review(lines: DataFrame) -> DataFrame:
-    """A month's credits and refunds for a human, never netted: their total and their descriptions in order."""
-    credit = lines.where("role = 'credit'").groupBy(*KEY)
-    return credit.agg(F.sum("amount").cast("decimal(18,2)").alias("total"), F.array_join(F.sort_array(F.collect_list("description")), "; ").alias("descriptions"))
+    """A month's credits and refunds for a human, never netted: their total, and each description once, in order, with its number."""
+    each = lines.where("role = 'credit'").groupBy(*KEY, "description").agg(F.sum("amount").alias("amount"), F.count("*").alias("n"))
+    text = F.concat("description", F.when(F.col("n") > 1, F.concat(F.lit(" x"), F.col("n").cast("string"))).otherwise(""))
+    return each.groupBy(*KEY).agg(F.sum("amount").cast("decimal(18,2)").alias("total"), F.array_join(F.sort_array(F.collect_list(text)), "; ").alias("descriptions"))

@@ -2,7 +2,8 @@
 
 A row of facts may lack columns of which a book knows nothing; these count as null. Besides the roll-ups and the contract's
 terms, facts may have `prorated`, `currencies` (an array), `conflicts` (an array of the terms whose values compete), `tiers`
-(array of lower, up_to, rate), `applied` (array of the month's deductions: name, amount, expires), `active_seats`, `confirmed`.
+(array of lower, up_to, rate), `applied` (array of the month's deductions: name, amount, expires; those whose discount had
+not run out may be left out), or `discount_expires` for all of them, `active_seats`, `confirmed`.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from ..functions.scalar import CONFIDENT, escalator_steps, is_supported, money
 MONEY = "decimal(18,2)"
 OPTIONAL = {
     "prorated": "boolean", "currencies": "array<string>", "conflicts": "array<string>", "tiers": "array<struct<lower:decimal(18,6),up_to:decimal(18,6),rate:decimal(18,6)>>",
-    "applied": "array<struct<name:string,amount:decimal(18,2),expires:date>>", "active_seats": "decimal(18,2)", "confirmed": "boolean", "credit_lines": "array<string>",
+    "applied": "array<struct<name:string,amount:decimal(18,2),expires:date>>", "active_seats": "decimal(18,2)", "confirmed": "boolean", "credit_lines": "array<string>", "discount_expires": "date",
 }
 #: Terms whose conflict stops a month, and those that only disable the minimum's rule.
 STOPPING = ["term_start", "term_end"]
@@ -34,7 +35,7 @@ def with_gate(facts: DataFrame) -> DataFrame:
     gate = (
         F.when((F.size(F.array_distinct(currencies)) > 1) | F.exists(currencies, lambda c: ~F.coalesce(is_supported(c), F.lit(False))), "currency")
         .when(end < F.col("effective_date"), "not yet effective")
-        .when((F.col("period") > F.col("term_end")) & ~F.col("auto_renew"), "after the term")
+        .when((F.col("period") > F.col("term_end")) & ~F.coalesce("auto_renew", F.lit(False)), "after the term")
         .when(F.arrays_overlap(F.coalesce("conflicts", F.array().cast("array<string>")), F.array(*map(F.lit, STOPPING))), "term dates conflict")
     )
     return rows.withColumn("period_end", end).withColumn("gate", gate)
@@ -53,8 +54,13 @@ def tiered(units: Column, tiers: Column) -> Column:
     return F.aggregate(tiers, zero, lambda a, t: (a + part(t)).cast("decimal(30,12)"))
 
 
-def _outcomes() -> list[tuple[str, Column, Column]]:
-    """(code, condition, amount) of each rule with one outcome a month; a null condition or amount doesn't fire."""
+def _text(*parts) -> Column:
+    """Text and amounts in one line."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _outcomes() -> list[tuple[str, Column, Column, Column]]:
+    """(code, condition, amount, formula) of each rule with one outcome a month; a null condition or amount doesn't fire."""
     base, minimum = F.coalesce("base", F.lit(0).cast(MONEY)), F.col("minimum")
     whole = ~F.coalesce("prorated", F.lit(False))
     sure = ~F.array_contains(F.coalesce("conflicts", F.array().cast("array<string>")), "committed_minimum")
@@ -68,11 +74,11 @@ def _outcomes() -> list[tuple[str, Column, Column]]:
     seats = F.greatest("committed_seats", "active_seats") - F.col("seat_units")
     negative = F.coalesce((F.col("active_seats") < 0) | (F.col("seat_units") < 0), F.lit(False))
     return [
-        ("MISSING_BASE", whole & lost & minimum.isNotNull(), minimum),
-        ("MINIMUM", whole & sure & ~lost & (short > 0), short),
-        ("OVERAGE", over > 0.01, over),
-        ("ESCALATOR", whole & (steps > 0) & (risen > 0.01), risen),
-        ("SEATS", ~negative & (seats >= 1), seats * F.col("seat_price")),
+        ("MISSING_BASE", whole & lost & minimum.isNotNull(), minimum, _text("no base charge in ", money(F.col("billed")), " billed; the minimum is ", minimum)),
+        ("MINIMUM", whole & sure & ~lost & (short > 0), short, _text("minimum ", minimum, " - base ", base, " = ", money(short))),
+        ("OVERAGE", over > 0.01, over, _text(beyond.cast(MONEY), " units beyond ", F.col("included_units"), F.when(F.size("tiers") > 0, F.lit(" by tiers")).otherwise(_text(" at ", F.col("overage_rate"))), " - ", F.col("overage"), " billed = ", money(over))),
+        ("ESCALATOR", whole & (steps > 0) & (risen > 0.01), risen, _text("minimum ", minimum, " raised ", steps, " times by ", (F.col("escalator_pct") * 100).cast("decimal(8,2)"), "% - ", F.greatest(base, minimum), " = ", money(risen))),
+        ("SEATS", ~negative & (seats >= 1), seats * F.col("seat_price"), _text(seats.cast(MONEY), " seats beyond ", F.col("seat_units"), " billed, at ", F.col("seat_price"), " = ", money(seats * F.col("seat_price")))),
     ]
 
 
@@ -82,11 +88,11 @@ def _expired() -> Column:
         F.when(F.col("discounts") > 0, F.array(F.struct(F.lit(None).cast("string").alias("name"), F.col("discounts").alias("amount"), F.col("discount_expires").alias("expires"))))
     )
     late = F.filter(applied, lambda x: (x["expires"] < F.col("period")) & (x["amount"] > 0))
-    return F.coalesce(F.transform(late, lambda x: F.struct(F.lit("EXPIRED_DISCOUNT").alias("code"), money(x["amount"]).alias("amount"))), F.array().cast("array<struct<code:string,amount:decimal(18,2)>>"))
+    return F.coalesce(F.transform(late, lambda x: F.struct(F.lit("EXPIRED_DISCOUNT").alias("code"), money(x["amount"]).alias("amount"), _text(F.coalesce(x["name"], F.lit("a discount")), " ended ", x["expires"], ", ", money(x["amount"]), " taken off").alias("formula"), x["name"].alias("discount"))), F.array().cast("array<struct<code:string,amount:decimal(18,2),formula:string,discount:string>>"))
 
 
 def run_book(facts: DataFrame) -> DataFrame:
-    """facts (aligned rows with `minimum`) to findings: finding_id, customer_id, period, code, amount, status.
+    """facts (aligned rows with `minimum`) to findings: finding_id, customer_id, period, code, amount, formula, discount, status.
 
     A finding without a clause or with low confidence is held for review with its amount; a contract that a human
     confirmed is sure. All months and rules are in one plan, and the rules add no shuffle to that of the alignment.
@@ -95,10 +101,11 @@ def run_book(facts: DataFrame) -> DataFrame:
     rows = with_gate(facts).where("gate is null")
     confidence = F.when(F.col("confirmed"), 1.0).otherwise(F.col("confidence"))
     held = F.when(F.coalesce(F.trim("clause"), F.lit("")) == "", "no clause").when(F.coalesce(confidence, F.lit(0.0)) < CONFIDENT, "low confidence").otherwise("open")
-    fired = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(code).alias("code"), money(amount).alias("amount"))) for code, test, amount in _outcomes()]))
+    fired = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(code).alias("code"), money(amount).alias("amount"), formula.alias("formula"), F.lit(None).cast("string").alias("discount"))) for code, test, amount, formula in _outcomes()]))
     every = F.concat(fired, _expired())
     rows = rows.select("customer_id", "customer_name", "period", "confidence", "clause", held.alias("status"), every.alias("every"))
-    rows = rows.select("*", F.posexplode("every").alias("at", "x"))
+    # an inner explode would evaluate all outcomes once more, in a filter of its own
+    rows = rows.select("*", F.posexplode_outer("every").alias("at", "x")).where("x is not null")
     nth = F.size(F.filter(F.slice("every", 1, F.col("at") + 1), lambda x: x["code"] == F.col("x.code")))
     number = F.concat_ws("-", F.lit("F"), F.col("customer_id"), F.date_format("period", "yyyyMM"), "code", F.when(nth > 1, nth.cast("string")))
     return rows.select("customer_id", "customer_name", "period", "confidence", "clause", "status", "x.*", number.alias("finding_id"))

@@ -29,6 +29,22 @@ def minimum_asof(schedule: DataFrame, panel: DataFrame) -> DataFrame:
     return _held(schedule, panel, ["customer_id"]).select("customer_id", "period", F.coalesce("value", "earliest").alias("minimum")).where("minimum is not null")
 
 
+def with_minimum(rows: DataFrame, schedule: DataFrame) -> DataFrame:
+    """rows(customer_id, period, ...) with `minimum` as minimum_asof() gives it, null where there is no entry.
+
+    The rows themselves go into the order of each customer's entries, so nothing is joined back.
+    """
+    kept = [c for c in rows.columns if c not in ("customer_id", "period", "minimum")]
+    row = F.struct(*kept)
+    day = F.coalesce("effective", F.lit("0001-01-01").cast("date"))
+    mine = rows.select("customer_id", F.col("period").alias("day"), F.lit(1).alias("month"), F.lit(None).cast(dict(schedule.dtypes)["value"]).alias("value"), F.lit(None).cast("long").alias("seq"), row.alias("row"))
+    both = schedule.select("customer_id", day.alias("day"), F.lit(0).alias("month"), "value", "seq", F.lit(None).cast(mine.schema["row"].dataType).alias("row")).union(mine)
+    order = Window.partitionBy("customer_id").orderBy("day", "month", F.desc("seq"))
+    first = F.min_by("value", F.when(F.col("month") == 0, F.struct("day", "seq"))).over(Window.partitionBy("customer_id"))
+    held = F.last("value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("minimum", F.coalesce(held, first)).where("month = 1").select("customer_id", F.col("day").alias("period"), "row.*", "minimum")
+
+
 def active_terms(terms: DataFrame, panel: DataFrame, by: list[str]) -> DataFrame:
     """The latest entry by period start for each customer, month and `by`; none where all start later. A missing scope is a scope of its own.
 

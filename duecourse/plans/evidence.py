@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import charges as C
 from ..operators import documents as D
 from ..operators import provenance as P
-from ..operators import terms
+from ..operators import rollups, terms
 from ..sources import book, casebook
 from .registry import _BOOK, _doubles, _findings, _schedule, _select, _tables
 
@@ -19,7 +19,8 @@ def _rights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _observations(spark: SparkSession, d: str) -> DataFrame:
-    return P.contract_observations(*_tables(spark, d)[1:])
+    contracts, usage, invoices = _tables(spark, d)
+    return P.contract_observations(usage, invoices, rollups.deductions(rollups.classified(book.invoice_lines(spark, d), contracts)))
 
 
 def _charges(spark: SparkSession, d: str) -> DataFrame:
@@ -60,15 +61,16 @@ def _id(prefix: str, *parts: str) -> str:
 
 _MONTH = "strftime(period, '%Y-%m')"
 _SEEN = f"""observations AS (
-  SELECT {_id("observation", "customer_id", _MONTH, "type")} AS observation_id, * FROM (
-    SELECT customer_id, period, 'invoice' AS type, billed AS value FROM invoices UNION ALL SELECT customer_id, period, 'base', base FROM invoices UNION ALL SELECT customer_id, period, 'overage', overage FROM invoices
-    UNION ALL SELECT customer_id, period, 'discounts', nullif(discounts, 0) FROM invoices UNION ALL SELECT customer_id, period, 'credits', nullif(credits, 0) FROM invoices
-    UNION ALL SELECT customer_id, period, 'seats', seat_units FROM invoices UNION ALL SELECT customer_id, period, 'usage', units FROM usage) WHERE value IS NOT NULL),
+  SELECT CASE WHEN discount IS NULL THEN {_id("observation", "customer_id", _MONTH, "type")} ELSE {_id("observation", "customer_id", _MONTH, "type", "discount")} END AS observation_id, * FROM (
+    SELECT customer_id, period, type, NULL::VARCHAR AS discount, value FROM (SELECT customer_id, period, unnest(['invoice', 'base', 'overage', 'credits', 'seats']) AS type, unnest([billed, base, overage, nullif(credits, 0), seat_units]) AS value FROM invoices)
+    UNION ALL SELECT customer_id, period, 'usage', NULL, units FROM usage
+    UNION ALL SELECT customer_id, period, 'discounts', discount, CAST(-sum(amount) AS DECIMAL(18,2)) FROM classified WHERE role = 'discount' GROUP BY ALL) WHERE value IS NOT NULL AND (type <> 'discounts' OR value <> 0)),
 held AS (
-  SELECT customer_id, clause, confidence, unnest([CASE WHEN customer_id IN (SELECT customer_id FROM schedule) THEN 'minimum' END, 'overage', 'discount', CASE WHEN escalator_pct IS NOT NULL THEN 'escalator' END, CASE WHEN committed_seats IS NOT NULL THEN 'seats' END]) AS family FROM contracts),
+  SELECT customer_id, clause, confidence, unnest([CASE WHEN customer_id IN (SELECT customer_id FROM schedule) THEN 'minimum' END, 'overage', CASE WHEN escalator_pct IS NOT NULL THEN 'escalator' END, CASE WHEN committed_seats IS NOT NULL THEN 'seats' END]) AS family, NULL::VARCHAR AS discount, false AS lacking FROM contracts
+  UNION ALL SELECT customer_id, clause, confidence, 'discount', d.name, d.expires IS NULL FROM (SELECT customer_id, clause, confidence, unnest(discount_list) AS d FROM contracts)),
 rights AS (
-  SELECT {_id("right", "customer_id", "family")} AS right_id, {_id("evidence", "customer_id", "family", "clause")} AS evidence_id, customer_id, family, clause IS NOT NULL AND confidence >= 0.85 AS active,
-    concat_ws('; ', CASE WHEN clause IS NULL THEN 'no clause' END, CASE WHEN confidence < 0.85 THEN 'low confidence' END) AS reasons FROM held WHERE family IS NOT NULL)
+  SELECT CASE WHEN discount IS NULL THEN {_id("right", "customer_id", "family")} ELSE {_id("right", "customer_id", "family", "discount")} END AS right_id, CASE WHEN discount IS NULL THEN {_id("evidence", "customer_id", "family", "clause")} ELSE {_id("evidence", "customer_id", "family", "discount", "clause")} END AS evidence_id, customer_id, family, discount,
+    NOT lacking AND clause IS NOT NULL AND confidence >= 0.85 AS active, concat_ws('; ', CASE WHEN lacking THEN 'terms missing' END, CASE WHEN clause IS NULL THEN 'no clause' END, CASE WHEN confidence < 0.85 THEN 'low confidence' END) AS reasons FROM held WHERE family IS NOT NULL)
 """
 _WITH_SEEN = f"{_BOOK}, {_SEEN}"
 _PRICED = (
@@ -106,7 +108,7 @@ variance AS (
 
 ORACLES = {
     "extract_rights": _WITH_SEEN + "SELECT * FROM rights",
-    "contract_observations": _select("observation_id, customer_id, type", "observations", "value", "period").replace(_BOOK, _WITH_SEEN),
+    "contract_observations": _select("observation_id, customer_id, type, discount", "observations", "value", "period").replace(_BOOK, _WITH_SEEN),
     "not_evaluable_rights": _WITH_SEEN
     + """SELECT right_id, r.customer_id, CAST(m.period AS VARCHAR) AS period, required FROM (SELECT *, CASE family WHEN 'overage' THEN 'usage' WHEN 'discount' THEN 'discounts' WHEN 'seats' THEN 'seats' ELSE 'base' END AS required FROM rights WHERE active) r
       JOIN (SELECT DISTINCT customer_id, period FROM observations) m USING (customer_id) WHERE NOT EXISTS (SELECT 1 FROM observations o WHERE o.customer_id = r.customer_id AND o.period = m.period AND o.type = r.required)""",
@@ -114,7 +116,7 @@ ORACLES = {
     + f"""SELECT finding_id, f.customer_id, CAST(f.period AS VARCHAR) AS period, code, CASE WHEN right_id IS NULL THEN 'no right' WHEN active THEN 'linked' ELSE 'right not active' END AS link, right_id, evidence_id, observation_id, {_id("discrepancy", "finding_id")} AS discrepancy_id,
       CAST(CASE WHEN code <> 'SEATS' THEN CASE WHEN code = 'EXPIRED_DISCOUNT' THEN -1 ELSE 1 END * coalesce(value, 0) + amount END AS DOUBLE) AS expected, CAST(CASE WHEN code <> 'SEATS' THEN CASE WHEN code = 'EXPIRED_DISCOUNT' THEN -1 ELSE 1 END * coalesce(value, 0) END AS DOUBLE) AS actual, CAST(amount AS DOUBLE) AS amount
       FROM (SELECT *, CASE code WHEN 'OVERAGE' THEN 'overage' WHEN 'EXPIRED_DISCOUNT' THEN 'discounts' WHEN 'SEATS' THEN 'seats' ELSE 'base' END AS type, CASE code WHEN 'OVERAGE' THEN 'overage' WHEN 'EXPIRED_DISCOUNT' THEN 'discount' WHEN 'SEATS' THEN 'seats' WHEN 'ESCALATOR' THEN 'escalator' ELSE 'minimum' END AS family FROM findings) f
-      LEFT JOIN rights r ON r.customer_id = f.customer_id AND r.family = f.family LEFT JOIN observations o ON o.customer_id = f.customer_id AND o.period = f.period AND o.type = f.type""",
+      LEFT JOIN rights r ON r.customer_id = f.customer_id AND r.family = f.family AND r.discount IS NOT DISTINCT FROM f.discount LEFT JOIN observations o ON o.customer_id = f.customer_id AND o.period = f.period AND o.type = f.type AND o.discount IS NOT DISTINCT FROM f.discount""",
     "recovery_projection": f"SELECT {_id('action', 'o_orderkey')} AS action_id, o_orderkey AS case_id, CASE WHEN o_orderstatus = 'F' THEN 'recovered' WHEN o_orderstatus = 'P' THEN 'disputed' WHEN o_orderkey % 4 = 0 THEN 'requested' WHEN o_orderkey % 4 = 1 THEN 'written_off' ELSE 'rejected' END AS outcome FROM orders WHERE o_orderstatus IN ('F', 'P') OR o_orderkey % 4 < 3",
     "expected_charge_ledger": _select("customer_id, scope, kind, review, n_scopes", "charges", "expected rate", "period").replace(_BOOK, _PRICED),
     "ledger_line_match": _PRICED + "SELECT line_id, kind, charge FROM matches",

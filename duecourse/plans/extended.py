@@ -359,7 +359,7 @@ _MOVED = "WITH h AS (SELECT user_id AS id, event_id AS seq, {0} AS status FROM e
 _STATUS = _cycle("(event_id * 7 + CAST(floor(value) AS BIGINT))", "open", "approved", "invoiced", "disputed", "recovered", "rejected", "written_off")
 _LINKED = _WITH_SEEN + """, linked AS (SELECT finding_id, f.customer_id, f.status, f.code, right_id, evidence_id, observation_id, active, 'discrepancy_' || substr(sha256(finding_id), 1, 20) AS discrepancy_id
   FROM (SELECT *, CASE code WHEN 'OVERAGE' THEN 'overage' WHEN 'EXPIRED_DISCOUNT' THEN 'discounts' WHEN 'SEATS' THEN 'seats' ELSE 'base' END AS type, CASE code WHEN 'OVERAGE' THEN 'overage' WHEN 'EXPIRED_DISCOUNT' THEN 'discount' WHEN 'SEATS' THEN 'seats' WHEN 'ESCALATOR' THEN 'escalator' ELSE 'minimum' END AS family FROM findings) f
-  LEFT JOIN rights r ON r.customer_id = f.customer_id AND r.family = f.family LEFT JOIN observations o ON o.customer_id = f.customer_id AND o.period = f.period AND o.type = f.type)
+  LEFT JOIN rights r ON r.customer_id = f.customer_id AND r.family = f.family AND r.discount IS NOT DISTINCT FROM f.discount LEFT JOIN observations o ON o.customer_id = f.customer_id AND o.period = f.period AND o.type = f.type AND o.discount IS NOT DISTINCT FROM f.discount)
 """
 _PHRASES = " UNION ALL ".join(f"SELECT '{k}' AS family, unnest([{', '.join(repr(p) for p in v)}]) AS phrase" for k, v in documents.SIGNALS.items())
 
@@ -422,7 +422,7 @@ ORACLES = {
     "assurance_status": _BOOK + "SELECT count(*) AS events, count(*) FILTER (trigger = 'error') AS failed, count(DISTINCT customer_id) AS customers, (SELECT CAST(sum(value) AS DOUBLE) FROM (SELECT value FROM changes ORDER BY received_at DESC, event_id DESC LIMIT 10)) AS recent_value, arg_max(trigger, (received_at, event_id)) AS last_trigger FROM changes",
     "benchmark_summary": """WITH b AS (SELECT coalesce(source, 'none') AS category, doc_id, doc_id % 3 <> 0 AS e, doc_id % 4 <> 0 AS f FROM documents), v AS (SELECT category, concat_ws(',', 'planted:' || nullif(count(*) FILTER (doc_id % 6 = 0 OR doc_id % 5 = 0), 0), 'ungrounded:' || nullif(count(*) FILTER (doc_id % 6 = 0), 0)) AS violations FROM b GROUP BY category)
       SELECT category, count(DISTINCT doc_id) AS documents, count(*) FILTER (e) AS expected, count(*) FILTER (e AND f) AS found, nullif(any_value(violations), '') AS violations, round(count(*) FILTER (e AND f) / count(*) FILTER (e), 4) AS recall FROM b JOIN v USING (category) GROUP BY category""",
-    "credits_review": _BOOK + "SELECT customer_id, CAST(period AS VARCHAR) AS period, CAST(sum(amount) AS DOUBLE) AS total, string_agg(description, '; ' ORDER BY description) AS descriptions FROM classified WHERE role = 'credit' GROUP BY ALL",
+    "credits_review": _BOOK + "SELECT customer_id, CAST(period AS VARCHAR) AS period, CAST(sum(amount) AS DOUBLE) AS total, string_agg(description || CASE WHEN n > 1 THEN ' x' || n ELSE '' END, '; ' ORDER BY description) AS descriptions FROM (SELECT customer_id, period, description, sum(amount) AS amount, count(*) AS n FROM classified WHERE role = 'credit' GROUP BY ALL) GROUP BY ALL",
     "realized_by_month": _CASES + "SELECT month, CAST(net AS DOUBLE) AS net, cases, CAST(round(net * 0.20::DECIMAL(3,2), 2) AS DOUBLE) AS fee FROM (SELECT strftime(day, '%Y-%m') AS month, CAST(sum(CASE WHEN back THEN -amount ELSE amount END) AS DECIMAL(18,2)) AS net, count(DISTINCT case_id) AS cases FROM moves GROUP BY ALL)",
     "recovery_rate": _CASES
     + """SELECT CAST(opportunity AS DOUBLE) AS opportunity, CAST(realized AS DOUBLE) AS realized, round(CAST(realized AS DOUBLE) / CAST(opportunity AS DOUBLE), 4) AS rate, round(CAST(days AS DOUBLE) / timed, 1) AS average_days, round(CAST(realized AS DOUBLE) / cases, 2) AS average_value

@@ -26,9 +26,7 @@ def _schedule(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    rows = rollups.align_book(*_tables(spark, d))
-    panel = rows.select("customer_id", "period")
-    return rows.join(terms.minimum_asof(_schedule(spark, d), panel), ["customer_id", "period"], "left")
+    return terms.with_minimum(rollups.align_book(*_tables(spark, d)), _schedule(spark, d))
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
@@ -93,6 +91,8 @@ def _quote_table(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "run_book": lambda s, d: _doubles(_findings(s, d).select("finding_id", "customer_id", "period", "code", "amount", "status")),
+    "finding_formulas": lambda s, d: _doubles(_findings(s, d).groupBy("customer_id", "period", "code", "formula").agg(F.count("*").alias("findings"))),
+    "discounts_applied": lambda s, d: _doubles(rollups.classified(book.invoice_lines(s, d), book.contracts(s, d)).where("role = 'discount'").groupBy("customer_id", "discount", "expires").agg(F.count("*").alias("lines"), (-F.sum("amount")).cast("decimal(18,2)").alias("amount"))),
     "reviews": lambda s, d: _doubles(rules.reviews(_facts(s, d))),
     "classify_line": lambda s, d: _doubles(rollups.classified(book.invoice_lines(s, d), book.contracts(s, d)).groupBy("role").agg(F.count("*").alias("lines"), F.sum("amount").cast("decimal(18,2)").alias("amount"))),
     "invoice_rollup": lambda s, d: _doubles(_tables(s, d)[2].drop("applied", "prorated")),
@@ -134,7 +134,7 @@ QUERIES = {
 
 _ROLE = r"""CASE WHEN regexp_matches(description, '\b(prorat\w*|partial period|unused time|remaining time)\b', 'i') THEN 'proration'
   WHEN regexp_matches(description, '\b(sales tax|vat|gst|hst|pst|qst|tax)\b', 'i') THEN 'tax'
-  WHEN amount < 0 AND contains(lower(description), 'launch promo') THEN 'discount'
+  WHEN hit IS NOT NULL THEN 'discount'
   WHEN amount < 0 AND regexp_matches(description, '\b(credit note|credit memo|service credit|credit|refund|chargeback|goodwill|adjustment|write-?off)\b', 'i') THEN 'credit'
   WHEN amount < 0 THEN 'discount'
   WHEN contains(lower(description), 'metered') OR contains(lower(description), 'overage') THEN 'overage'
@@ -144,9 +144,9 @@ _POWERS = " ".join(f"WHEN {n} THEN {Decimal('1.04') ** n}::DECIMAL(16,14)" for n
 _BOOK = f"""WITH contracts AS (
   SELECT c_custkey AS customer_id, c_name AS customer_name, CAST(c_custkey % 40 * 2 AS {_D}) AS included_units, CAST((c_custkey % 7 + 1) * 10 AS {_D}) AS overage_rate,
     CASE WHEN c_custkey % 5 = 0 THEN 0.04::DOUBLE END AS escalator_pct, DATE '1995-01-01' + CAST(c_custkey % 700 AS INTEGER) AS escalator_date,
-    DATE '1994-06-01' + CAST(c_custkey % 900 AS INTEGER) AS effective_date, DATE '1998-01-01' + CAST(c_custkey % 1200 AS INTEGER) AS term_end, c_custkey % 3 = 0 AS auto_renew,
+    DATE '1994-06-01' + CAST(c_custkey % 900 AS INTEGER) AS effective_date, DATE '1998-01-01' + CAST(c_custkey % 1200 AS INTEGER) AS term_end, CASE WHEN c_custkey % 17 <> 0 THEN c_custkey % 3 = 0 END AS auto_renew,
     CASE WHEN c_custkey % 11 = 0 THEN 0.80::DOUBLE ELSE 0.95::DOUBLE END AS confidence, CASE WHEN c_custkey % 13 <> 0 THEN 'clause ' || c_custkey END AS clause,
-    DATE '1996-01-01' + CAST(c_custkey % 1500 AS INTEGER) AS discount_expires, CASE WHEN c_custkey % 6 = 0 THEN CAST(c_custkey % 9 + 40 AS {_D}) END AS committed_seats, 12.50::{_D} AS seat_price
+    list_filter([{{'name': 'Launch promo', 'expires': DATE '1996-01-01' + CAST(c_custkey % 1500 AS INTEGER)}}, CASE WHEN c_custkey % 3 <> 1 THEN {{'name': 'Loyalty rebate', 'expires': DATE '1995-06-01' + CAST(c_custkey % 1300 AS INTEGER)}} END, CASE WHEN c_custkey % 4 = 0 THEN {{'name': 'Volume', 'expires': NULL::DATE}} END], lambda x: x IS NOT NULL) AS discount_list, CASE WHEN c_custkey % 6 = 0 THEN CAST(c_custkey % 9 + 40 AS {_D}) END AS committed_seats, 12.50::{_D} AS seat_price
   FROM customer),
 terms AS (
   SELECT o_custkey AS customer_id, o_orderpriority AS term_type, o_orderstatus AS scope, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS effective,
@@ -154,14 +154,17 @@ terms AS (
 usage_lines AS (
   SELECT o_custkey AS customer_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS period, l_returnflag AS metric, CAST(l_quantity AS {_D}) AS units FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 items AS (
-  SELECT o_custkey AS customer_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, o_orderkey AS invoice_id, l_returnflag AS f, l_linestatus AS s, CAST(l_quantity AS {_D}) AS q,
+  SELECT o_custkey AS customer_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, o_orderkey AS invoice_id, l_linenumber AS nr, l_returnflag AS f, l_linestatus AS s, CAST(l_quantity AS {_D}) AS q,
     CAST(l_extendedprice AS {_D}) AS price, CAST(l_discount AS {_D}) AS cut, CAST(l_tax AS {_D}) AS tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 invoice_lines AS (
   SELECT * FROM (
     SELECT customer_id, period, invoice_id, CASE WHEN f = 'R' THEN 'Metered usage overage' WHEN f = 'N' AND s = 'O' THEN 'Workspace seats' ELSE 'Platform subscription' END AS description, price AS amount, q AS quantity FROM items
-    UNION ALL SELECT customer_id, period, invoice_id, CASE WHEN cut >= 0.09 THEN 'Service credit' ELSE 'Launch promo applied' END, CAST(-round(price * cut, 2) AS {_D}), NULL FROM items
+    UNION ALL SELECT customer_id, period, invoice_id, CASE WHEN cut >= 0.09 THEN 'Service credit' WHEN nr % 3 = 0 THEN 'Loyalty' WHEN nr % 3 = 1 THEN 'Launch promo applied' ELSE 'VOLUME price' END, CAST(-round(price * cut, 2) AS {_D}), NULL FROM items
     UNION ALL SELECT customer_id, period, invoice_id, 'Sales tax', CAST(round(price * tax, 2) AS {_D}), NULL FROM items) WHERE amount <> 0),
-classified AS (SELECT *, {_ROLE} AS role FROM invoice_lines),
+named AS (
+  SELECT l.*, discount_list, CASE WHEN amount < 0 THEN list_filter(discount_list, lambda x: contains(lower(description), lower(x.name)) OR contains(lower(x.name), lower(description)))[1] END AS hit FROM invoice_lines l LEFT JOIN contracts USING (customer_id)),
+applying AS (SELECT *, CASE WHEN role = 'discount' THEN coalesce(hit, CASE WHEN len(discount_list) = 1 THEN discount_list[1] END) END AS taken FROM (SELECT *, {_ROLE} AS role FROM named)),
+classified AS (SELECT * EXCLUDE (discount_list, hit, taken), CASE WHEN role = 'discount' THEN coalesce(taken.name, description) END AS discount, taken.expires AS expires FROM applying),
 invoices AS (
   SELECT customer_id, period, CAST(sum(amount) FILTER (role IN ('base', 'seat')) AS {_D}) AS base, CAST(coalesce(sum(amount) FILTER (role = 'overage'), 0) AS {_D}) AS overage,
     CAST(coalesce(sum(amount) FILTER (role = 'tax'), 0) AS {_D}) AS tax, CAST(sum(quantity) FILTER (role = 'seat') AS {_D}) AS seat_units,
@@ -177,7 +180,7 @@ held_minimum AS (
     SELECT p.customer_id, p.period, s.value AS minimum, row_number() OVER (PARTITION BY p.customer_id, p.period ORDER BY s.effective <= p.period DESC, CASE WHEN s.effective <= p.period THEN s.effective END DESC, s.effective, s.seq) AS r
     FROM panel p JOIN schedule s USING (customer_id)) WHERE r = 1),
 facts AS (
-  SELECT *, last_day(period) AS period_end, CASE WHEN last_day(period) < effective_date THEN 'not yet effective' WHEN period > term_end AND NOT auto_renew THEN 'after the term' END AS gate
+  SELECT *, last_day(period) AS period_end, CASE WHEN last_day(period) < effective_date THEN 'not yet effective' WHEN period > term_end AND NOT coalesce(auto_renew, false) THEN 'after the term' END AS gate
   FROM usage JOIN invoices USING (customer_id, period) JOIN contracts USING (customer_id) LEFT JOIN held_minimum USING (customer_id, period)),
 steps AS (
   SELECT *, coalesce(base, 0) AS b, greatest(0, 1 + year(period_end) - year(escalator_date) - CAST(month(period_end) * 100 + day(period_end) < month(escalator_date) * 100 + day(escalator_date) AS INTEGER)) AS n,
@@ -185,14 +188,14 @@ steps AS (
 outcomes AS (
   SELECT *, CASE WHEN escalator_pct IS NOT NULL THEN CAST(round(CAST(minimum AS DECIMAL(22,2)) * CASE greatest(n, 1) {_POWERS} END, 2) AS {_D}) END - greatest(b, minimum) AS risen, b <= 0.005 AND billed - b > 0 AS lost FROM steps),
 fired AS (
-  SELECT customer_id, period, confidence, clause, 'MISSING_BASE' AS code, minimum AS amount FROM outcomes WHERE lost AND minimum IS NOT NULL
-  UNION ALL SELECT customer_id, period, confidence, clause, 'MINIMUM', minimum - b FROM outcomes WHERE NOT lost AND minimum - b > 0
-  UNION ALL SELECT customer_id, period, confidence, clause, 'OVERAGE', over FROM outcomes WHERE over > 0.01
-  UNION ALL SELECT customer_id, period, o.confidence, o.clause, 'EXPIRED_DISCOUNT', -c.amount FROM outcomes o JOIN classified c USING (customer_id, period) WHERE c.role = 'discount' AND period > o.discount_expires
-  UNION ALL SELECT customer_id, period, confidence, clause, 'ESCALATOR', risen FROM outcomes WHERE n > 0 AND risen > 0.01
-  UNION ALL SELECT customer_id, period, confidence, clause, 'SEATS', seats * seat_price FROM outcomes WHERE seats >= 1),
+  SELECT customer_id, period, confidence, clause, 'MISSING_BASE' AS code, minimum AS amount, concat('no base charge in ', billed, ' billed; the minimum is ', minimum) AS formula, NULL::VARCHAR AS discount FROM outcomes WHERE lost AND minimum IS NOT NULL
+  UNION ALL SELECT customer_id, period, confidence, clause, 'MINIMUM', minimum - b, concat('minimum ', minimum, ' - base ', CAST(b AS {_D}), ' = ', CAST(minimum - b AS {_D})), NULL FROM outcomes WHERE NOT lost AND minimum - b > 0
+  UNION ALL SELECT customer_id, period, confidence, clause, 'OVERAGE', over, concat(CAST(greatest(units - included_units, 0) AS {_D}), ' units beyond ', included_units, ' at ', overage_rate, ' - ', overage, ' billed = ', CAST(round(over, 2) AS {_D})), NULL FROM outcomes WHERE over > 0.01
+  UNION ALL SELECT customer_id, period, o.confidence, o.clause, 'EXPIRED_DISCOUNT', -c.amount, concat(discount, ' ended ', expires, ', ', CAST(-c.amount AS {_D}), ' taken off'), discount FROM outcomes o JOIN classified c USING (customer_id, period) WHERE c.role = 'discount' AND period > expires
+  UNION ALL SELECT customer_id, period, confidence, clause, 'ESCALATOR', risen, concat('minimum ', minimum, ' raised ', n, ' times by ', CAST(escalator_pct * 100 AS DECIMAL(8,2)), '% - ', CAST(greatest(b, minimum) AS {_D}), ' = ', CAST(risen AS {_D})), NULL FROM outcomes WHERE n > 0 AND risen > 0.01
+  UNION ALL SELECT customer_id, period, confidence, clause, 'SEATS', seats * seat_price, concat(CAST(seats AS {_D}), ' seats beyond ', seat_units, ' billed, at ', seat_price, ' = ', CAST(round(seats * seat_price, 2) AS {_D})), NULL FROM outcomes WHERE seats >= 1),
 findings AS (
-  SELECT 'F-' || customer_id || '-' || strftime(period, '%Y%m') || '-' || code || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS finding_id, customer_id, period, code, CAST(round(amount, 2) AS {_D}) AS amount, clause, confidence,
+  SELECT 'F-' || customer_id || '-' || strftime(period, '%Y%m') || '-' || code || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS finding_id, customer_id, period, code, CAST(round(amount, 2) AS {_D}) AS amount, formula, discount, clause, confidence,
     CASE WHEN clause IS NULL THEN 'no clause' WHEN confidence < 0.85 THEN 'low confidence' ELSE 'open' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, period, code ORDER BY amount) AS nth FROM fired)),
 rec AS (SELECT event_id, user_id AS case_id, CASE WHEN event_type = 'error' THEN 'reversal' ELSE 'realization' END AS kind, CAST(value AS {_D}) AS amount, ts FROM events),
 changes AS (SELECT event_id, event_type AS trigger, user_id AS customer_id, strftime(ts, '%Y-%m') AS period, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS payload, CAST(value AS {_D}) AS value, ts AS received_at FROM events),
@@ -212,6 +215,8 @@ _ACTIVE = "(SELECT p.customer_id, p.period, t.term_type, t.scope, t.value, row_n
 
 ORACLES = {
     "run_book": _select("finding_id, customer_id, code, status", "findings", "amount", "period"),
+    "finding_formulas": _BOOK + "SELECT customer_id, CAST(period AS VARCHAR) AS period, code, formula, count(*) AS findings FROM findings GROUP BY ALL",
+    "discounts_applied": _BOOK + "SELECT customer_id, discount, CAST(expires AS VARCHAR) AS expires, count(*) AS lines, CAST(-sum(amount) AS DOUBLE) AS amount FROM classified WHERE role = 'discount' GROUP BY ALL",
     "reviews": _select("customer_id, reason", "(SELECT DISTINCT customer_id, period, unnest([gate, CASE WHEN n_credits > 0 THEN 'credits' END, CASE WHEN incomplete THEN 'several meters' END, CASE WHEN base IS NULL THEN 'no base charge' END, CASE WHEN committed_seats IS NOT NULL AND seat_units IS NULL THEN 'no seat line' END]) AS reason FROM facts) WHERE reason IS NOT NULL", "", "period"),
     "classify_line": _BOOK + "SELECT role, count(*) AS lines, CAST(CAST(sum(amount) AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM classified GROUP BY role",
     "invoice_rollup": _select("customer_id, n_credits, n_lines, first_invoice", "invoices", "base overage tax seat_units discounts credits billed", "period"),

@@ -25,9 +25,13 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("customer_id"), F.col("c_name").alias("customer_name"),
         (k % 40 * 2).cast("decimal(18,2)").alias("included_units"), ((k % 7 + 1) * 10).cast("decimal(18,2)").alias("overage_rate"),
         F.when(k % 5 == 0, F.lit(0.04)).alias("escalator_pct"), _day("1995-01-01", k % 700).alias("escalator_date"),
-        _day("1994-06-01", k % 900).alias("effective_date"), _day("1998-01-01", k % 1200).alias("term_end"), (k % 3 == 0).alias("auto_renew"),
+        _day("1994-06-01", k % 900).alias("effective_date"), _day("1998-01-01", k % 1200).alias("term_end"), F.when(k % 17 != 0, k % 3 == 0).alias("auto_renew"),
         F.when(k % 11 == 0, 0.80).otherwise(0.95).alias("confidence"), F.when(k % 13 != 0, F.concat(F.lit("clause "), k.cast("string"))).alias("clause"),
-        F.lit("Launch promo").alias("discount_name"), _day("1996-01-01", k % 1500).alias("discount_expires"),
+        F.array_compact(F.array(
+            F.struct(F.lit("Launch promo").alias("name"), _day("1996-01-01", k % 1500).alias("expires")),
+            F.when(k % 3 != 1, F.struct(F.lit("Loyalty rebate").alias("name"), _day("1995-06-01", k % 1300).alias("expires"))),
+            F.when(k % 4 == 0, F.struct(F.lit("Volume").alias("name"), F.lit(None).cast("date").alias("expires"))),
+        )).alias("discount_list"),
         F.when(k % 6 == 0, (k % 9 + 40).cast("decimal(18,2)")).alias("committed_seats"), F.lit("12.50").cast("decimal(18,2)").alias("seat_price"),
     )
 
@@ -50,7 +54,7 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     price, cut, tax = (F.col(f"l_{c}").cast("decimal(18,2)") for c in ("extendedprice", "discount", "tax"))
     charge = F.when(F.col("l_returnflag") == "R", "Metered usage overage").when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), "Workspace seats").otherwise("Platform subscription")
-    less = F.when(cut >= 0.09, "Service credit").otherwise("Launch promo applied")
+    less = F.when(cut >= 0.09, "Service credit").when(F.col("l_linenumber") % 3 == 0, "Loyalty").when(F.col("l_linenumber") % 3 == 1, "Launch promo applied").otherwise("VOLUME price")
     lines = F.array(
         F.struct(charge.alias("description"), price.alias("amount"), F.col("l_quantity").cast("decimal(18,2)").alias("quantity")),
         F.struct(less.alias("description"), (-F.round(price * cut, 2)).cast("decimal(18,2)").alias("amount"), F.lit(None).cast("decimal(18,2)").alias("quantity")),
@@ -81,13 +85,13 @@ def read_book(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
     A contract's clause is its notes or its first discount's; fields that aren't there are null.
     """
     c = _records(spark, f"{folder}/contracts.json", "customers", _CONTRACT)
-    discount = F.get("discounts", F.lit(0))
+    name = lambda d: F.coalesce(d["name"], F.nullif(F.regexp_extract(d["notes"], "^([^:]+):", 1), F.lit("")))
     has = F.col("annual_escalator_pct") > 0
     contracts = c.select(
         "customer_id", F.coalesce("customer_name", "name").alias("customer_name"), "currency", F.col("committed_tier.included_units").alias("included_units"), F.col("committed_tier.overage_rate_per_unit").alias("overage_rate"),
         F.when(has, F.col("annual_escalator_pct")).alias("escalator_pct"), F.when(has, F.to_date("escalator_effective_month", "yyyy-MM")).alias("escalator_date"),
         F.col("contract_start").alias("effective_date"), F.col("contract_end").alias("term_end"), F.lit(False).alias("auto_renew"), F.lit(1.0).alias("confidence"),
-        F.coalesce("notes", discount["notes"]).alias("clause"), F.coalesce(discount["name"], F.regexp_extract(discount["notes"], "^([^:]+):", 1)).alias("discount_name"), discount["expires"].alias("discount_expires"),
+        F.coalesce("notes", F.get("discounts", F.lit(0))["notes"]).alias("clause"), F.transform("discounts", lambda d: F.struct(name(d).alias("name"), d["expires"].alias("expires"))).alias("discount_list"),
         F.lit(None).cast(MONEY).alias("committed_seats"), F.lit(None).cast(MONEY).alias("seat_price"), F.col("minimum_monthly_commit").alias("minimum"),
     )
     month = lambda p: F.to_date(p, "yyyy-MM")

@@ -79,7 +79,7 @@ def start_assurance(stream: DataFrame, reevaluate, checkpoint: str) -> Streaming
 
 
 # The terms whose change reprices an agreement.
-PRICING = ["minimum", "included_units", "overage_rate", "escalator_pct", "escalator_date", "seat_price", "committed_seats", "discount_name", "discount_expires"]
+PRICING = ["minimum", "included_units", "overage_rate", "escalator_pct", "escalator_date", "seat_price", "committed_seats", "discount_list"]
 
 
 def contract_changes(old: DataFrame, new: DataFrame, today: str) -> DataFrame:

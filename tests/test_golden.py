@@ -141,3 +141,37 @@ def test_agreements(spark):
     assert {(r.term_type, r.value) for r in kept.collect()} == {("minimum", 42000), ("included", 10000), ("rate", Decimal("3.5")), ("seats", 125)}
     assert {(r.doc_id, r.reason) for r in reviews.collect()} == {(3, "disagrees on included"), (4, "undated amendment"), (5, "superseded")}
     assert {r.doc_id: r.place for r in places.collect()} == {1: "anchor", 2: "amendment", 3: "supplement", 4: "undated", 5: "superseded"}
+
+
+def test_a_deduction_applies_the_first_discount_that_names_it(spark):
+    kind = "customer_id string, discount_list array<struct<name:string,expires:date>>"
+    old, new = date(2026, 1, 1), date(2027, 1, 1)
+    contracts = spark.createDataFrame([("a", [("Launch promo", old), ("Promo", new), ("Loyalty rebate", old)]), ("b", [("Launch", old)]), ("c", []), ("d", None), ("e", [(None, new), ("", new), ("Rebate", old)])], kind)
+    lines = [("a", "LAUNCH PROMO for June", -1), ("a", "a promo", -2), ("a", "loyalty", -4), ("a", "other", -8), ("a", "Service credit promo", -16), ("b", "anything", -32), ("b", "Service credit", -64), ("c", "x", -128), ("d", "x", -256), ("e", "rebate", -512), ("x", "x", -1024), ("a", None, -2048), ("a", "Launch promo", 5), ("b", "anything", -32)]
+    rows = spark.createDataFrame([(c, date(2026, 6, 1), 1, t, Decimal(v), None) for c, t, v in lines], f"customer_id string, period date, invoice_id long, description string, amount {MONEY}, quantity {MONEY}")
+    held = rollups.classified(rows, contracts)
+    got = {(r.customer_id, int(-r.amount)): (r.role, r.discount, r.expires) for r in held.collect()}
+    assert got == {
+        ("a", 1): ("discount", "Launch promo", old), ("a", 2): ("discount", "Promo", new), ("a", 4): ("discount", "Loyalty rebate", old), ("a", 8): ("discount", "other", None), ("a", 16): ("discount", "Promo", new), ("b", 32): ("discount", "Launch", old),
+        ("b", 64): ("credit", None, None), ("c", 128): ("discount", "x", None), ("d", 256): ("discount", "x", None), ("e", 512): ("discount", "Rebate", old), ("x", 1024): ("discount", "x", None), ("a", 2048): ("discount", "Launch promo", old), ("a", -5): ("base", None, None),
+    }
+    rolled = {r.customer_id: r for r in rollups.rollup_invoices(held).collect()}
+    assert [(x.name, int(x.amount)) for x in rolled["a"].applied] == [("Launch promo", 1), ("Loyalty rebate", 4), ("Launch promo", 2048)] and rolled["a"].discounts == 2079 and rolled["a"].n_lines == 7
+    assert [(x.name, int(x.amount)) for x in rolled["b"].applied] == [("Launch", 32)] * 2 and rolled["b"].n_credits == 1 and rolled["c"].applied == []
+    assert {(r.customer_id, r.discount): int(r.amount) for r in rollups.deductions(held).collect()}["b", "Launch"] == 64
+
+
+def test_the_end_of_a_term_without_a_word_on_renewal_stops_a_month(spark):
+    ended = {"term_end": date(2026, 1, 1), "base": 1, "minimum": 10}
+    rows = run(spark, row(customer_id="a", auto_renew=None, **ended), row(customer_id="b", auto_renew=True, **ended), row(customer_id="c", auto_renew=False, **ended))
+    assert amounts(rows) == {("b", "MINIMUM"): 9}
+    assert {(r.customer_id, r.reason) for r in rules.reviews(rows).collect()} == {("a", "after the term"), ("c", "after the term")}
+    assert [r.formula for r in rules.run_book(rows).collect()] == ["minimum 10.00 - base 1.00 = 9.00"]
+
+
+def test_minimum_is_carried_to_each_month(spark):
+    months = [date(2025, m, 1) for m in (1, 3, 6)]
+    rows = spark.createDataFrame([(c, m, "clash") for c in ("a", "b", "c") for m in months], "customer_id string, period date, value string")
+    schedule = spark.createDataFrame([("a", date(2025, 2, 15), Decimal(5), 1), ("a", date(2025, 6, 1), Decimal(7), 3), ("a", date(2025, 6, 1), Decimal(6), 2), ("b", None, Decimal(1), 1)], f"customer_id string, effective date, value {MONEY}, seq long")
+    got = {(r.customer_id, r.period.month): r.minimum for r in terms.with_minimum(rows, schedule).collect()}
+    assert got == {("a", 1): 5, ("a", 3): 5, ("a", 6): 6, ("b", 1): 1, ("b", 3): 1, ("b", 6): 1, ("c", 1): None, ("c", 3): None, ("c", 6): None}
