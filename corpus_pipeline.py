@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecourse.llm.common import discard, staged
+from duecourse.llm.common import discard, free, staged
 from duecourse.llm.line_dedup import drop_recurring_lines
 from duecourse.llm.mixing import mix
 from duecourse.llm.ngram_join import near_groups
@@ -46,16 +46,17 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     linked with nothing and stay; a row with a null doc_id stays only where its whole group has null ids; of repeated
     rows one stays; an empty table stays empty.
     """
-    rows = near_groups(docs).select(F.struct("doc_id", "text_key").alias("__near"), "first")
-    gone = staged(rows.where("not first").select("__near").distinct(), "gone")
-    both = staged(rows.where("first").join(gone, "__near", "left_semi").select("__near").distinct(), "both")
-    keyed = docs.withColumn("__near", F.struct(F.col("doc_id").cast("long"), F.xxhash64("text")).cast(gone.schema["__near"].dataType))
-    is_in = lambda side: keyed.alias("d").join(side.alias("g"), F.col("d.__near").eqNullSafe(F.col("g.__near")), "left_semi")
-    left = keyed.alias("d").join(gone.alias("g"), F.col("d.__near").eqNullSafe(F.col("g.__near")), "left_anti").select(*docs.columns)
+    at, key = free(docs.columns, "near_at", "near_key")
+    rows = near_groups(docs).select(F.struct("doc_id", "text_key").alias(key), "first")
+    gone = staged(rows.where("not first").select(key).distinct(), "gone")
+    both = staged(rows.where("first").join(gone, key, "left_semi").select(key).distinct(), "both")
+    keyed = docs.withColumn(at, F.struct(F.col("doc_id").cast("long"), F.xxhash64("text")).cast(gone.schema[key].dataType))
+    meets = lambda side, how: keyed.join(side, F.col(at).eqNullSafe(F.col(key)), how)
+    left = meets(gone, "left_anti").select(*docs.columns)
     if both.isEmpty():
         return left
     # repeated rows: the same row both stays and goes, so one of it stays
-    return left.union(is_in(both).dropDuplicates(["__near"]).select(*docs.columns))
+    return left.union(meets(both, "left_semi").dropDuplicates([at]).select(*docs.columns))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

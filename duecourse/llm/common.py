@@ -26,11 +26,11 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, the warehouse, or in local mode a temporary folder."""
+    """The folder in spark.checkpoint.dir; where it is unset, in local mode a temporary folder, on a cluster an error."""
     if set_dir := spark.conf.get("spark.checkpoint.dir", None):
         return set_dir.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+        raise ValueError("spark.checkpoint.dir isn't set: tables between jobs need a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-"))
     return _own_folder[0]
@@ -54,23 +54,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 _tables: dict[str, DataFrame] = {}
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def discard(*tables: DataFrame) -> None:
     """Removes staged tables that nothing reads any more; other frames are left alone."""
     for path, held in list(_tables.items()):
         if any(held is t for t in tables):
             del _tables[path]
-            _remove(held.sparkSession, path)
+            remove(held.sparkSession, path)
 
 
 def _discard_all(spark: SparkSession) -> None:
     if spark.sparkContext._jsc is not None:  # the session may have been stopped before
         for path in list(_tables):
-            _remove(spark, path)
+            remove(spark, path)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -85,6 +80,23 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if n < rows and (size or 0) <= limit else df
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores after it until no column has it, so that a table's own columns are left alone."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, wherever it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, small, staged
+from .common import discard, documents, free, small, staged
 
 #: Leading words on the path from the root to a leaf, below the level of the word count.
 DEPTH = 2
@@ -65,8 +65,8 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     frequent value of a field is the template's own at first and becomes variable later. Each step at which OWN_PERCENT
     of a line's words are the template's own gives the line a template.
     """
-    wide = lines.join(small(_from_many(lines, ["leaf"], min_docs).select("leaf")), "leaf")
-    wide = staged(wide.withColumn("key", F.monotonically_increasing_id()), "wide")
+    leaves = staged(_from_many(lines, ["leaf"], min_docs).select("leaf"), "leaves")
+    wide = staged(lines.join(small(leaves), "leaf").withColumn("key", F.monotonically_increasing_id()), "wide")
     words = wide.select("key", "doc_id", "context", "leaf", F.posexplode(F.split("words", " ")).alias("place", "word")).withColumn("word", F.xxhash64("word"))
     often = staged(_from_many(words, ["leaf", "place", "word"], min_docs).drop("first"), "often")
     own = words.select("key", "leaf", "place", "word").join(small(often), ["leaf", "place", "word"])
@@ -77,7 +77,7 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     kept = F.transform(steps, lambda t: F.transform(F.filter("own", lambda w: w["docs"] >= t), lambda w: F.struct(w["place"], w["word"])))
     held = F.array_distinct(F.transform(F.filter(kept, lambda x: F.size(x) >= need), lambda x: F.xxhash64(F.col("leaf"), x)))
     out = staged(wide.join(own, "key").select("doc_id", "text_key", "line", "context", F.explode(held).alias("template")), "templates")
-    discard(wide, often)
+    discard(leaves, wide, often)
     return out
 
 
@@ -96,13 +96,15 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     hits = found.join(small(first), "template").where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("first")))
     drop = staged(hits.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("drop")), "drop")
     discard(found, first)
-    drop = drop.select(F.struct("doc_id", "text_key").alias("__row"), F.col("drop").alias("__drop"))
-    rows = docs.drop("lines_before", "lines_dropped").withColumn("__row", F.struct(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    rows = rows.alias("d").join(small(drop).alias("x"), F.col("d.__row").eqNullSafe(F.col("x.__row")), "left").drop("__row")
+    rows = docs.drop("lines_before", "lines_dropped")
+    at, key, gone = free(rows.columns, "row_at", "row_key", "row_drop")
+    drop = drop.select(F.struct("doc_id", "text_key").alias(key), F.col("drop").alias(gone))
+    rows = rows.withColumn(at, F.struct(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    rows = rows.join(small(drop), F.col(at).eqNullSafe(F.col(key)), "left").drop(at, key)
     lines_of = F.split("text", "\n")
-    kept = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines_of, lambda x, i: ~F.array_contains("__drop", i)), "\n"))
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines_of, lambda x, i: ~F.array_contains(gone, i)), "\n"))
     size = lambda c: F.when(c.isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
-    return rows.withColumns({"lines_before": size(lines_of), "lines_dropped": size(F.col("__drop"))}).withColumn("text", kept).drop("__drop")
+    return rows.withColumns({"lines_before": size(lines_of), "lines_dropped": size(F.col(gone))}).withColumn("text", kept).drop(gone)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

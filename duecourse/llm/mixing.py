@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, n_words, small, staged
+from .common import documents, free, n_words, small, staged
 
 #: Weights by the sources' order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -71,12 +71,12 @@ def copies(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS,
 
 
 def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The rows of docs, each as often as copies() says, with all their columns (names that start with two underscores are the operator's own); see there for nulls and repeated rows."""
+    """The rows of docs, each as often as copies() says, with all their columns, whatever their names; see there for nulls and repeated rows."""
     table = staged(targets(docs.select(F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), weights, most), "targets")
-    table = table.select("source", F.col("rate").alias("__rate"))
-    rows = docs.withColumns({"__source": F.col("source").cast("string"), "__draw": _draw(seed)})
-    rows = rows.join(small(table.withColumnRenamed("source", "__of")), F.col("__source").eqNullSafe(F.col("__of")))
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _copies(F.col("__rate"), F.col("__draw"))))).select(*[rows[c] for c in docs.columns])
+    own, of, rate, draw, copy = free(docs.columns, "mix_source", "mix_of", "mix_rate", "mix_draw", "mix_copy")
+    rows = docs.withColumns({own: F.col("source").cast("string"), draw: _draw(seed)})
+    rows = rows.join(small(table.select(F.col("source").alias(of), F.col("rate").alias(rate))), F.col(own).eqNullSafe(F.col(of)))
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), _copies(F.col(rate), F.col(draw))))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

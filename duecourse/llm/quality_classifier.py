@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Words, discard, documents, lists, signed, sliced, staged
+from .common import Words, discard, documents, free, lists, signed, sliced, staged
 
 #: Labelled rows that the first fit takes at most, in order of a hash of doc_id.
 LABELLED = 8000
@@ -210,9 +210,10 @@ def _presence(w: Words, vocabulary: np.ndarray) -> list[bytes]:
     return [_present(w.of(i), vocabulary).tobytes() for i in range(len(w.first) - 1)]
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
+def _buckets(rows: DataFrame, names: tuple[str, str] = ("__source", "__lang")) -> DataFrame:
+    """rows with the buckets of source and language, the last two columns."""
     deal = lambda k, n: F.pmod(F.xxhash64(F.col(k).cast("string")), F.lit(n - 1)).cast("int") if k in rows.columns else F.lit(0)
-    return rows.withColumns({"__source": deal("source", SOURCES), "__lang": deal("lang", LANGS)})
+    return rows.withColumns(dict(zip(names, (deal("source", SOURCES), deal("lang", LANGS)), strict=True)))
 
 
 _INPUT = ("text", "n_chars", "source", "lang")
@@ -225,7 +226,9 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 
 def _places(rows: DataFrame) -> dict[str, int | None]:
-    return {k: rows.columns.index(k) if k in rows.columns else None for k in (*_INPUT, "__source", "__lang")}
+    """Where the inputs are, and the buckets, which _buckets() put last."""
+    width = len(rows.columns)
+    return {k: rows.columns.index(k) if k in rows.columns else None for k in _INPUT} | {"__source": width - 2, "__lang": width - 1}
 
 
 def _labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -366,14 +369,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     A null or empty text gets a score from its metadata and the lack of words; null n_chars, lang or source counts as
     unknown, as does a column that isn't there; repeated rows get equal scores; without labels of both sides nothing can
     be learnt, so the scores are null and all rows are kept; an empty table stays empty. Columns of docs that are named
-    like the new ones, or __source or __lang, are replaced.
+    like the new ones are replaced.
     """
-    docs = docs.drop("p_poor", "p_toxic", "kept", "__source", "__lang")
+    docs = docs.drop("p_poor", "p_toxic", "kept")
     model = train(docs, labels)
     added = [T.StructField("p_poor", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("kept", T.BooleanType())]
     if model is None:
         return docs.withColumns({"p_poor": F.lit(None).cast("double"), "p_toxic": F.lit(None).cast("double"), "kept": F.lit(True)})
-    rows = _buckets(docs)
+    rows = _buckets(docs, tuple(free(docs.columns, "__source", "__lang")))
     at, width = _places(rows), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_folder, sliced, small, staged
+from .common import documents, remove, shared_folder, sliced, small, staged
 
 
 @dataclass(frozen=True)
@@ -120,6 +120,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, ledger = documents(spark, sf_dir).select("doc_id", "text"), f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
     scan_secrets(docs, ledger, tuple(r for r in RULES if r.kind in BASE))
     rows = scan_secrets(docs, ledger)
+    remove(spark, ledger)  # the findings are staged
     of = lambda kinds: F.filter("found", lambda x: x["kind"].isin(*kinds))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     counts = [F.size(of([k])).cast("long").alias(f"n_{k}") for k in BASE]
