@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,11 @@ BAND = 1.5
 #: Bytes of sketches, about one per shingle, and sets that one task of the residual comparison holds for each of its two blocks.
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 2000
+#: Signatures that one task packs at a time, and about how many one group of the exchange holds; 16 bytes each.
+PACKED = 1 << 20
+GROUPED = 1 << 19
+#: Makes another deal of the feature domain, for groups that are too large.
+AGAIN = np.uint64(0x2545F4914F6CDD1D)
 
 SETS = T.StructType(
     [
@@ -150,6 +156,108 @@ def _features(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("id", "set_id", "text").mapInArrow(run, "id long, n_shingles long, features array<long>")
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit numbers by planes of equal bytes, so that what neighbours have in common compresses."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(blobs: list[bytes]) -> np.ndarray:
+    planes = [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T) for b in blobs]
+    return np.concatenate([p.view("<u8").ravel() for p in planes]) if planes else np.empty(0, np.uint64)
+
+
+def _starts(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.empty(0, np.int64)
+
+
+def _dealt(buckets: int):
+    """Of sets(id, signatures), in rows (bucket, signatures, ids, centers): each signature of the sets that a task packs
+    at a time, once, with the least id that has it and whether others have it too; and the others with that least id, in
+    rows of any bucket, so that a signature that very many sets have is a number per task in its own bucket."""
+
+    def rows(signature: np.ndarray, ids: np.ndarray, turn: int) -> Iterator[tuple]:
+        order = np.lexsort((ids, signature))
+        signature, ids = signature[order], ids[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (signature[1:] != signature[:-1]) | (ids[1:] != ids[:-1])
+        signature, ids = signature[new], ids[new]
+        at = _starts(signature)
+        n = np.diff(np.append(at, len(ids)))
+        rest = np.ones(len(ids), bool)
+        rest[at] = False
+        held, own, center = signature[rest], ids[rest], np.repeat(ids[at], n)[rest]
+        for k, low in enumerate(range(0, len(held), GROUPED // 8)):
+            part = slice(low, low + GROUPED // 8)
+            yield (turn + k) % buckets, _packed(held[part]), _packed(own[part]), _packed(center[part])
+        flagged, signature = ids[at] * np.uint64(2) + (n > 1).astype(np.uint64), signature[at]
+        bucket = ((signature >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        for low, high in zip(cut := _starts(bucket), np.append(cut[1:], len(bucket)), strict=True):
+            yield int(bucket[low]), _packed(signature[low:high]), _packed(flagged[low:high]), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, turn = [], 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                out = list(zip(*rows(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), turn), strict=True))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int32(), *[pa.binary()] * 3), strict=True)], ["bucket", "signatures", "ids", "centers"])
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                ends = part.column(1).offsets.to_numpy()
+                values = part.column(1).values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
+                held.append((values, np.repeat(part.column(0).to_numpy().view(np.uint64), np.diff(ends))))
+                n += len(values)
+                if n >= PACKED:
+                    yield from flush()
+                    held, n, turn = [], 0, turn + 1
+        if n:
+            yield from flush()
+
+    return run
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """A bucket's rows of _dealt() to (signature, id, center), for signatures that several sets have."""
+    inside = table.column("centers").is_null()
+    own, others = table.filter(inside), table.filter(pc.invert(inside))
+    column = lambda t, k: _unpacked(t.column(k).to_pylist())
+    signature, flagged = column(own, "signatures"), column(own, "ids")
+    order = np.lexsort((flagged, signature))
+    signature, flagged = signature[order], flagged[order]
+    ids, at = flagged >> np.uint64(1), _starts(signature)
+    n = np.diff(np.append(at, len(ids)))
+    kept = np.repeat(n > 1, n) | (flagged & np.uint64(1)).astype(bool)
+    parts = [(signature[kept], ids[kept], np.repeat(ids[at], n)[kept]), tuple(column(others, k) for k in ("signatures", "ids", "centers"))]
+    return pa.table([pa.array(signed(np.concatenate(c))) for c in zip(*parts, strict=True)], ["signature", "id", "center"])
+
+
+def shared_signatures(sets: DataFrame) -> DataFrame:
+    """(signature, id, center) for the signatures that several of the sets(id, signatures) have.
+
+    center is the least id with the signature among the sets that one task packed together; of the centers of several
+    tasks the least is the center of the others. So (center, id) are the edges of a tree per signature. One exchange, in
+    which signatures are packed and sorted and take about a quarter of what rows of their own would.
+    """
+    total = sets.agg(F.sum(F.size("signatures"))).first()[0] or 0
+    dealt = sets.select("id", "signatures").mapInArrow(_dealt(total // GROUPED + 1), "bucket int, signatures binary, ids binary, centers binary")
+    return dealt.groupBy("bucket").applyInArrow(_merged, "signature long, id long, center long")
+
+
+def _signatures_again(features: DataFrame, percent: int) -> DataFrame:
+    """(id, again): the signatures of features(id, features) under another deal of the domain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                sigs = [signed(signatures(mixed(np.array(f, np.int64).view(np.uint64) ^ AGAIN), percent)) for f in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), lists(sigs, pa.int64())], ["id", "again"])
+
+    return features.select("id", "features").mapInArrow(run, "id long, again array<long>")
+
+
 def _differences(a: bytes, b: bytes) -> int:
     x = folded([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
     return int(np.bitwise_count(x[0] ^ x[1]).sum())
@@ -175,7 +283,8 @@ def _linked(shared: Column, a: Column, b: Column, percent: int) -> Column:
 
 def _compare(percent: int, spanning: bool):
     """Pairs of two blocks that share a signature, lie in different components and have near sketches; if spanning, only
-    those of a forest that would join all of them. For rows in order of signature, x, y and id."""
+    those of a forest that would join all of them. For rows in order of group, x, y and id; a pair comes with its first
+    row's signature."""
 
     def pairs(size: np.ndarray, comp: np.ndarray, side: np.ndarray, sketches: list[bytes], one: bool) -> list[tuple[int, int]]:
         held, comp, out = folded([np.frombuffer(s, np.uint64) for s in sketches]), comp.copy(), []
@@ -194,12 +303,12 @@ def _compare(percent: int, spanning: bool):
         return out
 
     def found(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
-        signature, x, y, ids, comp, side, size = (rows.column(k).to_numpy() for k in range(7))
+        _, x, y, ids, comp, side, size, signature = (rows.column(k).to_numpy() for k in range(8))
         out = []
         for low, high in zip(starts, [*starts[1:], len(ids)], strict=True):
             if high - low > 1:
                 at = slice(low, high)
-                out += [(low + i, low + j) for i, j in pairs(size[at], comp[at], side[at], rows.column(7)[low:high].to_pylist(), x[low] == y[low])]
+                out += [(low + i, low + j) for i, j in pairs(size[at], comp[at], side[at], rows.column(8)[low:high].to_pylist(), x[low] == y[low])]
         i, j = np.array(out, np.int64).reshape(-1, 2).T
         return pa.record_batch([signature[i], ids[i], ids[j]], ["signature", "a", "b"])
 
@@ -227,19 +336,44 @@ def _verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", _linked(F.size(F.array_intersect("fa", "fb")), F.col("na"), F.col("nb"), percent).alias("linked"))
 
 
-def _residual(shared: DataFrame, found: DataFrame, sketches: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """Candidate pairs (signature, a, b) in groups whose members are not all in one component, all pairs in blocks."""
-    members = shared.select("signature", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = members.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("as_set")).where("low != high")
-    apart = apart.groupBy("n", "as_set").agg(F.min("signature").alias("signature")).select("signature", "n")  # groups of the same members count once
-    inside = members.join(apart, "signature").join(sketches.select("id", "n_shingles"), "id")
-    total = inside.groupBy("signature").agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
-    inside = inside.select("signature", "id", "component").join(total, "signature").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    pairs = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("signature", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "id", "component")
+def _open(members: DataFrame) -> DataFrame:
+    """The rows of members(group, id, component, ...) of groups whose members are not all in one component; of groups with the same members one."""
+    apart = members.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("as_set")).where("low != high")
+    return members.join(apart.groupBy("n", "as_set").agg(F.min("group").alias("group")).select("group"), "group")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(group, blocks): into how many blocks a group's members go for the comparison."""
+    return members.groupBy("group").agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
+
+
+def _residual(shared: DataFrame, found: DataFrame, sketches: DataFrame, features: DataFrame, percent: int, spanning: bool) -> DataFrame:
+    """Candidate pairs (signature, a, b) in groups whose members are not all in one component.
+
+    A group that fills one block is compared as a whole. The members of a larger one are grouped again by their
+    signatures under another deal of the domain, of which similar sets share one too, so what they have in common by
+    chance or in one part alone no longer holds them together; what is larger still is compared block by block.
+    """
+    members = shared.select("signature", "id").join(found, "id", "left").select("signature", "id", F.coalesce("component", "id").alias("component"), F.col("signature").alias("group"))
+    inside = staged(_open(members).join(sketches.select("id", "n_shingles"), "id"), "inside")
+    sizes = staged(_blocks(inside), "sizes")
+    groups = inside.join(sizes.where("blocks = 1").select("group"), "group", "left_semi")
+    held = [inside, sizes]
+    if not sizes.where("blocks > 1").isEmpty():
+        large = inside.join(sizes.where("blocks > 1").select("group"), "group", "left_semi")
+        again = _signatures_again(features.join(large.select("id").distinct(), "id", "left_semi"), percent)
+        finer = large.join(again, "id").withColumn("again", F.explode(F.array_distinct("again")))
+        finer = staged(_open(finer.withColumn("group", F.xxhash64("group", "again")).select(*inside.columns)), "finer")
+        held.append(finer)
+        groups = groups.unionByName(finer)
+    pairs = groups.join(_blocks(groups), "group").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "id", "component", "signature")
     pairs = pairs.join(sketches, "id")
-    pairs = pairs.select("signature", "x", "y", "id", "component", "side", "n_shingles", "sketch").repartition("signature", "x", "y").sortWithinPartitions("signature", "x", "y", "id")
-    return pairs.mapInArrow(_compare(percent, spanning), "signature long, a long, b long")
+    pairs = pairs.select("group", "x", "y", "id", "component", "side", "n_shingles", "signature", "sketch").repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "id")
+    near = staged(pairs.mapInArrow(_compare(percent, spanning), "signature long, a long, b long"), "near")
+    discard(*held)
+    return near
 
 
 def set_components(docs: DataFrame, sets: DataFrame, n: int, percent: int, *spent: DataFrame) -> DataFrame:
@@ -248,12 +382,7 @@ def set_components(docs: DataFrame, sets: DataFrame, n: int, percent: int, *spen
     docs(doc_id, text); sets: a row of each distinct set of shingle_sets(docs), with an id of its own. A set without
     signatures links with nothing; empty tables give no rows. spent: staged tables that go once sets is read.
     """
-    groups = sets.select(F.explode("signatures").alias("signature"), "id")
-    # combined before the shuffle, so a signature that very many sets have weighs no more than any other
-    several = staged(groups.groupBy("signature").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center != last").select("signature", "center"), "several")
-    shared = staged(groups.join(small(several), "signature").select("signature", "id", "center"), "shared")  # sets that have a signature in common with another
-    discard(several)
-
+    shared = staged(shared_signatures(sets), "shared")  # sets that have a signature in common with another
     pairs = staged(shared.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     held = staged(sets.select("id", "set_id", "doc_id", "text_key", "n_shingles", "sketch").join(needed, "id"), "held")
@@ -273,7 +402,7 @@ def set_components(docs: DataFrame, sets: DataFrame, n: int, percent: int, *spen
     # 2. what may link components that share a signature: first a forest of near pairs; where one of them fails, all
     done = []
     for spanning in (True, False):
-        near = staged(_residual(shared, found, sketches, percent, spanning), "near")
+        near = _residual(shared, found, sketches, features, percent, spanning)
         tried = staged(_verified(near, features, percent), "tried")
         done += [near, tried]
         links = links.union(tried.where("linked").select("a", "b"))
@@ -294,8 +423,8 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Words are [^\\x20\\x09-\\x0D]+ of the whole text with A-Z in lower case. A text of fewer than n words is one
     shingle; one without words, or null, has none and links with nothing. Sets that share a PartEnum signature are
     candidates. First each set is verified against the nearest of the least sets of its groups; then pairs of a group
-    that lie in different components are compared in blocks by sketches that never miss a link, and those of a
-    spanning forest are verified. Only where one of these fails are all near pairs between components verified.
+    that lie in different components are compared by sketches that never miss a link, and those of a spanning forest
+    are verified; a group too large for one comparison is first dealt anew by signatures of another kind. Only where one of these fails are all near pairs between components verified.
 
     Returns a row per input row: doc_id, text_key (xxhash64 of the text), n_shingles, set_id, component_id (the least doc_id reachable), first (true
     for one row of each component, that of the least doc_id). Rows with a null doc_id

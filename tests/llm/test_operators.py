@@ -3,6 +3,7 @@
 import collections
 import dataclasses
 import hashlib
+import os
 import random
 import re
 import uuid
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from duecourse.llm import fm_index, license_scan, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, telephony_audio
+from duecourse.llm import common, fm_index, license_scan, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, telephony_audio
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, template string, kept string, size long"
@@ -457,7 +458,7 @@ def test_residual_groups_may_span_batches(size):
 
     sets = [np.arange(20, dtype=np.uint64) + np.uint64(100 * (k // 4)) for k in range(12)]  # four equal sets in a row
     group = [0] * 8 + [1] * 4
-    rows = pa.table({"signature": group, "x": [0] * 12, "y": [0] * 12, "set_id": range(12), "component": range(12), "side": [0] * 12, "n_shingles": [20] * 12, "sketch": [J.sketch(s).tobytes() for s in sets]})
+    rows = pa.table({"group": group, "x": [0] * 12, "y": [0] * 12, "set_id": range(12), "component": range(12), "side": [0] * 12, "n_shingles": [20] * 12, "signature": group, "sketch": [J.sketch(s).tobytes() for s in sets]})
     out = pa.Table.from_batches(J._compare(80, True)(iter(rows.to_batches(max_chunksize=size)))).to_pylist()
     assert {(r["signature"], r["a"], r["b"]) for r in out} == {(g, 4 * q, 4 * q + j) for g, q in ((0, 0), (0, 1), (1, 2)) for j in (1, 2, 3)}
 
@@ -522,14 +523,84 @@ def test_mixing_on_given_documents(spark):
     assert abs(sum(taken.values()) / sum(r.size for r in got.values()) - 1) < 0.05
 
 
-@pytest.mark.parametrize("name", ["op3_line_dedup", "op7_quality_rules", "op8_mixing"])
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op7_quality_rules", "op8_mixing", "op11_exact_dedup", "op13_lexical_search"])
 def test_queries_equal_their_sql(spark, name):
     from duecourse.llm import queries
 
     sf = "/root/testdata/sf0.01"
     df = queries.QUERIES[name](spark, sf)
     duck = duckdb.connect()
-    duck.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        duck.sql(f"create view {table} as select * from '{sf}/{table}.parquet'")
     sql = duck.sql(queries.ORACLES[name])
     assert sorted(sql.columns) == sorted(df.columns)
     assert sorted(map(tuple, df.select(*sql.columns).collect())) == sorted(sql.fetchall())
+
+
+def test_columns_named_like_an_operators_own_stay(spark, docs):
+    import corpus_pipeline
+
+    names = ["row_at", "row_key", "row_drop", "Row_Drop_", "__drop", "__row", "near_at", "near_key", "__near", "mix_source", "mix_of", "mix_rate", "mix_draw", "mix_copy", "__copy"]
+    held = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumns({n: F.lit(n) for n in names})
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    stages = {"lines": line_dedup.drop_recurring_lines, "mix": mixing.mix, "near": lambda d: corpus_pipeline.one_of_each_group(spark, d, ""), "without": lambda d: corpus_pipeline.without_recurring_lines(spark, d, "")}
+    for name, stage in stages.items():
+        out = stage(held)
+        assert [c for c in out.columns if c in held.columns] == held.columns, name
+        assert {tuple(r) for r in out.select(*names).distinct().collect()} == {tuple(names)}, name
+        assert collections.Counter(map(tuple, out.select("doc_id", "text").collect())) == collections.Counter(map(tuple, stage(plain).select("doc_id", "text").collect())), name
+
+
+def test_secret_scan_leaves_no_ledger(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(secret_scan, "remove", lambda s, path: kept.append(path) or common.remove(s, path))
+    rows = secret_scan.op9_secret_scan(spark, "/root/testdata/sf0.001").collect()
+    assert rows and len(kept) == 1 and not os.path.exists(kept[0])
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Cluster())
+
+
+@pytest.mark.parametrize("packed", [7, 1 << 20])
+def test_shared_signatures_are_trees_of_all_holders(spark, monkeypatch, packed):
+    monkeypatch.setattr(ngram_join, "PACKED", packed)
+    monkeypatch.setattr(ngram_join, "GROUPED", 16)
+    rng = random.Random(1)
+    sets = [(k, [rng.choice([-(1 << 62), 5, 1 << 61]) if rng.random() < 0.3 else rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(4)] + ([77, 77] if k % 3 == 0 else [])) for k in range(60)]
+    sets += [(60 + k, [k * 1000 + 1]) for k in range(3)] + [(70, [])]
+    got = ngram_join.shared_signatures(spark.createDataFrame(sets, "id long, signatures array<long>").repartition(3)).collect()
+    holders = collections.defaultdict(set)
+    for k, sigs in sets:
+        for s in sigs:
+            holders[s].add(k)
+    want = {(s, k) for s, ids in holders.items() if len(ids) > 1 for k in ids}
+    assert len(got) == len(want) and {(r.signature, r.id) for r in got} == want
+    for s in {s for s, _ in want}:
+        up = {r.id: r.center for r in got if r.signature == s}
+        top = {k: k for k in up}
+        for k in up:
+            while up[top[k]] != top[k]:
+                assert up[top[k]] < top[k]
+                top[k] = up[top[k]]
+        assert set(top.values()) == {min(up)}
+    assert ngram_join.shared_signatures(spark.createDataFrame([], "id long, signatures array<long>")).isEmpty()
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_near_groups_with_large_groups_dealt_anew(spark, docs, monkeypatch, n, percent):
+    rows = lambda: collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_groups(docs, n, percent).collect())
+    want = rows()
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 2)
+    # without centers that link anything, all is left to the residual
+    monkeypatch.setattr(ngram_join, "_nearest", lambda pairs, percent: pairs.select("a", "b", F.lit(0).cast("long").alias("differ")).where("false"))
+    assert rows() == want
