@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import evidence_completeness, rank_score
+from ..staging import with_place
 
 
 def book_totals(findings: DataFrame) -> DataFrame:
@@ -62,18 +63,19 @@ STATUS_WEIGHT = {"open": 1.0, "approved": 0.9, "invoiced": 0.8, "disputed": 0.7,
 
 
 def rank_cases(findings: DataFrame, now: str) -> DataFrame:
-    """Each finding's evidence, score and place among its customer's, the best first; sort by score for the whole list.
+    """Each finding's evidence, score, place among its customer's and place in the whole book (`overall`), the best first.
 
-    Evidence is the share of clause, math, reference, provenance, kind and expected value that a finding has; columns
-    that aren't there count as absent.
+    Evidence is the share of clause, formula, reference, provenance, kind and expected value that a finding has; columns
+    that aren't there count as absent. Of equal scores the least id comes first.
     """
     field = lambda c: F.col(c) if c in findings.columns else F.lit(None)
-    evidence = evidence_completeness(*[field(c) for c in ("clause", "math", "clause_ref", "provenance", "code", "expected")])
+    evidence = evidence_completeness(*[field(c) for c in ("clause", "formula", "clause_ref", "provenance", "code", "expected")])
     weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in STATUS_WEIGHT.items() for x in kv]), F.col("status")), F.lit(0.5))
     age = F.greatest(F.datediff(F.lit(now).cast("date"), "period"), F.lit(0)).cast("double")
     scored = findings.withColumn("evidence", evidence).withColumn("score", rank_score(F.col("amount").cast("double"), F.col("confidence"), F.col("evidence"), age, weight))
     order = Window.partitionBy("customer_id").orderBy(F.desc("score"), "finding_id")
-    return scored.withColumn("place", F.row_number().over(order)).select("finding_id", "customer_id", "evidence", "score", "place")
+    rows = scored.withColumn("place", F.row_number().over(order)).select("finding_id", "customer_id", "evidence", "score", "place")
+    return with_place(rows, F.desc("score"), F.col("finding_id"), name="overall")
 
 
 def top_kinds(findings: DataFrame, n: int = 5) -> DataFrame:

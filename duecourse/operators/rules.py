@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalar import CONFIDENT, escalator_steps, is_supported, money
+from ..staging import with_place
 
 MONEY = "decimal(18,2)"
 OPTIONAL = {
@@ -126,5 +126,5 @@ def reviews(facts: DataFrame) -> DataFrame:
 
 
 def by_recoverable(findings: DataFrame) -> DataFrame:
-    """findings with their place in order of amount, largest first; of equal amounts the least id first."""
-    return findings.withColumn("place", F.row_number().over(Window.partitionBy("period").orderBy(F.desc("amount"), "finding_id")))
+    """findings with their place in the whole book in order of amount, largest first; of equal amounts the least id first."""
+    return with_place(findings, F.desc("amount"), F.col("finding_id"))

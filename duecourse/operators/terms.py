@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,17 +45,47 @@ def with_minimum(rows: DataFrame, schedule: DataFrame) -> DataFrame:
     return both.withColumn("minimum", F.coalesce(held, first)).where("month = 1").select("customer_id", F.col("day").alias("period"), "row.*", "minimum")
 
 
+def governing(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, day, live, value): from each day on on which it may change, the entry of entries(keys, effective, ends, value, seq) that governs.
+
+    A sweep per key over the days on which entries begin and on which they have ended: the live ones are held as a set,
+    of which the one with the latest date, then the least seq, governs, an undated one last. live is false while there
+    is none. An entry without a date holds from the beginning, one without an end for ever, one that ends before it
+    begins never. A key's entries are one contract's, so a fold over an array of them holds little.
+    """
+    day, entry = F.coalesce("effective", F.lit("0001-01-01").cast("date")), "struct<dated:boolean,effective:date,rank:bigint,at:int,value:%s>" % dict(entries.dtypes)["value"]
+    held = entries.where("effective is null or ends is null or ends >= effective").select(*keys, F.struct(day.alias("day"), F.date_add("ends", 1).alias("gone"), F.col("effective").isNotNull().alias("dated"), "effective", (-F.col("seq")).cast("long").alias("rank"), "value").alias("x"))
+    of = lambda x, i: F.struct(x["dated"].alias("dated"), x["effective"].alias("effective"), x["rank"].alias("rank"), i.alias("at"), x["value"].alias("value"))
+    moves = lambda column, begins: F.transform("every", lambda x, i: F.struct(x[column].alias("day"), F.lit(begins).alias("begins"), of(x, i).alias("entry")))
+    events = F.array_sort(F.filter(F.concat(moves("day", True), moves("gone", False)), lambda e: e["day"].isNotNull()))
+    changes = "array<struct<day:date,live:boolean,value:%s>>" % dict(entries.dtypes)["value"]
+
+    def step(a: Column, e: Column) -> Column:
+        live = F.when(e["begins"], F.array_append(a["live"], e["entry"])).otherwise(F.filter(a["live"], lambda x: x["at"] != e["entry"]["at"]))
+        best = F.array_max(live)
+        return F.struct(live.alias("live"), F.array_append(a["out"], F.struct(e["day"].alias("day"), best.isNotNull().alias("live"), best["value"].alias("value"))).alias("out"))
+
+    start = F.struct(F.array().cast(f"array<{entry}>").alias("live"), F.array().cast(changes).alias("out"))
+    swept = held.groupBy(*keys).agg(F.collect_list("x").alias("every")).select(*keys, F.aggregate(events, start, step, lambda a: a["out"]).alias("out"))
+    return swept.select(*keys, F.posexplode("out").alias("at", "x")).select(*keys, "at", "x.*")
+
+
 def active_terms(terms: DataFrame, panel: DataFrame, by: list[str]) -> DataFrame:
     """The latest entry by period start for each customer, month and `by`; none where all start later. A missing scope is a scope of its own.
 
     Terms with a column `ends` (null for open ones) hold through that day; an entry that has ended gives way to the
-    latest that hasn't, so these are joined with the months instead of carried on.
+    latest that hasn't. Which one governs from which day on is swept out first, and carried to the months like open
+    entries are; no month meets an entry that isn't its own.
     """
     named = terms.withColumn("scope", F.coalesce("scope", F.lit(DEFAULT))) if "scope" in by else terms
-    if "ends" in terms.columns:
-        rows = panel.join(named, "customer_id").where("coalesce(effective <= period, true) and coalesce(ends >= period, true)")
-        return rows.groupBy("customer_id", "period", *by).agg(F.max_by("value", F.struct(F.col("effective").isNotNull(), "effective", -F.col("seq"))).alias("value"))
     months = panel.join(named.select("customer_id", *by).distinct(), "customer_id")
+    if "ends" in terms.columns:
+        keys = ["customer_id", *by]
+        changes = governing(named, keys).select(*keys, "day", F.lit(0).alias("month"), "at", F.struct("live", "value").alias("state"))
+        rows = changes.union(months.select(*keys, F.col("period").alias("day"), F.lit(1), F.lit(0), F.lit(None).cast(changes.schema["state"].dataType)))
+        order = Window.partitionBy(*keys).orderBy("day", "month", "at").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("state", F.last("state", ignorenulls=True).over(order)).where("month = 1 and state.live")
+        return rows.select("customer_id", F.col("day").alias("period"), *by, "state.value")
     return _held(named, months, ["customer_id", *by]).where("value is not null").drop("earliest")
 
 

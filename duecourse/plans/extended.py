@@ -73,7 +73,7 @@ def _dated(s: SparkSession, d: str) -> DataFrame:
     """Dated minimums: some without a scope, a date or an end, with the place they come from and a confidence."""
     t, q = book.terms(s, d), F.col("seq")
     return t.select(
-        "customer_id", F.when(q % 5 != 0, F.col("scope")).alias("scope"), F.when(q % 7 != 0, F.col("effective")).alias("effective"), F.when(q % 2 == 0, F.add_months("effective", 14)).alias("ends"), "value", "seq",
+        "customer_id", F.when(q % 5 != 0, F.col("scope")).alias("scope"), F.when(q % 7 != 0, F.col("effective")).alias("effective"), F.when(q % 2 == 0, F.add_months("effective", 14)).alias("ends"), "value", "seq", "term_type",
         F.concat(F.lit("page "), (q % 30).cast("string")).alias("source"), ((q % 10 + 90) / 100).alias("confidence"),
     )
 
@@ -267,6 +267,8 @@ QUERIES = {
     "not_in_store_findings": lambda s, d: sinks.new_only(_store(s, d)[1], _store(s, d)[0], "finding_id").select("finding_id"),
     "document_to_agreement": _attached,
     "processor_payment_sync": lambda s, d: _doubles(_payments(s, d)),
+    "ended_term_asof": lambda s, d: _doubles(terms.active_terms(_dated(s, d), _tables(s, d)[2].select("customer_id", "period"), ["term_type"])),
+    "ended_terms_by_scope": lambda s, d: _doubles(terms.active_terms(_dated(s, d), _tables(s, d)[2].select("customer_id", "period"), ["term_type", "scope"])),
     "active_minimums_by_scope": lambda s, d: _doubles(terms.active_minimums(_dated(s, d), _tables(s, d)[2].select("customer_id", "period"))),
     "undated_minimums": lambda s, d: _doubles(terms.undated_minimums(_dated(s, d))),
     "minimum_meta": lambda s, d: terms.minimum_meta(_dated(s, d)),
@@ -336,7 +338,9 @@ store AS (SELECT finding_id, customer_id, period, amount - 1 AS amount, {_cycle(
 fresh AS (SELECT finding_id, amount FROM hashed WHERE h % 5 <> 0)
 """
 )
-_DATED = _BOOK + ", dated AS (SELECT customer_id, CASE WHEN seq % 5 <> 0 THEN scope END AS scope, CASE WHEN seq % 7 <> 0 THEN effective END AS effective, CASE WHEN seq % 2 = 0 THEN CAST(effective + INTERVAL 14 MONTH AS DATE) END AS ends, value, seq, 'page ' || seq % 30 AS source, CAST((seq % 10 + 90) / 100 AS DOUBLE) AS confidence FROM terms)\n"
+_DATED = _BOOK + ", dated AS (SELECT customer_id, CASE WHEN seq % 5 <> 0 THEN scope END AS scope, CASE WHEN seq % 7 <> 0 THEN effective END AS effective, CASE WHEN seq % 2 = 0 THEN CAST(effective + INTERVAL 14 MONTH AS DATE) END AS ends, value, seq, term_type, 'page ' || seq % 30 AS source, CAST((seq % 10 + 90) / 100 AS DOUBLE) AS confidence FROM terms)\n"
+_ENDED = """SELECT customer_id, CAST(period AS VARCHAR) AS period, term_type, {0}CAST(value AS DOUBLE) AS value FROM (SELECT p.customer_id, p.period, t.term_type, {1}t.value, row_number() OVER (PARTITION BY p.customer_id, p.period{2} ORDER BY t.effective IS NULL, t.effective DESC, t.seq) AS r
+      FROM panel p JOIN dated t USING (customer_id) WHERE coalesce(t.effective <= p.period, true) AND coalesce(t.ends >= p.period, true)) WHERE r = 1"""
 _DOCS = f"""WITH docs AS (
   SELECT o_orderkey AS doc_id, o_custkey AS counterparty, {_cycle('o_orderkey', 'master', 'amendment', 'order_form', 'exhibit', 'sow')} AS role, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS dated,
     o_orderpriority AS term_type, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus END AS scope, CAST(o_orderdate AS DATE) AS effective, CAST(o_totalprice AS {_D}) AS value FROM orders),
@@ -387,6 +391,8 @@ ORACLES = {
     "not_in_store_findings": _STORE + "SELECT finding_id FROM fresh WHERE finding_id NOT IN (SELECT finding_id FROM store)",
     "document_to_agreement": "SELECT o_orderkey AS doc_id, o_custkey AS master_id FROM orders WHERE o_custkey % 4 <> 0",
     "processor_payment_sync": f"SELECT 'event_' || substr(sha256(o_orderkey || '|in_' || o_orderkey), 1, 20) AS event_id, o_orderkey AS case_id, 'realization' AS kind, CAST(CAST(o_totalprice AS {_D}) AS DOUBLE) AS amount, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS at FROM orders WHERE o_orderstatus NOT IN ('F', 'P') AND o_orderkey % 4 = 0",
+    "ended_term_asof": _DATED + _ENDED.format("", "", ", t.term_type"),
+    "ended_terms_by_scope": _DATED + _ENDED.format("scope, ", "coalesce(t.scope, '__default__') AS scope, ", ", t.term_type, t.scope"),
     "active_minimums_by_scope": _DATED
     + """SELECT customer_id, CAST(period AS VARCHAR) AS period, scope, CAST(value AS DOUBLE) AS value FROM (SELECT p.customer_id, p.period, coalesce(t.scope, '__default__') AS scope, t.value, row_number() OVER (PARTITION BY p.customer_id, p.period, t.scope ORDER BY t.effective IS NULL, t.effective DESC, t.seq) AS r
       FROM panel p JOIN dated t USING (customer_id) WHERE coalesce(t.effective <= p.period, true) AND coalesce(t.ends >= p.period, true)) WHERE r = 1""",
@@ -407,7 +413,7 @@ ORACLES = {
     "gated_book": _FULL + "SELECT finding_id, code, CAST(amount AS DOUBLE) AS amount, status FROM findings",
     "gated_reviews": _FULL + """SELECT reason, count(*) AS months FROM (SELECT DISTINCT customer_id, period, unnest([gate, CASE WHEN n_credits > 0 THEN 'credits' END, CASE WHEN incomplete THEN 'several meters' END, CASE WHEN base IS NULL THEN 'no base charge' END, CASE WHEN prorated THEN 'prorated' END, CASE WHEN committed_seats IS NOT NULL AND seat_units IS NULL THEN 'no seat line' END,
       CASE WHEN period > term_end AND auto_renew AND escalator_pct IS NOT NULL AND escalator_date IS NULL THEN 'renewed without an escalator date' END, CASE WHEN customer_id % 31 = 0 THEN 'conflict: term_end' WHEN customer_id % 29 = 0 THEN 'conflict: committed_minimum' END]) AS reason FROM facts) WHERE reason IS NOT NULL GROUP BY reason""",
-    "sort_by_recoverable": _BOOK + "SELECT finding_id, CAST(amount AS DOUBLE) AS amount, CAST(row_number() OVER (PARTITION BY period ORDER BY amount DESC, finding_id) AS INTEGER) AS place FROM findings",
+    "sort_by_recoverable": _BOOK + "SELECT finding_id, CAST(amount AS DOUBLE) AS amount, row_number() OVER (ORDER BY amount DESC, finding_id) AS place FROM findings",
     "invalid_money_data": f"""SELECT customer_id, CAST(period AS VARCHAR) AS period, count(*) AS bad_lines FROM (SELECT o_custkey AS customer_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(l_extendedprice AS {_D}) AS a, CAST(l_quantity AS {_D}) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
       WHERE (a % 7 = 0 AND a > 0) OR (a % 7 <> 0 AND a % 11 = 0) OR q > 48 GROUP BY ALL""",
     "unresolved_labels": "SELECT 'X' || c_name AS label, count(*) AS rows FROM customer WHERE c_custkey % 3 = 2 GROUP BY ALL",

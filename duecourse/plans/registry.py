@@ -250,9 +250,9 @@ ORACLES = {
     "trueup_pack": _BOOK + "SELECT customer_id, CAST(sum(amount) AS DOUBLE) AS total, CAST(count(*) AS INTEGER) AS n_lines, string_agg(strftime(period, '%Y-%m') || ' ' || code || ' ' || amount, '; ' ORDER BY period, code, amount) AS lines FROM findings WHERE status = 'open' GROUP BY customer_id",
     "command_center_metrics": _BOOK + "SELECT CAST(sum(amount) AS DOUBLE) AS potential, CAST(coalesce(sum(amount) FILTER (status = 'open'), 0) AS DOUBLE) AS verified, CAST(coalesce(sum(amount) FILTER (status <> 'open'), 0) AS DOUBLE) AS needs_review, count(*) AS findings, count(DISTINCT customer_id) AS customers FROM findings",
     "top_sources": _BOOK + "SELECT code, CAST(sum(amount) AS DOUBLE) AS amount FROM findings GROUP BY code ORDER BY 2 DESC, code LIMIT 5",
-    "rank_cases": _BOOK + """SELECT finding_id, customer_id, evidence, score, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, finding_id) AS INTEGER) AS place FROM (
+    "rank_cases": _BOOK + """SELECT finding_id, customer_id, evidence, score, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, finding_id) AS INTEGER) AS place, row_number() OVER (ORDER BY score DESC, finding_id) AS overall FROM (
       SELECT *, CAST(round(CAST(0.4 * least(CAST(amount AS DOUBLE) / 10000, 1) + 0.25 * confidence + 0.15 * evidence + 0.1 * least(CAST(greatest(date_diff('day', period, DATE '1999-01-01'), 0) AS DOUBLE) / 90, 1) + 0.1 * CASE WHEN status = 'open' THEN 1.0 ELSE 0.5 END AS DECIMAL(12,8)), 4) AS DOUBLE) AS score
-      FROM (SELECT *, CASE WHEN clause IS NULL THEN 0.17::DOUBLE ELSE 0.33::DOUBLE END AS evidence FROM findings))""",
+      FROM (SELECT *, CASE WHEN clause IS NULL THEN 0.33::DOUBLE ELSE 0.5::DOUBLE END AS evidence FROM findings))""",
     "net_realized": _BOOK + "SELECT case_id, CAST(net AS DOUBLE) AS net, CAST(realized AS DOUBLE) AS realized, reversals, CAST(round(net * 0.20::DECIMAL(3,2), 2) AS DOUBLE) AS fee FROM (SELECT case_id, CAST(sum(CASE WHEN kind = 'reversal' THEN -amount ELSE amount END) AS DECIMAL(18,2)) AS net, sum(amount) FILTER (kind <> 'reversal') AS realized, count(*) FILTER (kind = 'reversal') AS reversals FROM rec GROUP BY case_id)",
     "running_reversal_guard": _BOOK + "SELECT event_id, case_id, CAST(running AS DOUBLE) AS running FROM (SELECT *, sum(CASE WHEN kind = 'reversal' THEN -amount ELSE amount END) OVER (PARTITION BY case_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM rec) WHERE kind = 'reversal' AND running < 0",
     "ledger_integrity": _BOOK

@@ -1,6 +1,7 @@
 """Whole books from files, to the cent."""
 
 import json
+import random
 from datetime import date
 from decimal import Decimal
 
@@ -175,3 +176,25 @@ def test_minimum_is_carried_to_each_month(spark):
     schedule = spark.createDataFrame([("a", date(2025, 2, 15), Decimal(5), 1), ("a", date(2025, 6, 1), Decimal(7), 3), ("a", date(2025, 6, 1), Decimal(6), 2), ("b", None, Decimal(1), 1)], f"customer_id string, effective date, value {MONEY}, seq long")
     got = {(r.customer_id, r.period.month): r.minimum for r in terms.with_minimum(rows, schedule).collect()}
     assert got == {("a", 1): 5, ("a", 3): 5, ("a", 6): 6, ("b", 1): 1, ("b", 3): 1, ("b", 6): 1, ("c", 1): None, ("c", 3): None, ("c", 6): None}
+
+
+def test_entries_with_ends_give_way(spark):
+    rng = random.Random(4)
+    day = lambda: date(2025, rng.randint(1, 12), rng.choice([1, 15])) if rng.random() < 0.85 else None
+    rows = [(f"c{rng.randint(0, 4)}", rng.choice(["x", None, "__default__"]), day(), day(), None if rng.random() < 0.05 else Decimal(k), k) for k in range(150)]
+    schedule = spark.createDataFrame(rows, f"customer_id string, scope string, effective date, ends date, value {MONEY}, seq long").repartition(3)
+    months = [date(2024 + m // 12, m % 12 + 1, 1) for m in range(36)]
+    panel = spark.createDataFrame([(f"c{c}", m) for c in range(6) for m in months], "customer_id string, period date")
+    for by in (["scope"], []):
+        want = {}
+        for c in range(6):
+            for m in months:
+                for scope in {r[1] or "__default__" for r in rows} if by else {None}:
+                    live = [r for r in rows if r[0] == f"c{c}" and (not by or (r[1] or "__default__") == scope) and (r[2] is None or r[2] <= m) and (r[3] is None or r[3] >= m)]
+                    if live:
+                        want[f"c{c}", m, scope] = max(live, key=lambda r: (r[2] is not None, r[2] or m, -r[5]))[4]
+        got = terms.active_terms(schedule, panel, by)
+        assert {(r.customer_id, r.period, r.scope if by else None): r.value for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Python" not in plan
+    assert terms.active_terms(schedule.limit(0), panel, ["scope"]).isEmpty()

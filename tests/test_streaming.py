@@ -109,7 +109,7 @@ def test_holds_block_customers_or_all(spark):
 
 def test_by_recoverable(spark):
     f = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 3.0), ("c", "x", 3.0), ("d", "y", 2.0)], "finding_id string, period string, amount double")
-    assert {r.finding_id: r.place for r in rules.by_recoverable(f).collect()} == {"b": 1, "c": 2, "a": 3, "d": 1}
+    assert {r.finding_id: r.place for r in rules.by_recoverable(f).collect()} == {"b": 1, "c": 2, "d": 3, "a": 4}
 
 
 def test_payloads_hash_money_alone(spark):
