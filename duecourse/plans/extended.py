@@ -184,6 +184,14 @@ def _grounding(s: SparkSession, d: str) -> DataFrame:
     return documents.quote_grounding(quotes, documents.pseudo_pages(docs))
 
 
+def _realizing(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Recovery events, every 97th id also in another case, and their cases."""
+    e, k = _table(s, d, "events"), F.col("case_id")
+    rows = e.select("event_id", F.col("user_id").alias("case_id"), F.when(F.col("event_type") == "error", "reversal").otherwise("realization").alias("kind"), F.col("value").cast(MONEY).alias("amount"), F.when(F.col("event_id") % 13 == 0, "settlement").alias("basis"), "ts")
+    cases = rows.select("case_id").distinct().select("case_id", _pick(k, "approved", "invoiced", "disputed", "recovered", "open", "rejected").alias("status"), ((k % 9 + 1) * 100).cast(MONEY).alias("requested"))
+    return rows.union(rows.where("event_id % 97 = 0").withColumn("case_id", k + 1)), cases.where("case_id % 10 <> 9")
+
+
 def _coverage(s: SparkSession, d: str) -> DataFrame:
     pages = documents.pseudo_pages(_table(s, d, "documents"))
     return documents.keyword_coverage(pages, pages.where("page = 1 and doc_id % 2 = 0"), r"[a-z]*tion")
@@ -311,7 +319,7 @@ QUERIES = {
     "classify_contract_change": lambda s, d: assurance.contract_changes(*_old_contracts(s, d), "1999-06-01"),
     "classify_invoice_change": lambda s, d: _doubles(assurance.invoice_changes(*_old_invoices(s, d))),
     "withdraw_stale": lambda s, d: assurance.withdraw_stale(_store(s, d)[0], _facts(s, d).where("month(period) <= 6").select("customer_id", "period"), _store(s, d)[1]).select("finding_id", "status", "withdrawn_by"),
-    "realization_intake": lambda s, d: _doubles(assurance.realization_intake(_events(s, d))),
+    "realization_intake": lambda s, d: _doubles(assurance.realization_intake(*_realizing(s, d))),
     "fee_retry_queue": lambda s, d: recovery.fee_retries(_table(s, d, "events").select("event_id", _pick(F.col("event_id"), "paid", "payment_failed", "error", "pending", "unbilled", None).alias("fee_status"), (F.col("event_id") % 5).alias("tries"))),
     "scan_payment_processor_lines": lambda s, d: _doubles(_processor(s, d).groupBy("customer_id", "period", "description", "proration").agg(F.sum("amount").cast(MONEY).alias("amount"), F.count("*").alias("lines"))),
     "scan_processor_usage": lambda s, d: _doubles(book.processor_usage(_table(s, d, "events").select(F.col("user_id").alias("customer_id"), F.when(F.col("event_type") != "error", "metered").alias("usage_type"), F.col("value").cast(MONEY).alias("quantity"), F.unix_timestamp("ts").alias("at")))),
@@ -441,6 +449,17 @@ ORACLES = {
     "lineage_path": _LINKED + "SELECT finding_id, customer_id, concat_ws(' > ', evidence_id, right_id, coalesce(observation_id, 'none'), discrepancy_id, finding_id) AS path, CAST(a AS BIGINT) AS actions, CAST(CASE WHEN a = 1 AND finding_id LIKE '%SEATS' THEN 2 ELSE a END AS BIGINT) AS events FROM (SELECT *, CASE WHEN status = 'open' AND customer_id % 2 = 0 THEN 1 ELSE 0 END AS a FROM linked WHERE active)",
     "tenant_audit": "SELECT 'orders' AS \"table\", count(*) AS rows FROM orders WHERE o_orderkey % 10 < 2 UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey % 10 < 2",
     "graph_merge": f"SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice AS {_D}) ELSE 0 END AS DOUBLE) AS value FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0",
+    "realization_intake": f"""WITH RECURSIVE e AS (
+      SELECT event_id, user_id AS case_id, event_type = 'error' AS back, CAST(value AS {_D}) AS amount, event_id % 13 = 0 AS settles, ts FROM events),
+      every AS (SELECT * FROM e UNION ALL SELECT * REPLACE (case_id + 1 AS case_id) FROM e WHERE event_id % 97 = 0),
+      once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts, case_id) = 1),
+      cases AS (SELECT DISTINCT user_id AS case_id, {_cycle('user_id', 'approved', 'invoiced', 'disputed', 'recovered', 'open', 'rejected')} AS status, CAST((user_id % 9 + 1) * 100 AS {_D}) AS requested FROM events WHERE user_id % 10 <> 9),
+      due AS (SELECT once.*, requested, CASE WHEN status IS NULL OR status IN ('open', 'rejected') THEN 'finding status' WHEN amount IS NULL OR amount <= 0 THEN 'no amount' END AS fault, CASE WHEN back THEN -amount ELSE amount END AS part, row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id) AS i FROM once LEFT JOIN cases USING (case_id)),
+      walk AS (
+        SELECT case_id, 0 AS i, NULL::BIGINT AS event_id, false AS accepted, NULL::VARCHAR AS reason, 0::{_D} AS net, 0::{_D} AS part, false AS closed FROM (SELECT DISTINCT case_id FROM due)
+        UNION ALL SELECT d.case_id, d.i, d.event_id, d.fault IS NULL AND w.net + d.part >= 0, coalesce(d.fault, CASE WHEN w.net + d.part < 0 THEN 'exceeds what is left' END), CAST(CASE WHEN d.fault IS NULL AND w.net + d.part >= 0 THEN w.net + d.part ELSE w.net END AS {_D}),
+          CAST(CASE WHEN d.fault IS NULL AND w.net + d.part >= 0 THEN d.part ELSE 0 END AS {_D}), d.fault IS NULL AND w.net + d.part >= 0 AND ((settles AND NOT back) OR w.net + d.part >= requested) FROM walk w JOIN due d ON d.case_id = w.case_id AND d.i = w.i + 1)
+      SELECT event_id, case_id, accepted, reason, CAST(net AS DOUBLE) AS net, CAST(round(part * 0.20::DECIMAL(3,2), 2) AS DOUBLE) AS fee, closed FROM walk WHERE i > 0""",
     "keyword_coverage": _BOOK + "SELECT doc_id, term, CAST(count(*) FILTER (page > 1 OR doc_id % 2 = 1) AS BIGINT) AS missing FROM (SELECT doc_id, page, unnest(regexp_extract_all(lower(text), '[a-z]*tion')) AS term FROM pages) GROUP BY ALL HAVING count(*) FILTER (page > 1 OR doc_id % 2 = 1) > 0",
     "signal_recall": f"""WITH t AS (SELECT doc_id, concat_ws(' ', text, {_cycle('doc_id', 'a platform fee', 'units in excess of', 'a PROMOTIONAL price', 'it may renew automatically', 'nothing')}) AS text FROM documents),
       p AS (SELECT doc_id, page, lower(substr(text, CAST((page - 1) * 3000 + 1 AS BIGINT), 3000)) AS text FROM (SELECT doc_id, text, unnest(range(1, greatest(1, CAST(ceil(length(text) / 3000) AS BIGINT)) + 1)) AS page FROM t)), f AS ({_PHRASES}),

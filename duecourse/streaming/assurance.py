@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 
 def money_payload(row: DataFrame, fields: list[str], lists: tuple[str, ...] = ()) -> DataFrame:
@@ -123,55 +123,119 @@ def withdraw_stale(store: DataFrame, scope: DataFrame, fresh: DataFrame) -> Data
 
 
 FEE = "0.20"
+# The statuses of a finding on which money may be realized, and the basis that closes a case at any amount.
+REALIZABLE = ["approved", "invoiced", "disputed", "recovered"]
+SETTLEMENT = "settlement"
+#: For how many days a stream knows event ids, and holds the net of a case that has no events.
+LIFETIME = 400
 
+_TAKEN = "event_id long, case_id long, accepted boolean, reason string, net long, part long, settled boolean"
 
-def realization_intake(events: DataFrame) -> DataFrame:
-    """Takes events(event_id, case_id, kind, amount, ts) of each case in order: repeated ids are no-ops, a reversal may not exceed what is left.
+
+class Intake:
+    """The net of one case, in cents, as its events are taken in order."""
+
+    def __init__(self, net: int = 0):
+        self.net = net
+
+    def take(self, kind: str, cents: int | None, status: str | None) -> tuple[bool, str | None, int, int]:
+        """Whether an event is taken, else why not; the net after it, and its own part of it."""
+        if status not in REALIZABLE:
+            return False, "finding status", self.net, 0
+        if cents is None or cents <= 0:
+            return False, "no amount", self.net, 0
+        part = -cents if kind == "reversal" else cents
+        if self.net + part < 0:
+            return False, "exceeds what is left", self.net, 0
+        self.net += part
+        return True, None, self.net, part
+
+
+def _due(events: DataFrame, cases: DataFrame | None) -> DataFrame:
+    """events with cents, and their case's status and requested amount; without cases all are approved and none closes by amount."""
+    rows = events.select("event_id", "case_id", "kind", (F.col("amount").cast("decimal(18,2)") * 100).cast("long").alias("cents"), (F.col("basis") if "basis" in events.columns else F.lit(None).cast("string")).alias("basis"), "ts")
+    if cases is None:
+        return rows.withColumns({"status": F.lit(REALIZABLE[0]), "requested": F.lit(None).cast("decimal(18,2)")})
+    return rows.join(cases.select("case_id", "status", F.col("requested").cast("decimal(18,2)").alias("requested")), "case_id", "left")
+
+
+def _fees(taken: DataFrame) -> DataFrame:
+    """What an intake gives, from its rows in cents: the fee on the event's part, and whether the case is closed after it."""
+    money = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
+    closed = F.col("accepted") & (F.coalesce("settled", F.lit(False)) | F.coalesce(money("net") >= F.col("requested"), F.lit(False)))
+    fee = F.round(money("part") * F.lit(FEE).cast("decimal(3,2)"), 2).cast("decimal(18,2)")
+    return taken.select("event_id", "case_id", "accepted", "reason", money("net").alias("net"), fee.alias("fee"), closed.alias("closed"))
+
+
+def realization_intake(events: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """Takes events(event_id, case_id, kind, amount, ts, perhaps basis) of each case in order of ts and event_id.
+
+    An id counts once over all cases, its first event by ts; others are no-ops without a row. An event is taken on a case
+    of cases(case_id, status, requested) in a status on which money may be realized, with an amount above 0; a reversal
+    may not exceed what is left. Each row says whether its event was taken, else why not, the net after it, the fee on
+    its part, and whether it closes the case: by reaching what was requested, or as a settlement.
 
     A rejected event doesn't count for those after it, so a case is taken event by event; its rows come sorted and stream
-    through, and a task holds one net at a time. Each row says whether its event was taken, the net after it, and the fee
-    on its part.
+    through, and a task holds one net at a time. A null case_id is a case without a finding.
     """
 
-    def run(batches):
-        case, net = None, Decimal(0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        case, held = None, Intake()
         for batch in batches:
             rows = []
-            for event_id, case_id, kind, amount in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for event_id, case_id, kind, cents, basis, status, requested in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if case_id != case:
-                    case, net = case_id, Decimal(0)
-                part = -amount if kind == "reversal" else amount
-                fits = net + part >= 0
-                net = net + part if fits else net
-                rows.append((event_id, case_id, fits, net, part if fits else Decimal(0)))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.decimal128(18, 2), pa.decimal128(18, 2))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["event_id", "case_id", "accepted", "net", "part"])
-
-    once = events.groupBy("case_id", "event_id").agg(F.min(F.struct("ts", "event_id", "kind", "amount")).alias("e"))
-    rows = once.select("event_id", "case_id", "e.kind", F.col("e.amount").cast("decimal(18,2)").alias("amount"), "e.ts").repartition("case_id").sortWithinPartitions("case_id", "ts", "event_id")
-    taken = rows.select("event_id", "case_id", "kind", "amount").mapInArrow(run, "event_id long, case_id long, accepted boolean, net decimal(18,2), part decimal(18,2)")
-    return taken.select("event_id", "case_id", "accepted", "net", F.round(F.col("part") * F.lit(FEE).cast("decimal(3,2)"), 2).cast("decimal(18,2)").alias("fee"))
-
-
-def intake_stream(stream: DataFrame):
-    """The same on a stream, the net of each case held as state: what a micro-batch brings is taken in order of ts and event_id."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key: tuple, batches, state: GroupState):
-        net, seen = (state.get[0], list(state.get[1])) if state.exists else (Decimal(0), [])
-        known, rows = set(seen), []
-        for e in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            if e.event_id in known:
-                continue
-            signed = -e.amount if e.kind == "reversal" else e.amount
-            fits = net + signed >= 0
-            net = net + signed if fits else net
-            known.add(e.event_id)
-            seen.append(e.event_id)
-            rows.append((e.event_id, key[0], fits, net, (signed if fits else Decimal(0)) * Decimal(FEE)))
-        state.update((net, seen))
-        yield pd.DataFrame(rows, columns=["event_id", "case_id", "accepted", "net", "fee"])
-
-    return stream.groupBy("case_id").applyInPandasWithState(run, "event_id long, case_id long, accepted boolean, net decimal(18,2), fee decimal(18,4)", "net decimal(18,2), seen array<long>", "append", GroupStateTimeout.NoTimeout)
+                    case, held = case_id, Intake()
+                taken, reason, net, part = held.take(kind, cents, status)
+                rows.append((event_id, case_id, taken, reason, net, part, basis == SETTLEMENT and kind != "reversal", requested))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.decimal128(18, 2))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 8, kinds, strict=True)], [*[f.split()[0] for f in _TAKEN.split(", ")], "requested"])
+
+    rest = [c for c in events.columns if c not in ("event_id", "ts")]
+    once = events.groupBy("event_id").agg(F.min_by(F.struct("ts", *rest), F.struct("ts", "case_id")).alias("e")).select("event_id", "e.*")
+    rows = _due(once, cases).repartition("case_id").sortWithinPartitions("case_id", "ts", "event_id")
+    return _fees(rows.select("event_id", "case_id", "kind", "cents", "basis", "status", "requested").mapInArrow(run, f"{_TAKEN}, requested decimal(18,2)"))
+
+
+class _CaseProcessor(StatefulProcessor):
+    """The intake of one case on a stream: its net and the time of its last event are a value state, which a timer clears
+    when nothing has come for the lifetime."""
+
+    def __init__(self, lifetime_ms: int):
+        self.lifetime_ms = lifetime_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("net", "cents long, last_ms long")
+
+    def handleInputRows(self, key, rows, timer_values):  # noqa: N802
+        net, last = self.state.get() if self.state.exists() else (0, None)
+        held = Intake(net)
+        for r in sorted(rows, key=lambda r: (r.ts_ms, r.event_id)):
+            taken, reason, net, part = held.take(r.kind, r.cents, r.status)
+            if last is None:
+                self.handle.registerTimer(r.ts_ms + self.lifetime_ms)
+            last = max(last or 0, r.ts_ms)
+            yield Row(event_id=r.event_id, case_id=key[0], accepted=taken, reason=reason, net=net, part=part, settled=r.basis == SETTLEMENT and r.kind != "reversal", requested=r.requested)
+        self.state.update((held.net, last))
+
+    def handleExpiredTimer(self, key, timer_values, expired):  # noqa: N802
+        net, last = self.state.get()
+        if last + self.lifetime_ms > expired.get_expiry_time_in_ms():
+            self.handle.registerTimer(last + self.lifetime_ms)
+        else:
+            self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def intake_stream(stream: DataFrame, cases: DataFrame | None = None, days: int = LIFETIME) -> DataFrame:
+    """realization_intake() on a stream: what a micro-batch brings to a case is taken in order of ts and event_id.
+
+    Ids are known over all cases for `days` of event time, by the watermark; a case's net is held for as long without an
+    event, by a timer. Cases are a static table. Needs the state store that keeps state on disk (RocksDB).
+    """
+    once = stream.withWatermark("ts", f"{days} days").dropDuplicatesWithinWatermark(["event_id"])
+    rows = _due(once, cases).withColumn("ts_ms", F.unix_millis("ts"))
+    return _fees(rows.groupBy("case_id").transformWithState(_CaseProcessor(days * 86_400_000), f"{_TAKEN}, requested decimal(18,2)", "Append", "EventTime"))

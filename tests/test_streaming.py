@@ -2,7 +2,9 @@
 
 import shutil
 from datetime import datetime, timedelta
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
+
+from pyspark.sql import Row
 
 
 from duecourse.operators import rules
@@ -51,36 +53,53 @@ def test_panel_on_a_stream_as_in_batch(spark, tmp_path):
 EVENT = "event_id long, case_id long, kind string, amount decimal(18,2), ts timestamp"
 
 
-def intake(rows):
-    """Plain intake of one case after the other."""
+def intake(rows, cases):
+    """Plain intake, an event at a time."""
     net, seen, out = {}, set(), {}
-    for e, c, kind, amount, ts in sorted(rows, key=lambda r: (r[4], r[0])):
-        if (c, e) in seen:
+    for e, c, kind, amount, basis, ts in sorted(rows, key=lambda r: (r[5], r[0])):
+        if e in seen:
             continue
-        seen.add((c, e))
+        seen.add(e)
+        status, requested = cases.get(c, (None, None))
         part = -amount if kind == "reversal" else amount
-        fits = net.get(c, 0) + part >= 0
-        net[c] = net.get(c, Decimal(0)) + (part if fits else 0)
-        out[e] = (c, fits, net[c], (part if fits else Decimal(0)) * Decimal("0.20"))
+        reason = "finding status" if status not in assurance.REALIZABLE else "no amount" if amount is None or amount <= 0 else "exceeds what is left" if net.get(c, 0) + part < 0 else None
+        part = Decimal(0) if reason else part
+        net[c] = net.get(c, Decimal(0)) + part
+        fee = (part * Decimal("0.20")).quantize(Decimal("0.01"), ROUND_HALF_UP)
+        out[e] = (c, not reason, reason, net[c], fee, not reason and ((basis == "settlement" and kind != "reversal") or net[c] >= requested))
     return out
 
 
-def test_intake_rejects_what_exceeds_the_rest(spark, tmp_path):
+def test_intake_on_a_stream_as_in_batch(spark, tmp_path):
     start = datetime(2026, 1, 1)
-    rows = [(i, i % 5, "reversal" if i % 3 == 0 else "realization", Decimal(i % 17 + 1), start + timedelta(hours=i)) for i in range(120)]
-    want = intake([*rows, rows[3]])
-    got = assurance.realization_intake(spark.createDataFrame([*rows, rows[3]], EVENT)).collect()
-    assert {r.event_id: (r.case_id, r.accepted, r.net, r.fee) for r in got} == want and not all(r.accepted for r in got)
-    ordered = [rows[k * 30 : (k + 1) * 30] for k in range(4)]
+    kind = EVENT.replace("ts timestamp", "basis string, ts timestamp")
+    rows = [(i, i % 5 if i % 19 else 77, "reversal" if i % 3 == 0 else "realization", Decimal(i % 17 * 37 + 3) / 100 if i % 23 else Decimal(0), "settlement" if i % 11 == 0 else None, start + timedelta(hours=i)) for i in range(120)]
+    rows += [(rows[k][0], (rows[k][1] + 1) % 5, *rows[k][2:5], rows[k][5] + timedelta(minutes=k)) for k in (3, 7, 50, 101)]  # the same id again, in another case
+    rows.sort(key=lambda r: r[5])
+    held = {0: ("approved", Decimal(9)), 1: ("invoiced", Decimal(20)), 2: ("open", Decimal(1)), 3: ("recovered", Decimal("30.5")), 4: ("disputed", Decimal(1000))}
+    cases = spark.createDataFrame([(k, *v) for k, v in held.items()], "case_id long, status string, requested decimal(18,2)")
+    want = intake(rows, held)
+    assert {v[2] for v in want.values()} == {None, "finding status", "no amount", "exceeds what is left"} and {v[5] for v in want.values()} == {True, False}
+    line = lambda r: (r.case_id, r.accepted, r.reason, r.net, r.fee, r.closed)
+    got = assurance.realization_intake(spark.createDataFrame(rows, kind), cases).collect()
+    assert len(got) == len(want) and {r.event_id: line(r) for r in got} == want
+    ordered = [rows[k * 31 : (k + 1) * 31] for k in range(4)]
     for k, part in enumerate(ordered):
-        spark.createDataFrame(part, EVENT).coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
         (tmp_path / "in").mkdir(exist_ok=True)
         for f in (tmp_path / f"p{k}").glob("*.parquet"):
             shutil.copy(f, tmp_path / "in" / f"{k}-{f.name}")
-    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = assurance.intake_stream(stream).writeStream.format("memory").queryName("intake").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert {r.event_id: (r.case_id, r.accepted, r.net, r.fee) for r in spark.table("intake").collect()} == want
+    store = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = assurance.intake_stream(stream, cases).writeStream.format("memory").queryName("intake").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert query.awaitTermination(100)
+        query.stop()
+    finally:
+        spark.conf.unset(store)
+    out = spark.table("intake").collect()
+    assert len(out) == len(want) and {r.event_id: line(r) for r in out} == want
 
 
 def test_scoped_reevaluation(spark):
@@ -116,3 +135,46 @@ def test_payloads_hash_money_alone(spark):
     rows = spark.createDataFrame([(1, 5, [2, 1], "x"), (2, 5, [1, 2], "y"), (3, 6, [1, 2], "x"), (4, None, None, "x")], "id int, amount int, items array<int>, note string")
     got = {r.id: r.payload for r in assurance.money_payload(rows, ["amount"], ("items",)).collect()}
     assert got[1] == got[2] != got[3] and got[4] and len(set(got.values())) == 3
+
+
+def test_a_case_without_events_is_forgotten():
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.state = [], Held()
+
+        def getValueState(self, *_):  # noqa: N802
+            return self.state
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    class Expired:
+        def __init__(self, at):
+            self.at = at
+
+        def get_expiry_time_in_ms(self):
+            return self.at
+
+    event = lambda k, ms: Row(event_id=k, kind="realization", cents=100, status="approved", basis=None, requested=None, ts_ms=ms)
+    handle, case = Handle(), assurance._CaseProcessor(1000)
+    case.init(handle)
+    assert [r.net for r in case.handleInputRows((1,), iter([event(1, 50), event(2, 10)]), None)] == [100, 200]
+    assert handle.timers == [1010] and handle.state.value == (200, 50)
+    assert list(case.handleExpiredTimer((1,), None, Expired(1010))) == [] and handle.timers == [1010, 1050] and handle.state.exists()
+    case.handleExpiredTimer((1,), None, Expired(1050))
+    assert not handle.state.exists()
