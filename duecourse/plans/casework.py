@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import recovery
 from ..operators import rightspec as R
+from ..operators import rulejson as J
 from ..sources import book, casebook
 from .registry import _BOOK, _doubles, _select, _tables
 
@@ -28,6 +29,11 @@ def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     return R.evaluate_rules(casebook.rules(contracts), casebook.observations(usage, invoices))
 
 
+def _from_json(spark: SparkSession, d: str) -> DataFrame:
+    contracts, usage, invoices = _tables(spark, d)
+    return R.evaluate_rules(J.parse_rules(casebook.rule_texts(contracts)), casebook.observations(usage, invoices))
+
+
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
     return recovery.case_ledger(casebook.cases(spark, d), casebook.actions(spark, d), casebook.recovery_events(spark, d))
 
@@ -44,6 +50,8 @@ QUERIES = {
     "rule_tiers": lambda s, d: R.flatten_rules(_rules(s, d))["tiers"],
     "rule_nodes": lambda s, d: R.flatten_rules(_rules(s, d))["nodes"].select("right_id", "ordinal", "op", "parent"),
     "validate_rules": lambda s, d: R.validate_rules(_faulty(_rules(s, d))),
+    "json_rules_evaluated": lambda s, d: _doubles(_from_json(s, d)),
+    "json_rules_validated": lambda s, d: J.validate_texts(J.parse_rules(casebook.rule_texts(book.contracts(s, d), faulty=True))),
     "ground_constants": lambda s, d: R.ground_constants(_rules(s, d)),
     "gate_candidates": lambda s, d: R.gate_candidates(_candidates(s, d), ["amount_supported", "scope_supported"]),
     "case_ledger": lambda s, d: _doubles(_ledger(s, d)),
@@ -114,6 +122,9 @@ def _total(value: str, name: str) -> str:
 ORACLES = {
     "evaluate_rules": _select("right_id, customer_id, status, reason", "evaluated", "expected actual recoverable", "period").replace(_BOOK, _RULES),
     "rule_findings": _RULES + "SELECT 'F-' || substr(sha1(right_id || '|' || customer_id || '|' || strftime(period, '%Y-%m')), 1, 8) AS finding_id, right_id, customer_id, CAST(period AS VARCHAR) AS period, CAST(expected AS DOUBLE) AS expected, CAST(actual AS DOUBLE) AS actual, CAST(recoverable AS DOUBLE) AS recoverable FROM evaluated WHERE recoverable > 0",
+    "json_rules_evaluated": _select("right_id, customer_id, status, reason", "evaluated", "expected actual recoverable", "period").replace(_BOOK, _RULES),
+    "json_rules_validated": """SELECT c_custkey AS customer_id, CASE WHEN k <> 2 THEN 'R-' || c_custkey END AS right_id, CASE WHEN k IN (1, 5) THEN 'unsupported' WHEN k IN (2, 3) THEN 'rejected' WHEN k = 4 THEN 'needs_review' ELSE 'valid' END AS status,
+      CASE k WHEN 1 THEN 'unknown key colour' WHEN 2 THEN 'not JSON' WHEN 3 THEN 'too many levels' WHEN 4 THEN 'no date above' WHEN 5 THEN 'unknown calculation' ELSE '' END AS reasons FROM (SELECT c_custkey, c_custkey % 23 AS k FROM customer)""",
     "rule_tiers": "SELECT 'R-' || c_custkey AS right_id, CAST(ordinal AS INTEGER) AS ordinal, up_to, rate FROM customer, (VALUES (0, 't1', 'r1'), (1, 't2', 'r2'), (2, NULL, 'r3')) t(ordinal, up_to, rate)",
     "rule_nodes": "SELECT 'R-' || c_custkey AS right_id, CAST(ordinal AS INTEGER) AS ordinal, op, CAST(parent AS INTEGER) AS parent FROM customer JOIN (VALUES (0, 0, 'gt', 1), (0, 1, 'event_exists', 1), (0, 2, 'or', 0), (0, 3, 'date_reached', 0), (0, 4, 'and', NULL), (1, 0, 'gte', NULL)) t(odd, ordinal, op, parent) ON c_custkey % 2 = odd",
     "validate_rules": """SELECT 'R-' || c_custkey AS right_id, CASE WHEN c_custkey % 23 IN (1, 3) THEN 'unsupported' WHEN c_custkey % 23 IN (2, 4) THEN 'needs_review' WHEN c_custkey % 23 = 5 THEN 'rejected' ELSE 'valid' END AS status,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rightspec as R
 from ..operators.charges import TERMS
+from ..operators.rulejson import MAX_DEPTH as R_DEPTH
 
 
 def rules(contracts: DataFrame) -> DataFrame:
@@ -35,6 +36,37 @@ def rules(contracts: DataFrame) -> DataFrame:
     )
 
 
+# Triggers of rule_texts(): the same two as of rules(), a test of dates against a number, and one that nests too deep.
+DEEP = '{"op":"and","children":[{"op":"or","children":[{"op":"gt","observation":"usage","value":{"constant":"above"}},{"op":"event_exists","observation":"seats"}]},{"op":"date_reached","observation":"base","value":{"constant":"since"}}]}'
+FLAT = '{"op":"gte","observation":"usage","value":{"constant":"above"}}'
+UNDATED = '{"op":"observed_date_before","observation":"usage","value":{"constant":"above"}}'
+NESTED = '{"op":"and","children":[' * R_DEPTH + FLAT + "]}" * R_DEPTH
+
+
+def rule_texts(contracts: DataFrame, faulty: bool = False) -> DataFrame:
+    """rules() as JSON texts: customer_id, quote, spec; if faulty, some are wrong in one way each."""
+    k = F.col("customer_id")
+    fault = k % 23 if faulty else F.lit(0)
+    ref = lambda name: F.struct((F.lit(name) if isinstance(name, str) else name).alias("constant"))
+    seen = lambda name: F.struct(F.lit(name).alias("observation"))
+    kind = F.when(fault == 5, "magic").otherwise(F.element_at(F.array(*map(F.lit, R.CALCULATIONS)), (k % 9 + 1).cast("int")))
+    calc = {
+        "amount": ref("minimum"), "rate": ref("rate"), "base_observation": F.lit("base"), "quantity_observation": F.lit("usage"), "above": ref("above"), "band_observation": F.lit("usage"), "minuend": ref("minimum"), "subtrahend": seen("base"), "floor_zero": F.lit(True),
+        "cap": F.when(k % 4 == 0, ref("cap")), "floor": F.when(k % 5 == 0, ref("floor")), "tiers": F.array(*[F.struct(F.when(F.lit(up is not None), ref(up or "")).alias("up_to"), ref(rate).alias("rate")) for up, rate in (("t1", "r1"), ("t2", "r2"), (None, "r3"))]),
+        "operands": F.array(F.struct(F.lit("minimum").alias("constant"), F.lit(None).cast("string").alias("observation")), F.struct(F.lit(None).cast("string").alias("constant"), F.lit("base").alias("observation"))),
+    }
+    constant = lambda name, value, what: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"), F.lit(what).alias("kind"))
+    named = [constant("minimum", F.format_number((k % 50 * 1000).cast("double"), 2), "amount"), constant("rate", F.concat(((k % 7 + 1) * 5).cast("string"), F.lit(" %")), "percentage"), constant("above", k % 20, "quantity")]
+    named += [constant(n, F.lit(v), "amount") for n, v in (("cap", "$60,000"), ("floor", "100"), ("t1", "10"), ("t2", "30"), ("r1", "1.50"), ("r2", "1.25"), ("r3", "1"))] + [constant("since", F.date_add(F.lit("1996-01-01").cast("date"), (k % 1500).cast("int")), "date")]
+    trigger = F.when(fault == 3, NESTED).when(fault == 4, UNDATED).when(k % 2 == 0, DEEP).otherwise(FLAT)
+    required = F.when(k % 10 == 0, '["base"]').otherwise("[]")
+    text = F.concat(
+        F.when(fault == 1, '{"colour":1,').otherwise("{"), F.lit('"right_id":"R-'), k.cast("string"), F.lit('","trigger":'), trigger, F.lit(',"calculation":'), F.to_json(F.struct(kind.alias("type"), *[c.alias(n) for n, c in calc.items()])),
+        F.lit(',"contractual_constants":'), F.to_json(F.array(*named)), F.lit(',"required_observations":'), required, F.lit(',"actual_observation":"overage","actual_observation_optional":'), (k % 3 == 0).cast("string"), F.when(fault == 2, "").otherwise("}"),
+    )
+    return contracts.select("customer_id", F.lit("").alias("quote"), text.alias("spec"))
+
+
 def observations(usage: DataFrame, invoices: DataFrame) -> DataFrame:
     """What the rolled-up feeds saw: base and overage amounts, used units and seats."""
     seen = lambda kind, amount, quantity: F.struct(F.lit(kind).alias("type"), F.lit(0).alias("seq"), amount.cast(R.NUMBER).alias("amount"), quantity.cast(R.NUMBER).alias("quantity"), F.lit(None).cast(R.NUMBER).alias("value"), F.last_day("period").alias("date"), F.lit("USD").alias("currency"))
