@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, coefficients, documents, grams, sliced
-from .license_texts import TEMPLATES
+from .license_texts import TEMPLATES, bodies
 
 #: Words in a shingle, and hash functions; each function is a band of one row. An occurrence lies whole in a window of
 #: less than four times its words. With `CONTAINED` of a template's shingles there, window and template share at least
@@ -22,6 +22,8 @@ SHINGLE = 2
 BANDS = 48
 #: The part of a template's shingles that a window must have.
 CONTAINED = 0.8
+#: At most so many bytes of templates; they go to every task.
+TEMPLATE_BYTES = 8 << 20
 
 
 _MARKS = re.compile(r"[^\w\x00-\x7f]")
@@ -149,16 +151,39 @@ class Templates:
         return out
 
 
+def all_templates() -> dict[str, str]:
+    """The notices, short bodies and lines, and the long bodies."""
+    return TEMPLATES | bodies()
+
+
+def load_templates(table: DataFrame, most: int = TEMPLATE_BYTES) -> dict[str, str]:
+    """table(license, text) as templates for license_matches(), in order of name; of a folder of files, spark.read.text(..., wholetext=True) with the files' names.
+
+    Rows without a name or with fewer than SHINGLE words are left out; of several texts of one name each is a template,
+    numbered from the second on. More than `most` bytes of texts are an error, as every task gets them.
+    """
+    rows = table.where("license is not null and text is not null").select("license", "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > most:
+        raise ValueError(f"{size} bytes of templates, of at most {most}")
+    out: dict[str, str] = {}
+    for r in sorted(rows.distinct().collect()):
+        if len(_parted([r.text]).hash) >= SHINGLE:
+            n = sum(k == r.license or k.startswith(f"{r.license} #") for k in out)
+            out[f"{r.license} #{n + 1}" if n else r.license] = r.text
+    return out
+
+
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """A row per license notice found in docs(doc_id, text): doc_id, license, first_word, end_word, containment.
 
     Of matches within one another's span only that with the greatest containment is returned: licenses quote each other.
     Words are compared in lower case and without punctuation; first_word and end_word count words between spaces. A
-    template must have at least SHINGLE words. The table of templates is a bounded
-    parameter and goes to every task. A null or empty text has none; a null doc_id stays null; repeated rows give
+    template must have at least SHINGLE words; load_templates() reads a table of them. They are a bounded parameter and
+    go to every task. A null or empty text has none; a null doc_id stays null; repeated rows give
     repeated matches; an empty table gives no rows; other columns are ignored.
     """
-    known = TEMPLATES if templates is None else templates
+    known = all_templates() if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Templates(known)

@@ -1,5 +1,14 @@
 """License bodies and notices as their authors publish them, without the lines for names and years."""
 
+from importlib import resources
+
+
+def bodies() -> dict[str, str]:
+    """The long bodies, from the files in licenses/, by name in order."""
+    files = [f for f in resources.files(__package__).joinpath("licenses").iterdir() if f.name.endswith(".txt")]
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(files, key=lambda f: f.name)}
+
+
 TEMPLATES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.

@@ -604,3 +604,27 @@ def test_near_groups_with_large_groups_dealt_anew(spark, docs, monkeypatch, n, p
     # without centers that link anything, all is left to the residual
     monkeypatch.setattr(ngram_join, "_nearest", lambda pairs, percent: pairs.select("a", "b", F.lit(0).cast("long").alias("differ")).where("false"))
     assert rows() == want
+
+
+def test_license_bodies_and_a_table_of_templates(spark):
+    known = license_scan.all_templates()
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(known)
+    rng = random.Random(6)
+    filler = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    rows, want = [], {}
+    for k, name in enumerate(["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "MIT"]):
+        body = " ".join(w for w in known[name].split() if rng.random() > 0.02)  # a word in fifty is lost
+        rows.append((k, f"{filler(300)}\n{body}\n{filler(200)}"))
+        want[k] = name
+    rows.append((90, filler(20_000)))
+    got = collections.defaultdict(set)
+    for r in license_scan.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].add(r.license)
+    assert all(want[k] in got[k] for k in want) and 90 not in got
+    table = spark.createDataFrame([("own", "Only members of the guild may copy this page"), ("own", "The guild allows copies to apprentices"), ("none", None), (None, "a b c"), ("short", "one")], "license string, text string")
+    mine = license_scan.load_templates(table)
+    assert list(mine) == ["own", "own #2"]
+    docs = spark.createDataFrame([(1, "x only members of the guild may copy this page y"), (2, "Permission is hereby granted")], "doc_id long, text string")
+    assert [(r.doc_id, r.license, r.first_word, r.end_word) for r in license_scan.license_matches(docs, mine).collect()] == [(1, "own", 1, 10)]
+    with pytest.raises(ValueError, match="bytes of templates"):
+        license_scan.load_templates(table, 10)
