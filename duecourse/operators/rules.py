@@ -3,7 +3,8 @@
 A row of facts may lack columns of which a book knows nothing; these count as null. Besides the roll-ups and the contract's
 terms, facts may have `prorated`, `currencies` (an array), `conflicts` (an array of the terms whose values compete), `tiers`
 (array of lower, up_to, rate), `applied` (array of the month's deductions: name, amount, expires; those whose discount had
-not run out may be left out), or `discount_expires` for all of them, `active_seats`, `confirmed`.
+not run out may be left out), or `discount_expires` for all of them, `active_seats`, `confirmed`, `term_confidence` (a map of
+terms to confidences; a rule is as sure as the least sure of its terms and the contract).
 """
 
 from __future__ import annotations
@@ -17,7 +18,12 @@ from ..staging import with_place
 MONEY = "decimal(18,2)"
 OPTIONAL = {
     "prorated": "boolean", "currencies": "array<string>", "conflicts": "array<string>", "tiers": "array<struct<lower:decimal(18,6),up_to:decimal(18,6),rate:decimal(18,6)>>",
-    "applied": "array<struct<name:string,amount:decimal(18,2),expires:date>>", "active_seats": "decimal(18,2)", "confirmed": "boolean", "credit_lines": "array<string>", "discount_expires": "date",
+    "applied": "array<struct<name:string,amount:decimal(18,2),expires:date>>", "active_seats": "decimal(18,2)", "confirmed": "boolean", "credit_lines": "array<string>", "discount_expires": "date", "term_confidence": "map<string,double>",
+}
+# The terms that each rule rests on.
+RULE_TERMS = {
+    "MISSING_BASE": ["committed_minimum"], "MINIMUM": ["committed_minimum"], "OVERAGE": ["included_units", "overage_rate"], "EXPIRED_DISCOUNT": ["discounts"], "ESCALATOR": ["committed_minimum", "annual_escalator"],
+    "SEATS": ["committed_seats", "seat_price"],
 }
 #: Terms whose conflict stops a month, and those that only disable the minimum's rule.
 STOPPING = ["term_start", "term_end"]
@@ -99,16 +105,19 @@ def run_book(facts: DataFrame) -> DataFrame:
     Where a rule fires more than once in a month its findings are numbered from the second on.
     """
     rows = with_gate(facts).where("gate is null")
-    confidence = F.when(F.col("confirmed"), 1.0).otherwise(F.col("confidence"))
-    held = F.when(F.coalesce(F.trim("clause"), F.lit("")) == "", "no clause").when(F.coalesce(confidence, F.lit(0.0)) < CONFIDENT, "low confidence").otherwise("open")
     fired = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(code).alias("code"), money(amount).alias("amount"), formula.alias("formula"), F.lit(None).cast("string").alias("discount"))) for code, test, amount, formula in _outcomes()]))
     every = F.concat(fired, _expired())
-    rows = rows.select("customer_id", "customer_name", "period", "confidence", "clause", held.alias("status"), every.alias("every"))
+    rows = rows.select("customer_id", "customer_name", "period", "confidence", "confirmed", "term_confidence", "clause", every.alias("every"))
     # an inner explode would evaluate all outcomes once more, in a filter of its own
     rows = rows.select("*", F.posexplode_outer("every").alias("at", "x")).where("x is not null")
     nth = F.size(F.filter(F.slice("every", 1, F.col("at") + 1), lambda x: x["code"] == F.col("x.code")))
     number = F.concat_ws("-", F.lit("F"), F.col("customer_id"), F.date_format("period", "yyyyMM"), "code", F.when(nth > 1, nth.cast("string")))
-    return rows.select("customer_id", "customer_name", "period", "confidence", "clause", "status", "x.*", number.alias("finding_id"))
+    least = F.coalesce(F.col("confidence"), F.lit(0.0))
+    for code, names in RULE_TERMS.items():
+        least = F.when(F.col("x.code") == code, F.least(F.coalesce(F.col("confidence"), F.lit(0.0)), *[F.try_element_at("term_confidence", F.lit(n)) for n in names])).otherwise(least)
+    confidence = F.when(F.col("confirmed"), 1.0).otherwise(least)
+    held = F.when(F.coalesce(F.trim("clause"), F.lit("")) == "", "no clause").when(confidence < CONFIDENT, "low confidence").otherwise("open")
+    return rows.select("customer_id", "customer_name", "period", "confidence", "clause", held.alias("status"), "x.*", number.alias("finding_id"))
 
 
 def reviews(facts: DataFrame) -> DataFrame:

@@ -111,6 +111,24 @@ def minimum_conflicts(terms: DataFrame) -> DataFrame:
     return groups.where("n > 1")
 
 
+def term_state(terms: DataFrame, schedule: DataFrame) -> DataFrame:
+    """What competing values leave of a contract's terms: customer_id, conflicts (an array of names), term_confidence (a map).
+
+    terms(customer_id, term_type, effective, value, confidence) are scalar ones, schedule(customer_id, term_type, scope,
+    effective, value, confidence) the minimums. A term without one value is a conflict and has no confidence, any other
+    the least of its entries'; dates of a scope with several minimums, or undated ones beside dated ones, are a conflict
+    of committed_minimum, whose confidence they leave.
+    """
+    sure = terms.groupBy("customer_id", "term_type").agg(F.min("confidence").alias("confidence"))
+    each = resolve_scalar_terms(terms).join(sure, ["customer_id", "term_type"])
+    bad = F.col("status") == "conflict"
+    each = each.select("customer_id", F.col("term_type").alias("term"), bad.alias("bad"), F.when(bad, 0.0).otherwise(F.col("confidence")).alias("confidence"))
+    several = minimum_conflicts(schedule).select("customer_id").union(undated_minimums(schedule).select("customer_id")).distinct().withColumn("bad", F.lit(True))
+    least = schedule.groupBy("customer_id").agg(F.min("confidence").alias("confidence")).join(several, "customer_id", "left")
+    each = each.union(least.select("customer_id", F.lit("committed_minimum"), F.coalesce("bad", F.lit(False)), "confidence"))
+    return each.groupBy("customer_id").agg(F.sort_array(F.collect_list(F.when(F.col("bad"), F.col("term")))).alias("conflicts"), F.map_from_entries(F.collect_list(F.struct("term", "confidence"))).alias("term_confidence"))
+
+
 def undated_minimums(schedule: DataFrame) -> DataFrame:
     """Undated values of a scope that has dated ones: which of them holds is open, so they are left out of the schedule."""
     scopes = schedule.groupBy("customer_id", "scope").agg(F.count("effective").alias("dated")).where("dated > 0")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import charges, documents, identity, provenance, recovery, reports, rollups, rules, terms
+from ..operators import charges, documents, identity, provenance, recovery, reports, rightspec, rollups, rules, terms
 from ..operators.rules import MONEY
 from ..sources import book, casebook, sinks
 from ..streaming import assurance
@@ -66,7 +66,7 @@ def _letters(s: SparkSession, d: str) -> DataFrame:
     letter = S.recovery_letter(F.col("customer_name"), F.date_format("period", "yyyy-MM"), F.col("code"), F.col("amount"), F.col("clause"))
     k = F.col("customer_id") % 3
     sent = F.when(k == 1, F.concat(letter, F.lit(" Or pay $7.77."))).when(k == 2, F.regexp_replace(letter, r"\$[0-9,.]*[0-9]", "much")).otherwise(letter)
-    return f.select("finding_id", S.letter_fault(sent, F.col("amount"), F.array().cast("array<string>")).alias("fault"))
+    return f.select("finding_id", sent.alias("letter"), S.letter_fault(sent, F.col("amount"), F.array().cast("array<string>")).alias("fault"))
 
 
 def _dated(s: SparkSession, d: str) -> DataFrame:
@@ -112,6 +112,18 @@ def _full_facts(s: SparkSession, d: str) -> DataFrame:
     })
 
 
+# Which entries stand for which terms of a contract.
+TERM_NAMES = {"3-MEDIUM": "overage_rate", "4-NOT SPECIFIED": "committed_seats", "5-LOW": "term_end"}
+
+
+def _competing(s: SparkSession, d: str) -> DataFrame:
+    """Facts with the conflicts and confidences that the terms' own entries leave."""
+    t = book.terms(s, d).withColumn("confidence", (F.col("seq") % 25 + 80) / 100)
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in TERM_NAMES.items() for x in kv]), F.col("term_type"))
+    state = terms.term_state(t.withColumn("term_type", name).where("term_type is not null"), t.where("term_type in ('1-URGENT', '2-HIGH')"))
+    return _facts(s, d).join(state, "customer_id", "left")
+
+
 def _store(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Findings as a store has them, and those that a new run found."""
     f = _findings(s, d).select("finding_id", "customer_id", "period", "amount")
@@ -199,7 +211,8 @@ def _coverage(s: SparkSession, d: str) -> DataFrame:
 
 def _injected(s: SparkSession, d: str) -> DataFrame:
     k = F.col("customer_id")
-    rows = _rule_table(s, d).select(k.alias("doc_id"), "right_id", F.explode("constants").alias("name", "value")).withColumn("grounded", F.col("name") != "cap")
+    rules_of = _rule_table(s, d)
+    rows = rules_of.select(k.alias("doc_id"), "right_id", F.explode("constants").alias("name", "value")).join(rightspec.ground_constants(rules_of), ["right_id", "name"])
     planted = _table(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 20).cast("decimal(18,4)").alias("value")).where("doc_id % 3 = 0")
     return documents.injection_audit(planted, rows)
 
@@ -288,6 +301,8 @@ QUERIES = {
     "apply_term_resolutions": lambda s, d: _doubles(terms.apply_resolutions(book.terms(s, d), _conflicts(s, d), _choices(s, d))[0].select("customer_id", "term_type", "scope", "effective", "value")),
     "pending_conflicts": lambda s, d: _doubles(terms.apply_resolutions(book.terms(s, d), _conflicts(s, d), _choices(s, d))[1].select("customer_id", "term_type", "scope", "effective")),
     "gated_book": lambda s, d: _doubles(rules.run_book(_full_facts(s, d)).select("finding_id", "code", "amount", "status")),
+    "conflicted_book": lambda s, d: _doubles(rules.run_book(_competing(s, d)).select("finding_id", "code", "amount", "status")),
+    "conflicted_reviews": lambda s, d: rules.reviews(_competing(s, d)).groupBy("reason").agg(F.count("*").alias("months")),
     "gated_reviews": lambda s, d: rules.reviews(_full_facts(s, d)).groupBy("reason").agg(F.count("*").alias("months")),
     "sort_by_recoverable": lambda s, d: _doubles(rules.by_recoverable(_findings(s, d)).select("finding_id", "amount", "place")),
     "invalid_money_data": lambda s, d: _doubles(_invalid(s, d)),
@@ -327,7 +342,7 @@ QUERIES = {
     "source_precedence": lambda s, d: _doubles(_uploaded(s, d)),
     "sink_findings_upsert": lambda s, d: _doubles(sinks.upsert_findings(*_store(s, d)).select("finding_id", "status", "withdrawn_by", "amount", "created_at")),
     "sink_keyed_merge": lambda s, d: _doubles(sinks.merge_upsert(_old_contracts(s, d)[1].withColumn("confirmed", F.lit(True)), _old_contracts(s, d)[0].where("customer_id % 2 = 0"), ["customer_id"]).select("customer_id", "customer_name", "overage_rate", "term_end", "confirmed")),
-    "sink_findings_csv": lambda s, d: sinks.export_findings(_findings(s, d)).select("finding_id", "code", "amount", "status", "clause"),
+    "sink_findings_csv": lambda s, d: sinks.export_findings(_findings(s, d)),
     "tenant_purge": lambda s, d: sinks.purge({t: _table(s, d, t).withColumn("account", F.col(k) % 10) for t, k in (("orders", "o_orderkey"), ("customer", "c_custkey"))}, "account", 3)[1],
 }
 
@@ -366,6 +381,21 @@ steps AS (""",
 )
 _FULL = _FULL.replace("greatest(units - included_units, 0) * overage_rate - overage AS over, committed_seats - seat_units AS seats", "CASE WHEN customer_id % 4 = 0 THEN least(greatest(units - included_units, 0), 20) * 40 + greatest(least(greatest(units - included_units, 0), 60) - 20, 0) * 30 ELSE greatest(units - included_units, 0) * overage_rate END - overage AS over, greatest(committed_seats, active_seats) - seat_units AS seats")
 _FULL = _FULL.replace("WHERE lost AND minimum IS NOT NULL", "WHERE NOT prorated AND lost AND minimum IS NOT NULL").replace("WHERE NOT lost AND minimum - b > 0", "WHERE NOT prorated AND NOT unsure AND NOT lost AND minimum - b > 0").replace("WHERE n > 0 AND risen > 0.01", "WHERE NOT prorated AND n > 0 AND risen > 0.01").replace("WHEN confidence < 0.85 THEN 'low confidence'", "WHEN confidence < 0.85 AND customer_id % 22 <> 0 THEN 'low confidence'")
+_COMPETING = _BOOK.replace("\nfacts AS (", "\nplain_facts AS (").replace(
+    "\nsteps AS (",
+    """
+entries AS (SELECT *, CAST((seq % 25 + 80) / 100 AS DOUBLE) AS confidence, CASE term_type WHEN '3-MEDIUM' THEN 'overage_rate' WHEN '4-NOT SPECIFIED' THEN 'committed_seats' WHEN '5-LOW' THEN 'term_end' ELSE 'committed_minimum' END AS term FROM terms),
+scalars AS (
+  SELECT customer_id, term, min(low) <> max(high) AND max(n) > 1 AS bad, min(confidence) AS confidence FROM (
+    SELECT customer_id, term, effective, count(DISTINCT value) AS n, min(value) AS low, max(value) AS high, min(confidence) AS confidence FROM entries WHERE term <> 'committed_minimum' GROUP BY ALL) GROUP BY ALL),
+state AS (
+  SELECT customer_id, term, bad, CASE WHEN bad THEN 0 ELSE confidence END AS confidence FROM scalars
+  UNION ALL SELECT customer_id, 'committed_minimum', max(n) > 1, min(confidence) FROM (SELECT customer_id, term_type, scope, effective, count(DISTINCT value) AS n, min(confidence) AS confidence FROM entries WHERE term = 'committed_minimum' GROUP BY ALL) GROUP BY ALL),
+conflicting AS (SELECT customer_id, list_sort(list(term) FILTER (bad)) AS conflicts FROM state GROUP BY customer_id),
+rests AS (SELECT * FROM (VALUES ('MISSING_BASE', 'committed_minimum'), ('MINIMUM', 'committed_minimum'), ('OVERAGE', 'overage_rate'), ('ESCALATOR', 'committed_minimum'), ('SEATS', 'committed_seats')) r(code, term)),
+facts AS (SELECT f.* REPLACE (CASE WHEN gate IS NOT NULL THEN gate WHEN list_contains(conflicts, 'term_end') THEN 'term dates conflict' END AS gate), conflicts, coalesce(list_contains(conflicts, 'committed_minimum'), false) AS unsure FROM plain_facts f LEFT JOIN conflicting USING (customer_id)),
+steps AS (""",
+).replace("WHERE NOT lost AND minimum - b > 0", "WHERE NOT unsure AND NOT lost AND minimum - b > 0").replace("AS nth FROM fired)", "AS nth FROM (SELECT f.* REPLACE (least(f.confidence, s.confidence) AS confidence) FROM fired f LEFT JOIN rests USING (code) LEFT JOIN state s ON s.customer_id = f.customer_id AND s.term = rests.term))")
 _MOVES = lambda moves: " OR ".join(f"(was = '{a}' AND status IN ({', '.join(repr(b) for b in v)}))" for a, v in moves.items())
 _MOVED = "WITH h AS (SELECT user_id AS id, event_id AS seq, {0} AS status FROM events), m AS (SELECT *, lag(status) OVER (PARTITION BY id ORDER BY seq) AS was FROM h) SELECT id, seq, was, status FROM m WHERE was IS NOT NULL AND was <> status AND NOT ({1})"
 _STATUS = _cycle("(event_id * 7 + CAST(floor(value) AS BIGINT))", "open", "approved", "invoiced", "disputed", "recovered", "rejected", "written_off")
@@ -391,7 +421,11 @@ ORACLES = {
       WHEN status = 'recovered' THEN CASE WHEN k % 4 = 0 THEN 'Closed — verified realized' ELSE 'Record realized value' END ELSE 'None' END AS step FROM cases""",
     "fuse_confidence": "SELECT c_custkey AS k, CAST(least(0.96, CASE WHEN c_custkey % 5 = 0 THEN 0.5 WHEN c_custkey % 3 = 0 THEN 0.9 ELSE 1 END, CASE c_custkey % 4 WHEN 1 THEN 0.7 WHEN 2 THEN 0.2 ELSE 1 END, CASE WHEN c_custkey % 7 = 0 THEN 0.7 ELSE 1 END) AS DOUBLE) AS confidence FROM customer",
     "document_role": f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'amendment' WHEN 1 THEN 'order_form' WHEN 2 THEN 'exhibit' WHEN 3 THEN 'sow' ELSE {_cycle('doc_id', 'master', 'other')} END AS role, CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id AS INTEGER) END AS number FROM documents",
-    "recovery_letter": _BOOK + "SELECT finding_id, CASE customer_id % 3 WHEN 1 THEN 'unexpected amount' WHEN 2 THEN 'amount missing' END AS fault FROM findings",
+    "recovery_letter": _BOOK + r""", letters AS (
+      SELECT finding_id, customer_id, '$' || format('{:,.2f}', CAST(amount AS DOUBLE)) AS money, 'Dear ' || customer_name || ',' || chr(10) || chr(10) || 'for ' || strftime(period, '%Y-%m') || ' the agreement asks for more than was billed: ' || code || ', ' || money || '.' || chr(10) || chr(10)
+        || CASE WHEN clause IS NULL THEN '' ELSE 'The clause reads: "' || clause || '"' || chr(10) || chr(10) END || 'Please pay ' || money || ' or tell us within 15 days what is wrong.' AS plain FROM findings JOIN (SELECT customer_id, customer_name FROM contracts) USING (customer_id)),
+      sent AS (SELECT finding_id, money, CASE customer_id % 3 WHEN 1 THEN plain || ' Or pay $7.77.' WHEN 2 THEN regexp_replace(plain, '\$[0-9,.]*[0-9]', 'much', 'g') ELSE plain END AS letter FROM letters)
+      SELECT finding_id, letter, CASE WHEN NOT contains(letter, money) THEN 'amount missing' WHEN len(list_filter(regexp_extract_all(letter, '\$\d[\d,]*(?:\.\d+)?'), lambda x: x <> money)) > 0 THEN 'unexpected amount' END AS fault FROM sent""",
     "candidate_dedupe": _BOOK + "SELECT customer_id, term_type, scope, CAST(effective AS VARCHAR) AS effective, min(seq) AS seq FROM terms GROUP BY ALL",
     "held_contract_gate": "SELECT c_custkey AS customer_id, c_custkey % 50 = 7 OR (c_custkey % 50 = 8) AS blocked FROM customer",
     "event_action_link": f"""SELECT strategy, CAST(sum(CASE WHEN back THEN -amount ELSE amount END) AS DOUBLE) AS net, count(DISTINCT case_id) AS cases FROM (
@@ -418,6 +452,9 @@ ORACLES = {
     "term_history": _BOOK + "SELECT customer_id, term_type, scope, CAST(row_number() OVER (PARTITION BY customer_id, term_type, scope ORDER BY effective, seq) AS INTEGER) AS nth, CAST(effective AS VARCHAR) AS effective, CAST(value AS DOUBLE) AS value FROM terms",
     "apply_term_resolutions": _BOOK + "SELECT DISTINCT customer_id, term_type, scope, CAST(effective AS VARCHAR) AS effective, CAST(value AS DOUBLE) AS value FROM (SELECT *, max(value) OVER (PARTITION BY customer_id, term_type, scope, effective) AS top FROM terms) WHERE customer_id % 2 = 1 OR value = top",
     "pending_conflicts": _BOOK + "SELECT customer_id, term_type, scope, CAST(effective AS VARCHAR) AS effective FROM terms WHERE customer_id % 2 = 1 GROUP BY ALL HAVING count(DISTINCT value) > 1",
+    "conflicted_book": _COMPETING + "SELECT finding_id, code, CAST(amount AS DOUBLE) AS amount, status FROM findings",
+    "conflicted_reviews": _COMPETING + """SELECT reason, count(*) AS months FROM (SELECT DISTINCT customer_id, period, unnest(list_concat([gate, CASE WHEN n_credits > 0 THEN 'credits' END, CASE WHEN incomplete THEN 'several meters' END, CASE WHEN base IS NULL THEN 'no base charge' END, CASE WHEN committed_seats IS NOT NULL AND seat_units IS NULL THEN 'no seat line' END,
+      CASE WHEN period > term_end AND auto_renew AND escalator_pct IS NOT NULL AND escalator_date IS NULL THEN 'renewed without an escalator date' END], list_transform(coalesce(conflicts, []), lambda c: 'conflict: ' || c))) AS reason FROM facts) WHERE reason IS NOT NULL GROUP BY reason""",
     "gated_book": _FULL + "SELECT finding_id, code, CAST(amount AS DOUBLE) AS amount, status FROM findings",
     "gated_reviews": _FULL + """SELECT reason, count(*) AS months FROM (SELECT DISTINCT customer_id, period, unnest([gate, CASE WHEN n_credits > 0 THEN 'credits' END, CASE WHEN incomplete THEN 'several meters' END, CASE WHEN base IS NULL THEN 'no base charge' END, CASE WHEN prorated THEN 'prorated' END, CASE WHEN committed_seats IS NOT NULL AND seat_units IS NULL THEN 'no seat line' END,
       CASE WHEN period > term_end AND auto_renew AND escalator_pct IS NOT NULL AND escalator_date IS NULL THEN 'renewed without an escalator date' END, CASE WHEN customer_id % 31 = 0 THEN 'conflict: term_end' WHEN customer_id % 29 = 0 THEN 'conflict: committed_minimum' END]) AS reason FROM facts) WHERE reason IS NOT NULL GROUP BY reason""",
@@ -470,7 +507,7 @@ ORACLES = {
       h AS (SELECT q.doc_id, arg_min(page, (page <> CASE WHEN q.doc_id % 2 = 0 THEN 2 ELSE 1 END, page)) AS page, bool_or(contains(p.text, q.quote)) AS whole FROM q JOIN p ON p.doc_id = q.doc_id AND q.quote <> '' AND contains(p.text, substr(q.quote, 1, 120)) GROUP BY q.doc_id)
       SELECT q.doc_id AS item_id, q.doc_id, CASE WHEN h.page IS NULL THEN 'missing' WHEN h.page = CASE WHEN q.doc_id % 2 = 0 THEN 2 ELSE 1 END THEN 'found' ELSE 're-anchored' END AS state, CAST(h.page AS INTEGER) AS page, coalesce(whole, false) AS whole FROM q LEFT JOIN h USING (doc_id)""",
     "injection_audit": """WITH c AS (SELECT c_custkey AS k, unnest(['minimum', 'rate', 'above', 'cap', 'floor', 't1', 't2', 'r1', 'r2', 'r3']) AS name, unnest([c_custkey % 50 * 1000, (c_custkey % 7 + 1) * 0.05, c_custkey % 20, 60000, 100, 10, 30, 1.5, 1.25, 1]) AS value FROM customer)
-      SELECT 'R-' || k AS right_id, name, 'planted' AS fault FROM c WHERE k % 3 = 0 AND value = k % 20 UNION ALL SELECT 'R-' || k, name, 'ungrounded' FROM c WHERE name = 'cap'""",
+      SELECT 'R-' || k AS right_id, name, 'planted' AS fault FROM c WHERE k % 3 = 0 AND value = k % 20 UNION ALL SELECT 'R-' || k, name, 'ungrounded' FROM c WHERE NOT CASE name WHEN 't1' THEN k % 7 = 1 OR k % 20 = 10 WHEN 't2' THEN k % 7 = 5 WHEN 'r3' THEN k % 20 = 1 ELSE name IN ('minimum', 'rate', 'above') END""",
     "clause_lookup": "SELECT c_custkey AS customer_id, '4.2' AS ref, 'clause ' || c_custkey AS text FROM customer WHERE c_custkey % 13 <> 0 UNION ALL SELECT o_custkey, '1-URGENT', 'order ' || min(o_orderkey) FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey",
     "classify_contract_change": _BOOK + "SELECT * FROM (SELECT customer_id, CASE WHEN customer_id % 10 = 0 THEN 'new_agreement' WHEN term_end < DATE '1999-06-01' THEN 'term_expiration' WHEN customer_id % 10 IN (1, 2) THEN 'contract_renewal' WHEN customer_id % 10 = 3 THEN 'pricing_change' WHEN customer_id % 10 = 4 THEN 'agreement_amendment' END AS trigger FROM contracts) WHERE trigger IS NOT NULL",
     "classify_invoice_change": _BOOK + "SELECT customer_id, CAST(period AS VARCHAR) AS period, trigger FROM (SELECT customer_id, period, unnest(CASE WHEN k = 0 THEN CASE WHEN credits <> 0 THEN ['new_invoice', 'new_billing_period', 'new_credit_refund'] ELSE ['new_invoice', 'new_billing_period'] END WHEN k = 1 THEN ['new_invoice'] WHEN k = 2 AND credits <> 0 THEN ['new_invoice', 'new_credit_refund'] ELSE [] END) AS trigger FROM (SELECT *, (customer_id + month(period)) % 10 AS k FROM invoices))",
@@ -490,6 +527,6 @@ ORACLES = {
       CASE WHEN f.amount IS NOT NULL AND s.status = 'rejected' AND s.withdrawn_by = 'system' THEN NULL ELSE s.withdrawn_by END AS withdrawn_by, CAST(coalesce(f.amount, s.amount) AS DOUBLE) AS amount, coalesce(s.created_at, '2026-01-01') AS created_at FROM store s FULL JOIN fresh f USING (finding_id)""",
     "sink_keyed_merge": _BOOK
     + """SELECT customer_id, CASE WHEN k = 4 THEN 'other' ELSE customer_name END AS customer_name, CAST(overage_rate AS DOUBLE) AS overage_rate, CAST(term_end AS VARCHAR) AS term_end, k IN (0, 1, 3, 5, 7, 9) AS confirmed FROM (SELECT *, customer_id % 10 AS k FROM contracts)""",
-    "sink_findings_csv": _BOOK + "SELECT finding_id, code, CAST(amount AS VARCHAR) AS amount, status, clause FROM findings",
+    "sink_findings_csv": _BOOK + "SELECT finding_id, CAST(customer_id AS VARCHAR) AS customer_id, customer_name, code, CAST(period AS VARCHAR) AS period, NULL::VARCHAR AS currency, CAST(amount AS VARCHAR) AS amount, NULL::VARCHAR AS clause_ref, clause, NULL::VARCHAR AS provenance, CAST(confidence AS VARCHAR) AS confidence, status, NULL::VARCHAR AS created_at FROM findings JOIN (SELECT customer_id, customer_name FROM contracts) USING (customer_id)",
     "tenant_purge": "SELECT 'orders' AS \"table\", count(*) AS removed FROM orders WHERE o_orderkey % 10 = 3 UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey % 10 = 3",
 }
