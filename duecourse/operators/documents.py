@@ -144,16 +144,22 @@ def injection_audit(planted: DataFrame, constants: DataFrame) -> DataFrame:
 def attach_documents(documents: DataFrame, masters: DataFrame) -> DataFrame:
     """documents(doc_id, refers: array of titles) to the master (master_id, title) that a reference names, the least id of several.
 
-    References meet titles by equal keys: a title's words, and the runs of as many words in a reference, so that either
-    may contain the other; no reference is compared with every title.
+    A reference names a title if the words of one stand in the other in a row, in any case. Either meets the other by
+    its own rarest word, the one that the fewest titles and references have, and what meets is checked; no reference is
+    compared with every title. Blank titles and references name nothing.
     """
-    key = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda x: x != "")
-    runs = lambda w: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))))
-    asked = documents.select("doc_id", F.explode("refers").alias("ref")).select("doc_id", key(F.col("ref")).alias("w")).where(F.size("w") > 0)
-    titles = masters.select("master_id", key(F.col("title")).alias("t")).where(F.size("t") > 0)
-    within = asked.select("doc_id", F.explode(runs(F.col("w"))).alias("key")).join(titles.select("master_id", F.array_join("t", " ").alias("key")), "key")
-    around = titles.select("master_id", F.explode(runs(F.col("t"))).alias("key")).join(asked.select("doc_id", F.array_join("w", " ").alias("key")), "key")
-    return within.select("doc_id", "master_id").union(around.select("doc_id", "master_id")).groupBy("doc_id").agg(F.min("master_id").alias("master_id"))
+    key = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    asked = documents.select("doc_id", F.explode("refers").alias("ref")).select(F.col("doc_id").alias("id"), key(F.col("ref")).alias("text"), F.lit(False).alias("title"))
+    both = cut(asked.union(masters.select(F.col("master_id").alias("id"), key(F.col("title")).alias("text"), F.lit(True))).where("text <> ''").distinct())
+    words = both.select("*", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = words.join(often, "word").groupBy("id", "text", "title").agg(F.min(F.struct("n", "word")).alias("x")).select("id", "text", "title", F.col("x.word").alias("word"))
+    inner = rarest.select(F.col("id").alias("inner_id"), F.col("text").alias("inner"), F.col("title").alias("of_title"), "word")
+    outer = words.select(F.col("id").alias("outer_id"), F.col("text").alias("outer"), F.col("title").alias("in_title"), "word")
+    pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    met = inner.join(outer, "word").where((F.col("of_title") != F.col("in_title")) & F.contains(pad("outer"), pad("inner")))
+    pairs = met.select(F.when(F.col("of_title"), F.col("outer_id")).otherwise(F.col("inner_id")).alias("doc_id"), F.when(F.col("of_title"), F.col("inner_id")).otherwise(F.col("outer_id")).alias("master_id"))
+    return pairs.groupBy("doc_id").agg(F.min("master_id").alias("master_id"))
 
 
 def clause_lookup(asked: DataFrame, clauses: DataFrame, terms: DataFrame) -> DataFrame:

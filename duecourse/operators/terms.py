@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .documents import attach_documents
+
 MONEY = "decimal(18,2)"
 DEFAULT = "__default__"
 
@@ -168,7 +170,8 @@ def assemble_agreements(documents: DataFrame, terms: DataFrame) -> tuple[DataFra
     documents(doc_id, counterparty, role, dated), terms(doc_id, seq, term_type, scope, effective, value). The latest
     master governs, older ones are superseded; without a master the earliest dated document anchors. Dated amendments
     override in order of date, undated ones are flagged and not applied. Order forms, exhibits and statements of work
-    fill gaps; where they disagree with the anchor a review says so. Terms with a scope accumulate.
+    fill gaps; where they disagree with the anchor a review says so. Terms with a scope accumulate. Of amendments of one
+    date the one of the highest number governs, where documents have a number.
     """
     per = Window.partitionBy("counterparty")
     master = F.max(F.when(F.col("role") == "master", F.struct(F.col("dated").isNotNull(), "dated", -F.col("doc_id")))).over(per)
@@ -176,11 +179,12 @@ def assemble_agreements(documents: DataFrame, terms: DataFrame) -> tuple[DataFra
     docs = documents.withColumns({"master": -master["col3"], "oldest": oldest["doc_id"]})
     anchor = F.coalesce("master", "oldest")
     place = F.when(F.col("doc_id") == anchor, "anchor").when(F.col("role") == "master", "superseded").when((F.col("role") == "amendment") & F.col("dated").isNull(), "undated").when(F.col("role") == "amendment", "amendment").otherwise("supplement")
-    docs = docs.select("doc_id", "counterparty", "role", "dated", place.alias("place"))
+    number = F.col("number").cast("int") if "number" in documents.columns else F.lit(None).cast("int")
+    docs = docs.select("doc_id", "counterparty", "role", "dated", number.alias("number"), place.alias("place"))
     rows = terms.join(docs, "doc_id")
     rank = F.when(F.col("place") == "amendment", 0).when(F.col("place") == "anchor", 1).when(F.col("place") == "supplement", 2)
     live = rows.where("place not in ('superseded', 'undated')").withColumn("rank", rank)
-    order = Window.partitionBy("counterparty", "term_type").orderBy("rank", F.when(F.col("rank") == 0, F.col("dated")).desc_nulls_last(), "doc_id", "seq")
+    order = Window.partitionBy("counterparty", "term_type").orderBy("rank", F.when(F.col("rank") == 0, F.col("dated")).desc_nulls_last(), F.when(F.col("rank") == 0, F.col("number")).desc_nulls_last(), "doc_id", "seq")
     plain = live.where("scope is null").withColumn("nth", F.row_number().over(order)).where("nth = 1")
     kept = plain.select("counterparty", "term_type", "scope", "effective", "value", "doc_id").union(live.where("scope is not null").select("counterparty", "term_type", "scope", "effective", "value", "doc_id"))
     held = live.where("place = 'anchor' and scope is null").groupBy("counterparty", "term_type").agg(F.min_by("value", "seq").alias("own"))
@@ -189,6 +193,23 @@ def assemble_agreements(documents: DataFrame, terms: DataFrame) -> tuple[DataFra
     return kept, docs, differ.union(flagged).distinct()
 
 
+def assemble_by_references(documents: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """assemble_agreements() for documents(doc_id, counterparty, title, role, dated, executed, number, refers) of which some name no counterparty.
+
+    Such a document goes to the agreement of the master whose title one of its references names, of several that of the
+    least doc_id; one that names none is an agreement of its own, with a review. A document without a date has that of
+    its execution. The agreements' keys are the counterparties as text, or 'document' and the doc_id.
+    """
+    masters = documents.where("counterparty is not null and role = 'master' and title is not null")
+    found = attach_documents(documents.where("counterparty is null").select("doc_id", "refers"), masters.select(F.col("doc_id").alias("master_id"), "title"))
+    found = found.join(masters.select(F.col("doc_id").alias("master_id"), F.col("counterparty").alias("named")), "master_id").select("doc_id", "named")
+    docs = documents.join(found, "doc_id", "left")
+    alone = F.concat(F.lit("document "), F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", F.coalesce(F.col("counterparty").cast("string"), F.col("named").cast("string"), alone).alias("counterparty"), "role", F.coalesce("dated", "executed").alias("dated"), "number", (F.col("counterparty").isNull() & F.col("named").isNull()).alias("alone"))
+    kept, places, reviews = assemble_agreements(docs, terms)
+    return kept, places, reviews.union(docs.where("alone").select("counterparty", "doc_id", F.lit("no agreement found")))
+
+
 def tier_bands(tiers: DataFrame) -> DataFrame:
     """tiers(rule, up_to, rate) with each band's lower bound; an open band comes last."""
     order = Window.partitionBy("rule").orderBy(F.col("up_to").asc_nulls_last())

@@ -95,6 +95,19 @@ def _agreement(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return terms.assemble_agreements(docs, held)
 
 
+def _referred(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same with documents that name no counterparty: some refer to a master's title, some to nothing that is there."""
+    role = _pick(K(), "master", "amendment", "order_form", "exhibit", "sow")
+    o, c = _table(s, d, "orders"), F.col("o_custkey").cast("string")
+    day, lost = F.col("o_orderdate").cast("date"), K() % 13 == 0
+    docs = o.select(
+        K().alias("doc_id"), F.when(~lost, F.col("o_custkey")).alias("counterparty"), F.when(role == "master", F.concat(F.lit("Agreement of Customer #"), c)).alias("title"), role.alias("role"), F.when(K() % 11 != 0, day).alias("dated"),
+        F.when(K() % 3 == 0, F.date_add(day, 30)).alias("executed"), (K() % 4).alias("number"), F.when(lost & (K() % 2 == 0), F.array(F.lit("a letter"), F.concat(F.lit("see AGREEMENT of customer "), c, F.lit(", section 4")))).when(lost, F.array(F.lit("agreement of customer zero"))).alias("refers"),
+    )
+    held = o.select(K().alias("doc_id"), K().alias("seq"), F.col("o_orderpriority").alias("term_type"), F.when(K() % 4 == 0, F.col("o_orderstatus")).alias("scope"), day.alias("effective"), F.col("o_totalprice").cast(MONEY).alias("value"))
+    return terms.assemble_by_references(docs, held)
+
+
 def _tiered(s: SparkSession, d: str) -> DataFrame:
     usage = _tables(s, d)[1]
     tiers = book.contracts(s, d).select(F.col("customer_id").cast("string").alias("rule"), F.explode(F.array(*[F.struct(F.lit(u).cast(MONEY).alias("up_to"), F.lit(r).cast("decimal(18,6)").alias("rate")) for u, r in (("20", "1.5"), ("50", "1.25"), (None, "1"))])).alias("x")).select("rule", "x.*").where("up_to is not null or rule % 2 = 0")
@@ -296,6 +309,9 @@ QUERIES = {
     "tier_bands": lambda s, d: _doubles(_tiered(s, d)),
     "agreement_terms": lambda s, d: _doubles(_agreement(s, d)[0]),
     "agreement_documents": lambda s, d: _agreement(s, d)[1].select("doc_id", "counterparty", "place"),
+    "referred_terms": lambda s, d: _doubles(_referred(s, d)[0]),
+    "referred_documents": lambda s, d: _referred(s, d)[1].select("doc_id", "counterparty", "place"),
+    "referred_reviews": lambda s, d: _referred(s, d)[2],
     "agreement_reviews": lambda s, d: _agreement(s, d)[2],
     "term_history": lambda s, d: _doubles(terms.term_history(book.terms(s, d))),
     "apply_term_resolutions": lambda s, d: _doubles(terms.apply_resolutions(book.terms(s, d), _conflicts(s, d), _choices(s, d))[0].select("customer_id", "term_type", "scope", "effective", "value")),
@@ -372,6 +388,9 @@ anchors AS (
 placed AS (
   SELECT d.*, CASE WHEN doc_id = anchor THEN 'anchor' WHEN role = 'master' THEN 'superseded' WHEN role = 'amendment' AND dated IS NULL THEN 'undated' WHEN role = 'amendment' THEN 'amendment' ELSE 'supplement' END AS place FROM docs d JOIN anchors USING (counterparty))
 """
+_REFERRED = _DOCS.replace("o_custkey AS counterparty", """CASE WHEN o_orderkey % 13 <> 0 OR (o_orderkey % 2 = 0 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 5 = 0)) THEN CAST(o_custkey AS VARCHAR) ELSE 'document ' || o_orderkey END AS counterparty""").replace(
+    "CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS dated", "CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + 30 END AS dated"
+)
 _FULL = _BOOK.replace("\nfacts AS (", "\nplain_facts AS (").replace(
     "\nsteps AS (",
     """
@@ -449,6 +468,14 @@ ORACLES = {
     "agreement_reviews": _DOCS
     + """SELECT DISTINCT s.counterparty, s.doc_id, 'disagrees on ' || s.term_type AS reason FROM placed s JOIN placed a ON a.counterparty = s.counterparty AND a.term_type = s.term_type AND a.place = 'anchor' AND s.place = 'supplement' AND a.scope IS NULL AND s.scope IS NULL AND a.value <> s.value
       UNION ALL SELECT counterparty, doc_id, CASE WHEN place = 'undated' THEN 'undated amendment' ELSE 'superseded' END FROM placed WHERE place IN ('superseded', 'undated')""",
+    "referred_documents": _REFERRED + "SELECT doc_id, counterparty, place FROM placed",
+    "referred_terms": _REFERRED
+    + """, live AS (SELECT *, CASE place WHEN 'amendment' THEN 0 WHEN 'anchor' THEN 1 ELSE 2 END AS rank FROM placed WHERE place NOT IN ('superseded', 'undated')),
+      plain AS (SELECT *, row_number() OVER (PARTITION BY counterparty, term_type ORDER BY rank, CASE WHEN rank = 0 THEN dated END DESC NULLS LAST, CASE WHEN rank = 0 THEN doc_id % 4 END DESC NULLS LAST, doc_id) AS nth FROM live WHERE scope IS NULL)
+      SELECT counterparty, term_type, scope, CAST(effective AS VARCHAR) AS effective, CAST(value AS DOUBLE) AS value, doc_id FROM plain WHERE nth = 1 UNION ALL SELECT counterparty, term_type, scope, CAST(effective AS VARCHAR), CAST(value AS DOUBLE), doc_id FROM live WHERE scope IS NOT NULL""",
+    "referred_reviews": _REFERRED
+    + """SELECT DISTINCT s.counterparty, s.doc_id, 'disagrees on ' || s.term_type AS reason FROM placed s JOIN placed a ON a.counterparty = s.counterparty AND a.term_type = s.term_type AND a.place = 'anchor' AND s.place = 'supplement' AND a.scope IS NULL AND s.scope IS NULL AND a.value <> s.value
+      UNION ALL SELECT counterparty, doc_id, CASE WHEN place = 'undated' THEN 'undated amendment' ELSE 'superseded' END FROM placed WHERE place IN ('superseded', 'undated') UNION ALL SELECT counterparty, doc_id, 'no agreement found' FROM placed WHERE counterparty LIKE 'document %'""",
     "term_history": _BOOK + "SELECT customer_id, term_type, scope, CAST(row_number() OVER (PARTITION BY customer_id, term_type, scope ORDER BY effective, seq) AS INTEGER) AS nth, CAST(effective AS VARCHAR) AS effective, CAST(value AS DOUBLE) AS value FROM terms",
     "apply_term_resolutions": _BOOK + "SELECT DISTINCT customer_id, term_type, scope, CAST(effective AS VARCHAR) AS effective, CAST(value AS DOUBLE) AS value FROM (SELECT *, max(value) OVER (PARTITION BY customer_id, term_type, scope, effective) AS top FROM terms) WHERE customer_id % 2 = 1 OR value = top",
     "pending_conflicts": _BOOK + "SELECT customer_id, term_type, scope, CAST(effective AS VARCHAR) AS effective FROM terms WHERE customer_id % 2 = 1 GROUP BY ALL HAVING count(DISTINCT value) > 1",

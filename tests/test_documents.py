@@ -2,7 +2,7 @@
 
 import re
 
-from duecourse.operators.documents import grounded_quotes
+from duecourse.operators.documents import attach_documents, grounded_quotes, quote_grounding
 
 
 def test_quotes_of_any_length(spark):
@@ -13,3 +13,25 @@ def test_quotes_of_any_length(spark):
     one = lambda x: re.sub(r"\s+", " ", x).strip()
     want = [(i, d) for i, q in enumerate(quotes) for d, t in enumerate(texts) if q is not None and t is not None and one(q) in one(t)]
     assert sorted(map(tuple, got)) == want
+
+
+def test_references_name_titles_either_way(spark):
+    titles = ["Master Services Agreement", "Agreement", "MSA-2024", "", None, "The Order Form of June", "agreement"]
+    refs = [["per the master services agreement, as amended"], ["Services"], ["msa 2024"], ["msa 20245"], [" ", "??"], [], None, ["nothing", "June order form", "order-form of JUNE"], ["agreements"]]
+    docs = spark.createDataFrame([(k, r) for k, r in enumerate(refs)], "doc_id long, refers array<string>")
+    masters = spark.createDataFrame([(10 + k, t) for k, t in enumerate(titles)], "master_id long, title string")
+    one = lambda x: " " + re.sub("[^a-z0-9]+", " ", (x or "").lower()).strip() + " "
+    want = {}
+    for d, rs in enumerate(refs):
+        hits = [10 + k for k, t in enumerate(titles) for r in rs or [] if one(r).strip() and one(t).strip() and (one(r) in one(t) or one(t) in one(r))]
+        if hits:
+            want[d] = min(hits)
+    assert {r.doc_id: r.master_id for r in attach_documents(docs, masters).collect()} == want == {0: 10, 1: 10, 2: 12, 7: 15}
+    assert attach_documents(docs.limit(0), masters).isEmpty()
+
+
+def test_a_quote_whose_end_is_nowhere(spark):
+    page = "x" * 50 + " " + "fee " * 40
+    quotes = [(1, 1, 1, page[:100]), (2, 1, 1, page[:150] + "not there"), (3, 1, 2, page[:60]), (4, 1, 1, " "), (5, 1, 1, None), (6, 2, 1, "fee"), (7, 1, 1, "gone")]
+    rows = quote_grounding(spark.createDataFrame(quotes, "item_id long, doc_id long, page int, text string"), spark.createDataFrame([(1, 1, page), (1, 2, "other"), (3, 1, None)], "doc_id long, page int, text string")).collect()
+    assert {r.item_id: (r.state, r.page, r.whole) for r in rows} == {1: ("found", 1, True), 2: ("found", 1, False), 3: ("re-anchored", 1, True), 4: ("missing", None, False), 5: ("missing", None, False), 6: ("missing", None, False), 7: ("missing", None, False)}
