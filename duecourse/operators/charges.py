@@ -15,27 +15,46 @@ MONEY = "decimal(18,2)"
 TERMS = ["minimum", "seat_price", "committed", "included", "rate"]
 GENERIC = ["base_charge", "monthly_fee", "base_fee", "subscription"]
 LEAST = "0.01"
+DEFAULT = "__default__"
 
 
 def expected_charges(terms: DataFrame, usage: DataFrame) -> DataFrame:
-    """terms(customer_id, period, term, scope, value) in force and usage(customer_id, period, units, seats) to charges.
-
-    Seats: the larger of committed and active seats by price. Base: the minimum less the scope's seats, 0 at least.
-    Overage: units beyond those included by rate, for scopes with both terms. review says why a charge can't be relied
-    on; several scopes on one meter are ambiguous, as are seats of which one side is missing.
+    """terms(customer_id, period, term, scope, value, perhaps overrides) in force and usage(customer_id, period, units, seats) to charges.
+
+    Seats: the larger of committed and active seats by price. Base: the minimum less the scope's seats, none where nothing
+    is left. Overage: units beyond those included by rate, for scopes with both terms; where no scope has both and either
+    term has one scope, these two belong together. review says why a charge can't be relied on: one side of the seats is
+    missing; seats and a minimum in one scope, or a generic minimum beside seats, whose relation is open; generic seats
+    beside specific ones, unless a specific seat term overrides them, which then have no charge; several scopes, or two
+    different ones, on one meter. A scope that is DEFAULT is generic.
     """
+    over_generic = F.max(F.coalesce("overrides", F.lit(False))).over(Window.partitionBy(*KEY)) if "overrides" in terms.columns else F.lit(False)
+    seat_term = F.col("term").isin("committed", "seat_price")
+    terms = terms.withColumn("_generic_out", over_generic).where(~(F.col("_generic_out") & seat_term & (F.col("scope") == DEFAULT)))
     scoped = terms.groupBy(*KEY, "scope").pivot("term", TERMS).agg(F.max("value"))
     rows = scoped.join(usage.select(*KEY, "units", "seats"), KEY, "left")
-    zero = F.lit(0).cast(MONEY)
+    all_of, there = Window.partitionBy(*KEY), lambda *names: F.coalesce(*[F.col(n) for n in names]).isNotNull()
+    both = F.col("committed").isNotNull() & F.col("seat_price").isNotNull()
+    of = lambda test: F.count_if(test).over(all_of)
+    rows = rows.withColumns({
+        "seated": of(both), "seat_scopes": of(there("committed", "seat_price")), "metered_scopes": of(F.col("included").isNotNull() & F.col("rate").isNotNull()), "included_scopes": of(F.col("included").isNotNull()), "rate_scopes": of(F.col("rate").isNotNull()),
+        "one_included": F.max("included").over(all_of), "included_scope": F.max(F.when(F.col("included").isNotNull(), F.col("scope"))).over(all_of),
+    })
+    zero, generic = F.lit(0).cast(MONEY), F.col("scope") == DEFAULT
     seats = (F.greatest("committed", "seats") * F.col("seat_price")).cast(MONEY)
-    base = F.greatest(F.col("minimum") - F.coalesce(seats, zero), zero)
-    over_units = F.when(F.col("units").isNotNull() & F.col("included").isNotNull(), F.greatest(F.col("units") - F.col("included"), zero))
+    base = F.greatest(F.col("minimum") - F.when(both, seats).otherwise(zero), zero)
+    paired = (F.col("metered_scopes") == 0) & (F.col("included_scopes") == 1) & (F.col("rate_scopes") == 1)
+    included = F.when(paired & F.col("rate").isNotNull(), F.col("one_included")).otherwise(F.col("included"))
+    over_units = F.when(F.col("units").isNotNull() & included.isNotNull(), F.greatest(F.col("units") - included, zero))
     over = over_units * F.col("rate")
     half = F.when(F.col("committed").isNull(), "no committed seats").when(F.col("seats").isNull(), "no active seats")
+    seat_review = F.coalesce(half, F.when(F.col("minimum").isNotNull(), "seats and minimum in one scope").when(generic & (F.col("seat_scopes") > 1), "generic beside specific seats"))
+    base_review = F.when(both | (generic & (F.col("seated") > 0)), "minimum beside seats")
+    over_review = F.when(paired & ~generic & (F.col("included_scope") != DEFAULT), "two scopes on one meter")
     rated = {"overage": ("rate", over_units), "seat": ("seat_price", None)}
     value = lambda c: (F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c).cast("decimal(18,6)")
     charge = lambda kind, amount, review: F.when(amount.isNotNull(), F.struct(F.lit(kind).alias("kind"), amount.cast(MONEY).alias("expected"), review.cast("string").alias("review"), value(rated.get(kind, (None, None))[0]).alias("rate"), value(rated.get(kind, (None, None))[1]).alias("metered")))
-    rows = rows.select(*KEY, "scope", F.inline(F.array_compact(F.array(charge("base", F.when(F.col("minimum").isNotNull(), base), F.lit(None)), charge("seat", seats, half), charge("overage", over, F.lit(None))))))
+    rows = rows.select(*KEY, "scope", F.inline(F.array_compact(F.array(charge("base", F.when(F.col("minimum").isNotNull() & (base > 0), base), base_review), charge("seat", seats, seat_review), charge("overage", over, over_review)))))
     rows = rows.withColumn("n_scopes", F.count("*").over(Window.partitionBy(*KEY, "kind")))
     shared = (F.col("kind") == "overage") & (F.col("n_scopes") > 1)
     return rows.withColumn("review", F.when(shared, "several scopes on one meter").otherwise(F.col("review")))
@@ -45,16 +64,18 @@ def match_lines(charges: DataFrame, lines: DataFrame) -> DataFrame:
     """lines(line_id, customer_id, period, kind, scope, label, ...) with the charge that takes each: a row per line taken.
 
     A charge takes lines of its kind with its scope, or with its scope in the label. Where only one scope is expected it
-    also takes lines without a scope, for a base charge those with a generic label. Of several charges the first in order
-    of scope takes the line; charges under review take none.
+    also takes lines without a scope, for a base charge those with a generic label. Of several charges the most specific
+    takes the line: one of the line's own scope before one that the label names, of these the longest name first, before
+    a lone one; then the first in order of scope. Charges under review take none.
     """
     open_ = charges.where("review is null").select(*KEY, "kind", F.col("scope").alias("charge"), "n_scopes")
     lines = lines if "quantity" in lines.columns else lines.withColumn("quantity", F.lit(None).cast(MONEY))
     met = lines.join(open_, [*KEY, "kind"])
-    lone = F.col("n_scopes") == 1
-    fits = (F.col("scope") == F.col("charge")) | F.contains(F.col("label"), F.lower("charge"))
-    fits = F.coalesce(fits, F.lit(False)) | (lone & F.col("scope").isNull() & ((F.col("kind") != "base") | F.col("label").isin(GENERIC)))
-    return met.where(fits).groupBy("line_id").agg(F.min("charge").alias("charge"), *[F.first(c).alias(c) for c in (*KEY, "kind", "amount", "quantity")])
+    lone = (F.col("n_scopes") == 1) & F.col("scope").isNull() & ((F.col("kind") != "base") | F.col("label").isin(GENERIC))
+    rank = F.when(F.col("scope") == F.col("charge"), 0).when(F.contains(F.col("label"), F.lower("charge")), 1).when(lone, 2)
+    fit = met.withColumn("rank", rank).where("rank is not null")
+    best = F.min_by("charge", F.struct("rank", -F.length("charge"), "charge"))
+    return fit.groupBy("line_id").agg(best.alias("charge"), *[F.first(c).alias(c) for c in (*KEY, "kind", "amount", "quantity")])
 
 
 def unmatched_lines(lines: DataFrame, matches: DataFrame) -> DataFrame:

@@ -76,18 +76,21 @@ _WITH_SEEN = f"{_BOOK}, {_SEEN}"
 _PRICED = (
     _BOOK
     + """, scoped_terms AS (
-  SELECT o_custkey AS customer_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'minimum' WHEN '2-HIGH' THEN 'seat_price' WHEN '3-MEDIUM' THEN 'committed' WHEN '4-NOT SPECIFIED' THEN 'included' WHEN '5-LOW' THEN 'rate' END AS term, 'zone-' || o_orderstatus AS scope,
+  SELECT o_custkey AS customer_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'minimum' WHEN '2-HIGH' THEN 'seat_price' WHEN '3-MEDIUM' THEN 'committed' WHEN '4-NOT SPECIFIED' THEN 'included' WHEN '5-LOW' THEN 'rate' END AS term, CASE WHEN o_orderkey % 9 = 0 THEN '__default__' ELSE 'zone-' || o_orderstatus END AS scope,
     CAST(date_trunc('quarter', o_orderdate) AS DATE) AS effective, o_orderkey AS seq, CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.1::DECIMAL(2,1) AS DECIMAL(18,2)) ELSE CAST(o_orderkey % 60 AS DECIMAL(18,2)) END AS value FROM orders),
 live AS (
   SELECT p.customer_id, p.period, t.term, t.scope, arg_max(t.value, (t.effective, -t.seq)) AS value FROM panel p JOIN scoped_terms t USING (customer_id) WHERE t.effective <= p.period GROUP BY ALL),
 wide AS (
   SELECT customer_id, period, scope, max(value) FILTER (term = 'minimum') AS minimum, max(value) FILTER (term = 'seat_price') AS seat_price, max(value) FILTER (term = 'committed') AS committed, max(value) FILTER (term = 'included') AS included, max(value) FILTER (term = 'rate') AS rate FROM live GROUP BY ALL),
 sized AS (
-  SELECT w.*, u.units, i.seat_units, greatest(committed, i.seat_units) * seat_price AS seat FROM wide w JOIN invoices i USING (customer_id, period) LEFT JOIN usage u USING (customer_id, period)),
+  SELECT w.*, u.units, i.seat_units, greatest(committed, i.seat_units) * seat_price AS seat, committed IS NOT NULL AND seat_price IS NOT NULL AS has, scope = '__default__' AS generic, count(*) FILTER (committed IS NOT NULL AND seat_price IS NOT NULL) OVER k AS seated,
+    count(*) FILTER (coalesce(committed, seat_price) IS NOT NULL) OVER k AS seat_scopes, count(*) FILTER (included IS NOT NULL AND rate IS NOT NULL) OVER k = 0 AND count(included) OVER k = 1 AND count(rate) OVER k = 1 AS paired, max(included) OVER k AS lone, max(scope) FILTER (included IS NOT NULL) OVER k AS lone_scope
+  FROM wide w JOIN invoices i USING (customer_id, period) LEFT JOIN usage u USING (customer_id, period) WINDOW k AS (PARTITION BY customer_id, period)),
+based AS (SELECT *, greatest(minimum - CASE WHEN has THEN seat ELSE 0 END, 0) AS base, CASE WHEN paired AND rate IS NOT NULL THEN lone ELSE included END AS inc FROM sized),
 parts AS (
-  SELECT customer_id, period, scope, 'base' AS kind, CAST(greatest(minimum - coalesce(seat, 0), 0) AS DECIMAL(18,2)) AS expected, NULL AS review, NULL::DECIMAL(18,6) AS rate, NULL::DECIMAL(18,6) AS metered FROM sized WHERE minimum IS NOT NULL
-  UNION ALL SELECT customer_id, period, scope, 'seat', CAST(seat AS DECIMAL(18,2)), CASE WHEN committed IS NULL THEN 'no committed seats' WHEN seat_units IS NULL THEN 'no active seats' END, seat_price, NULL FROM sized WHERE seat IS NOT NULL
-  UNION ALL SELECT customer_id, period, scope, 'overage', CAST(greatest(units - included, 0) * rate AS DECIMAL(18,2)), NULL, rate, greatest(units - included, 0) FROM sized WHERE units IS NOT NULL AND included IS NOT NULL AND rate IS NOT NULL),
+  SELECT customer_id, period, scope, 'base' AS kind, CAST(base AS DECIMAL(18,2)) AS expected, CASE WHEN has OR (generic AND seated > 0) THEN 'minimum beside seats' END AS review, NULL::DECIMAL(18,6) AS rate, NULL::DECIMAL(18,6) AS metered FROM based WHERE minimum IS NOT NULL AND base > 0
+  UNION ALL SELECT customer_id, period, scope, 'seat', CAST(seat AS DECIMAL(18,2)), CASE WHEN committed IS NULL THEN 'no committed seats' WHEN seat_units IS NULL THEN 'no active seats' WHEN minimum IS NOT NULL THEN 'seats and minimum in one scope' WHEN generic AND seat_scopes > 1 THEN 'generic beside specific seats' END, seat_price, NULL FROM based WHERE seat IS NOT NULL
+  UNION ALL SELECT customer_id, period, scope, 'overage', CAST(greatest(units - inc, 0) * rate AS DECIMAL(18,2)), CASE WHEN paired AND NOT generic AND lone_scope <> '__default__' THEN 'two scopes on one meter' END, rate, greatest(units - inc, 0) FROM based WHERE units IS NOT NULL AND inc IS NOT NULL AND rate IS NOT NULL),
 counted AS (SELECT *, count(*) OVER (PARTITION BY customer_id, period, kind) AS n_scopes FROM parts),
 charges AS MATERIALIZED (SELECT * REPLACE (CASE WHEN kind = 'overage' AND n_scopes > 1 THEN 'several scopes on one meter' ELSE review END AS review) FROM counted),
 lines AS MATERIALIZED (
@@ -95,7 +98,7 @@ lines AS MATERIALIZED (
     CASE WHEN l_linenumber % 2 = 0 THEN 'zone-' || o_orderstatus END AS scope, CASE l_linenumber % 4 WHEN 1 THEN 'subscription' WHEN 3 THEN 'plan zone-' || lower(o_orderstatus) ELSE 'other' END AS label, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, CAST(l_quantity AS DECIMAL(18,2)) AS quantity
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 matches AS MATERIALIZED (
-  SELECT l.line_id, l.customer_id, l.period, l.kind, l.amount, l.quantity, min(c.scope) AS charge FROM lines l JOIN charges c ON c.customer_id = l.customer_id AND c.period = l.period AND c.kind = l.kind AND c.review IS NULL
+  SELECT l.line_id, l.customer_id, l.period, l.kind, l.amount, l.quantity, arg_min(c.scope, (CASE WHEN coalesce(l.scope = c.scope, false) THEN 0 WHEN contains(l.label, lower(c.scope)) THEN 1 ELSE 2 END, -length(c.scope), c.scope)) AS charge FROM lines l JOIN charges c ON c.customer_id = l.customer_id AND c.period = l.period AND c.kind = l.kind AND c.review IS NULL
   WHERE coalesce(l.scope = c.scope, false) OR contains(l.label, lower(c.scope)) OR (c.n_scopes = 1 AND l.scope IS NULL AND (l.kind <> 'base' OR l.label = 'subscription')) GROUP BY ALL),
 billed AS MATERIALIZED (SELECT customer_id, period, kind, charge AS scope, sum(amount) AS billed, count(*) AS n_lines, count(quantity) AS n_quantities, sum(quantity) AS quantity FROM matches GROUP BY ALL),
 there AS MATERIALIZED (SELECT DISTINCT customer_id, period, kind, true AS has FROM lines),

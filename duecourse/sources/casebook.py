@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rightspec as R
-from ..operators.charges import TERMS
+from ..operators.charges import DEFAULT, TERMS
 from ..operators.rulejson import MAX_DEPTH as R_DEPTH
 
 
@@ -103,7 +103,7 @@ def scoped_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = dict(zip(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), TERMS, strict=True))
     term = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("o_orderpriority"))
     small, large = (F.col("o_orderkey") % 60).cast("decimal(18,2)"), (F.col("o_totalprice").cast("decimal(18,2)") * F.lit("0.1").cast("decimal(2,1)")).cast("decimal(18,2)")
-    return _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer_id"), term.alias("term"), F.concat(F.lit("zone-"), "o_orderstatus").alias("scope"), F.trunc("o_orderdate", "quarter").alias("effective"), F.when(term == "minimum", large).otherwise(small).alias("value"), F.col("o_orderkey").alias("seq"))
+    return _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer_id"), term.alias("term"), F.when(F.col("o_orderkey") % 9 == 0, DEFAULT).otherwise(F.concat(F.lit("zone-"), "o_orderstatus")).alias("scope"), F.trunc("o_orderdate", "quarter").alias("effective"), F.when(term == "minimum", large).otherwise(small).alias("value"), F.col("o_orderkey").alias("seq"))
 
 
 def scoped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

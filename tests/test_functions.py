@@ -102,3 +102,33 @@ def test_a_line_pays_for_the_first_charge_that_fits(spark):
     got = charges.match_lines(c, lines)
     assert {r.line_id: r.charge for r in got.collect()} == {"1": "east", "2": "west", "4": "east"}
     assert {(r.kind, r.scope): (r.outcome, int(r.recoverable)) for r in charges.ledger_variance(c, lines, got).collect()} == {("seat", "east"): ("underbilled", 10), ("seat", "west"): ("met", 0), ("base", "east"): ("underbilled", 6)}
+
+
+def test_expected_charges_tell_seats_from_minimums(spark):
+    day = date(2025, 9, 1)
+    D = Decimal
+    terms = [
+        ("a", "minimum", "x", 100), ("a", "committed", "x", 2), ("a", "seat_price", "x", 10),  # seats and a minimum in one scope
+        ("b", "minimum", charges.DEFAULT, 100), ("b", "committed", "x", 2), ("b", "seat_price", "x", 10),  # a generic minimum beside seats
+        ("c", "committed", charges.DEFAULT, 2), ("c", "seat_price", charges.DEFAULT, 10), ("c", "committed", "x", 3), ("c", "seat_price", "x", 10),  # generic beside specific seats
+        ("d", "included", "x", 5), ("d", "rate", "y", 2), ("e", "included", charges.DEFAULT, 5), ("e", "rate", "y", 2), ("f", "included", "x", 5), ("f", "rate", "x", 2), ("f", "included", "y", 1), ("f", "rate", "y", 3),
+        ("g", "minimum", "x", 10), ("g", "committed", "x", 2), ("g", "seat_price", "x", 10), ("h", "committed", "x", 2), ("i", "minimum", "x", 7), ("i", "seat_price", "x", 10),
+    ]
+    live = spark.createDataFrame([(c, day, t, s, D(v)) for c, t, s, v in terms], "customer_id string, period date, term string, scope string, value decimal(18,2)")
+    used = spark.createDataFrame([(c, day, D(15), D(1)) for c in "abcdefghi"], "customer_id string, period date, units decimal(18,2), seats decimal(18,2)")
+    got = {(r.customer_id, r.kind, r.scope): (int(r.expected), r.review) for r in charges.expected_charges(live, used).collect()}
+    assert got == {
+        ("a", "base", "x"): (80, "minimum beside seats"), ("a", "seat", "x"): (20, "seats and minimum in one scope"), ("b", "base", charges.DEFAULT): (100, "minimum beside seats"), ("b", "seat", "x"): (20, None),
+        ("c", "seat", charges.DEFAULT): (20, "generic beside specific seats"), ("c", "seat", "x"): (30, None), ("d", "overage", "y"): (20, "two scopes on one meter"), ("e", "overage", "y"): (20, None),
+        ("f", "overage", "x"): (20, "several scopes on one meter"), ("f", "overage", "y"): (42, "several scopes on one meter"), ("g", "seat", "x"): (20, "seats and minimum in one scope"), ("i", "base", "x"): (7, None), ("i", "seat", "x"): (10, "no committed seats"),
+    }
+    over = live.where("customer_id = 'c'").withColumn("overrides", F.col("scope") == "x")
+    assert {(r.scope, r.review) for r in charges.expected_charges(over, used).collect()} == {("x", None)}
+
+
+def test_the_most_specific_charge_takes_a_line(spark):
+    day = date(2025, 9, 1)
+    c = spark.createDataFrame([("a", day, "base", s, Decimal(1), None, 3) for s in ("east", "eastern", "alpha")], "customer_id string, period date, kind string, scope string, expected decimal(18,2), review string, n_scopes long")
+    lines = [("1", "east", "alpha plan"), ("2", None, "the eastern plan"), ("3", None, "alpha and east"), ("4", None, "none"), ("5", "zzz", "alpha")]
+    rows = spark.createDataFrame([(i, "a", day, "base", s, t, Decimal(1)) for i, s, t in lines], "line_id string, customer_id string, period date, kind string, scope string, label string, amount decimal(18,2)")
+    assert {r.line_id: r.charge for r in charges.match_lines(c, rows).collect()} == {"1": "east", "2": "eastern", "3": "alpha", "5": "alpha"}
