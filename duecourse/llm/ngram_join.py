@@ -24,8 +24,8 @@ BAND = 1.5
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 2000
 #: Signatures that one task packs at a time, and about how many one group of the exchange holds; 16 bytes each.
-PACKED = 1 << 20
-GROUPED = 1 << 19
+PACKED = 1 << 18
+GROUPED = 1 << 17
 #: Makes another deal of the feature domain, for groups that are too large.
 AGAIN = np.uint64(0x2545F4914F6CDD1D)
 
