@@ -130,6 +130,51 @@ def build_graph(rights: DataFrame, observations: DataFrame, linked: DataFrame) -
     return nodes.distinct(), edges.distinct()
 
 
+def with_recovery(nodes: DataFrame, edges: DataFrame, actions: DataFrame, events: DataFrame, rule_rights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The graph with what came of findings: actions(action_id, finding_id, customer_id), events(event_id, action_id, finding_id, customer_id).
+
+    A finding leads to an action, an action brings an event; an event without an action comes of its finding. With
+    rule_rights, rows of rule_rights(), the rules' rights, evidence and discrepancies are in it as the contracts' are.
+    """
+    node = lambda rows, kind, c: rows.where(F.col(c).isNotNull()).select(F.col(c).alias("id"), F.lit(kind).alias("kind"), "customer_id")
+    edge = lambda rows, kind, a, b: rows.where(a.isNotNull() & F.col(b).isNotNull()).select(a.alias("source"), F.col(b).alias("target"), F.lit(kind).alias("kind"))
+    nodes = nodes.union(node(actions, "action", "action_id")).union(node(events, "event", "event_id"))
+    edges = edges.union(edge(actions, "leads to", F.col("finding_id"), "action_id")).union(edge(events, "brings", F.coalesce("action_id", "finding_id"), "event_id"))
+    if rule_rights is not None:
+        nodes = nodes.union(node(rule_rights, "right", "right_id")).union(node(rule_rights, "evidence", "evidence_id")).union(node(rule_rights, "discrepancy", "discrepancy_id"))
+        edges = edges.union(edge(rule_rights, "supports", F.col("evidence_id"), "right_id")).union(edge(rule_rights, "owed", F.col("right_id"), "discrepancy_id"))
+    return nodes.distinct(), edges.distinct()
+
+
+def customer_graph(nodes: DataFrame, edges: DataFrame, customers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of some customers(customer_id), and the edges from them."""
+    own = nodes.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
+    return own, edges.join(own.select(F.col("id").alias("source")), "source", "left_semi").select("source", "target", "kind")
+
+
+#: Steps from a contract's evidence to the last event: right, discrepancy, finding, action, event.
+LEVELS = 5
+
+
+def trace(asked: DataFrame, edges: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """asked(id) with all that it rests on ('up') and all that came of it ('down'), by the least number of steps: (asked, id, way, steps).
+
+    A join per level and way from the asked nodes alone, over edges that should be stored; nodes reached before aren't
+    followed again. A node that isn't in the graph, and a null id, reach nothing.
+    """
+    found = []
+    for way, near, far in (("up", "target", "source"), ("down", "source", "target")):
+        front = asked.where("id is not null").select(F.col("id").alias("asked"), "id").distinct()
+        for k in range(1, levels + 1):
+            step = edges.select(F.col(near).alias("id"), F.col(far).alias("next"))
+            front = front.join(step, "id").select("asked", F.col("next").alias("id")).distinct()
+            found.append(front.select("asked", "id", F.lit(way).alias("way"), F.lit(k).alias("steps")))
+    every = found[0]
+    for f in found[1:]:
+        every = every.union(f)
+    return every.groupBy("asked", "id", "way").agg(F.min("steps").alias("steps"))
+
+
 def lineage_path(linked: DataFrame, actions: DataFrame, events: DataFrame) -> DataFrame:
     """Each linked finding's chain: evidence, right, observation, discrepancy, finding, and how many actions and events came of it.
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import staging
 from ..functions import scalar as S
 from ..operators import charges, documents, identity, provenance, recovery, reports, rightspec, rollups, rules, terms
 from ..operators.rules import MONEY
-from ..sources import book, casebook, sinks
+from ..sources import book, casebook, sinks, snapshots
 from ..streaming import assurance
 from .casework import _CASES, _RULES, _evaluated, _ledger
 from .casework import _rules as _rule_table
@@ -145,6 +149,19 @@ def _store(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return old, f.where(h % 5 != 0).select("finding_id", "customer_id", "period", "amount", F.lit("open").alias("status"), F.lit(None).cast("string").alias("withdrawn_by"), F.lit("2026-01-01").alias("created_at"))
 
 
+def _snapshots(s: SparkSession, d: str) -> DataFrame:
+    """The same store in a folder: a batch of all rows, a batch of what a new run found, and that batch again."""
+    old, fresh = (rows.withColumn("period", F.date_format("period", "yyyy-MM")) for rows in _store(s, d))
+    root = f"{staging.folder(s)}/store-{uuid.uuid4().hex}"
+    atexit.register(snapshots.remove, s, root)
+    merge = lambda store, new: sinks.upsert_findings(store, new).select(store.columns)
+    old, fresh = staging.cut(old), staging.cut(fresh.select(old.columns))
+    snapshots.commit(old, root, "period", [r.period for r in old.select("period").distinct().collect()], "old")  # a folder a month
+    for rows in (fresh, fresh.withColumn("amount", F.lit(0).cast(MONEY))):
+        snapshots.upsert(rows, root, old.schema, "period", merge, "new")
+    return snapshots.read(s, root, old.schema)
+
+
 def _uploaded(s: SparkSession, d: str) -> DataFrame:
     _, usage, invoices = _tables(s, d)
     u, i = usage.select("customer_id", "period", "units"), invoices.select("customer_id", "period", "billed")
@@ -267,6 +284,24 @@ def _lineage(s: SparkSession, d: str) -> DataFrame:
     return provenance.lineage_path(provenance.link_findings(f, rights, seen), acts, acts.union(acts.where("finding_id like '%SEATS'")))
 
 
+def _recovered(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The whole graph, stored: with actions on some findings, events of some actions and of some findings alone, and the rules' rights."""
+    rights, seen, f = staging.cut(_rights(s, d)), staging.cut(_observations(s, d)), staging.cut(_findings(s, d))
+    linked = staging.cut(provenance.link_findings(f, rights, seen))
+    of_rules = staging.cut(provenance.rule_rights(_rule_table(s, d), _evaluated(s, d)))
+    act = F.concat(F.lit("action_"), "finding_id")
+    acts = f.where("status = 'open' and customer_id % 2 = 0").select(act.alias("action_id"), "finding_id", "customer_id")
+    events = f.where("status = 'open' and customer_id % 4 < 2").select(F.concat(F.lit("event_"), "finding_id").alias("event_id"), F.when(F.col("customer_id") % 2 == 0, act).alias("action_id"), "finding_id", "customer_id")
+    nodes, edges = provenance.with_recovery(*provenance.build_graph(rights, seen, linked), acts, events, of_rules)
+    return nodes, staging.cut(edges)
+
+
+def _traced(s: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _recovered(s, d)
+    asked = nodes.where("(kind = 'evidence' and customer_id % 50 = 8) or (kind = 'discrepancy' and customer_id % 50 = 12) or (kind = 'event' and customer_id % 50 = 20)")
+    return provenance.trace(asked.select("id"), edges)
+
+
 def _merged(s: SparkSession, d: str) -> DataFrame:
     o = _table(s, d, "orders").select(K().alias("id"), F.col("o_totalprice").cast(MONEY).alias("value"))
     return provenance.graph_merge(o.where("id % 3 = 0"), o.where("id % 2 = 0").withColumn("value", F.lit(0).cast(MONEY)), "id")
@@ -339,6 +374,8 @@ QUERIES = {
     "project_rule_rights": lambda s, d: _doubles(provenance.rule_rights(_rule_table(s, d), _evaluated(s, d)).select("right_id", "period", "kind", "reason", "recoverable", F.col("expected_id").isNotNull().alias("expects"), "discrepancy_id")),
     "graph_nodes": lambda s, d: _graph(s, d)[0],
     "graph_edges": lambda s, d: _graph(s, d)[1],
+    "graph_trace": _traced,
+    "customer_graph": lambda s, d: (lambda nodes, edges: provenance.customer_graph(nodes, edges, book.contracts(s, d).where("customer_id % 25 = 8"))[1])(*_recovered(s, d)),
     "lineage_path": _lineage,
     "tenant_audit": lambda s, d: provenance.foreign_rows({t: _table(s, d, t).withColumn("account", F.when(F.col(k) % 10 == 0, 2).when(F.col(k) % 10 != 1, 1)) for t, k in (("orders", "o_orderkey"), ("customer", "c_custkey"))}, "account", 1),
     "graph_merge": lambda s, d: _doubles(_merged(s, d)),
@@ -356,6 +393,7 @@ QUERIES = {
     "scan_processor_usage": lambda s, d: _doubles(book.processor_usage(_table(s, d, "events").select(F.col("user_id").alias("customer_id"), F.when(F.col("event_type") != "error", "metered").alias("usage_type"), F.col("value").cast(MONEY).alias("quantity"), F.unix_timestamp("ts").alias("at")))),
     "csv_provider_lookup": lambda s, d: _doubles(book.first_usage(_table(s, d, "orders").select(F.col("o_custkey").alias("customer_id"), F.trunc("o_orderdate", "month").alias("period"), F.col("o_totalprice").cast(MONEY).alias("units"), K().alias("seq")))),
     "source_precedence": lambda s, d: _doubles(_uploaded(s, d)),
+    "snapshot_store": lambda s, d: _doubles(_snapshots(s, d).select("finding_id", "status", "withdrawn_by", "amount", "created_at")),
     "sink_findings_upsert": lambda s, d: _doubles(sinks.upsert_findings(*_store(s, d)).select("finding_id", "status", "withdrawn_by", "amount", "created_at")),
     "sink_keyed_merge": lambda s, d: _doubles(sinks.merge_upsert(_old_contracts(s, d)[1].withColumn("confirmed", F.lit(True)), _old_contracts(s, d)[0].where("customer_id % 2 = 0"), ["customer_id"]).select("customer_id", "customer_name", "overage_rate", "term_end", "confirmed")),
     "sink_findings_csv": lambda s, d: sinks.export_findings(_findings(s, d)),
@@ -422,6 +460,19 @@ _LINKED = _WITH_SEEN + """, linked AS (SELECT finding_id, f.customer_id, f.statu
   FROM (SELECT *, CASE code WHEN 'OVERAGE' THEN 'overage' WHEN 'EXPIRED_DISCOUNT' THEN 'discounts' WHEN 'SEATS' THEN 'seats' ELSE 'base' END AS type, CASE code WHEN 'OVERAGE' THEN 'overage' WHEN 'EXPIRED_DISCOUNT' THEN 'discount' WHEN 'SEATS' THEN 'seats' WHEN 'ESCALATOR' THEN 'escalator' ELSE 'minimum' END AS family FROM findings) f
   LEFT JOIN rights r ON r.customer_id = f.customer_id AND r.family = f.family AND r.discount IS NOT DISTINCT FROM f.discount LEFT JOIN observations o ON o.customer_id = f.customer_id AND o.period = f.period AND o.type = f.type AND o.discount IS NOT DISTINCT FROM f.discount)
 """
+_GRAPH = (
+    (_LINKED + _RULES.removeprefix(_BOOK).replace("held AS", "rule_held AS").replace("FROM held", "FROM rule_held")).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, acts AS (SELECT finding_id, customer_id FROM linked WHERE status = 'open' AND customer_id % 2 = 0), came AS (SELECT finding_id, customer_id FROM linked WHERE status = 'open' AND customer_id % 4 < 2),
+rr AS (SELECT right_id, customer_id, 'evidence_' || substr(sha256(right_id || '|The minimum is $' || format('{:,.2f}', CAST(customer_id % 50 * 1000 AS DOUBLE)) || ' at ' || (customer_id % 7 + 1) * 5 || '% above ' || customer_id % 20 || ' units'), 1, 20) AS evidence_id,
+  CASE WHEN recoverable > 0 THEN 'discrepancy_' || substr(sha256(right_id || '|' || strftime(period, '%Y-%m')), 1, 20) END AS discrepancy_id FROM evaluated WHERE customer_id IN (SELECT customer_id FROM contracts)),
+edges AS MATERIALIZED (
+  SELECT evidence_id AS source, right_id AS target, 'supports' AS kind FROM rights UNION SELECT right_id, discrepancy_id, 'owed' FROM linked WHERE right_id IS NOT NULL UNION SELECT observation_id, discrepancy_id, 'seen' FROM linked WHERE observation_id IS NOT NULL UNION SELECT discrepancy_id, finding_id, 'ground' FROM linked
+  UNION SELECT finding_id, 'action_' || finding_id, 'leads to' FROM acts UNION SELECT CASE WHEN customer_id % 2 = 0 THEN 'action_' || finding_id ELSE finding_id END, 'event_' || finding_id, 'brings' FROM came UNION SELECT evidence_id, right_id, 'supports' FROM rr UNION SELECT right_id, discrepancy_id, 'owed' FROM rr WHERE discrepancy_id IS NOT NULL),
+nodes AS (
+  SELECT right_id AS id, 'right' AS kind, customer_id FROM rights UNION SELECT evidence_id, 'evidence', customer_id FROM rights UNION SELECT observation_id, 'observation', customer_id FROM observations UNION SELECT discrepancy_id, 'discrepancy', customer_id FROM linked UNION SELECT finding_id, 'finding', customer_id FROM linked
+  UNION SELECT 'action_' || finding_id, 'action', customer_id FROM acts UNION SELECT 'event_' || finding_id, 'event', customer_id FROM came UNION SELECT right_id, 'right', customer_id FROM rr UNION SELECT evidence_id, 'evidence', customer_id FROM rr UNION SELECT discrepancy_id, 'discrepancy', customer_id FROM rr WHERE discrepancy_id IS NOT NULL)
+"""
+)
 _PHRASES = " UNION ALL ".join(f"SELECT '{k}' AS family, unnest([{', '.join(repr(p) for p in v)}]) AS phrase" for k, v in documents.SIGNALS.items())
 
 ORACLES = {
@@ -510,6 +561,12 @@ ORACLES = {
       CASE WHEN recoverable > 0 THEN 'discrepancy_' || substr(sha256(right_id || '|' || strftime(period, '%Y-%m')), 1, 20) END AS discrepancy_id FROM evaluated WHERE customer_id IN (SELECT customer_id FROM contracts)""",
     "graph_nodes": _LINKED + "SELECT right_id AS id, 'right' AS kind, customer_id FROM rights UNION SELECT evidence_id, 'evidence', customer_id FROM rights UNION SELECT observation_id, 'observation', customer_id FROM observations UNION SELECT discrepancy_id, 'discrepancy', customer_id FROM linked UNION SELECT finding_id, 'finding', customer_id FROM linked",
     "graph_edges": _LINKED + "SELECT evidence_id AS source, right_id AS target, 'supports' AS kind FROM rights UNION SELECT right_id, discrepancy_id, 'owed' FROM linked WHERE right_id IS NOT NULL UNION SELECT observation_id, discrepancy_id, 'seen' FROM linked WHERE observation_id IS NOT NULL UNION SELECT discrepancy_id, finding_id, 'ground' FROM linked",
+    "graph_trace": _GRAPH
+    + """, asked AS (SELECT id FROM nodes WHERE (kind = 'evidence' AND customer_id % 50 = 8) OR (kind = 'discrepancy' AND customer_id % 50 = 12) OR (kind = 'event' AND customer_id % 50 = 20)),
+      both_ways AS (SELECT 'up' AS way, target AS near, source AS far FROM edges UNION ALL SELECT 'down', source, target FROM edges),
+      walk AS (SELECT id AS asked, id, way, 0 AS steps FROM asked, (VALUES ('up'), ('down')) w(way) UNION SELECT asked, far, walk.way, steps + 1 FROM walk JOIN both_ways b ON b.way = walk.way AND b.near = walk.id WHERE steps < 5)
+      SELECT asked, id, way, CAST(min(steps) AS INTEGER) AS steps FROM walk WHERE steps > 0 GROUP BY ALL""",
+    "customer_graph": _GRAPH + "SELECT source, target, kind FROM edges WHERE source IN (SELECT id FROM nodes WHERE customer_id % 25 = 8)",
     "lineage_path": _LINKED + "SELECT finding_id, customer_id, concat_ws(' > ', evidence_id, right_id, coalesce(observation_id, 'none'), discrepancy_id, finding_id) AS path, CAST(a AS BIGINT) AS actions, CAST(CASE WHEN a = 1 AND finding_id LIKE '%SEATS' THEN 2 ELSE a END AS BIGINT) AS events FROM (SELECT *, CASE WHEN status = 'open' AND customer_id % 2 = 0 THEN 1 ELSE 0 END AS a FROM linked WHERE active)",
     "tenant_audit": "SELECT 'orders' AS \"table\", count(*) AS rows FROM orders WHERE o_orderkey % 10 < 2 UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey % 10 < 2",
     "graph_merge": f"SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice AS {_D}) ELSE 0 END AS DOUBLE) AS value FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0",
@@ -557,3 +614,4 @@ ORACLES = {
     "sink_findings_csv": _BOOK + "SELECT finding_id, CAST(customer_id AS VARCHAR) AS customer_id, customer_name, code, CAST(period AS VARCHAR) AS period, NULL::VARCHAR AS currency, CAST(amount AS VARCHAR) AS amount, NULL::VARCHAR AS clause_ref, clause, NULL::VARCHAR AS provenance, CAST(confidence AS VARCHAR) AS confidence, status, NULL::VARCHAR AS created_at FROM findings JOIN (SELECT customer_id, customer_name FROM contracts) USING (customer_id)",
     "tenant_purge": "SELECT 'orders' AS \"table\", count(*) AS removed FROM orders WHERE o_orderkey % 10 = 3 UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey % 10 = 3",
 }
+ORACLES["snapshot_store"] = ORACLES["sink_findings_upsert"]  # nothing of the batch that came twice

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,13 +14,19 @@ BROADCAST_ROWS = 500_000
 _AT = "_place_at"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read back; in local mode without one, a temporary folder."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; in local mode without one, a temporary folder; on a cluster without one, an error."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to folder() and read back."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
