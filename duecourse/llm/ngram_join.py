@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, discard, documents, lists, mixed, shingle_set, signed, sliced, small, staged
+from .common import Words, discard, documents, lists, mixed, released, shingle_set, signed, sliced, small, staged
 from .components import components
 
 #: Second-level parts of each first-level part; a signature leaves one of them out.
@@ -126,7 +126,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 sketches = [sketch(s).tobytes() if len(s) else None for s in sets]
                 yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), part.column(2), pa.array([set_id(s) for s in sets], pa.int64()), lists(sigs, pa.int64()), pa.array(sketches, pa.binary())], SETS.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, SETS)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(released(run), SETS)
 
 
 def sketch(features: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ def _features(docs: DataFrame, n: int) -> DataFrame:
                 sets = [(k, s) for i, (k, given) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)) for s in [shingle_set(w.of(i), n)] if set_id(s) == given]
                 yield pa.record_batch([pa.array([k for k, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), lists([signed(s) for _, s in sets], pa.int64())], ["id", "n_shingles", "features"])
 
-    return docs.select("id", "set_id", "text").mapInArrow(run, "id long, n_shingles long, features array<long>")
+    return docs.select("id", "set_id", "text").mapInArrow(released(run), "id long, n_shingles long, features array<long>")
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -241,7 +241,7 @@ def shared_signatures(sets: DataFrame) -> DataFrame:
     which signatures are packed and sorted and take about a quarter of what rows of their own would.
     """
     total = sets.agg(F.sum(F.size("signatures"))).first()[0] or 0
-    dealt = sets.select("id", "signatures").mapInArrow(_dealt(total // GROUPED + 1), "bucket int, signatures binary, ids binary, centers binary")
+    dealt = sets.select("id", "signatures").mapInArrow(released(_dealt(total // GROUPED + 1)), "bucket int, signatures binary, ids binary, centers binary")
     return dealt.groupBy("bucket").applyInArrow(_merged, "signature long, id long, center long")
 
 
@@ -255,7 +255,7 @@ def _signatures_again(features: DataFrame, percent: int) -> DataFrame:
                 sigs = [signed(signatures(mixed(np.array(f, np.int64).view(np.uint64) ^ AGAIN), percent)) for f in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), lists(sigs, pa.int64())], ["id", "again"])
 
-    return features.select("id", "features").mapInArrow(run, "id long, again array<long>")
+    return features.select("id", "features").mapInArrow(released(run), "id long, again array<long>")
 
 
 def _differences(a: bytes, b: bytes) -> int:
@@ -274,7 +274,7 @@ def _nearest(pairs: DataFrame, percent: int) -> DataFrame:
                 near = pa.array(differ * (100 + percent) <= (100 - percent) * (na + nb))
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(differ)], ["a", "b", "differ"]).filter(near)
 
-    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, differ long")
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(released(run), "a long, b long, differ long")
 
 
 def _linked(shared: Column, a: Column, b: Column, percent: int) -> Column:
@@ -371,7 +371,7 @@ def _residual(shared: DataFrame, found: DataFrame, sketches: DataFrame, features
     pairs = pairs.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "id", "component", "signature")
     pairs = pairs.join(sketches, "id")
     pairs = pairs.select("group", "x", "y", "id", "component", "side", "n_shingles", "signature", "sketch").repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "id")
-    near = staged(pairs.mapInArrow(_compare(percent, spanning), "signature long, a long, b long"), "near")
+    near = staged(pairs.mapInArrow(released(_compare(percent, spanning)), "signature long, a long, b long"), "near")
     discard(*held)
     return near
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Words, discard, documents, free, lists, signed, sliced, staged
+from .common import Words, discard, documents, free, lists, released, signed, sliced, staged
 
 #: Labelled rows that the first fit takes at most, in order of a hash of doc_id.
 LABELLED = 8000
@@ -242,7 +242,7 @@ def _labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
             held = [signed(np.unique(w.of(i))) for i in range(len(w.first) - 1)]
             yield pa.record_batch([*[part.column(k) for k in ids], lists(held, pa.int64()), pa.array(pages, pa.binary())], ["doc_id", "dealt", "words", "page"])
 
-    got = sample.mapInArrow(run, "doc_id long, dealt long, words array<long>, page binary")
+    got = sample.mapInArrow(released(run), "doc_id long, dealt long, words array<long>, page binary")
     once = got.groupBy("doc_id").agg(F.min_by(F.struct("dealt", "words", "page"), "dealt").alias("x")).select("doc_id", "x.*")  # of repeated ids one row
     return once.join(F.broadcast(known), "doc_id")
 
@@ -307,8 +307,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
                 held = [_present(np.array(x, np.int64).view(np.uint64), vocabulary).tobytes() for x in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(held, pa.binary()), *[part.column(k) for k in (2, 3, 4)]], ["dealt", "present", "page", *HEADS])
 
-    every = staged(rows.mapInArrow(features, _FEATURES), "features")
-    given = labelled.select("dealt", "words", "page", *HEADS).mapInArrow(known_features, f"{_FEATURES}, poor double, toxic double")
+    every = staged(rows.mapInArrow(released(features), _FEATURES), "features")
+    given = labelled.select("dealt", "words", "page", *HEADS).mapInArrow(released(known_features), f"{_FEATURES}, poor double, toxic double")
     per = F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.lit(h).alias("head"), F.col(h).alias("y")) for v in VIEWS for h in HEADS]))
     training = staged(given.select("dealt", "present", "page", per.alias("x")).select("dealt", "present", "page", "x.*", F.lit(1.0).alias("weight")), "training")
     held = [known, labelled, every, training]
@@ -346,7 +346,7 @@ def _confident(features: DataFrame, model: Model, turn: int) -> DataFrame:
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["dealt", "present", "page", "view", "head", "y", "weight"])
 
-    few = features.withColumn("dealt", F.xxhash64("dealt", F.lit(turn))).mapInArrow(run, _TRAINING)
+    few = features.withColumn("dealt", F.xxhash64("dealt", F.lit(turn))).mapInArrow(released(run), _TRAINING)
     place = F.row_number().over(Window.partitionBy("view", "head", "y").orderBy("dealt"))
     first = staged(few.dropDuplicates(["view", "head", "y", "dealt"]).withColumn("place", place).where(F.col("place") <= PSEUDO), "first")
     there = {(r.view, r.head, r.y): r["count"] for r in first.groupBy("view", "head", "y").count().collect()}  # two views, two heads, two sides
@@ -386,7 +386,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
             kept = (p["poor"] <= threshold) & (p["toxic"] <= threshold)
             yield pa.record_batch([*part.columns[:width], pa.array(p["poor"]), pa.array(p["toxic"]), pa.array(kept)], [*part.schema.names[:width], "p_poor", "p_toxic", "kept"])
 
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return rows.mapInArrow(released(run), T.StructType([*docs.schema.fields, *added]))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
