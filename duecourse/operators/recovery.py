@@ -35,9 +35,11 @@ def case_ledger(cases: DataFrame, actions: DataFrame, events: DataFrame) -> Data
         F.max((F.col("status") == "disputed").cast("int")).alias("disputed"), F.array_join(F.array_sort(F.collect_set("action_type")), ",").alias("action_types"), F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"),
     )
     back = F.col("kind") == "reversal"
+    of_basis = events.groupBy("case_id", "basis").agg(_sum(F.when(back, -F.col("amount")).otherwise(F.col("amount"))).alias("part"))  # a basis is one of a few
+    by_basis = of_basis.groupBy("case_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "basis", F.col("part").cast("string")))), ",").alias("by_basis"))
     came = events.groupBy("case_id").agg(_sum(F.when(~back, F.col("amount"))).alias("realized"), _sum(F.when(back, F.col("amount"))).alias("reversed"), F.min(F.when(~back, F.col("at"))).alias("first_realized"), F.max(F.when(~back, F.col("at"))).alias("last_realized"))
     zero = F.lit(0).cast(MONEY)
-    rows = cases.join(acts, "case_id", "left").join(came, "case_id", "left")
+    rows = cases.join(acts, "case_id", "left").join(came, "case_id", "left").join(by_basis, "case_id", "left")
     rows = rows.withColumns({"requested": F.coalesce("asked", "potential").cast(MONEY), "realized": F.coalesce("realized", zero), "reversed": F.coalesce("reversed", zero)})
     rows = rows.withColumn("net", (F.col("realized") - F.col("reversed")).cast(MONEY))
     gap = F.greatest(F.col("requested") - F.col("net"), F.lit(0)).cast(MONEY)
@@ -46,7 +48,7 @@ def case_ledger(cases: DataFrame, actions: DataFrame, events: DataFrame) -> Data
         F.when(F.col("status").isin(CLOSED), zero).otherwise(gap).alias("outstanding"), F.when(F.col("status") == "recovered", gap).otherwise(zero).alias("shortfall"),
         "first_action", "first_realized", "last_realized", F.datediff("first_realized", "created").alias("days"),
         F.when((F.col("status") == "disputed") | (F.col("disputed") == 1), "disputed").otherwise("none").alias("dispute"), resolution(F.col("status"), F.col("net"), F.col("requested")).alias("resolution"),
-        F.coalesce("action_types", F.lit("")).alias("action_types"), F.coalesce("channels", F.lit("")).alias("channels"), F.round(F.col("net") * F.lit(FEE).cast("decimal(3,2)"), 2).cast(MONEY).alias("fee"),
+        F.coalesce("action_types", F.lit("")).alias("action_types"), F.coalesce("channels", F.lit("")).alias("channels"), F.coalesce("by_basis", F.lit("")).alias("by_basis"), F.round(F.col("net") * F.lit(FEE).cast("decimal(3,2)"), 2).cast(MONEY).alias("fee"),
     )
 
 
@@ -87,9 +89,25 @@ def realized_by_month(events: DataFrame) -> DataFrame:
 
 
 def executive_summary(ledger: DataFrame) -> DataFrame:
-    """One row: opportunity, realized value, open cases and days to the first realization (sum and number)."""
+    """One row: opportunity, realized value and the rate, open cases, days to the first realization, and the five kinds of the largest opportunity."""
     live = F.col("status") != "rejected"
-    return ledger.agg(_sum(F.when(live, F.col("potential"))).alias("opportunity"), _sum(F.col("net")).alias("realized"), F.count(F.when(~F.col("status").isin(CLOSED), 1)).alias("open_cases"), F.sum("days").alias("days"), F.count("days").alias("timed"))
+    per = ledger.where(live).groupBy("kind").agg(_sum(F.col("potential")).alias("part"))  # a row per kind
+    top = per.agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("part")).alias("less"), "kind"))), 1, 5), lambda x: F.concat_ws(" ", x["kind"], (-x["less"]).cast("string"))), "; ").alias("top"))
+    rows = ledger.agg(_sum(F.when(live, F.col("potential"))).alias("opportunity"), _sum(F.col("net")).alias("realized"), F.count(F.when(~F.col("status").isin(CLOSED), 1)).alias("open_cases"), F.sum("days").alias("days"), F.count("days").alias("timed")).withColumn("top", top.scalar())
+    rate = F.round((F.col("realized") / F.nullif(F.col("opportunity"), F.lit(0))).cast("decimal(24,10)"), 4).cast("double")
+    return rows.withColumns({"rate": rate, "average_days": F.round((F.col("days") / F.nullif(F.col("timed"), F.lit(0))).cast("decimal(24,10)"), 2).cast("double")})
+
+
+# A case's stages, and the statuses that put it there.
+STAGES = {"identified": ["open"], "approved": ["approved"], "in recovery": ["invoiced"], "disputed": ["disputed"], "realized": ["recovered"]}
+
+
+def command_stages(ledger: DataFrame) -> DataFrame:
+    """Cases and their value by stage; what has come already of a case in recovery or dispute isn't in its value, a realized one has its net."""
+    stage = F.element_at(F.create_map(*[F.lit(x) for k, v in STAGES.items() for s in v for x in (s, k)]), F.col("status"))
+    partial = F.greatest(F.col("potential") - F.col("net"), F.lit(0)).cast(MONEY)
+    value = F.when(F.col("stage") == "realized", F.col("net")).when(F.col("stage").isin("in recovery", "disputed"), partial).otherwise(F.col("potential"))
+    return ledger.withColumn("stage", stage).where("stage is not null").groupBy("stage").agg(F.count("*").alias("cases"), _sum(value).alias("value"))
 
 
 def filter_facets(ledger: DataFrame) -> DataFrame:

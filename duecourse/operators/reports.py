@@ -15,17 +15,32 @@ def book_totals(findings: DataFrame) -> DataFrame:
     return findings.rollup("period", "customer_id").agg(F.sum("amount").cast("decimal(18,2)").alias("recoverable"), F.count("*").alias("findings")).withColumn("annualized", F.col("recoverable") * 12)
 
 
+def audit_totals(findings: DataFrame, reviews: DataFrame) -> DataFrame:
+    """By customer, and in all with a null customer: amount, kinds, findings, and a headline; customers with reviews(customer_id) alone are there with 0."""
+    zero = F.lit(0).cast("decimal(18,2)")
+    quiet = reviews.select("customer_id").distinct().join(findings.select("customer_id"), "customer_id", "left_anti")
+    rows = findings.select("customer_id", "code", "amount").union(quiet.select("customer_id", F.lit(None).cast("string"), zero))
+    per = rows.rollup("customer_id").agg(F.sum("amount").cast("decimal(18,2)").alias("amount"), F.count_distinct("code").alias("kinds"), F.count("code").alias("findings"), F.count_distinct("customer_id").alias("customers"))
+    head = F.concat(F.col("amount").cast("string"), F.lit(" in "), F.col("findings").cast("string"), F.lit(" findings of "), F.col("customers").cast("string"), F.lit(" customers"))
+    return per.select("customer_id", "amount", "kinds", "findings", F.when(F.col("findings") == 0, "reviews only").otherwise(head).alias("headline"))
+
+
 def audit_report(findings: DataFrame) -> DataFrame:
     """By customer and kind: amount, months, first clause."""
     return findings.groupBy("customer_id", "code").agg(F.sum("amount").cast("decimal(18,2)").alias("amount"), F.count_distinct("period").alias("months"), F.min_by("clause", "period").alias("clause"))
 
 
-def trueup_pack(findings: DataFrame) -> DataFrame:
-    """A customer's open findings in order of month and kind, as one text."""
+# The statuses of findings that can be collected.
+COLLECTIBLE = ["approved", "invoiced", "disputed"]
+
+
+def trueup_pack(findings: DataFrame, statuses: list[str] | None = None) -> DataFrame:
+    """A customer's findings of the statuses (COLLECTIBLE if none are given) in order of month and kind, as one text, with their months."""
     line = F.struct("period", "code", "amount")
-    rows = findings.where("status = 'open'").groupBy("customer_id").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.sum("amount").cast("decimal(18,2)").alias("total"))
+    rows = findings.where(F.col("status").isin(COLLECTIBLE if statuses is None else statuses)).groupBy("customer_id").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.sum("amount").cast("decimal(18,2)").alias("total"))
     text = F.array_join(F.transform("lines", lambda x: F.concat_ws(" ", F.date_format(x["period"], "yyyy-MM"), x["code"], x["amount"].cast("string"))), "; ")
-    return rows.select("customer_id", "total", F.size("lines").alias("n_lines"), text.alias("lines"))
+    months = F.array_join(F.array_distinct(F.transform("lines", lambda x: F.date_format(x["period"], "yyyy-MM"))), ",")
+    return rows.select("customer_id", "total", F.size("lines").alias("n_lines"), months.alias("months"), text.alias("lines"))
 
 
 def net_realized(events: DataFrame) -> DataFrame:

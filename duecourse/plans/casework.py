@@ -61,6 +61,7 @@ QUERIES = {
     "net_by_basis": lambda s, d: _doubles(recovery.net_by_basis(casebook.recovery_events(s, d))),
     "success_fee_metrics": lambda s, d: _doubles(recovery.success_fee_metrics(_ledger(s, d))),
     "executive_summary": lambda s, d: _doubles(recovery.executive_summary(_ledger(s, d))),
+    "command_stages": lambda s, d: _doubles(recovery.command_stages(_ledger(s, d))),
     "filter_facets": lambda s, d: recovery.filter_facets(_ledger(s, d)),
 }
 
@@ -99,9 +100,10 @@ acts AS (
     array_to_string(list_sort(list(DISTINCT CASE WHEN l_linestatus = 'O' THEN 'credit_request' ELSE 'corrective_invoice' END)), ',') AS action_types, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS channels FROM lines GROUP BY ALL),
 moves AS (SELECT l_orderkey AS case_id, back, CASE WHEN l_linestatus = 'O' THEN 'settlement' ELSE 'paid_invoice' END AS basis, price AS amount, day FROM lines),
 came AS (SELECT case_id, sum(amount) FILTER (NOT back) AS realized, sum(amount) FILTER (back) AS reversed, min(day) FILTER (NOT back) AS first_realized, max(day) FILTER (NOT back) AS last_realized FROM moves GROUP BY case_id),
+based AS (SELECT case_id, string_agg(basis || ':' || part, ',' ORDER BY basis) AS by_basis FROM (SELECT case_id, basis, CAST(sum(CASE WHEN back THEN -amount ELSE amount END) AS DECIMAL(18,2)) AS part FROM moves GROUP BY ALL) GROUP BY case_id),
 nets AS (
   SELECT c.*, coalesce(asked, potential) AS requested, coalesce(realized, 0) AS realized, coalesce(reversed, 0) AS reversed, CAST(coalesce(realized, 0) - coalesce(reversed, 0) AS DECIMAL(18,2)) AS net, first_action, first_realized, last_realized, disputed,
-    coalesce(action_types, '') AS action_types, coalesce(channels, '') AS channels FROM cases c LEFT JOIN acts USING (case_id) LEFT JOIN came USING (case_id)),
+    coalesce(action_types, '') AS action_types, coalesce(channels, '') AS channels, coalesce(by_basis, '') AS by_basis FROM cases c LEFT JOIN acts USING (case_id) LEFT JOIN came USING (case_id) LEFT JOIN based USING (case_id)),
 ledger AS (
   SELECT *, CASE WHEN status IN ('recovered', 'rejected', 'written_off') THEN 0 ELSE greatest(requested - net, 0) END AS outstanding, CASE WHEN status = 'recovered' THEN greatest(requested - net, 0) ELSE 0 END AS shortfall,
     CAST(date_diff('day', created, first_realized) AS INTEGER) AS days, CASE WHEN status = 'disputed' OR disputed THEN 'disputed' ELSE 'none' END AS dispute, round(net * 0.20::DECIMAL(3,2), 2) AS fee,
@@ -133,7 +135,7 @@ ORACLES = {
       FROM customer, (VALUES ('minimum'), ('rate'), ('above'), ('cap'), ('floor'), ('t1'), ('t2'), ('r1'), ('r2'), ('r3')) t(name)""",
     "gate_candidates": """SELECT 'R-' || c_custkey AS right_id, CASE WHEN c_custkey % 17 = 0 OR c_custkey % 19 = 0 THEN 'rejected' WHEN reasons <> '' THEN 'needs_review' ELSE 'accepted' END AS status, reasons FROM (
       SELECT c_custkey, concat_ws('; ', CASE WHEN c_custkey % 3 = 0 THEN 'amount_supported' END, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 4 = 0 THEN 'scope_supported' END, CASE WHEN c_custkey % 11 = 0 THEN 'low confidence' END) AS reasons FROM customer)""",
-    "case_ledger": _cases("case_id, customer_id, kind, status, days, dispute, resolution, action_types, channels", "potential requested realized reversed net outstanding shortfall fee", "ledger", "first_action first_realized last_realized"),
+    "case_ledger": _cases("case_id, customer_id, kind, status, days, dispute, resolution, action_types, channels, by_basis", "potential requested realized reversed net outstanding shortfall fee", "ledger", "first_action first_realized last_realized"),
     "outcome_record": _cases("case_id, kind, resolution, days, action_types, channels", "requested net", "ledger"),
     "recovery_metrics": _cases(f"kind, customer_id, {_total('sum(potential)', 'opportunity')}, {_total('sum(net)', 'net')}, CAST(sum(days) AS BIGINT) AS days, count(days) AS timed, count(*) AS cases", "", "ledger GROUP BY GROUPING SETS ((kind), (customer_id), ())"),
     "resolution_mix": _cases(f"resolution, count(*) AS cases, {_total('sum(net)', 'net')}", "", "ledger GROUP BY resolution"),
@@ -142,6 +144,8 @@ ORACLES = {
         ", ".join([_total("sum(net)", "recovered"), _total("sum(potential) FILTER (status NOT IN ('rejected', 'written_off'))", "potential"), _total("sum(potential) FILTER (status IN ('invoiced', 'disputed'))", "awaiting"), _total("sum(potential) FILTER (status = 'written_off')", "written_off"), "count(*) FILTER (status = 'recovered') AS n_recovered, count(*) FILTER (status = 'written_off') AS n_written_off", _total("round(sum(net) * 0.20::DECIMAL(3,2), 2)", "fee")]),
         "", "ledger",
     ),
-    "executive_summary": _cases(f"{_total('''sum(potential) FILTER (status <> 'rejected')''', 'opportunity')}, {_total('sum(net)', 'realized')}, count(*) FILTER (status NOT IN ('recovered', 'rejected', 'written_off')) AS open_cases, CAST(sum(days) AS BIGINT) AS days, count(days) AS timed", "", "ledger"),
+    "executive_summary": _cases(f"{_total('''sum(potential) FILTER (status <> 'rejected')''', 'opportunity')}, {_total('sum(net)', 'realized')}, count(*) FILTER (status NOT IN ('recovered', 'rejected', 'written_off')) AS open_cases, CAST(sum(days) AS BIGINT) AS days, count(days) AS timed, CAST(round(CAST(CAST(sum(net) AS DOUBLE) / CAST(sum(potential) FILTER (status <> 'rejected') AS DOUBLE) AS DECIMAL(24,10)), 4) AS DOUBLE) AS rate, CAST(round(CAST(CAST(sum(days) AS DOUBLE) / count(days) AS DECIMAL(24,10)), 2) AS DOUBLE) AS average_days, (SELECT string_agg(kind || ' ' || part, '; ' ORDER BY part DESC, kind) FROM (SELECT kind, CAST(sum(potential) AS DECIMAL(18,2)) AS part FROM ledger WHERE status <> 'rejected' GROUP BY kind ORDER BY part DESC, kind LIMIT 5)) AS top", "", "ledger"),
+    "command_stages": _CASES + """SELECT stage, count(*) AS cases, CAST(sum(CASE WHEN stage = 'realized' THEN net WHEN stage IN ('in recovery', 'disputed') THEN greatest(potential - net, 0) ELSE potential END) AS DOUBLE) AS value FROM (
+      SELECT *, CASE status WHEN 'open' THEN 'identified' WHEN 'approved' THEN 'approved' WHEN 'invoiced' THEN 'in recovery' WHEN 'disputed' THEN 'disputed' WHEN 'recovered' THEN 'realized' END AS stage FROM ledger) WHERE stage IS NOT NULL GROUP BY stage""",
     "filter_facets": f"{_CASES} SELECT facet, value, count(*) AS cases FROM (SELECT 'status' AS facet, status AS value FROM ledger UNION ALL SELECT 'kind', kind FROM ledger UNION ALL SELECT 'resolution', resolution FROM ledger UNION ALL SELECT 'customer', CAST(customer_id AS VARCHAR) FROM ledger UNION ALL SELECT 'month', strftime(first_action, '%Y-%m') FROM ledger) GROUP BY ALL",
 }

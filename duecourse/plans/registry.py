@@ -33,6 +33,12 @@ def _findings(spark: SparkSession, d: str) -> DataFrame:
     return rules.run_book(_facts(spark, d))
 
 
+def _statused(spark: SparkSession, d: str) -> DataFrame:
+    """Findings with the statuses that people gave them."""
+    names = F.array(*map(F.lit, ["open", "approved", "invoiced", "disputed", "rejected"]))
+    return _findings(spark, d).withColumn("status", F.element_at(names, ((F.col("customer_id") + F.month("period")) % 5 + 1).cast("int")))
+
+
 def _doubles(df: DataFrame) -> DataFrame:
     """Decimals as doubles and dates as text, which both engines print alike."""
     kinds = dict(df.dtypes)
@@ -113,7 +119,9 @@ QUERIES = {
     "complete_keys": lambda s, d: _doubles(_tables(s, d)[1].select("customer_id", "period").intersect(_tables(s, d)[2].select("customer_id", "period"))),
     "book_totals": lambda s, d: _doubles(reports.book_totals(_findings(s, d))),
     "audit_report": lambda s, d: _doubles(reports.audit_report(_findings(s, d))),
-    "trueup_pack": lambda s, d: _doubles(reports.trueup_pack(_findings(s, d))),
+    "trueup_pack": lambda s, d: _doubles(reports.trueup_pack(_findings(s, d), ["open"])),
+    "trueup_collectible": lambda s, d: _doubles(reports.trueup_pack(_statused(s, d))),
+    "audit_totals": lambda s, d: _doubles(reports.audit_totals(_findings(s, d), rules.reviews(_facts(s, d)))),
     "command_center_metrics": lambda s, d: _doubles(reports.command_center(_findings(s, d))),
     "top_sources": lambda s, d: _doubles(reports.top_kinds(_findings(s, d))),
     "rank_cases": lambda s, d: reports.rank_cases(_findings(s, d), "1999-01-01"),
@@ -247,7 +255,12 @@ ORACLES = {
     "complete_keys": _BOOK + "SELECT customer_id, CAST(period AS VARCHAR) AS period FROM (SELECT customer_id, period FROM usage INTERSECT SELECT customer_id, period FROM invoices)",
     "book_totals": _BOOK + "SELECT CAST(period AS VARCHAR) AS period, customer_id, CAST(sum(amount) AS DOUBLE) AS recoverable, count(*) AS findings, CAST(sum(amount) * 12 AS DOUBLE) AS annualized FROM findings GROUP BY ROLLUP (period, customer_id)",
     "audit_report": _BOOK + "SELECT customer_id, code, CAST(sum(amount) AS DOUBLE) AS amount, count(DISTINCT period) AS months, arg_min(clause, period) AS clause FROM findings GROUP BY ALL",
-    "trueup_pack": _BOOK + "SELECT customer_id, CAST(sum(amount) AS DOUBLE) AS total, CAST(count(*) AS INTEGER) AS n_lines, string_agg(strftime(period, '%Y-%m') || ' ' || code || ' ' || amount, '; ' ORDER BY period, code, amount) AS lines FROM findings WHERE status = 'open' GROUP BY customer_id",
+    "trueup_pack": _BOOK + "SELECT customer_id, CAST(sum(amount) AS DOUBLE) AS total, CAST(count(*) AS INTEGER) AS n_lines, array_to_string(list_sort(list(DISTINCT strftime(period, '%Y-%m'))), ',') AS months, string_agg(strftime(period, '%Y-%m') || ' ' || code || ' ' || amount, '; ' ORDER BY period, code, amount) AS lines FROM findings WHERE status = 'open' GROUP BY customer_id",
+    "trueup_collectible": _BOOK + "SELECT customer_id, CAST(sum(amount) AS DOUBLE) AS total, CAST(count(*) AS INTEGER) AS n_lines, array_to_string(list_sort(list(DISTINCT strftime(period, '%Y-%m'))), ',') AS months, string_agg(strftime(period, '%Y-%m') || ' ' || code || ' ' || amount, '; ' ORDER BY period, code, amount) AS lines FROM findings WHERE (customer_id + month(period)) % 5 IN (1, 2, 3) GROUP BY customer_id",
+    "audit_totals": _BOOK
+    + """, reviewed AS (SELECT DISTINCT customer_id FROM facts WHERE gate IS NOT NULL OR n_credits > 0 OR incomplete OR base IS NULL OR (committed_seats IS NOT NULL AND seat_units IS NULL)),
+      every AS (SELECT customer_id, code, amount FROM findings UNION ALL SELECT customer_id, NULL, 0 FROM reviewed WHERE customer_id NOT IN (SELECT customer_id FROM findings))
+      SELECT customer_id, CAST(sum(amount) AS DOUBLE) AS amount, count(DISTINCT code) AS kinds, count(code) AS findings, CASE WHEN count(code) = 0 THEN 'reviews only' ELSE CAST(sum(amount) AS DECIMAL(18,2)) || ' in ' || count(code) || ' findings of ' || count(DISTINCT customer_id) || ' customers' END AS headline FROM every GROUP BY ROLLUP (customer_id)""",
     "command_center_metrics": _BOOK + "SELECT CAST(sum(amount) AS DOUBLE) AS potential, CAST(coalesce(sum(amount) FILTER (status = 'open'), 0) AS DOUBLE) AS verified, CAST(coalesce(sum(amount) FILTER (status <> 'open'), 0) AS DOUBLE) AS needs_review, count(*) AS findings, count(DISTINCT customer_id) AS customers FROM findings",
     "top_sources": _BOOK + "SELECT code, CAST(sum(amount) AS DOUBLE) AS amount FROM findings GROUP BY code ORDER BY 2 DESC, code LIMIT 5",
     "rank_cases": _BOOK + """SELECT finding_id, customer_id, evidence, score, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, finding_id) AS INTEGER) AS place, row_number() OVER (ORDER BY score DESC, finding_id) AS overall FROM (
