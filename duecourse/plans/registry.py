@@ -169,9 +169,9 @@ invoice_lines AS (
     SELECT customer_id, period, invoice_id, CASE WHEN f = 'R' THEN 'Metered usage overage' WHEN f = 'N' AND s = 'O' THEN 'Workspace seats' ELSE 'Platform subscription' END AS description, price AS amount, q AS quantity FROM items
     UNION ALL SELECT customer_id, period, invoice_id, CASE WHEN cut >= 0.09 THEN 'Service credit' WHEN nr % 3 = 0 THEN 'Loyalty' WHEN nr % 3 = 1 THEN 'Launch promo applied' ELSE 'VOLUME price' END, CAST(-round(price * cut, 2) AS {_D}), NULL FROM items
     UNION ALL SELECT customer_id, period, invoice_id, 'Sales tax', CAST(round(price * tax, 2) AS {_D}), NULL FROM items) WHERE amount <> 0),
-named AS (
+met_lines AS (
   SELECT l.*, discount_list, CASE WHEN amount < 0 THEN list_filter(discount_list, lambda x: contains(lower(description), lower(x.name)) OR contains(lower(x.name), lower(description)))[1] END AS hit FROM invoice_lines l LEFT JOIN contracts USING (customer_id)),
-applying AS (SELECT *, CASE WHEN role = 'discount' THEN coalesce(hit, CASE WHEN len(discount_list) = 1 THEN discount_list[1] END) END AS taken FROM (SELECT *, {_ROLE} AS role FROM named)),
+applying AS (SELECT *, CASE WHEN role = 'discount' THEN coalesce(hit, CASE WHEN len(discount_list) = 1 THEN discount_list[1] END) END AS taken FROM (SELECT *, {_ROLE} AS role FROM met_lines)),
 classified AS (SELECT * EXCLUDE (discount_list, hit, taken), CASE WHEN role = 'discount' THEN coalesce(taken.name, description) END AS discount, taken.expires AS expires FROM applying),
 invoices AS (
   SELECT customer_id, period, CAST(sum(amount) FILTER (role IN ('base', 'seat')) AS {_D}) AS base, CAST(coalesce(sum(amount) FILTER (role = 'overage'), 0) AS {_D}) AS overage,
