@@ -144,22 +144,28 @@ def injection_audit(planted: DataFrame, constants: DataFrame) -> DataFrame:
 def attach_documents(documents: DataFrame, masters: DataFrame) -> DataFrame:
     """documents(doc_id, refers: array of titles) to the master (master_id, title) that a reference names, the least id of several.
 
-    A reference names a title if the words of one stand in the other in a row, in any case. Either meets the other by
-    its own rarest word, the one that the fewest titles and references have, and what meets is checked; no reference is
-    compared with every title. Blank titles and references name nothing.
+    A reference names a title if the words of one stand in the other in a row, in any case. Each distinct text meets
+    those of the other side by its own word that the fewest of them have, one with a word that none of them has meets
+    nothing, and what meets is checked; no reference is compared with every title, and copies of a text are looked up
+    once. Blank titles and references name nothing.
     """
     key = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    asked = documents.select("doc_id", F.explode("refers").alias("ref")).select(F.col("doc_id").alias("id"), key(F.col("ref")).alias("text"), F.lit(False).alias("title"))
-    both = cut(asked.union(masters.select(F.col("master_id").alias("id"), key(F.col("title")).alias("text"), F.lit(True))).where("text <> ''").distinct())
-    words = both.select("*", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    often = words.groupBy("word").agg(F.count("*").alias("n"))
-    rarest = words.join(often, "word").groupBy("id", "text", "title").agg(F.min(F.struct("n", "word")).alias("x")).select("id", "text", "title", F.col("x.word").alias("word"))
-    inner = rarest.select(F.col("id").alias("inner_id"), F.col("text").alias("inner"), F.col("title").alias("of_title"), "word")
-    outer = words.select(F.col("id").alias("outer_id"), F.col("text").alias("outer"), F.col("title").alias("in_title"), "word")
+    refs = documents.select("doc_id", F.explode("refers").alias("ref")).select("doc_id", key(F.col("ref")).alias("ref")).where("ref <> ''").distinct()
+    titles = masters.select("master_id", key(F.col("title")).alias("title")).where("title <> ''").groupBy("title").agg(F.min("master_id").alias("master_id"))
+    words = lambda rows, c: rows.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("word"))
+    of_refs, of_titles = cut(words(refs.select("ref").distinct(), "ref")), cut(words(titles, "title"))
     pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    met = inner.join(outer, "word").where((F.col("of_title") != F.col("in_title")) & F.contains(pad("outer"), pad("inner")))
-    pairs = met.select(F.when(F.col("of_title"), F.col("outer_id")).otherwise(F.col("inner_id")).alias("doc_id"), F.when(F.col("of_title"), F.col("inner_id")).otherwise(F.col("outer_id")).alias("master_id"))
-    return pairs.groupBy("doc_id").agg(F.min("master_id").alias("master_id"))
+
+    def standing(inner: DataFrame, a: str, outer: DataFrame, b: str) -> DataFrame:
+        often = outer.groupBy("word").agg(F.count("*").alias("n"))
+        # estimates don't know how many words a text has, so none of these is broadcast by them
+        counted = inner.join(often.hint("merge"), "word", "left").groupBy(a).agg(F.min(F.struct("n", "word")).alias("x"), F.bool_and(F.col("n").isNotNull()).alias("all"))
+        rarest = counted.where("all").select(a, F.col("x.word").alias("word"))
+        return rarest.join(outer.hint("merge"), "word").where(F.contains(pad(b), pad(a))).select("ref", "title")
+
+    met = standing(of_refs, "ref", of_titles, "title").union(standing(of_titles, "title", of_refs, "ref"))
+    best = met.join(titles.hint("merge"), "title").groupBy("ref").agg(F.min("master_id").alias("master_id"))
+    return refs.join(best.hint("merge"), "ref").groupBy("doc_id").agg(F.min("master_id").alias("master_id"))
 
 
 def clause_lookup(asked: DataFrame, clauses: DataFrame, terms: DataFrame) -> DataFrame:

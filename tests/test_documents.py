@@ -35,3 +35,13 @@ def test_a_quote_whose_end_is_nowhere(spark):
     quotes = [(1, 1, 1, page[:100]), (2, 1, 1, page[:150] + "not there"), (3, 1, 2, page[:60]), (4, 1, 1, " "), (5, 1, 1, None), (6, 2, 1, "fee"), (7, 1, 1, "gone")]
     rows = quote_grounding(spark.createDataFrame(quotes, "item_id long, doc_id long, page int, text string"), spark.createDataFrame([(1, 1, page), (1, 2, "other"), (3, 1, None)], "doc_id long, page int, text string")).collect()
     assert {r.item_id: (r.state, r.page, r.whole) for r in rows} == {1: ("found", 1, True), 2: ("found", 1, False), 3: ("re-anchored", 1, True), 4: ("missing", None, False), 5: ("missing", None, False), 6: ("missing", None, False), 7: ("missing", None, False)}
+
+
+def test_references_that_many_documents_share(spark):
+    shared = [["a letter"], ["agreement of customer zero"], ["see agreement of customer 7, page 2"]]
+    docs = spark.range(30_000).selectExpr("id as doc_id", f"element_at(array({', '.join('array(%r)' % r[0] for r in shared)}), cast(id % 3 + 1 as int)) as refers")
+    masters = spark.range(300).selectExpr("30000 + id as master_id", "concat('Agreement of Customer #', id div 3) as title")
+    found = attach_documents(docs, masters)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.master_id, r.n) for r in found.groupBy("master_id").agg({"doc_id": "count"}).toDF("master_id", "n").collect()} == {(30021, 10_000)}
+    assert "BroadcastHashJoin" not in plan  # a text has more words than estimates know
