@@ -136,9 +136,15 @@ def quote_grounding(quotes: DataFrame, pages: DataFrame, most: int = 120) -> Dat
 
 
 def injection_audit(planted: DataFrame, constants: DataFrame) -> DataFrame:
-    """Planted amounts that came through: planted(doc_id, value) that is one of the document's constants(doc_id, right_id, name, value, grounded), and constants without ground."""
-    through = constants.join(planted.select("doc_id", "value").distinct(), ["doc_id", "value"], "left_semi").select("right_id", "name", F.lit("planted").alias("fault"))
-    return through.union(constants.where("not grounded").select("right_id", "name", F.lit("ungrounded")))
+    """Planted amounts that came through: planted(doc_id, value) that is one of the document's constants(doc_id, right_id, name, value, grounded), and constants without ground.
+
+    A document's planted amounts are gathered first, and each constant has its faults in one pass.
+    """
+    of_doc = planted.where("doc_id is not null and value is not null").groupBy("doc_id").agg(F.collect_set("value").alias("planted"))
+    rows = constants.join(of_doc.hint("merge"), "doc_id", "left")
+    through = F.coalesce(F.array_contains("planted", F.col("value")), F.lit(False))
+    faults = F.array_compact(F.array(F.when(through, "planted"), F.when(~F.col("grounded"), "ungrounded")))
+    return rows.select("right_id", "name", F.explode(faults).alias("fault"))
 
 
 def attach_documents(documents: DataFrame, masters: DataFrame) -> DataFrame:

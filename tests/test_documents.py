@@ -2,7 +2,7 @@
 
 import re
 
-from duecourse.operators.documents import attach_documents, grounded_quotes, quote_grounding
+from duecourse.operators.documents import attach_documents, grounded_quotes, injection_audit, quote_grounding
 
 
 def test_quotes_of_any_length(spark):
@@ -45,3 +45,12 @@ def test_references_that_many_documents_share(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert {(r.master_id, r.n) for r in found.groupBy("master_id").agg({"doc_id": "count"}).toDF("master_id", "n").collect()} == {(30021, 10_000)}
     assert "BroadcastHashJoin" not in plan  # a text has more words than estimates know
+
+
+def test_planted_amounts_in_one_pass(spark):
+    planted = spark.createDataFrame([(1, 5.0), (1, 5.0), (2, 7.0), (None, 5.0), (3, None)], "doc_id long, value double")
+    rows = [(1, "r", "a", 5.0, True), (1, "r", "b", 5.0, False), (2, "s", "a", 5.0, True), (2, "s", "b", 7.0, None), (3, "t", "a", 7.0, False), (4, "u", "a", None, True), (None, "v", "a", 5.0, True)]
+    found = injection_audit(planted, spark.createDataFrame(rows, "doc_id long, right_id string, name string, value double, grounded boolean"))
+    assert sorted(map(tuple, found.collect())) == [("r", "a", "planted"), ("r", "b", "planted"), ("r", "b", "ungrounded"), ("s", "b", "planted"), ("t", "a", "ungrounded")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
