@@ -118,8 +118,13 @@ def filter_facets(ledger: DataFrame) -> DataFrame:
 
 
 def link_actions(events: DataFrame, actions: DataFrame) -> DataFrame:
-    """events(event_id, case_id, action_id, ...) with the strategy of the action that brought each about, else 'unattributed'."""
-    return events.join(actions.select("action_id", "action_type"), "action_id", "left").withColumn("strategy", F.coalesce("action_type", F.lit("unattributed"))).drop("action_type")
+    """events(event_id, case_id, action_id, ...) with the strategy of the action that brought each about, else 'unattributed'.
+
+    Events without an action meet none, so they stay out of the join, which would deal them all to one task.
+    """
+    alone = F.lit("unattributed")
+    named = events.where("action_id is not null").join(actions.select("action_id", "action_type"), "action_id", "left").withColumn("strategy", F.coalesce("action_type", alone)).drop("action_type")
+    return named.unionByName(events.where("action_id is null").withColumn("strategy", alone))
 
 
 def net_by_strategy(linked: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from duecourse.operators import recovery
 from duecourse.plans import catalog
 from duecourse.sources import casebook
 
@@ -24,3 +25,11 @@ def test_all_constants_are_looked_for_in_the_quote(spark):
         want |= {(f"R-{k}", name): value in quoted for name, value in fixed.items()}
         want |= {(f"R-{k}", name): True for name in ("minimum", "rate", "above")}
     assert got == want and len({g for (_, name), g in got.items() if name in fixed}) == 2
+
+
+def test_events_without_an_action_meet_none(spark):
+    events = spark.createDataFrame([(1, 1, 7), (2, 1, 8), (3, 2, None)], "event_id long, case_id long, action_id long")
+    linked = recovery.link_actions(events, spark.createDataFrame([(7, "credit_request"), (None, "lost")], "action_id long, action_type string"))
+    assert {r.event_id: r.strategy for r in linked.collect()} == {1: "credit_request", 2: "unattributed", 3: "unattributed"} and linked.columns == ["action_id", "event_id", "case_id", "strategy"]
+    joined = linked._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")
+    assert len(joined) == 2 and "isnotnull(action_id" in joined[1]  # else all of them are dealt to one task
