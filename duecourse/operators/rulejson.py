@@ -64,8 +64,8 @@ def parse_rules(specs: DataFrame) -> DataFrame:
 
 def _with_faults(rows: DataFrame) -> DataFrame:
     """The rule's columns and its faults; constants as maps, dates apart."""
-    first = F.filter("named", lambda e, i: (F.array_position(F.transform("named", lambda x: x["name"]), e["name"]) == i + 1) & e["name"].isNotNull())
-    rows = rows.withColumn("named", first)
+    rows = rows.withColumn("names", F.transform("named", lambda x: x["name"]))
+    rows = rows.withColumn("named", F.filter("named", lambda e, i: (F.array_position("names", e["name"]) == i + 1) & e["name"].isNotNull()))
     of = lambda test, field: F.map_from_entries(F.transform(F.filter("named", test), lambda e: F.struct(e["name"], e[field])))
     rows = rows.withColumns({"constants": of(lambda e: e["kind"] != "date", "number"), "dates": of(lambda e: e["kind"] == "date", "date")})
     extra = F.concat(
@@ -82,11 +82,9 @@ def _with_faults(rows: DataFrame) -> DataFrame:
 
 def validate_texts(rules: DataFrame) -> DataFrame:
     """validate_rules() of parse_rules(), with the faults of the texts among the reasons; a text that isn't JSON has no other."""
-    held = rules.select("customer_id", "right_id", "faults")
-    own = R.validate_rules(rules.withColumn("right_id", F.col("customer_id").cast("string"))).select(F.col("right_id").alias("key"), F.col("reasons").alias("own"))
-    rows = held.withColumn("key", F.col("customer_id").cast("string")).join(own, "key")
+    rows = rules.select("customer_id", "right_id", "faults", R.rule_faults().alias("own"))
     broken = F.array_contains("faults", "not JSON")
-    reasons = F.when(broken, F.col("faults")).otherwise(F.filter(F.concat("faults", F.split("own", "; ")), lambda r: r != ""))
+    reasons = F.when(broken, F.col("faults")).otherwise(F.concat("faults", "own"))
     rows = rows.select("customer_id", "right_id", reasons.alias("reasons"))
     status = F.when(F.size("reasons") == 0, "valid").when(F.exists("reasons", lambda r: r.startswith("unknown")), "unsupported").when(F.exists("reasons", lambda r: r.startswith("too many") | (r == "not JSON")), "rejected").otherwise("needs_review")
     return rows.select("customer_id", "right_id", status.alias("status"), F.array_join("reasons", "; ").alias("reasons"))

@@ -232,3 +232,10 @@ def test_300_random_rules_equal_a_plain_evaluator(spark):
     assert not wrong, next(iter(wrong.items()))
     reasons = {v[0] for v in want.values()}
     assert reasons >= {None, "trigger unknown", "not triggered", "operands unresolved", "missing actual", "negative quantity", "missing required"}
+
+
+def test_a_text_is_validated_in_one_pass(spark):
+    rules = J.parse_rules(spark.createDataFrame([(1, "", "{"), (1, "", '{"right_id":"a","colour":1}')], "customer_id long, quote string, spec string"))
+    found = J.validate_texts(rules)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(found.collect()) == 2  # also of texts of one customer
