@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,24 +57,46 @@ def _from_many(rows: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
     return once.groupBy(*keys).agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
 
 
+def _tokens(lines: DataFrame, *kept: str) -> DataFrame:
+    """A row per word of each line: the kept columns and token, a hash of its leaf, place and word."""
+    rows = lines.select(*{*kept, "leaf"}, F.posexplode(F.split("words", " ")).alias("place", "word"))
+    return rows.select(*kept, F.xxhash64("leaf", "place", F.xxhash64("word")).cast("long").alias("token"))
+
+
+def _often(wide: DataFrame, min_docs: int) -> DataFrame:
+    """(token, step): the words that enough documents have at a place of a leaf, and the last step at which these are enough.
+
+    A text's equal lines count once and its lines of a leaf meet before they become words, so of these only sums per
+    token are shuffled. Documents are counted as texts by their least doc_id, unless some doc_id has several such texts.
+    """
+    first = wide.groupBy("context").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+    single = first.groupBy("doc_id").count().where("count > 1").isEmpty()
+    once = wide.groupBy("context", "leaf", "words").agg(F.min("doc_id").alias("doc_id")).repartition("context", "leaf")
+    each = _tokens(once, "context", "leaf", "doc_id").groupBy("context", "leaf", "token").agg(F.min("doc_id").alias("doc_id"))
+    docs = each.groupBy("token").agg((F.count("doc_id") if single else F.count_distinct("doc_id")).alias("docs")).where(F.col("docs") >= min_docs)
+    steps = [F.when(F.col("docs") >= min_docs * 4**k, 1).otherwise(0) for k in range(1, STEPS)]
+    return docs.select("token", reduce(add, steps).cast("long").alias("step"))
+
+
 def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, text_key, line, context, template) of lines(doc_id, text_key, line, context, leaf, words) in leaves from at least min_docs documents.
 
     Lines of a leaf merge where they share enough words at the same places: a word that enough documents have at its
     place is the template's own, any other is a variable field. Enough is min_docs, and four times that, and so on: a
     frequent value of a field is the template's own at first and becomes variable later. Each step at which OWN_PERCENT
-    of a line's words are the template's own gives the line a template.
+    of a line's words are the template's own gives the line a template. Words at their places are known by 60-bit hashes.
     """
-    leaves = staged(_from_many(lines, ["leaf"], min_docs).select("leaf"), "leaves")
+    # enough lines aren't yet enough documents, but fewer can't be: whether a word has enough is counted below
+    leaves = staged(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
     wide = staged(lines.join(small(leaves), "leaf").withColumn("key", F.monotonically_increasing_id()), "wide")
-    words = wide.select("key", "doc_id", "context", "leaf", F.posexplode(F.split("words", " ")).alias("place", "word")).withColumn("word", F.xxhash64("word"))
-    often = staged(_from_many(words, ["leaf", "place", "word"], min_docs).drop("first"), "often")
-    own = words.select("key", "leaf", "place", "word").join(small(often), ["leaf", "place", "word"])
-    own = own.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "word", "docs"))).alias("own"), F.max("docs").alias("most"))  # at most a line's words
+    often = staged(_often(wide, min_docs), "often")
+    own = _tokens(wide, "key", "leaf").join(small(often), "token")
+    # a word's token with its step in the last four bits, so that a line's words are numbers and not rows of their own
+    own = own.groupBy("key").agg(F.sort_array(F.collect_list(F.col("token").bitwiseAND(F.lit(~15)).bitwiseOR(F.col("step")))).alias("own"))  # at most a line's words
     n = F.size(F.split("words", " "))
     need = F.greatest(F.ceil(n * OWN_PERCENT / 100), F.least(n, F.lit(LEAST_OWN)))
-    steps = F.filter(F.array(*[F.lit(min_docs * 4**k) for k in range(STEPS)]), lambda t: t <= F.col("most"))
-    kept = F.transform(steps, lambda t: F.transform(F.filter("own", lambda w: w["docs"] >= t), lambda w: F.struct(w["place"], w["word"])))
+    step = lambda w: w.bitwiseAND(F.lit(15)).cast("int")
+    kept = F.transform(F.sequence(F.lit(0), F.array_max(F.transform("own", step))), lambda k: F.transform(F.filter("own", lambda w: step(w) >= k), lambda w: w.bitwiseAND(F.lit(~15))))
     held = F.array_distinct(F.transform(F.filter(kept, lambda x: F.size(x) >= need), lambda x: F.xxhash64(F.col("leaf"), x)))
     out = staged(wide.join(own, "key").select("doc_id", "text_key", "line", "context", F.explode(held).alias("template")), "templates")
     discard(leaves, wide, often)
