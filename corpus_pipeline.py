@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecourse.llm.common import discard, free, staged
+from duecourse.llm.common import discard, free, small_batches, staged
 from duecourse.llm.line_dedup import drop_recurring_lines
 from duecourse.llm.mixing import mix
 from duecourse.llm.ngram_join import near_groups
@@ -23,6 +23,7 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is judged by its metadata; repeated rows go or stay together; without labels of both sides all rows stay;
     an empty table stays empty.
     """
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify(docs, labels).where("kept").select(*docs.columns)
 
@@ -73,6 +74,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is one piece, its end token; repeated rows are packed each; an empty table gives no rows.
     """
+    small_batches(spark)
     return pieces_digest(pack(docs, tokenizer_path()))
 
 

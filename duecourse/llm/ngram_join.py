@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, discard, documents, lists, mixed, released, shingle_set, signed, sliced, small, staged
+from .common import Words, discard, documents, lists, mixed, released, shingle_set, signed, sliced, small, small_batches, staged
 from .components import components
 
 #: Second-level parts of each first-level part; a signature leaves one of them out.
@@ -395,7 +395,10 @@ def set_components(docs: DataFrame, sets: DataFrame, n: int, percent: int, *spen
     best = staged(near.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")), "best")
     origin = held.select("id", "set_id", F.col("doc_id").alias("of"), F.col("text_key").alias("key"))
     text = docs.select(F.col("doc_id").cast("long"), "text").join(small(origin), F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("key")))
-    features = staged(_features(text, n).dropDuplicates(["id"]), "features")
+    features = staged(_features(text, n), "features")
+    if not features.groupBy("id").count().where("count > 1").isEmpty():  # repeated rows; otherwise features needn't be shuffled
+        every, features = features, staged(features.dropDuplicates(["id"]), "features")
+        discard(every)
     links = staged(_verified(best, features, percent).where("linked").select("a", "b"), "links")
     found = components(links)
     discard(pairs, best)
@@ -429,8 +432,9 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Returns a row per input row: doc_id, text_key (xxhash64 of the text), n_shingles, set_id, component_id (the least doc_id reachable), first (true
     for one row of each component, that of the least doc_id). Rows with a null doc_id
     link as others do and get the least doc_id of the rest, or null. Repeated rows have equal sets, so one component.
-    An empty table gives no rows.
+    An empty table gives no rows. The session's Arrow batches stay small afterwards.
     """
+    small_batches(docs.sparkSession)
     sets = staged(shingle_sets(docs, n, percent).withColumn("id", F.monotonically_increasing_id()), "sets")
     # of equal sets the first row stands for all
     filled = sets.where("set_id is not null").select("set_id", "id")

@@ -123,6 +123,29 @@ def test_near_groups(docs, none, n, percent):
     assert ngram_join.near_groups(none).isEmpty()
 
 
+def test_near_groups_hands_small_batches_to_python(spark, monkeypatch):
+    def held(run):
+        def wrapped(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes <= 5 << 20, batch.nbytes
+                    yield batch
+
+            yield from run(small())
+
+        return wrapped
+
+    monkeypatch.setattr(ngram_join, "released", held)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(900)), lambda k: (F.col("doc_id") * F.lit(1000) + k).cast("string")), " ")
+    docs = spark.range(0, 1200, 1, 1).select((F.col("id") % 1100).alias("doc_id")).withColumn("text", words)  # 7 MB in one task
+    assert ngram_join.near_groups(docs).where("component_id = doc_id").count() == 1200
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    common.small_batches(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"  # less stays
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def test_signatures_meet_for_every_similar_pair():
     rng = np.random.default_rng(1)
     for size in (1, 5, 9, 10, 19, 20, 40, 200, 1500):
