@@ -330,8 +330,11 @@ def _compare(percent: int, spanning: bool):
 
 
 def _verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) whose sets are similar, by their features, and whether: (a, b, linked)."""
-    side = lambda k: features.select(F.col("id").alias(k), F.col("features").alias(f"f{k}"), F.col("n_shingles").alias(f"n{k}"))
+    """The pairs(a, b) whose sets are similar, by their features, and whether: (a, b, linked). pairs should be staged.
+
+    Features are many times as large as pairs, and most sets have no pair: theirs stay out of the shuffle.
+    """
+    side = lambda k: features.select(F.col("id").alias(k), F.col("features").alias(f"f{k}"), F.col("n_shingles").alias(f"n{k}")).join(small(pairs.select(k).distinct()), k, "left_semi")
     both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     return both.select("a", "b", _linked(F.size(F.array_intersect("fa", "fb")), F.col("na"), F.col("nb"), percent).alias("linked"))
 
@@ -432,7 +435,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Returns a row per input row: doc_id, text_key (xxhash64 of the text), n_shingles, set_id, component_id (the least doc_id reachable), first (true
     for one row of each component, that of the least doc_id). Rows with a null doc_id
     link as others do and get the least doc_id of the rest, or null. Repeated rows have equal sets, so one component.
-    An empty table gives no rows. The session's Arrow batches stay small afterwards.
+    An empty table gives no rows. The session's batches stay small afterwards.
     """
     small_batches(docs.sparkSession)
     sets = staged(shingle_sets(docs, n, percent).withColumn("id", F.monotonically_increasing_id()), "sets")

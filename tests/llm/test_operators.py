@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import sys
 import uuid
 import zlib
 
@@ -146,6 +147,36 @@ def test_near_groups_hands_small_batches_to_python(spark, monkeypatch):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
 
 
+def test_scans_decode_few_rows_at_a_time(spark, docs):
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.unset(rows)
+    ngram_join.near_groups(docs.limit(3))
+    assert int(spark.conf.get(rows)) <= 512
+    spark.conf.set(rows, "100")
+    common.small_batches(spark)
+    assert spark.conf.get(rows) == "100"  # less stays
+    spark.conf.unset(rows)
+
+
+def test_verified_shuffles_the_features_of_pairs_alone(spark):
+    sets = {k: list(range(k % 2, 10 + k % 3)) for k in range(200)}
+    features = common.staged(spark.createDataFrame([(k, len(s), s) for k, s in sets.items()], "id long, n_shingles long, features array<long>"), "features")
+    pairs = common.staged(spark.createDataFrame([(1, 3), (1, 3), (1, 5), (2, 4), (6, 7)], "a long, b long"), "pairs")
+    got = ngram_join._verified(pairs, features, 80)
+    alike = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.8
+    assert sorted(map(tuple, got.collect())) == [(a, b, alike(a, b)) for a, b in ((1, 3), (1, 5), (2, 4), (6, 7))]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+    common.discard(features, pairs)
+
+
+def test_word_encoder_keeps_ids_compactly():
+    encoder = packing.WordEncoder(packing.tokenizer_path(), 1)
+    texts = ["Recurring words, recurring! x7f3kq9 naïve", "recurring WORDS (again) x7f3kq9"]
+    whole = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in encoder.encode(texts)] == [[*ids, 1] for ids in whole]
+    assert all(sys.getsizeof(ids) <= 40 + 4 * len(encoder.tokenizer.encode(p, add_special_tokens=False).ids) for p, ids in encoder.parts.items())
+
+
 def test_signatures_meet_for_every_similar_pair():
     rng = np.random.default_rng(1)
     for size in (1, 5, 9, 10, 19, 20, 40, 200, 1500):
