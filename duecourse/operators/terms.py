@@ -47,6 +47,21 @@ def with_minimum(rows: DataFrame, schedule: DataFrame) -> DataFrame:
     return both.withColumn("minimum", F.coalesce(held, first)).where("month = 1").select("customer_id", F.col("day").alias("period"), "row.*", "minimum")
 
 
+def schedules(schedule: DataFrame) -> DataFrame:
+    """schedule's entries by customer, for minimum_in(): customer_id, `held`, an array of (day, rank, value) in order, `earliest`, and `minimum`, the least value.
+
+    A customer's entries are one contract's, so its months carry them instead of being put into one order with them.
+    """
+    day = F.coalesce("effective", F.lit("0001-01-01").cast("date"))
+    entry = F.when(F.col("value").isNotNull(), F.struct(day.alias("day"), (-F.col("seq")).alias("rank"), "value"))
+    return schedule.groupBy("customer_id").agg(F.sort_array(F.collect_list(entry)).alias("held"), F.min_by("value", F.struct(day, "seq")).alias("earliest"), F.min("value").alias("minimum"))
+
+
+def minimum_in(period: Column) -> Column:
+    """The minimum that minimum_asof() gives for a month, of schedules()."""
+    return F.coalesce(F.try_element_at(F.filter("held", lambda x: x["day"] <= period), F.lit(-1))["value"], F.col("earliest"))
+
+
 def governing(entries: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, day, live, value): from each day on on which it may change, the entry of entries(keys, effective, ends, value, seq) that governs.
 

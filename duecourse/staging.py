@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a compressed table in folder(), read back; checkpoints are several times as large. It stays until the end of the driver."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/stored-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None:  # the session may have been stopped before
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, which should be cut, with a broadcast hint if it has at most so many rows; else it is joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
