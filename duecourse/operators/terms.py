@@ -110,20 +110,19 @@ def active_by_scope(terms: DataFrame, months: DataFrame, names: list[str]) -> Da
     """months(customer_id, period, ...), each once, with the customer's scopes and what active_terms() has for each of the terms
     `names` there, a column each; scopes without any such value are left out. The terms have no ends.
 
-    All terms of a scope are carried on in one order, so a month comes once per scope, not once per scope and term, and
-    nothing is pivoted or joined back.
+    A scope's entries are one contract's, so its months carry them instead of being put into one order with them: what is dealt
+    by customer stays where it is, and nothing is pivoted or joined back.
     """
     named = terms.where(F.col("term").isin(names)).withColumn("scope", F.coalesce("scope", F.lit(DEFAULT)))
     more = [c for c in months.columns if c not in ("customer_id", "period")]
     day = F.coalesce("effective", F.lit("0001-01-01").cast("date"))
-    kinds = {**dict(months.dtypes), **dict(named.dtypes)}
-    none = lambda *columns: [F.lit(None).cast(kinds[c]).alias(c) for c in columns]
-    entries = named.select("customer_id", "scope", day.alias("day"), F.lit(0).alias("month"), "seq", "term", "value", *none(*more))
-    grid = months.join(named.select("customer_id", "scope").distinct(), "customer_id")
-    rows = entries.union(grid.select("customer_id", "scope", F.col("period").alias("day"), F.lit(1).alias("month"), *none("seq", "term", "value"), *more))
-    order = Window.partitionBy("customer_id", "scope").orderBy("day", "month", F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({n: F.last(F.when(F.col("term") == n, F.col("value")), ignorenulls=True).over(order) for n in names})
-    return rows.where("month = 1").where(F.coalesce(*names).isNotNull()).select("customer_id", F.col("day").alias("period"), "scope", *names, *more)
+    entry = F.struct(day.alias("day"), (-F.col("seq")).alias("rank"), "value")
+    of = lambda n: F.sort_array(F.collect_list(F.when((F.col("term") == n) & F.col("value").isNotNull(), entry))).alias(n)
+    # dealt by customer at once, so that the grouping and the join are of one exchange
+    held = named.repartition("customer_id").groupBy("customer_id", "scope").agg(*[of(n) for n in names])
+    value = lambda n: F.try_element_at(F.filter(n, lambda x: x["day"] <= F.col("period")), F.lit(-1))["value"].alias(n)
+    rows = months.join(held, "customer_id").select("customer_id", "period", "scope", *[value(n) for n in names], *more)
+    return rows.where(F.coalesce(*names).isNotNull())
 
 
 def active_minimums(schedule: DataFrame, panel: DataFrame) -> DataFrame:
